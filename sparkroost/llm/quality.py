@@ -1,7 +1,7 @@
 """Quality classifier: weak labels, an expectation-maximisation label model, a hashed linear scorer.
 
 1. Overlapping heuristic labellers vote good (1), bad (0) or abstain (2) on each text.
-2. The votes of *all* texts are counted by pattern (at most 3^10 rows, whatever the corpus). On these
+2. The votes of *all* texts are counted by pattern (at most 3^11 rows, whatever the corpus). On these
    counts expectation-maximisation estimates each labeller's accuracy and the share of good texts,
    and gives each pattern's posterior.
 3. Posterior labels train a linear scorer on hashed shape features of a bounded sample
@@ -16,6 +16,7 @@ Defined results: a null or empty text has no features; it is rated by the poster
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ from .linear import Rows, fit, sigmoid
 FIT_ROWS, THRESHOLD, WIDTH, GRAM = 6000, 0.5, 4096, 4
 #: Runs of signs below which a text says little by its shape.
 SHORT = 24
-GOOD, BAD, ABSTAIN, LABELLERS = 1, 0, 2, 10
+GOOD, BAD, ABSTAIN, LABELLERS = 1, 0, 2, 11
 #: Function words of the four languages, the labeller's fixed list.
 FUNCTION_WORDS = frozenset(b"the of and to in is that for it as was with be by on are this from at an a der die das und den von zu mit des im ist nicht ein eine auch auf werden es le la les de des et en un une du que qui dans pour est sur par au el los las del y se por con una para".split())
 _ENDS = b".,;:!?\"')"
@@ -71,7 +72,8 @@ def votes(text: bytes) -> tuple[int, ...]:
     few = n < 8
     twin = bytes(map(bytes.__eq__, own[1:], own))
     stutter, run = twin.count(1) / n, 1 + max(map(len, twin.split(b"\0")))
-    pairs = len(set(zip(own[1:], own, strict=False))) / max(1, n - 1)
+    thrice = sum(max(0, len(x) - 1) for x in twin.split(b"\0")) / n
+    doubled = len(set(itertools.compress(own[1:], twin))) / len(set(own))
     vote = lambda good, bad: GOOD if good else BAD if bad else ABSTAIN
     return (
         vote(symbols < 0.06, symbols > 0.12 and not few),
@@ -83,7 +85,8 @@ def votes(text: bytes) -> tuple[int, ...]:
         vote(odd < 0.05, odd > 0.25),
         vote(stutter < 0.05, stutter > 0.2),
         vote(run < 3, run > 3),
-        vote(pairs > 0.8, pairs < 0.5 and not few),
+        vote(doubled < 0.05, doubled > 0.3),
+        vote(thrice < 0.02, thrice > 0.15),
     )
 
 
@@ -190,7 +193,7 @@ def train(docs: DataFrame, text_col: str = "text", fit_rows: int = FIT_ROWS) ->
     text = docs[text_col].cast("string")
     rows = docs.select(text.alias("text"), F.xxhash64(text).alias("key"))
     voted = _shared.keep(rows.mapInArrow(_vote_batches, "pattern int, key long"), "votes")
-    counted = voted.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 3^10 rows
+    counted = voted.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 3^11 rows
     patterns, counts = np.array([r[0] for r in counted], np.int64), np.array([r[1] for r in counted], float)
     if not len(patterns):
         return QualityModel(np.zeros(WIDTH + 1), 0.5, np.zeros((LABELLERS, 2, 3)), 0.5)

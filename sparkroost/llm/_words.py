@@ -20,6 +20,18 @@ _CHUNK = 1 << 19
 _P, _M = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
+def _letters() -> np.ndarray:
+    """A-Z as a-z, ASCII punctuation as space."""
+    out = np.arange(256, dtype=np.uint8)
+    out[65:91] += 32
+    for a, b in ((33, 48), (58, 65), (91, 97), (123, 127)):
+        out[a:b] = 32
+    return out
+
+
+LETTERS = _letters()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64, in place where it can be."""
     x = x ^ (x >> U(30))

@@ -23,23 +23,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ._words import U, pack, words
+from ._words import LETTERS, U, pack, words
 from .linear import Rows, fit, sigmoid
 
 FIT_ROWS, FEATURES, FOLDS, THRESHOLD, BITS, LEAST_Z, L2 = 8000, 2000, 5, 0.5, 22, 6.0, 2e-5
 
 
-def _letters() -> np.ndarray:
-    out = np.arange(256, dtype=np.uint8)
-    out[65:91] += 32
-    for a, b in ((33, 48), (58, 65), (91, 97), (123, 127)):
-        out[a:b] = 32
-    return out
-
-
-LETTERS = _letters()
-
-
 def buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(begin, bucket): each text's different words, hashed to ``BITS`` bits, ascending."""
     _, _, first, h = words(data, offsets, letters=LETTERS)

@@ -19,7 +19,17 @@ from ._words import pack
 
 #: A text over this size is a block by itself.
 BLOCK_BYTES = 16 << 20
-SCHEMA = "block long, n int, ids binary, nulls binary, offsets binary, data binary"
+SCHEMA = "block long, n int, ids binary, nulls binary, offsets binary, data binary, carry binary"
+
+
+def _to_ipc(batches: list[pa.RecordBatch]) -> bytes | None:
+    if not batches:
+        return None
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        for b in batches:
+            out.write_batch(b)
+    return sink.getvalue().to_pybytes()
 
 
 def _packer(block_bytes: int):
@@ -28,10 +38,11 @@ def _packer(block_bytes: int):
 
         part, sub = TaskContext.get().partitionId(), 0
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        others: list[pa.RecordBatch] = []
         size = 0
 
         def flush():
-            nonlocal held, size, sub
+            nonlocal held, others, size, sub
             ids, nulls, lens, data = (np.concatenate(x) for x in zip(*held, strict=True))
             row = pa.RecordBatch.from_pydict(
                 {
@@ -41,9 +52,10 @@ def _packer(block_bytes: int):
                     "nulls": pa.array([nulls.tobytes()], pa.binary()),
                     "offsets": pa.array([np.concatenate([[0], np.cumsum(lens)]).astype(np.int64).tobytes()], pa.binary()),
                     "data": pa.array([data.tobytes()], pa.binary()),
+                    "carry": pa.array([_to_ipc(others)], pa.binary()),
                 }
             )
-            held, size, sub = [], 0, sub + 1
+            held, others, size, sub = [], [], 0, sub + 1
             return row
 
         for batch in batches:
@@ -61,6 +73,8 @@ def _packer(block_bytes: int):
                     j = i + 1
                 j = min(j, n)
                 held.append((ids[i:j], nulls[i:j], np.diff(offsets[i : j + 1]), data[offsets[i] : offsets[j]]))
+                if batch.num_columns > 2:
+                    others.append(batch.select(range(2, batch.num_columns)).slice(i, j - i))
                 size += int(offsets[j] - offsets[i])
                 i = j
                 if size >= block_bytes:
@@ -71,10 +85,14 @@ def _packer(block_bytes: int):
     return run
 
 
-def stage(df: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> str:
-    """Write the blocks of ``df``; the path of the table. A null text is empty."""
+def stage(df: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES, carry: bool = False) -> str:
+    """Write the blocks of ``df``; the path of the table. A null text is empty. With ``carry``, all
+    columns of ``df`` but the text go along, in their order, as one Arrow stream for each block."""
     spark = df.sparkSession
-    rows = df.select(df[id_col].cast("long"), df[text_col].cast("string")).mapInArrow(_packer(block_bytes), SCHEMA)
+    others = [df[c].alias(f"c{i}") for i, c in enumerate(df.columns) if c != text_col] if carry else []
+    if carry:
+        others.append(df[text_col].isNull().alias("no_text"))
+    rows = df.select(df[id_col].cast("long").alias("id"), df[text_col].cast("string").alias("text"), *others).mapInArrow(_packer(block_bytes), SCHEMA)
     return _shared.write(rows, _shared.scratch(spark, "blocks"))
 
 
@@ -91,6 +109,11 @@ class Block:
         self.nulls = np.frombuffer(row["nulls"], np.uint8).astype(bool)
         self.offsets = np.frombuffer(row["offsets"], np.int64)
         self.data = np.frombuffer(row["data"], np.uint8)
+        self.carry = row.get("carry")
+
+    def carried(self) -> pa.Table:
+        """The other columns of the block's rows."""
+        return pa.ipc.open_stream(self.carry).read_all()
 
     def id_column(self, at=slice(None)) -> pa.Array:
         return pa.array(self.ids[at], pa.int64(), mask=self.nulls[at])
@@ -102,7 +125,7 @@ class Block:
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
     for batch in batches:
         for i in range(batch.num_rows):
-            yield Block({k: batch.column(k)[i].as_buffer() if k not in ("block", "n") else batch.column(k)[i].as_py() for k in ("block", "n", "ids", "nulls", "offsets", "data")})
+            yield Block({k: batch.column(k)[i].as_buffer() if k not in ("block", "n") else batch.column(k)[i].as_py() for k in batch.schema.names})
 
 
 def table_of(path: str, key: int) -> list[dict]:

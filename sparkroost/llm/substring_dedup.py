@@ -243,7 +243,9 @@ def _resolve(n: int):
     return run
 
 
-def _cut(n: int, bits: int, screen: str, marks: str, hot, groups: int):
+def _cut(n: int, bits: int, screen: str, marks: str, hot, groups: int, names: list[str] | None, at_text: int):
+    """Removal. ``names``: give the rows of the input with these columns, else the report."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prefixes = hot.value
         for block in _blocks.blocks(batches):
@@ -263,43 +265,65 @@ def _cut(n: int, bits: int, screen: str, marks: str, hot, groups: int):
             gone = np.cumsum(delta[:-1]) > 0
             removed = np.add.reduceat(np.append(gone, 0).astype(np.int64), win.first[:-1]) * (np.diff(win.first) > 0)
             raw = block.data.tobytes()
+            others = block.carried() if names else None
             for lo in range(0, block.n, 512):
                 hi = min(lo + 512, block.n)
                 texts, spans = [], []
                 for i in range(lo, hi):
-                    own = raw[block.offsets[i] : block.offsets[i + 1]].split()
-                    a, b = int(win.first[i]), int(win.first[i + 1])
+                    own = raw[block.offsets[i] : block.offsets[i + 1]]
                     spans.append([])
                     if removed[i]:
-                        mask = gone[a:b]
-                        own = [w for w, x in zip(own, mask.tolist(), strict=True) if not x]
+                        mask = gone[win.first[i] : win.first[i + 1]]
+                        own = b" ".join([w for w, x in zip(own.split(), mask.tolist(), strict=True) if not x])
                         edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]])))
                         spans[-1] = [{"start": int(x), "end": int(y)} for x, y in edge.reshape(-1, 2)]
-                    texts.append(b" ".join(own))
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "doc_id": block.id_column(slice(lo, hi)),
-                        "n_words": pa.array(np.diff(win.first)[lo:hi], pa.int64()),
-                        "n_removed": pa.array(removed[lo:hi], pa.int64()),
-                        "removed": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                        "kept_text": pa.array(texts, pa.binary()).cast(pa.string()),
-                    }
-                )
+                    elif not names:
+                        own = b" ".join(own.split())
+                    texts.append(own)
+                if names:
+                    part = others.slice(lo, hi - lo).combine_chunks()
+                    text = pa.array(texts, pa.binary(), mask=part.column("no_text").to_numpy()).cast(pa.string())
+                    columns = part.drop_columns("no_text").columns
+                    yield pa.Table.from_arrays([*columns[:at_text], text, *columns[at_text:], pa.array(removed[lo:hi], pa.int64())], names).combine_chunks().to_batches()[0]
+                else:
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "doc_id": block.id_column(slice(lo, hi)),
+                            "n_words": pa.array(np.diff(win.first)[lo:hi], pa.int64()),
+                            "n_removed": pa.array(removed[lo:hi], pa.int64()),
+                            "removed": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                            "kept_text": pa.array(texts, pa.binary()).cast(pa.string()),
+                        }
+                    )
 
     return run
 
 
+_REPORT = "doc_id long, n_words long, n_removed long, removed array<struct<start:long,end:long>>, kept_text string"
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, group_suffixes: int = GROUP_SUFFIXES, block_bytes: int = _blocks.BLOCK_BYTES) -> DataFrame:
     """Each row of ``docs``: doc_id, n_words, n_removed, removed (spans of words, end excluded) and
     kept_text (kept words joined by one space). See the module's text for the method."""
+    return _run(docs, id_col, text_col, min_words, group_suffixes, block_bytes, False)
+
+
+def rewrite(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, group_suffixes: int = GROUP_SUFFIXES, block_bytes: int = _blocks.BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` with all their columns and n_removed. A text that loses words is its
+    kept words joined by one space; other texts stay as they are."""
+    return _run(docs, id_col, text_col, min_words, group_suffixes, block_bytes, True)
+
+
+def _run(docs: DataFrame, id_col: str, text_col: str, min_words: int, group_suffixes: int, block_bytes: int, whole: bool) -> DataFrame:
     spark = docs.sparkSession
-    staged = _blocks.stage(docs, id_col, text_col, block_bytes)
+    staged = _blocks.stage(docs, id_col, text_col, block_bytes, whole)
     table = _blocks.read(spark, staged)
     total, n_blocks = table.select(F.coalesce(F.sum(F.length("data")), F.lit(0)), F.count(F.lit(1))).first()
     upper = total // 2 + 1  # a word and a space at least
     ranges, bits = int(max(64, upper // RANGE_WINDOWS)), _bits_for(upper)
     least = max(1000, group_suffixes // max(1, n_blocks))
-    sent = _shared.write(table.mapInArrow(_send_windows(min_words, bits, ranges, least), "bucket int, block long, n long, key long, body binary"), _shared.scratch(spark, "windows"))
+    bare = table.drop("carry")
+    sent = _shared.write(bare.mapInArrow(_send_windows(min_words, bits, ranges, least), "bucket int, block long, n long, key long, body binary"), _shared.scratch(spark, "windows"))
     rows = spark.read.schema("bucket int, block long, n long, key long, body binary").parquet(sent)
     found = rows.where("bucket = -1").groupBy(F.col("block").alias("depth"), "key").agg(F.sum("n").alias("n")).where(F.col("n") > group_suffixes).collect()  # at most min_words * windows / group_suffixes
     hot = [np.sort(np.array([r["key"] for r in found if r["depth"] == d], np.int64).view(np.uint64)) for d in range(1, max([0, *(r["depth"] for r in found)]) + 1)]
@@ -310,9 +334,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     alive = rows_alive(spark, screen, back)
     groups = int(max(64, alive // group_suffixes + 1))
     kind = "bucket int, block long, n long, lexicon binary, words long, codes binary, low binary, count binary"
-    suffixes = table.mapInArrow(_send_suffixes(min_words, bits, screen, prefixes, groups), kind)
+    suffixes = bare.mapInArrow(_send_suffixes(min_words, bits, screen, prefixes, groups), kind)
     marks = _shared.write(suffixes.groupBy("bucket").applyInArrow(_resolve(min_words), back).repartition("block"), _shared.scratch(spark, "marks"), "block")
-    out = table.mapInArrow(_cut(min_words, bits, screen, marks, prefixes, groups), "doc_id long, n_words long, n_removed long, removed array<struct<start:long,end:long>>, kept_text string")
+    names, at_text, schema = None, 0, _REPORT
+    if whole:
+        at_text = docs.columns.index(text_col)
+        names = [f"c{i}" for i in range(len(docs.columns))] + ["n_removed"]
+        schema = ", ".join([*(f"c{i} {'string' if i == at_text else kind}" for i, (_, kind) in enumerate(docs.dtypes)), "n_removed long"])
+    out = (table if whole else bare).mapInArrow(_cut(min_words, bits, screen, marks, prefixes, groups, names, at_text), schema)
+    if whole:
+        out = out.toDF(*docs.columns, "n_removed")
     return _shared.keep(out, "kept", staged, screen, marks)
 
 

@@ -18,7 +18,7 @@ from . import _shared
 from ._words import pack
 
 #: A text over this size is a block by itself.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 SCHEMA = "block long, n int, ids binary, nulls binary, offsets binary, data binary, carry binary"
 
 

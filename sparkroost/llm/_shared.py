@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -56,32 +57,32 @@ def put_bytes(spark: SparkSession, path: str, data: bytes) -> str:
 
 
 @contextlib.contextmanager
-def _cleaning(spark: SparkSession) -> Iterator[None]:
-    """Let Spark drop the shuffle files of a query as soon as its rows are written."""
-    held = spark.conf.get(_CLEANUP, None)
-    try:
-        spark.conf.set(_CLEANUP, "true")
-    except Exception:  # a Spark without this setting: its context cleaner does it later
-        yield
-        return
+def _settings(spark: SparkSession, **values: str | None) -> Iterator[None]:
+    """SQL settings for the length of one write; those that this Spark doesn't know stay out."""
+    own = {k: v for k, v in values.items() if v is not None and spark.conf.isModifiable(k)}
+    held = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(_CLEANUP) if held is None else spark.conf.set(_CLEANUP, held)
+        for k, v in held.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def write(df: DataFrame, path: str, *partition_by: str) -> str:
-    """Write ``df`` as a Parquet table in the shared folder."""
-    with _cleaning(df.sparkSession):
+def write(df: DataFrame, path: str, *partition_by: str, large_rows: bool = False) -> str:
+    """Write ``df`` as a Parquet table in the shared folder. Spark drops the query's shuffle files
+    as soon as the rows are written. ``large_rows``: Python gets its input row by row."""
+    with _settings(df.sparkSession, **{_CLEANUP: "true", _BATCH: "1" if large_rows else None}):
         out = df.write.mode("overwrite").option("compression", "zstd")
         (out.partitionBy(*partition_by) if partition_by else out).parquet(path)
     return path
 
 
-def keep(df: DataFrame, label: str, *used: str) -> DataFrame:
+def keep(df: DataFrame, label: str, *used: str, large_rows: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and return it read back; ``used`` paths then go."""
     spark = df.sparkSession
-    path = write(df, scratch(spark, label))
+    path = write(df, scratch(spark, label), large_rows=large_rows)
     drop(spark, *used)
     return spark.read.schema(df.schema).parquet(path)
 

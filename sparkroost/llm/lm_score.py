@@ -130,8 +130,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
     total = table.agg(F.coalesce(F.sum(F.length("data")), F.lit(0))).first()[0]
     ranges = int(max(32, total // 2 // RANGE_WORDS))
     sent = table.mapInArrow(_send(ranges), "bucket int, block long, n long, keys binary, counts binary")
-    joined = _shared.write(sent.groupBy("bucket").applyInArrow(_join, "block long, bucket int, n long, bits binary, totals binary").repartition("block"), _shared.scratch(spark, "counts"), "block")
-    out = _shared.keep(table.mapInArrow(_score(joined, ranges), "doc_id long, n_words long, log double, n_single long, n_full long"), "scores", staged, joined)
+    joined = _shared.write(sent.groupBy("bucket").applyInArrow(_join, "block long, bucket int, n long, bits binary, totals binary").repartition("block"), _shared.scratch(spark, "counts"), "block", large_rows=True)
+    out = _shared.keep(table.mapInArrow(_score(joined, ranges), "doc_id long, n_words long, log double, n_single long, n_full long"), "scores", staged, joined, large_rows=True)
     n = out.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
     whole = F.col("log") - F.col("n_single") * F.lit(float(np.log10(max(n, 1))))
     return out.select("doc_id", "n_words", "n_full", whole.alias("log10_score"), F.when(F.col("n_words") > 0, whole / F.col("n_words")).alias("mean_log10"))

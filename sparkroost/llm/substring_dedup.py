@@ -323,7 +323,7 @@ def _run(docs: DataFrame, id_col: str, text_col: str, min_words: int, group_suff
     ranges, bits = int(max(64, upper // RANGE_WINDOWS)), _bits_for(upper)
     least = max(1000, group_suffixes // max(1, n_blocks))
     bare = table.drop("carry")
-    sent = _shared.write(bare.mapInArrow(_send_windows(min_words, bits, ranges, least), "bucket int, block long, n long, key long, body binary"), _shared.scratch(spark, "windows"))
+    sent = _shared.write(bare.mapInArrow(_send_windows(min_words, bits, ranges, least), "bucket int, block long, n long, key long, body binary"), _shared.scratch(spark, "windows"), large_rows=True)
     rows = spark.read.schema("bucket int, block long, n long, key long, body binary").parquet(sent)
     found = rows.where("bucket = -1").groupBy(F.col("block").alias("depth"), "key").agg(F.sum("n").alias("n")).where(F.col("n") > group_suffixes).collect()  # at most min_words * windows / group_suffixes
     hot = [np.sort(np.array([r["key"] for r in found if r["depth"] == d], np.int64).view(np.uint64)) for d in range(1, max([0, *(r["depth"] for r in found)]) + 1)]
@@ -335,7 +335,7 @@ def _run(docs: DataFrame, id_col: str, text_col: str, min_words: int, group_suff
     groups = int(max(64, alive // group_suffixes + 1))
     kind = "bucket int, block long, n long, lexicon binary, words long, codes binary, low binary, count binary"
     suffixes = bare.mapInArrow(_send_suffixes(min_words, bits, screen, prefixes, groups), kind)
-    marks = _shared.write(suffixes.groupBy("bucket").applyInArrow(_resolve(min_words), back).repartition("block"), _shared.scratch(spark, "marks"), "block")
+    marks = _shared.write(suffixes.groupBy("bucket").applyInArrow(_resolve(min_words), back).repartition("block"), _shared.scratch(spark, "marks"), "block", large_rows=True)
     names, at_text, schema = None, 0, _REPORT
     if whole:
         at_text = docs.columns.index(text_col)
@@ -344,7 +344,7 @@ def _run(docs: DataFrame, id_col: str, text_col: str, min_words: int, group_suff
     out = (table if whole else bare).mapInArrow(_cut(min_words, bits, screen, marks, prefixes, groups, names, at_text), schema)
     if whole:
         out = out.toDF(*docs.columns, "n_removed")
-    return _shared.keep(out, "kept", staged, screen, marks)
+    return _shared.keep(out, "kept", staged, screen, marks, large_rows=True)
 
 
 def rows_alive(spark, screen: str, schema: str) -> int:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, functions as F
 from . import _shared
 from ._words import LETTERS, pack, words
 
-PASSAGE, UNIT, TERMS, RANK, COSINE, SHARE, ANSWER = 64, 32, 12, 128, 0.4, 0.7, 0.5
+PASSAGE, UNIT, TERMS, RANK, COSINE, SHARE, ANSWER = 64, 32, 12, 96, 0.4, 0.7, 0.5
 LEAST_WORDS = 8
 SLICE_BYTES = 1 << 20
 _CHUNK = 64

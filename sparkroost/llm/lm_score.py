@@ -13,7 +13,7 @@ with their counts as one row (gaps of a sorted set), so an n-gram that is a tent
 comes once from each block, and counts are summed before and after the shuffle. Back comes the total
 of each n-gram that the block sent, with those below ``MIN_COUNT`` as a bit alone.
 
-n-grams are identified by 64-bit hashes. Defined results: a null or empty text has no words and
+n-grams are identified by 56 bits of hash: less than one pair in 10^8 n-grams meets by chance. Defined results: a null or empty text has no words and
 score 0 with a null mean; repeated and null ids keep a row each; an empty table gives an empty table.
 """
 
@@ -26,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import _blocks, _shared
-from ._words import from_gaps, from_plane, grams, to_gaps, to_plane, words
+from ._words import U, from_gaps, from_plane, grams, to_gaps, to_plane, words
 
-ORDER, MIN_COUNT, BACKOFF = 3, 2, 0.4
+ORDER, MIN_COUNT, BACKOFF, BITS = 3, 2, 0.4, 56
 RANGE_WORDS = 2_000_000
 
 
@@ -37,6 +37,7 @@ class _Grams:
 
     def __init__(self, h: np.ndarray, first: np.ndarray, n: int):
         fp, self.at = grams(h, first, n)
+        fp >>= U(64 - BITS)
         order = np.argsort(fp, kind="stable")
         ranked = fp[order]
         new = np.append(True, ranked[1:] != ranked[:-1]) if len(fp) else np.zeros(0, bool)
@@ -47,7 +48,7 @@ class _Grams:
 
 
 def _edges(ranges: int) -> np.ndarray:
-    return np.array([(r << 64) // ranges for r in range(1, ranges)], np.uint64)
+    return np.array([(r << BITS) // ranges for r in range(1, ranges)], np.uint64)
 
 
 def _send(ranges: int):

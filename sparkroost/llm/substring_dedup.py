@@ -177,7 +177,7 @@ def _send_suffixes(n: int, bits: int, screen: str, hot, groups: int):
                 if edges[g] == edges[g + 1]:
                     continue
                 own = order[edges[g] : edges[g + 1]]
-                spelled = win.h[at[own][None, :] + np.arange(n)[:, None]]  # column-major: depth by suffix
+                spelled = win.h[at[own][None, :] + np.arange(n)[:, None]] >> U(16)  # depth by suffix; 48 bits a word
                 lexicon, codes = np.unique(spelled, return_inverse=True)
                 kind = np.uint16 if len(lexicon) <= 1 << 16 else np.uint32
                 yield pa.RecordBatch.from_pydict(

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, functions as F
 from . import _shared
 from ._words import LETTERS, pack, words
 
-PASSAGE, UNIT, TERMS, RANK, COSINE, SHARE, ANSWER = 64, 32, 12, 96, 0.4, 0.7, 0.5
+PASSAGE, UNIT, TERMS, RANK, COSINE, SHARE, ANSWER = 64, 32, 12, 128, 0.3, 0.7, 0.5
 LEAST_WORDS = 8
 SLICE_BYTES = 1 << 20
 _CHUNK = 64
@@ -155,7 +155,7 @@ def _entries(units: np.ndarray, column: np.ndarray) -> tuple[np.ndarray, np.ndar
 def _project(u: np.ndarray, c: np.ndarray, basis: np.ndarray, n: int) -> np.ndarray:
     """Rows of A times ``basis`` (already weighted by idf): dense (n, rank)."""
     out = np.zeros((n, basis.shape[1]), np.float32)
-    step = 1 << 16
+    step = 1 << 10
     for a in range(0, len(u), step):
         part = u[a : a + step]
         heads = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
@@ -194,7 +194,7 @@ def _multiply(held, wide: bool):
             u, c = _entries(units, column)
             y = _project(u, c, weighted, len(units))
             order = np.argsort(c.astype(np.uint16) if len(idf) < 1 << 16 else c, kind="stable")
-            step = 1 << 16
+            step = 1 << 10
             for a in range(0, len(order), step):
                 o = order[a : a + step]
                 own = c[o]
@@ -274,17 +274,20 @@ def _search(held, passages, wide: bool):
                 part = win[live[lo : lo + 4096]]
                 part /= np.linalg.norm(part, axis=1, keepdims=True)
                 cosine = part @ bench.T
-                for i, j in zip(*np.nonzero(cosine >= COSINE), strict=True):
-                    w = int(live[lo + i])
+                i, j = np.nonzero(cosine >= COSINE)
+                cut = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else i
+                for x, y in zip(cut.tolist(), [*cut[1:].tolist(), len(i)], strict=True):
+                    w = int(live[lo + i[x]])
                     window = units[w : min(w + 3, int(end[w]))].ravel().tolist()
-                    if 2 * len(sets[j].intersection(window)) < len(sets[j]):
-                        continue
-                    got = _tight(own[j], window)
-                    if got:
-                        row = int(np.searchsorted(begin, w, "right") - 1)
-                        found = (got[0] / len(own[j].codes), float(cosine[i, j]), (w - int(begin[row])) * UNIT + got[1], (w - int(begin[row])) * UNIT + got[2], got[0])
-                        key = (row, own[j].item)
-                        best[key] = max(best.get(key, found), found)
+                    here = set(window)
+                    for k in [k for k in j[x:y].tolist() if 2 * len(sets[k] & here) >= len(sets[k])]:
+                        got = _tight(own[k], window)
+                        if got:
+                            row = int(np.searchsorted(begin, w, "right") - 1)
+                            at_word = (w - int(begin[row])) * UNIT
+                            found = (got[0] / len(own[k].codes), float(cosine[i[x], k]), at_word + got[1], at_word + got[2], got[0])
+                            key = (row, own[k].item)
+                            best[key] = max(best.get(key, found), found)
             ids = batch.column(0).to_pylist()
             rows = [(ids[r], item, *x) for (r, item), x in sorted(best.items())]
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())

@@ -33,6 +33,8 @@ from .token_files import PLAIN, byte_chars
 
 #: Words in the lexicon, at most: the bound on the compiled file (about 3 MB) and on what the driver gathers.
 LEXICON_WORDS = 100_000
+#: Levels of word counts in a doubling.
+LEVELS = 16
 #: Words that a worker remembers, at most.
 MEMO_WORDS = 400_000
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -226,10 +228,18 @@ def _count_words(path: str):
 
 
 def build_lexicon(docs: DataFrame, tokenizer_path: str, text_col: str = "text", n_words: int = LEXICON_WORDS) -> bytes:
-    """Count the words of all texts and compile the ``n_words`` most frequent (ties: by word)."""
+    """Count the words of all texts and compile the most frequent ones, at most ``n_words``: all words
+    from the lowest count level (a 16th of a doubling) at which they still fit."""
     rows = docs.select(docs[text_col].cast("string").alias("text")).where("text is not null")
-    counts = rows.mapInArrow(_count_words(tokenizer_path), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.where("n > 1").orderBy(F.desc("n"), "word").limit(n_words).select("word")
+    counted = rows.mapInArrow(_count_words(tokenizer_path), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    counts = _shared.keep(counted.withColumn("level", F.floor(F.log2("n") * LEVELS).cast("int")), "words")
+    least, total = None, 0  # the lowest level down to which all words fit
+    for level, n in sorted((tuple(r) for r in counts.groupBy("level").count().collect()), reverse=True):  # at most 63 * LEVELS rows
+        total += n
+        if total > n_words:
+            break
+        least = level
+    top = counts.where(F.lit(False) if least is None else F.col("level") >= least).select("word")
     cut = cutter(tokenizer_path)
     words = [r[0] for r in top.collect()]  # at most n_words, the stated bound
     return compile_lexicon({w: cut.merge(w) for w in words})

@@ -1,6 +1,11 @@
-"""All registered queries of the library and their SQL."""
+"""All registered queries of the library, each with SQL of its own for DuckDB."""
 
 from __future__ import annotations
 
+from .plans import answers, prompting, routing
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for part in (routing, prompting, answers):
+    QUERIES.update(part.QUERIES)
+    ORACLES.update(part.ORACLES)

@@ -131,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_
     """Fit a chain. ``categories``: name to a 0/1 expression over the joined columns of ``docs`` and
     ``labels`` (whose id column has the same name), in the chain's order."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    marks = [c for c in labels.columns if c != id_col]
+    marks = [c for c in labels.columns if c not in (id_col, "doc_id", "text")]
     known = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(*[F.max(c).alias(c) for c in marks])
     first = next(iter(categories))
     joined = own.join(known, "doc_id").select("doc_id", "text", *[F.coalesce(c.cast("int"), F.lit(0)).alias(n) for n, c in categories.items()])

@@ -180,7 +180,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_
     spark = rows.sparkSession
     kind = "query_id long, vec_id long, score double"
     points = valid(rows, id_col, vector_col)
-    sample = [r[0] for r in points.orderBy(F.xxhash64("id"), "id").limit(fit_rows).select("v").collect()]  # bounded
+    sample = [r[1] for r in sorted(map(tuple, _shared.bounded_sample(points, fit_rows, "id").collect()))]
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sizes = [len(v) for v in sample]

@@ -200,7 +200,7 @@ def train(docs: DataFrame, text_col: str = "text", fit_rows: int = FIT_ROWS) ->
     post, table, share = label_model(patterns, counts)
     bad = [int(p) for p, x in zip(patterns, post, strict=True) if x < 0.5]
     once = voted.select("key", "pattern").distinct()
-    keys = {r[0]: r[1] for part in (once, once.where(F.col("pattern").isin(bad))) for r in part.orderBy("key").limit(fit_rows).collect()}  # bounded
+    keys = {r[0]: r[1] for part in (once, once.where(F.col("pattern").isin(bad))) for r in _shared.bounded_sample(part, fit_rows, "key").collect()}
     spark = docs.sparkSession
     picked = F.broadcast(spark.createDataFrame([(k,) for k in keys], "key long"))  # 2 * fit_rows longs
     sample = rows.join(picked, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from . import _shared
 from ._words import LETTERS, U, pack, words
 from .linear import Rows, fit, sigmoid
 
@@ -128,15 +129,18 @@ def fit_chain(begin: np.ndarray, index: np.ndarray, labels: dict[str, np.ndarray
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> Chain:
-    """Fit a chain. ``categories``: name to a 0/1 expression over the joined columns of ``docs`` and
-    ``labels`` (whose id column has the same name), in the chain's order."""
+    """Fit a chain. ``categories``: name to a 0/1 expression over the label columns and ``text``, in
+    the chain's order; the first is over label columns alone, and rows are chosen by it."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     marks = [c for c in labels.columns if c not in (id_col, "doc_id", "text")]
     known = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(*[F.max(c).alias(c) for c in marks])
-    first = next(iter(categories))
-    joined = own.join(known, "doc_id").select("doc_id", "text", *[F.coalesce(c.cast("int"), F.lit(0)).alias(n) for n, c in categories.items()])
-    pick = lambda part, n: part.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(n)
-    sample = pick(joined.where(F.col(first) == 1), fit_rows // 2).unionByName(pick(joined.where(F.col(first) != 1), fit_rows // 2))
+    known = known.join(own.select("doc_id").distinct(), "doc_id")
+    first = F.coalesce(next(iter(categories.values())).cast("int"), F.lit(0))
+    chosen = [_shared.bounded_sample(known.where(first == k), fit_rows // 2, "doc_id") for k in (1, 0)]
+    picked = docs.sparkSession.createDataFrame([r for part in chosen for r in part.collect()], known.schema)  # at most fit_rows
+    texts = own.join(F.broadcast(picked.select("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    joined = texts.join(F.broadcast(picked), "doc_id")
+    sample = joined.select("doc_id", "text", *[F.coalesce(c.cast("int"), F.lit(0)).alias(n) for n, c in categories.items()])
     rows = sample.mapInArrow(_sample, ", ".join(["doc_id long", "buckets binary", *(f"{n} int" for n in categories)])).collect()  # at most fit_rows
     rows.sort(key=lambda r: (r["doc_id"] * 0x9E3779B1 % 0x100000000, r["doc_id"]))
     held = [np.frombuffer(r["buckets"], np.int32).astype(np.int64) for r in rows]

@@ -38,6 +38,8 @@ from . import _blocks, _shared
 from ._words import U, _P, from_gaps, from_plane, grams, mix, to_gaps, to_plane, words
 
 MIN_WORDS = 13
+#: Bytes of text in a block; a task's arrays take about twenty times that.
+BLOCK_BYTES = 5 << 20
 #: Suffixes that one group may hold, about 200 MB while its subtree is built.
 GROUP_SUFFIXES = 500_000
 #: Windows in one range of fingerprints.
@@ -51,14 +53,14 @@ class _Windows:
     def __init__(self, block: _blocks.Block, n: int):
         self.starts, self.ends, self.first, self.h = words(block.data, block.offsets)
         fp, self.at = grams(self.h, self.first, n)
-        self.doc = np.searchsorted(self.first, self.at, "right") - 1
+        self.doc = (np.searchsorted(self.first, self.at, "right") - 1).astype(np.int32)
         ids = np.where(block.nulls, _NULL, block.ids)
         self.id = ids[self.doc]
         order = np.argsort(fp, kind="stable")
         fp = fp[order]
         new = np.ones(len(fp), bool)
         new[1:] = fp[1:] != fp[:-1]
-        self.cls = np.empty(len(fp), np.int64)
+        self.cls = np.empty(len(fp), np.int32)
         self.cls[order] = np.cumsum(new) - 1
         heads = np.flatnonzero(new)
         self.fp = fp[heads]
@@ -302,13 +304,13 @@ def _cut(n: int, bits: int, screen: str, marks: str, hot, groups: int, names: li
 _REPORT = "doc_id long, n_words long, n_removed long, removed array<struct<start:long,end:long>>, kept_text string"
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, group_suffixes: int = GROUP_SUFFIXES, block_bytes: int = _blocks.BLOCK_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, group_suffixes: int = GROUP_SUFFIXES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Each row of ``docs``: doc_id, n_words, n_removed, removed (spans of words, end excluded) and
     kept_text (kept words joined by one space). See the module's text for the method."""
     return _run(docs, id_col, text_col, min_words, group_suffixes, block_bytes, False)
 
 
-def rewrite(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, group_suffixes: int = GROUP_SUFFIXES, block_bytes: int = _blocks.BLOCK_BYTES) -> DataFrame:
+def rewrite(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, group_suffixes: int = GROUP_SUFFIXES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` with all their columns and n_removed. A text that loses words is its
     kept words joined by one space; other texts stay as they are."""
     return _run(docs, id_col, text_col, min_words, group_suffixes, block_bytes, True)

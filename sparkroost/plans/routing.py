@@ -218,6 +218,7 @@ UNION ALL SELECT pos, 'missing_prediction' FROM j WHERE stop IS NULL AND coalesc
 UNION ALL SELECT pos, 'unknown_model' FROM j WHERE stop IS NULL AND coalesce(prediction, '') <> '' AND m IS NULL""")
 def validate_rows(spark, sf_dir: str) -> DataFrame:
     registry = view(spark, sf_dir, "registry")
+    tables(spark, sf_dir, "events")
     data = spark.table("events").where("event_id > 0").select(F.concat(F.lit("q"), F.col("event_id").cast("string")).alias("global_index"), F.col("props").alias("prompt"))
     return validate.row_errors(spark.sql(_RAW), data, registry)
 

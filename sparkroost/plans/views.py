@@ -75,12 +75,12 @@ def with_views(sql: str) -> str:
     return f"WITH {head}, {sql[5:]}" if sql[:5].upper() == "WITH " else f"WITH {head} {sql}"
 
 
-def tables(spark: SparkSession, sf_dir: str) -> None:
-    for t in TABLES:
+def tables(spark: SparkSession, sf_dir: str, *names: str) -> None:
+    for t in names:
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    tables(spark, sf_dir)
+    tables(spark, sf_dir, *[t for t in TABLES if re.search(rf"\b{t}\b", VIEWS[name])])
     sql = VIEWS[name].replace("\\", "\\\\")
     return spark.sql(sql)

@@ -11,10 +11,12 @@ it, is the prefix sum of the shards' totals. Files are first written under a nam
 attempt and then renamed, and only what the manifest names is read, so lost executors and
 speculative copies leave no wrong shard.
 
-Encoding equals the tokenizers library's on the whole text. Texts of plain Latin characters go
-through the byte-pair core of tiktoken with the vocabulary of the same file (about six times as
-fast; equality is tested), all others, and texts with a special token's string, through the
-tokenizers library itself.
+All ids come from the tokenizers library. Where the vocabulary's splitter is the byte-level one
+without a normalizer, a split always lies between a character that is no space and an ASCII space
+after it, and nothing after a split depends on what is before it; so a text is cut there and the
+library's ids of each chunk are kept in a bounded memo; a line end, letters and the
+marks after them are pieces of their own, which go to the library's merge model directly. Texts with a space beyond ASCII or the
+string of an added token, and all texts of other vocabularies, go to the library in one piece.
 
 Defined results: a null or empty text is the end id alone; null doc_ids come first; rows that
 repeat a doc_id are ordered by their text's hash; an empty table gives an empty table.
@@ -22,6 +24,7 @@ repeat a doc_id are ordered by their text's hash; an empty table gives an empty
 
 from __future__ import annotations
 
+import array
 import functools
 import json
 import re
@@ -37,9 +40,14 @@ from . import _shared
 END_ID = 2
 SHARD_BYTES = 32 << 20
 _NULL = np.iinfo(np.int64).min
-#: Characters on which all Unicode tables in use agree; a text with others takes the library's path.
-PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa0-ɏ‐-‧‰-⁞]")
-SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: A run of ASCII spaces with the run of other characters after it.
+CHUNK = re.compile("[\t-\r ]*+[^\t-\r ]+|[\t-\r ]+")
+#: Spaces beyond ASCII, and characters that some Unicode versions count as such.
+WIDE_SPACE = re.compile("[\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
+#: Chunks of one word, with a line end before and marks after it: the byte-level splitter cuts them
+#: there alone.
+WORD = re.compile("(\n?)( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+)([!-&(-/:-@\\[-`{-~]*)")
+MEMO_CHUNKS, MEMO_CHARS = 400_000, 40
 
 
 @functools.lru_cache(maxsize=1)
@@ -54,7 +62,6 @@ class Encoder:
     """Whole texts to ids, as the tokenizers library gives them without special tokens added."""
 
     def __init__(self, path: str):
-        import tiktoken
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -62,21 +69,51 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        of = byte_chars()
-        added = {t["content"] for t in spec["added_tokens"]}
-        ranks = {bytes(of[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in added}
-        self.size = max([*ranks.values(), *(t["id"] for t in spec["added_tokens"])]) + 1
-        self.special = re.compile("|".join(map(re.escape, sorted(added)))) if added else None
-        byte_level = spec["pre_tokenizer"].get("type") == "ByteLevel" and not spec["pre_tokenizer"]["add_prefix_space"] and not spec["normalizer"]
-        self.core = tiktoken.Encoding("shared", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}) if byte_level else None
+        self.size = max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])]) + 1
+        added = [re.escape(t["content"]) for t in spec["added_tokens"]]
+        self.whole = re.compile("|".join([WIDE_SPACE.pattern, *added]))
+        split = spec["pre_tokenizer"] or {}
+        self.chunked = split.get("type") == "ByteLevel" and not split["add_prefix_space"] and split.get("use_regex", True) and not spec["normalizer"]
+        self.char_of = {b: c for c, b in byte_chars().items()}
+        self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _merge(self, word: str) -> bytes:
+        piece = "".join([self.char_of[b] for b in word.encode("utf-8")])
+        return _pack([t.id for t in self.library.model.tokenize(piece)])
+
+    def _missing(self, chunk: str) -> bytes:
+        """The ids of a chunk that the memo lacks; it forgets the older half when it is full."""
+        ids = self.older.get(chunk)
+        if ids is None:
+            parts = WORD.fullmatch(chunk) if len(chunk) <= MEMO_CHARS else None
+            if not parts:
+                ids = _pack(self.library.encode(chunk, add_special_tokens=False).ids)
+            elif parts[2] != chunk:
+                ids = b"".join([self._ids(part) for part in parts.groups() if part])
+            else:
+                ids = self._merge(chunk)
+        if len(chunk) <= MEMO_CHARS:
+            if len(self.memo) >= MEMO_CHUNKS:
+                self.memo, self.older = {}, self.memo
+            self.memo[chunk] = ids
+        return ids
+
+    def _ids(self, chunk: str) -> bytes:
+        return self.memo.get(chunk) or self._missing(chunk)
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.core is None or not text.isascii() and PLAIN.search(text) or text.isascii() and _CONTROL.search(text) or self.special and self.special.search(text):
+        if not self.chunked or self.whole.search(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
-        return self.core.encode_to_numpy(text, disallowed_special=()).astype(np.uint32, copy=False)
+        chunks = CHUNK.findall(text)
+        found = list(map(self.memo.get, chunks))
+        if None in found:
+            found = [ids or self._ids(chunk) for ids, chunk in zip(found, chunks, strict=True)]
+        return np.frombuffer(b"".join(found), np.uint32)
 
 
-_CONTROL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
+def _pack(ids: list[int]) -> bytes:
+    return array.array("I", ids).tobytes()
 
 
 @functools.lru_cache(maxsize=2)

@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from . import _shared
-from .token_files import PLAIN, byte_chars
+from .token_files import byte_chars
 
 #: Words in the lexicon, at most: the bound on the compiled file (about 3 MB) and on what the driver gathers.
 LEXICON_WORDS = 100_000
@@ -37,6 +37,8 @@ LEXICON_WORDS = 100_000
 LEVELS = 16
 #: Words that a worker remembers, at most.
 MEMO_WORDS = 400_000
+#: Characters on which all Unicode tables in use agree; a text with others takes the library's path.
+PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa0-ɏ‐-‧‰-⁞]")
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 

@@ -98,9 +98,10 @@ def math_metric(text: Column, truth: Column) -> Column:
 
 
 def overlap(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two arrays."""
+    """Size of the multiset intersection of two arrays; only words that both have are counted."""
+    held = F.struct(F.filter(a, lambda x: F.array_contains(b, x)).alias("a"), F.filter(b, lambda x: F.array_contains(a, x)).alias("b"))
     count = lambda arr, x: F.size(F.filter(arr, lambda y: y == x))
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda s, x: s + F.least(count(a, x), count(b, x)))
+    return T.let(held, lambda s: F.aggregate(F.array_distinct(s["b"]), F.lit(0), lambda n, x: n + F.least(count(s["a"], x), count(s["b"], x))))
 
 
 def token_f1(a: Column, b: Column) -> Column:
@@ -114,11 +115,11 @@ def qa_f1(text: Column, truth: Column) -> Column:
 
 
 def meteor(text: Column, truth: Column) -> Column:
-    """Plain F1 of the multisets times one less the fragmentation penalty; can be negative."""
-    return T.let(F.struct(T.tokens(T.answer(text)).alias("a"), T.tokens(truth).alias("b")), lambda s: _meteor(s["a"], s["b"]))
+    return T.let(F.struct(T.tokens(T.answer(text)).alias("a"), T.tokens(truth).alias("b")), lambda s: meteor_words(s["a"], s["b"]))
 
 
-def _meteor(a: Column, b: Column) -> Column:
+def meteor_words(a: Column, b: Column) -> Column:
+    """Plain F1 of the multisets times one less the fragmentation penalty; can be negative."""
     distinct = F.size(F.array_intersect(a, b))
     runs = lambda arr, other: F.aggregate(
         arr,
@@ -148,12 +149,15 @@ def class_score(text: Column, truth: Column, classes: Column) -> Column:
     return F.when(F.array_contains(named, truth), 1.0 / F.size(named)).otherwise(0.0)
 
 
-def rouge_l(a: str, b: str) -> float:
-    """F measure of the longest common subsequence of words (own formula, for a row in Python)."""
-    x, y = a.split(), b.split()
-    row = [0] * (len(y) + 1)
-    for w in x:
-        old = row[:]
-        for j, v in enumerate(y):
-            row[j + 1] = old[j] + 1 if w == v else max(old[j + 1], row[j])
-    return 2 * row[-1] / (len(x) + len(y)) if x and y else 0.0
+def rouge_l(a: Column, b: Column) -> Column:
+    """F measure of the longest common subsequence of two word arrays. One row of the table of
+    lengths, as long as ``b``, is carried over ``a``; words of ``a`` that ``b`` lacks leave it as it is."""
+    zero = F.transform(b, lambda _: F.lit(0))
+    cell = lambda row, i: F.when(i > 0, F.get(row, i - 1)).otherwise(0)
+    step = lambda row, x: F.aggregate(
+        F.sequence(F.lit(0), F.size(b) - 1),
+        F.expr("cast(array() as array<int>)"),
+        lambda new, i: F.concat(new, F.array(F.when(F.get(b, i) == x, cell(row, i) + 1).otherwise(F.greatest(F.get(row, i), cell(new, i))))),
+    )
+    common = F.aggregate(F.filter(a, lambda x: F.array_contains(b, x)), zero, step, lambda row: F.array_max(row))
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), 2.0 * common / (F.size(a) + F.size(b))).otherwise(0.0)

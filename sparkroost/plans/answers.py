@@ -66,10 +66,10 @@ def score_numeric(spark, sf_dir: str) -> DataFrame:
     return li.select("l_orderkey", "l_partkey", "l_linenumber", q.alias("q"), S.math_metric(text, truth).alias("score"))
 
 
-_TOK = r"list_filter(regexp_split_to_array(trim(regexp_replace(lower({}), '[^a-z0-9_\s]', ' ', 'g')), '\s+'), lambda x: x <> '')"
+_TOK = r"list_filter(regexp_split_to_array(trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g')), '\s+'), lambda x: x <> '')"
 
 
-@query(f"""WITH t AS (SELECT doc_id, {_TOK.format("substr(text, 1, 400)")} AS a, {_TOK.format('truth')} AS b FROM pairs WHERE regexp_full_match(concat(text, truth), '[\\x00-\\x7F]*') AND NOT contains(text, '}}')),
+@query(f"""WITH t AS (SELECT doc_id, {_TOK.format('text')} AS a, {_TOK.format('truth')} AS b FROM pairs),
 c AS (SELECT doc_id, 'a' AS s, unnest(a) AS w FROM t UNION ALL SELECT doc_id, 'b', unnest(b) FROM t),
 o AS (SELECT doc_id, sum(least(x, y)) AS o, count(*) FILTER (x > 0 AND y > 0) AS d FROM (SELECT doc_id, w, count(*) FILTER (s = 'a') AS x, count(*) FILTER (s = 'b') AS y FROM c GROUP BY doc_id, w) GROUP BY doc_id),
 r AS (SELECT doc_id, a, b, unnest([a, b]) AS arr, unnest([b, a]) AS other, unnest([1, 2]) AS side FROM t),
@@ -79,10 +79,9 @@ SELECT t.doc_id, round(CASE WHEN o.o > 0 THEN 2.0 * o.o / (len(a) + len(b)) ELSE
  round(CASE WHEN o.d = 0 THEN 0 ELSE 2.0 * o.o / (len(a) + len(b)) * (1 - CASE WHEN m.n = o.d THEN 0 ELSE 0.5 * pow(m.n / o.d, 2) END) END, 6) AS meteor
 FROM t JOIN o USING (doc_id) JOIN m USING (doc_id)""")
 def score_overlap(spark, sf_dir: str) -> DataFrame:
-    p = view(spark, sf_dir, "pairs").where(F.concat("text", "truth").rlike(r"\A[\x00-\x7F]*\z") & ~F.contains("text", F.lit("}")))
-    text, truth = F.substring("text", 1, 400), F.col("truth")
-    boxed = F.concat(F.lit("\\boxed{"), text, F.lit("}"))
-    return p.select("doc_id", F.round(S.token_f1(T.tokens(text), T.tokens(truth)), 6).alias("f1"), F.round(S.meteor(boxed, truth), 6).alias("meteor"))
+    words = F.struct(T.tokens(F.col("text")).alias("a"), T.tokens(F.col("truth")).alias("b"))
+    both = T.let(words, lambda w: F.struct(S.token_f1(w["a"], w["b"]).alias("f1"), S.meteor_words(w["a"], w["b"]).alias("meteor")))
+    return view(spark, sf_dir, "pairs").select("doc_id", both.alias("s")).select("doc_id", F.round("s.f1", 6).alias("f1"), F.round("s.meteor", 6).alias("meteor"))
 
 
 @query(r"""SELECT event_id, CASE WHEN out_tok % 2 = 0 THEN 0.5 ELSE 1.0 END AS count_score, 1.0 / (1 + event_id % 3) AS class_score FROM (SELECT event_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS out_tok FROM events)""")

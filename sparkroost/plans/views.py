@@ -52,8 +52,7 @@ VIEWS = {
           WHEN 1 THEN concat('Answer: ', chr(CAST(65 + l_suppkey % 7 AS INT)), ' because') WHEN 2 THEN concat('we choose option ', chr(CAST(65 + l_linenumber AS INT)))
           WHEN 3 THEN concat('perhaps it is ', chr(CAST(65 + l_linenumber AS INT))) WHEN 4 THEN concat('the answer: ', chr(CAST(97 + l_linenumber AS INT)))
           ELSE 'no idea at all' END AS text FROM lineitem""",
-    "pairs": """SELECT d.doc_id, d.text AS text, b.text AS truth FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id
-        WHERE d.lang = 'en' AND length(d.text) <= 3000""",
+    "pairs": "SELECT d.doc_id, d.text AS text, b.text AS truth FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id",
 }
 
 

@@ -1,5 +1,7 @@
 """Hand-computed cases, one for each trap."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,8 +39,8 @@ def test_mcq(spark, a, b, want):
 
 
 def test_meteor(spark):
-    assert value(spark, lambda a, b: scores._meteor(F.split(a, " "), F.split(b, " ")), "a x a x a", "a y a y a") == pytest.approx(-2.1)
-    assert value(spark, lambda a, b: scores._meteor(F.split(a, " "), F.split(b, " ")), "the cat sat", "the cat sat") == pytest.approx(0.94444444)
+    assert value(spark, lambda a, b: scores.meteor_words(F.split(a, " "), F.split(b, " ")), "a x a x a", "a y a y a") == pytest.approx(-2.1)
+    assert value(spark, lambda a, b: scores.meteor_words(F.split(a, " "), F.split(b, " ")), "the cat sat", "the cat sat") == pytest.approx(0.94444444)
 
 
 def test_superglue(spark):
@@ -73,3 +75,20 @@ def test_code_runs_only_if_allowed():
         code_run.run_stdin_tests("print(int(input())*2)", tests)
     assert code_run.run_stdin_tests("print(int(input())*2)", tests, allow=True)
     assert not code_run.run_stdin_tests("while True: pass", tests, allow=True, seconds=1)
+
+
+def lcs_f(a, b):
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+    return 2 * table[-1][-1] / (len(a) + len(b)) if a and b else 0.0
+
+
+def test_rouge_l_equals_the_full_table(spark):
+    rng = random.Random(3)
+    rows = [([], []), (["a"], []), ([], ["a"]), (["a"], ["b"])]
+    rows += [([rng.choice("abcd") for _ in range(rng.randrange(9))], [rng.choice("abce") for _ in range(rng.randrange(9))]) for _ in range(60)]
+    frame = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(rows)], "i int, a array<string>, b array<string>")
+    got = dict(frame.select("i", scores.rouge_l(F.col("a"), F.col("b"))).collect())
+    assert got == pytest.approx({i: lcs_f(a, b) for i, (a, b) in enumerate(rows)})

@@ -32,10 +32,10 @@ def components(links: DataFrame) -> DataFrame:
     """
     a, b = F.greatest("a", "b"), F.least("a", "b")
     now = _shared.keep(links.where("a is not null and b is not null and a <> b").select(a.alias("a"), b.alias("b")).distinct(), "links")
-    mark = now.agg(F.count("*"), F.coalesce(F.sum("b"), F.lit(0))).first()
+    mark = now.agg(F.count("*"), F.coalesce(F.sum(F.col("b").cast("decimal(38,0)")), F.lit(0))).first()
     while True:
         new = _shared.keep(_star(_star(now, True), False), "links", *_paths(now))
-        seen = new.agg(F.count("*"), F.coalesce(F.sum("b"), F.lit(0))).first()
+        seen = new.agg(F.count("*"), F.coalesce(F.sum(F.col("b").cast("decimal(38,0)")), F.lit(0))).first()
         now = new
         if seen == mark:  # neither star changed a link: each node's smallest neighbour is its root
             break

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sparkroost.llm import _shared, _words, anisotropic_index, chat_format, components, decontaminate, lm_score, quality, queries, simhash_dedup, substring_dedup, token_files, toxicity, word_lexicon
+from sparkroost.llm import _shared, _words, anisotropic_index, chat_format, components, decontaminate, jaccard_dedup, lm_score, quality, queries, simhash_dedup, substring_dedup, token_files, toxicity, word_lexicon
 from tests.conftest import DATA
 
 ODD = "doc_id long, text string, lang string, fp string, block int, low long"
@@ -109,6 +109,56 @@ def test_simhash_awkward_rows(spark):
     assert {v for (i, _), v in got.items() if i in (5, 6, None)} == {5}
 
 
+def brute_similar(texts):
+    """Index of each text's group: links are exact Jaccard >= 0.8 of sets of five-word shingles."""
+    cut = [[w.lower() for w in (t or "").encode().split()] for t in texts]
+    own = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in cut]
+    up = list(range(len(texts)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in range(len(own)):
+        for b in range(a):
+            if 5 * len(own[a] & own[b]) >= 4 * len(own[a] | own[b]):
+                x, y = root(a), root(b)
+                up[max(x, y)] = min(x, y)
+    return [root(i) for i in range(len(own))]
+
+
+def test_jaccard_groups_equal_brute_force(spark):
+    rng = random.Random(8)
+    line = "this very common line stands in a great many of the texts here"
+    texts = [t for _, t in awkward()] + [r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    for n in (3, 6, 24, 60, 200):
+        base = [f"v{k}" for k in rng.choices(range(5000), k=n)]
+        for _ in range(12):  # copies with edits, on both sides of the bound
+            w = list(base)
+            for _ in range(rng.randint(0, 1 + n // 50)):
+                w[rng.randrange(n)] = f"e{rng.random()}"
+            texts.append(" ".join(w))
+            texts.append(" ".join([line, *(f"u{rng.random()}" for _ in range(rng.randint(0, 9)))]))
+    got = dict(map(tuple, jaccard_dedup.groups(spark.createDataFrame(list(enumerate(texts)), "key long, text string")).collect()))
+    first = {}
+    for i in range(len(texts)):
+        first.setdefault(got[i], i)
+    assert [first[got[i]] for i in range(len(texts))] == brute_similar(texts)
+    assert len(got) == len(texts)
+
+
+def test_near_duplicate_stage_goes_by_similarity(spark):
+    import corpus_pipeline
+
+    base = [f"v{k}" for k in range(100)]
+    near, far = [*base[:50], "changed", *base[51:]], [*base[:50], *(f"x{k}" for k in range(50))]
+    rows = [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(far))]
+    assert (simhash_dedup.fingerprint(rows[0][1].encode()) ^ simhash_dedup.fingerprint(rows[1][1].encode())).bit_count() > 2
+    left = corpus_pipeline.near_duplicate(spark, docs(spark, rows), DATA)
+    assert sorted(r.doc_id for r in left.collect()) == [1, 3]
+
+
 def test_chat_round_trip_and_fold(spark):
     events = [(1, 1, 1, "start", "user", "hi"), (1, 2, 2, "start", "assistant", ""), (1, 3, 2, "delta", None, "a"), (1, 4, 3, "start", "user", "x"), (1, 5, 2, "regenerate", None, None), (1, 6, 2, "delta", None, "b"), (1, 7, 2, "delta", None, "</s>"), (1, 8, 1, "edit", None, "ho"), (2, 1, 9, "start", None, None), (2, 2, 9, "delete", None, None), (None, 1, 1, "odd", None, None)]
     out = {r.conv_id: r for r in chat_format.format_events(spark.createDataFrame(events, "conv_id long, seq int, message long, kind string, role string, text string")).collect()}

@@ -10,8 +10,10 @@
    basis of that and sums the Gram matrix, whose eigenvectors turn the basis into the singular
    vectors. A has the units of all texts and the benchmark's passages. Partial products are summed
    by row blocks in the shuffle; the driver gets a matrix of the vocabulary's size.
-4. Windows of three units (a passage lies in at least one) are compared with all passages by cosine
-   in the latent space; the benchmark is the stated query set. Above ``COSINE`` a pair is a candidate.
+4. Windows of three units (a passage lies in at least one) are compared with all passages. A pair
+   is a candidate if the window has as many of the passage's words as step 5 asks for in order: a
+   bound that no match falls below. The cosine in the latent space is reported, it drops nothing:
+   with more passages than dimensions verbatim items fall under any threshold.
 5. A candidate must share half of the passage's columns, then have a longest common subsequence of
    ``SHARE`` of the passage within a region of one and a half times its length (eight words at
    least, or all words of a shorter passage), and half of the passage's answer (its last sentence)
@@ -37,10 +39,11 @@ from pyspark.sql import DataFrame, functions as F
 from . import _shared
 from ._words import LETTERS, pack, words
 
-PASSAGE, UNIT, TERMS, RANK, COSINE, SHARE, ANSWER = 64, 32, 12, 128, 0.3, 0.7, 0.5
+PASSAGE, UNIT, TERMS, RANK, SHARE, ANSWER = 64, 32, 12, 128, 0.7, 0.5
 LEAST_WORDS = 8
 SLICE_BYTES = 1 << 20
 _CHUNK = 64
+_BLOCK = 256
 
 
 class Passage:
@@ -238,6 +241,46 @@ def latent_space(codes: DataFrame, wide: bool, column: np.ndarray, idf: np.ndarr
     return basis @ turn[:, keep], np.sqrt(value[keep])
 
 
+class _Bound:
+    """For blocks of passages: how many of a passage's words are words of a unit at all. No
+    subsequence of the unit can have more of the passage's words."""
+
+    def __init__(self, passages: list[Passage], size: int):
+        self.need = np.array([p.need for p in passages], np.uint8)
+        self.blocks = []
+        for a in range(0, len(passages), _BLOCK):
+            own = passages[a : a + _BLOCK]
+            local = np.full(size + 1, -1, np.int32)
+            codes = np.unique(np.concatenate([p.codes for p in own]))
+            local[codes] = np.arange(len(codes))
+            shares = np.zeros((len(codes), len(own)), np.uint8)
+            for j, p in enumerate(own):
+                np.add.at(shares[:, j], local[p.codes], 1)
+            self.blocks.append((a, local, shares))
+
+    def candidates(self, units: np.ndarray, end: np.ndarray, live: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(window, passage) pairs whose window of three units holds ``need`` of the passage's words."""
+        u = np.sort(units, axis=1)
+        u[:, 1:][u[:, 1:] == u[:, :-1]] = 0
+        row, at = np.nonzero(u)
+        code, every, step = u[row, at], np.arange(len(units)), 1 << 10
+        for first, local, shares in self.blocks:
+            c = local[code]
+            keep = np.flatnonzero(c >= 0)
+            c, r = c[keep], row[keep]
+            held = np.zeros((len(units), shares.shape[1]), np.uint8)
+            for a in range(0, len(r), step):
+                part = r[a : a + step]
+                heads = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+                held[part[heads]] += np.add.reduceat(shares[c[a : a + step]], heads, axis=0, dtype=np.uint8)
+            whole = held.copy()  # at most three times PASSAGE, so eight bits do
+            for k in (1, 2):
+                ok = every + k < end
+                whole[ok] += held[every[ok] + k]
+            i, j = np.nonzero(whole[live] >= self.need[first : first + shares.shape[1]])
+            yield live[i], j + first
+
+
 def _tight(p: Passage, window: list[int]) -> tuple[int, int, int] | None:
     """(length, start, end) of the first region of the window that holds the passage."""
     n = len(p.codes)
@@ -252,42 +295,53 @@ def _tight(p: Passage, window: list[int]) -> tuple[int, int, int] | None:
     return None
 
 
+def _matches(units: np.ndarray, end: np.ndarray, windows: np.ndarray, ks: np.ndarray, own: list[Passage], sets: list[set[int]]) -> Iterator[tuple[int, int, tuple[int, int, int]]]:
+    """The candidates whose window holds the passage, and where."""
+    seen = None
+    for w, k in zip(windows.tolist(), ks.tolist(), strict=True):
+        if w != seen:
+            window = units[w : min(w + 3, int(end[w]))].ravel().tolist()
+            here, seen = set(window), w
+        if 2 * len(sets[k] & here) >= len(sets[k]) and (got := _tight(own[k], window)):
+            yield w, k, got
+
+
+def _cosines(units: np.ndarray, end: np.ndarray, met: list[tuple], column: np.ndarray, weighted: np.ndarray, bench: np.ndarray) -> list[float]:
+    """Of each window and passage that matched, their cosine in the latent space."""
+    if not met:
+        return []
+    w, k = np.array([m[0] for m in met]), np.array([m[1] for m in met])
+    used = np.unique(np.concatenate([np.minimum(w + d, end[w] - 1) for d in range(3)]))
+    u, c = _entries(units[used], column)
+    z = _project(u, c, weighted, len(used))
+    win = np.zeros((len(w), z.shape[1]), np.float32)
+    for d in range(3):
+        ok = w + d < end[w]
+        win[ok] += z[np.searchsorted(used, w[ok] + d)]
+    win /= np.maximum(np.linalg.norm(win, axis=1, keepdims=True), 1e-12)
+    return [float(x) for x in np.einsum("ij,ij->i", win, bench[k])]
+
+
 def _search(held, passages, wide: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         column, weighted, bench, sets = held.value
         own = passages.value
+        bound = _Bound(own, len(column) - 1)
         for batch in _parts(batches, 256):
             units, per = _read(batch, wide)
-            u, c = _entries(units, column)
-            z = _project(u, c, weighted, len(units))
             begin = np.concatenate([[0], np.cumsum(per)])
             end = np.repeat(begin[1:], per)
             at = np.arange(len(units))
-            win = z.copy()
-            for k in (1, 2):
-                ok = at + k < end
-                win[ok] += z[at[ok] + k]
-            first = np.repeat(begin[:-1], per)
-            live = np.flatnonzero(((at == first) | (at + 3 <= end)) & (np.abs(win).max(1, initial=0) > 1e-6))
+            live = np.flatnonzero((at == np.repeat(begin[:-1], per)) | (at + 3 <= end))
+            met = [(w, k, got) for windows, ks in bound.candidates(units, end, live) for w, k, got in _matches(units, end, windows, ks, own, sets)]
             best: dict[tuple[int, int], tuple] = {}
-            for lo in range(0, len(live), 4096):
-                part = win[live[lo : lo + 4096]]
-                part /= np.linalg.norm(part, axis=1, keepdims=True)
-                cosine = part @ bench.T
-                i, j = np.nonzero(cosine >= COSINE)
-                cut = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else i
-                for x, y in zip(cut.tolist(), [*cut[1:].tolist(), len(i)], strict=True):
-                    w = int(live[lo + i[x]])
-                    window = units[w : min(w + 3, int(end[w]))].ravel().tolist()
-                    here = set(window)
-                    for k in [k for k in j[x:y].tolist() if 2 * len(sets[k] & here) >= len(sets[k])]:
-                        got = _tight(own[k], window)
-                        if got:
-                            row = int(np.searchsorted(begin, w, "right") - 1)
-                            at_word = (w - int(begin[row])) * UNIT
-                            found = (got[0] / len(own[k].codes), float(cosine[i[x], k]), at_word + got[1], at_word + got[2], got[0])
-                            key = (row, own[k].item)
-                            best[key] = max(best.get(key, found), found)
+            cosine = _cosines(units, end, met, column, weighted, bench)
+            for (w, k, got), score in zip(met, cosine, strict=True):
+                row = int(np.searchsorted(begin, w, "right") - 1)
+                at_word = (w - int(begin[row])) * UNIT
+                found = (got[0] / len(own[k].codes), score, at_word + got[1], at_word + got[2], got[0])
+                key = (row, own[k].item)
+                best[key] = max(best.get(key, found), found)
             ids = batch.column(0).to_pylist()
             rows = [(ids[r], item, *x) for (r, item), x in sorted(best.items())]
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())

@@ -270,6 +270,34 @@ def test_decontaminate_finds_copies_and_paraphrases(spark):
     assert decontaminate.contaminated(docs(spark, rows), bench.limit(0)).count() == 0
 
 
+def brute_leaks(rows, items):
+    """(doc_id, item_id) by the subsequence and answer checks alone, every window against every passage."""
+    own = decontaminate.passages_of(items)
+    vocabulary = np.unique(np.concatenate([p.h for p in own]))
+    code = {int(h): i + 1 for i, h in enumerate(vocabulary)}
+    for p in own:
+        p.code(vocabulary)
+    found = set()
+    for i, text in rows:
+        w = [code.get(int(h), 0) for h in decontaminate._hashes(text)]
+        w += [0] * (-len(w) % decontaminate.UNIT)
+        for a in range(0, max(1, len(w) - 2 * decontaminate.UNIT), decontaminate.UNIT):
+            found |= {(i, p.item) for p in own if decontaminate._tight(p, w[a : a + 3 * decontaminate.UNIT])}
+    return found
+
+
+def test_decontaminate_equals_brute_force_beyond_the_rank(spark):
+    rng = random.Random(6)
+    pool = [f"p{k}" for k in range(300)]
+    items = [(k, " ".join(rng.choices(pool, k=rng.choice((8, 9, 12, 40))))) for k in range(1200)]
+    rows = [(k, " ".join([*rng.choices(pool, k=70), t, *rng.choices(pool, k=60)])) for k, t in items[::8]]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contaminated(docs(spark, rows), bench).collect()
+    want = brute_leaks(rows, items)
+    assert {(k, k) for k, _ in rows} <= want
+    assert {(r.doc_id, r.item_id) for r in got} == want
+
+
 def test_classifiers_on_labelled_documents(spark):
     sf = DATA.replace("0.001", "0.01")
     labels = spark.read.parquet(f"{sf}/labels.parquet")

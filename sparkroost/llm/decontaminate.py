@@ -14,7 +14,7 @@
    is a candidate if the window has as many of the passage's words as step 5 asks for in order: a
    bound that no match falls below. The cosine in the latent space is reported, it drops nothing:
    with more passages than dimensions verbatim items fall under any threshold.
-5. A candidate must share half of the passage's columns, then have a longest common subsequence of
+5. A candidate must have a longest common subsequence of
    ``SHARE`` of the passage within a region of one and a half times its length (eight words at
    least, or all words of a shorter passage), and half of the passage's answer (its last sentence)
    as a subsequence of the region. So paraphrases that keep the order of most words are found.
@@ -242,43 +242,48 @@ def latent_space(codes: DataFrame, wide: bool, column: np.ndarray, idf: np.ndarr
 
 
 class _Bound:
-    """For blocks of passages: how many of a passage's words are words of a unit at all. No
-    subsequence of the unit can have more of the passage's words."""
+    """For blocks of passages: how many words a window shares with a passage, repeats counted. No
+    common subsequence is longer."""
 
     def __init__(self, passages: list[Passage], size: int):
         self.need = np.array([p.need for p in passages], np.uint8)
         self.blocks = []
         for a in range(0, len(passages), _BLOCK):
             own = passages[a : a + _BLOCK]
-            local = np.full(size + 1, -1, np.int32)
-            codes = np.unique(np.concatenate([p.codes for p in own]))
-            local[codes] = np.arange(len(codes))
-            shares = np.zeros((len(codes), len(own)), np.uint8)
-            for j, p in enumerate(own):
-                np.add.at(shares[:, j], local[p.codes], 1)
-            self.blocks.append((a, local, shares))
+            counts = [np.unique(p.codes, return_counts=True) for p in own]
+            most = np.zeros(size + 1, np.int64)
+            for c, n in counts:
+                most[c] = np.maximum(most[c], n)
+            first = np.cumsum(most) - most  # a row for each occurrence of a word
+            shares = np.zeros((int(most.sum()), len(own)), np.uint8)
+            for j, (c, n) in enumerate(counts):
+                for r in range(int(n.max())):
+                    shares[first[c[n > r]] + r, j] = 1
+            self.blocks.append((a, most.astype(np.int32), first.astype(np.int32), shares))
 
     def candidates(self, units: np.ndarray, end: np.ndarray, live: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(window, passage) pairs whose window of three units holds ``need`` of the passage's words."""
-        u = np.sort(units, axis=1)
-        u[:, 1:][u[:, 1:] == u[:, :-1]] = 0
-        row, at = np.nonzero(u)
-        code, every, step = u[row, at], np.arange(len(units)), 1 << 10
-        for first, local, shares in self.blocks:
-            c = local[code]
-            keep = np.flatnonzero(c >= 0)
-            c, r = c[keep], row[keep]
-            held = np.zeros((len(units), shares.shape[1]), np.uint8)
-            for a in range(0, len(r), step):
-                part = r[a : a + step]
-                heads = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-                held[part[heads]] += np.add.reduceat(shares[c[a : a + step]], heads, axis=0, dtype=np.uint8)
-            whole = held.copy()  # at most three times PASSAGE, so eight bits do
-            for k in (1, 2):
-                ok = every + k < end
-                whole[ok] += held[every[ok] + k]
-            i, j = np.nonzero(whole[live] >= self.need[first : first + shares.shape[1]])
-            yield live[i], j + first
+        """(window, passage) pairs whose window of three units shares ``need`` words."""
+        for lo in range(0, len(live), 4096):
+            part = live[lo : lo + 4096]
+            u = np.zeros((len(part), 3 * UNIT), units.dtype)
+            for k in range(3):
+                ok = part + k < end[part]
+                u[ok, k * UNIT : (k + 1) * UNIT] = units[part[ok] + k]
+            u.sort(axis=1)
+            row, at = np.nonzero(u)
+            code = u[row, at]
+            heads = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (row[1:] != row[:-1]))[: len(code)])
+            nth = np.arange(len(code)) - np.repeat(heads, np.diff(np.append(heads, len(code))))
+            for first, most, begin, shares in self.blocks:
+                keep = np.flatnonzero(nth < most[code])
+                r, c = row[keep], begin[code[keep]] + nth[keep]
+                held, step = np.zeros((len(part), shares.shape[1]), np.uint8), 1 << 10
+                for a in range(0, len(r), step):
+                    own = r[a : a + step]
+                    cut = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+                    held[own[cut]] += np.add.reduceat(shares[c[a : a + step]], cut, axis=0, dtype=np.uint8)
+                i, j = np.nonzero(held >= self.need[first : first + shares.shape[1]])
+                yield part[i], j + first
 
 
 def _tight(p: Passage, window: list[int]) -> tuple[int, int, int] | None:
@@ -295,14 +300,14 @@ def _tight(p: Passage, window: list[int]) -> tuple[int, int, int] | None:
     return None
 
 
-def _matches(units: np.ndarray, end: np.ndarray, windows: np.ndarray, ks: np.ndarray, own: list[Passage], sets: list[set[int]]) -> Iterator[tuple[int, int, tuple[int, int, int]]]:
+def _matches(units: np.ndarray, end: np.ndarray, windows: np.ndarray, ks: np.ndarray, own: list[Passage]) -> Iterator[tuple[int, int, tuple[int, int, int]]]:
     """The candidates whose window holds the passage, and where."""
     seen = None
     for w, k in zip(windows.tolist(), ks.tolist(), strict=True):
         if w != seen:
             window = units[w : min(w + 3, int(end[w]))].ravel().tolist()
-            here, seen = set(window), w
-        if 2 * len(sets[k] & here) >= len(sets[k]) and (got := _tight(own[k], window)):
+            seen = w
+        if got := _tight(own[k], window):
             yield w, k, got
 
 
@@ -324,7 +329,7 @@ def _cosines(units: np.ndarray, end: np.ndarray, met: list[tuple], column: np.nd
 
 def _search(held, passages, wide: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        column, weighted, bench, sets = held.value
+        column, weighted, bench = held.value
         own = passages.value
         bound = _Bound(own, len(column) - 1)
         for batch in _parts(batches, 256):
@@ -333,7 +338,7 @@ def _search(held, passages, wide: bool):
             end = np.repeat(begin[1:], per)
             at = np.arange(len(units))
             live = np.flatnonzero((at == np.repeat(begin[:-1], per)) | (at + 3 <= end))
-            met = [(w, k, got) for windows, ks in bound.candidates(units, end, live) for w, k, got in _matches(units, end, windows, ks, own, sets)]
+            met = [(w, k, got) for windows, ks in bound.candidates(units, end, live) for w, k, got in _matches(units, end, windows, ks, own)]
             best: dict[tuple[int, int], tuple] = {}
             cosine = _cosines(units, end, met, column, weighted, bench)
             for (w, k, got), score in zip(met, cosine, strict=True):
@@ -398,7 +403,7 @@ def _slice(docs: DataFrame, items: DataFrame) -> DataFrame | None:
     vectors, _ = latent_space(codes, wide, column, idf, bench)
     latent = bench @ vectors
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-    held = context.broadcast((column, (vectors * idf[:, None]).astype(np.float32), latent.astype(np.float32), [set(t) for t in terms]))
+    held = context.broadcast((column, (vectors * idf[:, None]).astype(np.float32), latent.astype(np.float32)))
     return _shared.keep(codes.mapInArrow(_search(held, context.broadcast(passages), wide), _FOUND), "found", coded)
 
 

@@ -298,6 +298,19 @@ def test_decontaminate_equals_brute_force_beyond_the_rank(spark):
     assert {(r.doc_id, r.item_id) for r in got} == want
 
 
+def test_decontaminate_finds_paraphrases_without_the_rare_words(spark):
+    rng = random.Random(9)
+    common = [f"c{k}" for k in range(60)]
+    items, rows = [], []
+    for k in range(20):
+        w = [rng.choice(common) if j % 4 else f"rare{k}x{j}" for j in range(48)]
+        items.append((k, " ".join(w)))
+        other = [x if x in common else f"other{k}y{j}" for j, x in enumerate(w)]
+        rows.append((k, " ".join([*rng.choices(common, k=50), *other, *rng.choices(common, k=50)])))
+    got = decontaminate.contaminated(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == brute_leaks(rows, items) == {(k, k) for k in range(20)}
+
+
 def test_classifiers_on_labelled_documents(spark):
     sf = DATA.replace("0.001", "0.01")
     labels = spark.read.parquet(f"{sf}/labels.parquet")

@@ -159,6 +159,19 @@ def test_near_duplicate_stage_goes_by_similarity(spark):
     assert sorted(r.doc_id for r in left.collect()) == [1, 3]
 
 
+def test_stages_decide_by_row(spark):
+    import corpus_pipeline
+
+    text = lambda k: " ".join(f"{k}t{i}" for i in range(40))
+    rows = [(1, text("a")), (1, text("b")), (2, text("b")), (None, text("a")), (None, text("c")), (3, text("d")), (3, text("d"))]
+    left = corpus_pipeline.near_duplicate(spark, docs(spark, rows), DATA)
+    assert sorted((str(r.doc_id), r.text) for r in left.collect()) == sorted([("1", text("a")), ("1", text("b")), ("None", text("c")), ("3", text("d"))])
+    item = spark.read.parquet(f"{DATA}/benchmark.parquet").where("length(text) > 100").first().text
+    rows = [(1, f"{text('a')} {item} {text('b')}"), (1, text("c")), (None, item), (None, text("d"))]
+    left = corpus_pipeline.decontaminate(spark, docs(spark, rows), DATA)
+    assert sorted((str(r.doc_id), r.text) for r in left.collect()) == [("1", text("c")), ("None", text("d"))]
+
+
 def test_chat_round_trip_and_fold(spark):
     events = [(1, 1, 1, "start", "user", "hi"), (1, 2, 2, "start", "assistant", ""), (1, 3, 2, "delta", None, "a"), (1, 4, 3, "start", "user", "x"), (1, 5, 2, "regenerate", None, None), (1, 6, 2, "delta", None, "b"), (1, 7, 2, "delta", None, "</s>"), (1, 8, 1, "edit", None, "ho"), (2, 1, 9, "start", None, None), (2, 2, 9, "delete", None, None), (None, 1, 1, "odd", None, None)]
     out = {r.conv_id: r for r in chat_format.format_events(spark.createDataFrame(events, "conv_id long, seq int, message long, kind string, role string, text string")).collect()}

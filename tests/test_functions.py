@@ -1,12 +1,15 @@
 """Hand-computed cases, one for each trap."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from sparkroost.functions import code_run, prompts, scores, text
 from sparkroost.operators import costs, keyed
+from sparkroost.plans.answers import QUERIES, boxed_text
+from tests.conftest import DATA
 
 
 def value(spark, f, *args):
@@ -23,6 +26,26 @@ def test_answer(spark, given, want):
     assert value(spark, text.answer, given) == want
 
 
+def python_ladder(given):
+    """The ladder by Python's re, on the whole text."""
+    t = ("thus \\boxed{ \\text{" + (given or "") + "} } or \\boxed{B}").strip()
+    box = re.findall(text.BOXED, t.replace("\\text{", ""))
+    if box and box[0].strip():
+        return box[0].strip()
+    for p in (text.MCQ_COLON, text.MCQ_OPTION, text.MCQ_ALT):
+        if m := re.search(p, t):
+            return m[1].upper()
+    return re.findall(r"(?<!\w)([A-Z])(?!\w)", t)[-1]
+
+
+def test_boxed_takes_whole_texts(spark):
+    odd = [None, "", " \n\t", "}", "}{", "} answer: c", "a{b}c", "x" * 50_000, "line\nline " * 3000, "\\text{in} out", "\\boxed{C} and D", "UPPER ONLY", "\xa0é\u3000", "{", "1"]
+    texts = odd + [r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").select("id", text.answer(boxed_text(F.col("text"))).alias("x")).collect()
+    assert {r.id: r.x for r in rows} == {i: python_ladder(t) for i, t in enumerate(texts)}
+    assert QUERIES["extract_boxed_whole"](spark, DATA).count() == len(texts) - len(odd)
+
+
 def test_balanced_box(spark):
     assert value(spark, text.math_answer, "so \\boxed{\\frac{1}{2}} ok") == "\\frac{1}{2}"
     assert value(spark, text.math_answer, "got 3 and then 4.5 apples") == "4.5"

@@ -34,7 +34,7 @@ def components(links: DataFrame) -> DataFrame:
     now = _shared.keep(links.where("a is not null and b is not null and a <> b").select(a.alias("a"), b.alias("b")).distinct(), "links")
     mark = now.agg(F.count("*"), F.coalesce(F.sum(F.col("b").cast("decimal(38,0)")), F.lit(0))).first()
     while True:
-        new = _shared.keep(_star(_star(now, True), False), "links", *_paths(now))
+        new = _shared.keep(_star(_star(now, True), False), "links", *_shared.paths(now))
         seen = new.agg(F.count("*"), F.coalesce(F.sum(F.col("b").cast("decimal(38,0)")), F.lit(0))).first()
         now = new
         if seen == mark:  # neither star changed a link: each node's smallest neighbour is its root
@@ -43,6 +43,3 @@ def components(links: DataFrame) -> DataFrame:
     nodes = now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
     return nodes.union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
-
-def _paths(df: DataFrame) -> list[str]:
-    return sorted({f.rpartition("/")[0] for f in df.inputFiles()})

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import _shared
 from ._words import pack
@@ -58,7 +58,7 @@ def _packer(block_bytes: int):
             held, others, size, sub = [], [], 0, sub + 1
             return row
 
-        for batch in batches:
+        for batch in _shared.parts(batches):
             data, offsets = pack(batch.column(1))
             ids = batch.column(0)
             nulls = np.asarray(ids.is_null().to_numpy(zero_copy_only=False), np.uint8)
@@ -96,6 +96,16 @@ def stage(df: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BY
     return _shared.write(rows, _shared.scratch(spark, "blocks"))
 
 
+def reply(df: DataFrame, label: str) -> str:
+    """Write what an exchange says back to the blocks (columns ``block`` and ``bucket``, and others):
+    one folder for each scan partition, rows in order of block, row groups small enough to read
+    one block's rows alone."""
+    spark = df.sparkSession
+    dealt = df.withColumn("part", F.shiftright("block", 24)).repartition("part").sortWithinPartitions("part", "block", "bucket")
+    with _shared.small_groups(spark):
+        return _shared.write(dealt, _shared.scratch(spark, label), "part", large_rows=True)
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).parquet(path)
 
@@ -129,17 +139,22 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
 
 
 def table_of(path: str, key: int) -> list[dict]:
-    """On an executor: the rows that an earlier pass left for block ``key``, from a table that
-    was written partitioned by ``block``. None were left: an empty list."""
+    """On an executor: the rows of block ``key`` in a table that ``reply`` wrote, in order of bucket.
+    None were left: an empty list."""
     import pyarrow.parquet as pq
     from pyarrow import fs
 
-    where, root = _shared.open_fs(f"{path}/block={key}")
+    where, root = _shared.open_fs(f"{path}/part={key >> 24}")
     if where.get_file_info(root).type == fs.FileType.NotFound:
         return []
     out = []
     for f in where.get_file_info(fs.FileSelector(root)):
         if f.base_name.endswith(".parquet"):
             with where.open_input_file(f.path) as source:
-                out += pq.ParquetFile(source).read().to_pylist()
-    return out
+                file = pq.ParquetFile(source)
+                at = file.schema_arrow.get_field_index("block")
+                for g in range(file.num_row_groups):
+                    held = file.metadata.row_group(g).column(at).statistics
+                    if held is None or not held.has_min_max or held.min <= key <= held.max:
+                        out += [r for r in file.read_row_group(g).to_pylist() if r["block"] == key]
+    return sorted(out, key=lambda r: r["bucket"])

@@ -11,14 +11,17 @@ A document's first word has the unigram score c / N, its second begins at the bi
 all texts. Rows of the tables are packed: a block sends its distinct n-grams of one range of hashes
 with their counts as one row (gaps of a sorted set), so an n-gram that is a tenth of the corpus
 comes once from each block, and counts are summed before and after the shuffle. Back comes the total
-of each n-gram that the block sent, with those below ``MIN_COUNT`` as a bit alone.
+of each n-gram that the block sent, with those below ``MIN_COUNT`` as a bit alone. Words and word pairs
+go first. A triple occurs ``MIN_COUNT`` times only if both of its pairs do, so the other triples, which
+can't be scored at their order, need not be sent.
 
-n-grams are identified by 56 bits of hash: less than one pair in 10^8 n-grams meets by chance. Defined results: a null or empty text has no words and
+n-grams are identified by 64 bits of hash. Defined results: a null or empty text has no words and
 score 0 with a null mean; repeated and null ids keep a row each; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +31,9 @@ from pyspark.sql import DataFrame, functions as F
 from . import _blocks, _shared
 from ._words import U, from_gaps, from_plane, grams, to_gaps, to_plane, words
 
-ORDER, MIN_COUNT, BACKOFF, BITS = 3, 2, 0.4, 56
+ORDER, MIN_COUNT, BACKOFF, BITS = 3, 2, 0.4, 64
+#: Orders that are counted together, each set after the one before it.
+TRIPS = ((1, 2), (3,))
 RANGE_WORDS = 2_000_000
 
 
@@ -37,7 +42,6 @@ class _Grams:
 
     def __init__(self, h: np.ndarray, first: np.ndarray, n: int):
         fp, self.at = grams(h, first, n)
-        fp >>= U(64 - BITS)
         order = np.argsort(fp, kind="stable")
         ranked = fp[order]
         new = np.append(True, ranked[1:] != ranked[:-1]) if len(fp) else np.zeros(0, bool)
@@ -47,18 +51,30 @@ class _Grams:
         self.of[order] = np.cumsum(new) - 1
 
 
+    def often(self, counts: np.ndarray) -> np.ndarray:
+        """Which n-grams can occur ``MIN_COUNT`` times; ``counts``: of the (n - 1)-gram at each word."""
+        out = np.zeros(len(self.fp), bool)
+        out[self.of[(counts[self.at] >= MIN_COUNT) & (counts[self.at + 1] >= MIN_COUNT)]] = True
+        return out
+
+
+@functools.lru_cache(maxsize=2)
 def _edges(ranges: int) -> np.ndarray:
     return np.array([(r << BITS) // ranges for r in range(1, ranges)], np.uint64)
 
 
-def _send(ranges: int):
+def _send(ranges: int, orders: tuple[int, ...], before: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks.blocks(batches):
             _, _, first, h = words(block.data, block.offsets)
-            for n in range(1, ORDER + 1):
+            for n in orders:
                 own = _Grams(h, first, n)
-                cut = np.concatenate([[0], np.searchsorted(own.fp, _edges(ranges)), [len(own.fp)]])
-                rows = [(n * ranges + r, int(b - a), to_gaps(own.fp[a:b]), to_plane(own.count[a:b].astype(np.uint32))) for r, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
+                fp, count = own.fp, own.count
+                if before:
+                    sent = own.often(_counts(h, first, n - 1, _blocks.table_of(before, block.block), ranges))
+                    fp, count = fp[sent], count[sent]
+                cut = np.concatenate([[0], np.searchsorted(fp, _edges(ranges)), [len(fp)]])
+                rows = [(n * ranges + r, int(b - a), to_gaps(fp[a:b]), to_plane(count[a:b].astype(np.uint32))) for r, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
                 bucket, k, keys, counts = zip(*rows, strict=True) if rows else ((), (), (), ())
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket, pa.int32()), "block": pa.array([block.block] * len(rows), pa.int64()), "n": pa.array(k, pa.int64()), "keys": pa.array(keys, pa.binary()), "counts": pa.array(counts, pa.binary())})
 
@@ -87,7 +103,7 @@ def _join(table: pa.Table) -> pa.Table:
 
 def _totals(rows: list[dict], n: int, ranges: int) -> np.ndarray:
     """Totals of a block's distinct n-grams of order ``n``, in the order sent; 1 where below 2."""
-    own = sorted((r for r in rows if r["bucket"] // ranges == n), key=lambda r: r["bucket"])
+    own = [r for r in rows if r["bucket"] // ranges == n]
     out = []
     for r in own:
         part = np.ones(r["n"], np.int64)
@@ -97,15 +113,29 @@ def _totals(rows: list[dict], n: int, ranges: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-def _score(joined: str, ranges: int):
+def _counts(h: np.ndarray, first: np.ndarray, n: int, rows: list[dict], ranges: int, sent: np.ndarray | None = None) -> np.ndarray:
+    """The total of the n-gram that begins at each word; 0 where none does or it wasn't sent.
+    ``sent``: the totals of the order below, by which n-grams were left out."""
+    own, out = _Grams(h, first, n), np.zeros(len(h), np.int64)
+    totals = _totals(rows, n, ranges)
+    if sent is not None:
+        some = np.flatnonzero(own.often(sent))
+        every = np.zeros(len(own.fp), np.int64)
+        every[some] = totals
+        totals = every
+    out[own.at] = totals[own.of]
+    return out
+
+
+def _score(joined: list[str], ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks.blocks(batches):
             _, _, first, h = words(block.data, block.offsets)
-            rows = _blocks.table_of(joined, block.block)
             count = np.zeros((ORDER + 1, len(h)), np.int64)  # of the n-gram that begins at each word
-            for n in range(1, ORDER + 1):
-                own = _Grams(h, first, n)
-                count[n][own.at] = _totals(rows, n, ranges)[own.of]
+            for path, orders in zip(joined, TRIPS, strict=True):
+                rows = _blocks.table_of(path, block.block)
+                for n in orders:
+                    count[n] = _counts(h, first, n, rows, ranges, count[n - 1] if path != joined[0] else None)
             place = np.arange(len(h)) - np.repeat(first[:-1], np.diff(first))
             log, level = np.zeros(len(h)), np.zeros(len(h), np.int64)
             for n in range(ORDER, 1, -1):
@@ -130,9 +160,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
     table = _blocks.read(spark, staged)
     total = table.agg(F.coalesce(F.sum(F.length("data")), F.lit(0))).first()[0]
     ranges = int(max(32, total // 2 // RANGE_WORDS))
-    sent = table.mapInArrow(_send(ranges), "bucket int, block long, n long, keys binary, counts binary")
-    joined = _shared.write(sent.groupBy("bucket").applyInArrow(_join, "block long, bucket int, n long, bits binary, totals binary").repartition("block"), _shared.scratch(spark, "counts"), "block", large_rows=True)
-    out = _shared.keep(table.mapInArrow(_score(joined, ranges), "doc_id long, n_words long, log double, n_single long, n_full long"), "scores", staged, joined, large_rows=True)
+    joined: list[str] = []
+    for orders in TRIPS:
+        sent = table.mapInArrow(_send(ranges, orders, joined[-1] if joined else None), "bucket int, block long, n long, keys binary, counts binary")
+        joined.append(_blocks.reply(sent.groupBy("bucket").applyInArrow(_join, "block long, bucket int, n long, bits binary, totals binary"), "counts"))
+    out = _shared.keep(table.mapInArrow(_score(joined, ranges), "doc_id long, n_words long, log double, n_single long, n_full long"), "scores", staged, *joined, large_rows=True)
     n = out.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
     whole = F.col("log") - F.col("n_single") * F.lit(float(np.log10(max(n, 1))))
     return out.select("doc_id", "n_words", "n_full", whole.alias("log10_score"), F.when(F.col("n_words") > 0, whole / F.col("n_words")).alias("mean_log10"))

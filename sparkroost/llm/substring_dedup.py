@@ -8,26 +8,27 @@ large for one machine, so it is built as many subtrees, each of all suffixes wit
    ``min_words`` words, as gaps of a sorted set (under three bytes a window), to the partition of
    the fingerprint's range. Back comes a bit for each: does any other block hold it? A suffix
    whose window occurs once is a leaf above the wanted depth and enters no subtree. Fingerprints
-   only ever let too much through; what they let through is compared word by word in 3.
+   only ever let too much through; what they let through is compared by 128 bits in 3.
 2. *Prefixes.* In the same pass blocks count the prefixes of their windows. A prefix of one word
    with more suffixes than a group may hold is extended by one word, and so on: variable-length
    prefixes, so that each group of suffixes is of a size that fits into memory.
-3. *Subtrees.* Each block sends its distinct surviving suffixes (words coded by a dictionary, the
-   smallest doc_id and the count) to the group of their prefix. There the suffixes are sorted and
-   the longest common prefixes of neighbours give the internal nodes. Deep nodes (``min_words``
+3. *Subtrees.* Each block sends its distinct surviving suffixes (spelled as four symbols of 32 bits, each
+   of three or four words; the smallest doc_id and the count) to the group of their prefix. There the
+   suffixes are sorted and the symbols that neighbours share give the internal nodes. Deep nodes (``min_words``
    and deeper) are the repeats: all suffixes below one share its words. Back goes a bit for each
    suffix: does a smaller doc_id lie below its node?
 4. *Removal.* Each block marks the words that a flagged window covers; neighbouring windows join
    into the maximal removed spans.
 
 A passage that a third of all texts share is sent once by each block, so no group grows with the
-copies. Defined results: null ids sort as the smallest id; a null or empty text has no words;
+copies. Defined results: null ids count as the smallest long; a null or empty text has no words;
 texts shorter than a window lose nothing; rows that repeat a doc_id are one document for the
 comparison ("smaller doc_id" is strict) and keep a row each; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,8 +41,10 @@ from ._words import U, _P, from_gaps, from_plane, grams, mix, to_gaps, to_plane,
 MIN_WORDS = 13
 #: Bytes of text in a block; a task's arrays take about twenty times that.
 BLOCK_BYTES = 5 << 20
-#: Suffixes that one group may hold, about 200 MB while its subtree is built.
+#: Suffixes that one group may hold, about 100 MB while its subtree is built.
 GROUP_SUFFIXES = 500_000
+#: Symbols of 32 bits that spell a suffix.
+SYMBOLS = 4
 #: Windows in one range of fingerprints.
 RANGE_WINDOWS = 2_000_000
 _NULL = np.iinfo(np.int64).min
@@ -118,6 +121,7 @@ def _send_windows(n: int, bits: int, ranges: int, least: int):
     return run
 
 
+@functools.lru_cache(maxsize=2)
 def _edges(bits: int, ranges: int) -> np.ndarray:
     return np.array([(r << bits) // ranges for r in range(ranges)] + [(1 << bits) - 1], np.uint64) + np.array([0] * ranges + [1 if bits < 64 else 0], np.uint64)
 
@@ -156,7 +160,7 @@ def _groups_of(win: _Windows, at: np.ndarray, hot: list[np.ndarray], groups: int
 
 def _survivors(win: _Windows, block: int, path: str, bits: int) -> np.ndarray:
     """Distinct windows of a block that occur again, here or in another block."""
-    rows = sorted(_blocks.table_of(path, block), key=lambda r: r["bucket"])
+    rows = _blocks.table_of(path, block)
     kept = win.high > win.low
     if rows:
         back = np.concatenate([np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=r["n"]).astype(bool) for r in rows])
@@ -165,31 +169,43 @@ def _survivors(win: _Windows, block: int, path: str, bits: int) -> np.ndarray:
     return np.flatnonzero(kept)
 
 
+def _symbols(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Suffixes by symbol (symbols, suffixes): the ``n`` words from each place, in order, as at most
+    ``SYMBOLS`` hashes of 32 bits, so a path of ``n`` words has 128 bits."""
+    cuts = np.linspace(0, n, min(SYMBOLS, n) + 1).astype(int).tolist()
+    out = np.zeros((max(2, len(cuts) - 1), len(at)), np.uint32)
+    for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        acc = np.zeros(len(at), np.uint64)
+        for j in range(a, b):
+            acc = mix(acc * U(_P) + h[at + j])
+        out[k] = (acc >> U(32)).astype(np.uint32)
+    return out
+
+
+def _dealt(win: _Windows, at: np.ndarray, hot: list[np.ndarray], groups: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, edges, symbols): a block's suffixes by group and, within it, by their first two symbols."""
+    group, text = _groups_of(win, at, hot, groups), _symbols(win.h, at, n)
+    order = np.lexsort((text[1], text[0], group))
+    return order, np.searchsorted(group[order], np.arange(groups + 1)), text
+
+
 def _send_suffixes(n: int, bits: int, screen: str, hot, groups: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prefixes = hot.value
         for block in _blocks.blocks(batches):
             win = _Windows(block, n)
             kept = _survivors(win, block.block, screen, bits)
-            at = win.where[kept]
-            group = _groups_of(win, at, prefixes, groups)
-            order = np.argsort(group, kind="stable")
-            edges = np.searchsorted(group[order], np.arange(groups + 1))
-            for g in range(groups):
-                if edges[g] == edges[g + 1]:
-                    continue
+            order, edges, text = _dealt(win, win.where[kept], prefixes, groups, n)
+            for g in np.flatnonzero(np.diff(edges)).tolist():
                 own = order[edges[g] : edges[g + 1]]
-                spelled = win.h[at[own][None, :] + np.arange(n)[:, None]] >> U(16)  # depth by suffix; 48 bits a word
-                lexicon, codes = np.unique(spelled, return_inverse=True)
-                kind = np.uint16 if len(lexicon) <= 1 << 16 else np.uint32
+                head = (text[0][own].astype(np.uint64) << U(32)) | text[1][own]
                 yield pa.RecordBatch.from_pydict(
                     {
                         "bucket": pa.array([g], pa.int32()),
                         "block": pa.array([block.block], pa.int64()),
                         "n": pa.array([len(own)], pa.int64()),
-                        "lexicon": pa.array([to_gaps(lexicon)], pa.binary()),
-                        "words": pa.array([len(lexicon)], pa.int64()),
-                        "codes": pa.array([to_plane(codes.reshape(-1).astype(kind))], pa.binary()),
+                        "head": pa.array([to_gaps(head)], pa.binary()),
+                        "rest": pa.array([text[2:][:, own].tobytes()], pa.binary()),
                         "low": pa.array([to_plane(win.low[kept[own]])], pa.binary()),
                         "count": pa.array([to_plane(win.count[kept[own]].astype(np.uint32))], pa.binary()),
                     }
@@ -199,50 +215,45 @@ def _send_suffixes(n: int, bits: int, screen: str, hot, groups: int):
 
 
 class _Subtree:
-    """Sorted suffixes of one group, cut at ``n`` words, and their common prefix lengths."""
+    """Sorted suffixes of one group, cut at the wanted depth, and the symbols that neighbours share."""
 
-    def __init__(self, table: pa.Table, n: int):
+    def __init__(self, table: pa.Table):
         rows = table.to_pylist()
-        lexicons = [from_gaps(r["lexicon"], r["words"]) for r in rows]
-        self.lexicon = np.unique(np.concatenate(lexicons))
-        columns, self.block, low, count = [], [], [], []
-        for r, lexicon in zip(rows, lexicons, strict=True):
-            codes = from_plane(r["codes"], n * r["n"], np.uint16 if r["words"] <= 1 << 16 else np.uint32)
-            columns.append(np.searchsorted(self.lexicon, lexicon).astype(np.uint32)[codes].reshape(n, r["n"]))
+        columns, low, count = [], [], []
+        for r in rows:
+            head = from_gaps(r["head"], r["n"])
+            rest = np.frombuffer(r["rest"], np.uint32).reshape(-1, r["n"])
+            columns.append(np.concatenate([[(head >> U(32)).astype(np.uint32), head.astype(np.uint32)], rest]))
             low.append(from_plane(r["low"], r["n"], np.int64))
             count.append(from_plane(r["count"], r["n"], np.uint32))
         self.sizes = [(r["block"], r["n"]) for r in rows]
         self.text = np.concatenate(columns, axis=1)
         self.low, self.count = np.concatenate(low), np.concatenate(count).astype(np.int64)
-        pairs = [(self.text[k].astype(np.uint64) << U(32)) | self.text[k + 1] for k in range(0, n - 1, 2)]
-        self.order = np.lexsort(([self.text[n - 1]] if n % 2 else []) + pairs[::-1])
+        self.order = np.lexsort(self.text[::-1])
         same = np.ones(self.text.shape[1] - 1, bool)
         self.lcp = np.zeros(self.text.shape[1], np.int64)  # of a suffix and the one before it
-        for k in range(n):
-            row = self.text[k][self.order]
+        for row in self.text:
+            row = row[self.order]
             same &= row[1:] == row[:-1]
             self.lcp[1:] += same
 
     def nodes(self, depth: int) -> np.ndarray:
-        """Heads, in sorted order, of the internal nodes and leaves under the cut at ``depth``."""
+        """Heads, in sorted order, of the internal nodes and leaves under the cut at ``depth`` symbols."""
         return np.flatnonzero(self.lcp < depth)
 
 
-def _resolve(n: int):
-    def run(table: pa.Table) -> pa.Table:
-        tree = _Subtree(table, n)
-        heads = tree.nodes(n)
-        low = tree.low[tree.order]
-        least = np.minimum.reduceat(low, heads)
-        flag = np.empty(len(low), bool)
-        flag[tree.order] = np.repeat(least, np.diff(np.append(heads, len(low)))) < low
-        out, at = [], 0
-        for _, k in tree.sizes:
-            out.append(np.packbits(flag[at : at + k]).tobytes())
-            at += k
-        return pa.table({"block": pa.array([b for b, _ in tree.sizes], pa.int64()), "bucket": table.column("bucket"), "n": pa.array([k for _, k in tree.sizes], pa.int64()), "bits": pa.array(out, pa.binary())})
-
-    return run
+def _resolve(table: pa.Table) -> pa.Table:
+    tree = _Subtree(table)
+    heads = tree.nodes(len(tree.text))
+    low = tree.low[tree.order]
+    least = np.minimum.reduceat(low, heads)
+    flag = np.empty(len(low), bool)
+    flag[tree.order] = np.repeat(least, np.diff(np.append(heads, len(low)))) < low
+    out, at = [], 0
+    for _, k in tree.sizes:
+        out.append(np.packbits(flag[at : at + k]).tobytes())
+        at += k
+    return pa.table({"block": pa.array([b for b, _ in tree.sizes], pa.int64()), "bucket": table.column("bucket"), "n": pa.array([k for _, k in tree.sizes], pa.int64()), "bits": pa.array(out, pa.binary())})
 
 
 def _cut(n: int, bits: int, screen: str, marks: str, hot, groups: int, names: list[str] | None, at_text: int):
@@ -254,10 +265,9 @@ def _cut(n: int, bits: int, screen: str, marks: str, hot, groups: int, names: li
             win = _Windows(block, n)
             kept = _survivors(win, block.block, screen, bits)
             below = np.zeros(len(win.fp), bool)  # a smaller doc_id elsewhere
-            rows = sorted(_blocks.table_of(marks, block.block), key=lambda r: r["bucket"])
+            rows = _blocks.table_of(marks, block.block)
             if rows:
-                group = _groups_of(win, win.where[kept], prefixes, groups)
-                order = np.argsort(group, kind="stable")
+                order, _, _ = _dealt(win, win.where[kept], prefixes, groups, n)
                 below[kept[order]] = np.concatenate([np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=r["n"]).astype(bool) for r in rows])
             hit = below[win.cls] | (win.low[win.cls] < win.id)
             delta = np.zeros(len(win.h) + 1, np.int32)
@@ -323,21 +333,21 @@ def _run(docs: DataFrame, id_col: str, text_col: str, min_words: int, group_suff
     total, n_blocks = table.select(F.coalesce(F.sum(F.length("data")), F.lit(0)), F.count(F.lit(1))).first()
     upper = total // 2 + 1  # a word and a space at least
     ranges, bits = int(max(64, upper // RANGE_WINDOWS)), _bits_for(upper)
-    least = max(1000, group_suffixes // max(1, n_blocks))
+    least = max(2, group_suffixes // (2 * max(1, n_blocks)))  # all that blocks leave out of a prefix is half a group at most
     bare = table.drop("carry")
     sent = _shared.write(bare.mapInArrow(_send_windows(min_words, bits, ranges, least), "bucket int, block long, n long, key long, body binary"), _shared.scratch(spark, "windows"), large_rows=True)
     rows = spark.read.schema("bucket int, block long, n long, key long, body binary").parquet(sent)
-    found = rows.where("bucket = -1").groupBy(F.col("block").alias("depth"), "key").agg(F.sum("n").alias("n")).where(F.col("n") > group_suffixes).collect()  # at most min_words * windows / group_suffixes
+    found = rows.where("bucket = -1").groupBy(F.col("block").alias("depth"), "key").agg(F.sum("n").alias("n")).where(F.col("n") > group_suffixes // 2).collect()  # at most 2 * min_words * windows / group_suffixes
     hot = [np.sort(np.array([r["key"] for r in found if r["depth"] == d], np.int64).view(np.uint64)) for d in range(1, max([0, *(r["depth"] for r in found)]) + 1)]
     prefixes = spark.sparkContext.broadcast(hot)
     back = "block long, bucket int, n long, bits binary"
-    screen = _shared.write(rows.where("bucket >= 0").drop("key").groupBy("bucket").applyInArrow(_screen, back).repartition("block"), _shared.scratch(spark, "screen"), "block")
+    screen = _blocks.reply(rows.where("bucket >= 0").drop("key").groupBy("bucket").applyInArrow(_screen, back), "screen")
     _shared.drop(spark, sent)
     alive = rows_alive(spark, screen, back)
     groups = int(max(64, alive // group_suffixes + 1))
-    kind = "bucket int, block long, n long, lexicon binary, words long, codes binary, low binary, count binary"
+    kind = "bucket int, block long, n long, head binary, rest binary, low binary, count binary"
     suffixes = bare.mapInArrow(_send_suffixes(min_words, bits, screen, prefixes, groups), kind)
-    marks = _shared.write(suffixes.groupBy("bucket").applyInArrow(_resolve(min_words), back).repartition("block"), _shared.scratch(spark, "marks"), "block", large_rows=True)
+    marks = _blocks.reply(suffixes.groupBy("bucket").applyInArrow(_resolve, back), "marks")
     names, at_text, schema = None, 0, _REPORT
     if whole:
         at_text = docs.columns.index(text_col)
@@ -356,8 +366,9 @@ def rows_alive(spark, screen: str, schema: str) -> int:
     return rows.select("bits").mapInArrow(count, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
-def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, **sizes) -> DataFrame:
-    """Maximal removed passages with their places: doc_id, start, end (in words), n_words."""
+def removed_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, **sizes) -> DataFrame:
+    """The removed passages with their places: doc_id, start, end (in words), n_words. A passage is a
+    run of removed words; two repeats that touch or overlap are one passage."""
     kept = remove_repeats(docs, id_col, text_col, min_words, **sizes)
     return kept.select("doc_id", F.explode("removed").alias("r")).select("doc_id", F.col("r.start").alias("start"), F.col("r.end").alias("end"), (F.col("r.end") - F.col("r.start")).alias("n_words"))
 

@@ -62,12 +62,25 @@ def test_substring_equals_brute_force(spark):
 def test_subtree_finds_common_prefixes():
     import pyarrow as pa
 
-    h = np.sort(np.random.default_rng(1).integers(0, 1 << 62, 4).astype(np.uint64))
-    rows = np.array([[0, 1, 2], [0, 1, 2], [0, 1, 3], [2, 2, 2]], np.uint16).T
-    table = pa.table({"bucket": [0], "block": [7], "n": [4], "lexicon": [_words.to_gaps(h)], "words": [4], "codes": [_words.to_plane(rows.reshape(-1))], "low": [_words.to_plane(np.array([5, 3, 1, 2], np.int64))], "count": [_words.to_plane(np.ones(4, np.uint32))]})
-    tree = substring_dedup._Subtree(table, 3)
-    assert tree.lcp.tolist() == [0, 3, 2, 0]
-    assert tree.nodes(3).tolist() == [0, 2, 3] and tree.nodes(2).tolist() == [0, 3]
+    text = np.array([[0, 1, 2, 5], [0, 1, 2, 5], [0, 1, 3, 5], [2, 2, 2, 2]], np.uint32).T
+    head = (text[0].astype(np.uint64) << np.uint64(32)) | text[1]
+    table = pa.table({"bucket": [0], "block": [7], "n": [4], "head": [_words.to_gaps(head)], "rest": [text[2:].tobytes()], "low": [_words.to_plane(np.array([5, 3, 1, 2], np.int64))], "count": [_words.to_plane(np.ones(4, np.uint32))]})
+    tree = substring_dedup._Subtree(table)
+    assert tree.lcp.tolist() == [0, 4, 2, 0]
+    assert tree.nodes(4).tolist() == [0, 2, 3] and tree.nodes(2).tolist() == [0, 3]
+    assert np.unpackbits(np.frombuffer(substring_dedup._resolve(table).column("bits")[0].as_py(), np.uint8), count=4).tolist() == [1, 0, 0, 0]
+
+
+def test_hot_prefixes_are_extended(spark, monkeypatch):
+    """A word that is every second one: its suffixes are spread over groups by longer prefixes."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(x for _ in range(60) for x in ("the", f"w{rng.randint(0, 9)}"))) for i in range(30)]
+    seen = []
+    real = substring_dedup._send_suffixes
+    monkeypatch.setattr(substring_dedup, "_send_suffixes", lambda n, bits, screen, hot, groups: seen.append(hot.value) or real(n, bits, screen, hot, groups))
+    got = substring_dedup.remove_repeats(docs(spark, rows), group_suffixes=20, block_bytes=3000).collect()
+    assert len(seen[0]) >= 2 and len(seen[0][0]) >= 1
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_text) for r in got) == brute_repeats(rows)
 
 
 def brute_groups(fps, ids):
@@ -367,7 +380,7 @@ def test_query_equals_sql(spark, name):
     import duckdb
 
     c = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         c.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     ours, theirs = queries.QUERIES[name](spark, DATA).toPandas(), c.execute(queries.ORACLES[name]).fetchdf()
     columns = sorted(theirs.columns)

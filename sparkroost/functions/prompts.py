@@ -71,6 +71,30 @@ def prompt(template: str, question: Column, context: Column, options: Column | N
     return truncate_middle(text)
 
 
+def dispatch(templates: dict[str, dict], dataset: Column, question: Column, context: Column, options: Column, answer: Column, is_stdin: Column) -> Column:
+    """The prompt of a row by its data set's configuration (``prompt``, or for code ``is_stdin_prompt``
+    and ``not_is_stdin_prompt``), truncated; null for a data set without one. An empty context is the
+    word None, except where context and question are compared."""
+    shown, out = F.nullif(context, F.lit("")), F.lit(None).cast("string")
+    for name, own in templates.items():
+        template = own.get("prompt") or "{Question}"
+        if name == "LiveCodeBench":
+            text = F.when(is_stdin, fill(own.get("is_stdin_prompt") or "{Question}", Question=question)).otherwise(fill(own.get("not_is_stdin_prompt") or "{Question}", Question=question))
+        elif name == "SuperGLUE-RC":
+            text = fill(template, Question=question, Answer=answer)
+        elif name == "SuperGLUE-Wic":
+            text = fill(template, Question=question, Context=context)
+        else:
+            text = fill(template, Question=question, Context=shown, Options=F.coalesce(options_block(options), F.lit("")))
+        out = F.when(dataset == name, truncate_middle(text)).otherwise(out)
+    return out
+
+
+def file_name(c: Column, log: bool = False) -> Column:
+    """A model's name as part of a file's name; for logs colons and spaces go too."""
+    return F.translate(c, "/\\: " if log else "/\\", "____" if log else "__")
+
+
 def has_test_type(tests: Column, kind: str) -> Column:
     """Does any test in a JSON array have this type? Malformed text: no."""
     parsed = F.from_json(tests, "array<struct<testtype:string>>")

@@ -30,13 +30,21 @@ def mcq_exact(text: Column, truth: Column) -> Column:
     return score_if(T.answer(text) == T.strip(truth))
 
 
+def mcq_accuracy_of(answer: Column, truth: Column) -> Column:
+    return score_if(answer == index_letter(truth))
+
+
 def mcq_accuracy(text: Column, truth: Column) -> Column:
     """An invalid truth scores 0 and still counts."""
-    return score_if(T.answer(text) == index_letter(truth))
+    return mcq_accuracy_of(T.answer(text), truth)
+
+
+def exact_match_of(answer: Column, truth: Column) -> Column:
+    return score_if(T.normalize_exact(answer) == T.normalize_exact(truth))
 
 
 def exact_match(text: Column, truth: Column) -> Column:
-    return score_if(T.normalize_exact(T.answer(text)) == T.normalize_exact(truth))
+    return exact_match_of(T.answer(text), truth)
 
 
 def chess_normal(c: Column) -> Column:
@@ -59,13 +67,18 @@ def superglue_label(c: Column, truth: Column) -> Column:
     return F.coalesce(F.when(truth.isin("0.0", "1.0", "0", "1"), as_number).when(truth.isin("Yes", "No", "yes", "no", "YES", "NO"), as_word), c)
 
 
+def superglue_exact_of(answer: Column, truth: Column) -> Column:
+    return score_if(superglue_label(answer, truth) == truth)
+
+
 def superglue_exact(text: Column, truth: Column) -> Column:
-    return score_if(superglue_label(T.answer(text), truth) == truth)
+    return superglue_exact_of(T.answer(text), truth)
 
 
 def cloze(text: Column, truth: Column) -> Column:
-    """As :func:`mcq_accuracy`; a truth that is no index is compared as text."""
-    return score_if(T.answer(text) == F.coalesce(index_letter(truth), T.strip(truth)))
+    """As :func:`mcq_accuracy`, but an answer outside a box is the text's first character; a truth
+    that is no index is compared as text."""
+    return score_if(T.answer(text, "SuperGLUE-ClozeTest") == F.coalesce(index_letter(truth), T.strip(truth)))
 
 
 def parse_digits(c: Column) -> Column:
@@ -80,17 +93,35 @@ def numeric_equal(a: Column, b: Column) -> Column:
 
 
 def math_equal(answer: Column, truth: Column) -> Column:
-    """The native steps: equal texts, a choice letter, numbers with the percent variants (which end
-    the comparison either way), equal without brackets."""
-    return T.let(F.struct(F.lower(T.strip(answer)).alias("a"), F.lower(T.strip(truth)).alias("b")), lambda s: _math_equal(s["a"], s["b"]))
+    """The native steps: equal texts, a choice letter (only against a capital A-E), numbers with the
+    percent variants (which end the comparison either way), equal without brackets, and equal part
+    by part in tuples."""
+    return T.let(F.struct(answer.alias("a"), truth.alias("b")), lambda s: _steps(s["a"], s["b"], True))
 
 
-def _math_equal(a: Column, b: Column) -> Column:
-    x, y = parse_digits(a), parse_digits(b)
-    choice = F.upper(T.last_match(F.upper(a), r"\b(A|B|C|D|E)\b"))
-    bare = lambda t: F.regexp_replace(t, r"[\[\](){}]", "")
+def _steps(a: Column, b: Column, parts: bool) -> Column:
+    held = F.struct(T.strip(a).alias("a"), T.strip(b).alias("b"), parse_digits(a).alias("x"), parse_digits(b).alias("y"), b.alias("raw"))
+    return T.let(held, lambda s: _math_equal(s, parts))
+
+
+def _choice(c: Column) -> Column:
+    """The last choice letter of a text; a text without one is itself, without dots and slashes at its end."""
+    return F.coalesce(T.last_match(F.upper(c), r"\b(A|B|C|D|E)\b"), F.regexp_replace(T.strip(c), "[./]+$", ""))
+
+
+def _math_equal(s: Column, parts: bool) -> Column:
+    a, b, x, y = s["a"], s["b"], s["x"], s["y"]
+    round_or_square = lambda c, p, q: c.startswith(p) & c.endswith(q)
+    outer = (round_or_square(a, "[", "]") & ~b.startswith("(")) | (round_or_square(a, "(", ")") & ~b.startswith("["))
+    bare = lambda c: F.lower(F.regexp_replace(F.when(outer, F.regexp_replace(c, r"^[\[\]()]+|[\[\]()]+$", "")).otherwise(c), r"[{}()]", ""))
     near = numeric_equal(x, y / 100) | numeric_equal(x, y) | numeric_equal(x, y * 100)
-    return F.coalesce((a == b) | (F.upper(b).isin(*"ABCDE") & (choice == F.upper(b))) | F.when(x.isNotNull() & y.isNotNull(), near).otherwise(bare(a) == bare(b)), F.lit(False))
+    other = bare(a) == bare(b)
+    if parts:
+        own = lambda c: F.split(c.substr(F.lit(2), F.length(c) - 2), ",")
+        tuples = a.rlike(r"^[(\[].+[)\]]") & b.rlike(r"^[(\[].+[)\]]") & (F.size(own(a)) == F.size(own(b)))
+        other = other | F.when(tuples, F.forall(F.zip_with(own(a), own(b), lambda p, q: _steps(p, q, False)), lambda ok: ok)).otherwise(False)
+    letter = s["raw"].isin(*"ABCDE") & (_choice(a) == s["raw"])
+    return F.coalesce((F.lower(a) == F.lower(b)) | letter | F.when(x.isNotNull() & y.isNotNull(), near).otherwise(other), F.lit(False))
 
 
 def math_metric(text: Column, truth: Column) -> Column:
@@ -114,6 +145,23 @@ def qa_f1(text: Column, truth: Column) -> Column:
     return token_f1(cut(text), cut(truth))
 
 
+def overlap_by_count(rows, key: str, a: str, b: str):
+    """For each row of ``rows`` (a table with a unique ``key`` and word arrays ``a`` and ``b``): key,
+    f1 and meteor. Words are counted as rows, so the work grows with the number of words, not with
+    the product of the two arrays' lengths. Partitioned by ``key``, the rows are not shuffled again."""
+    words = lambda c, side: F.transform(c, lambda w, i: F.struct(F.lit(side).alias("side"), i.alias("at"), w.alias("word")))
+    sizes = [F.size(a).alias("na"), F.size(b).alias("nb")]
+    each = rows.select(key, *sizes, F.explode_outer(F.concat(words(a, 0), words(b, 1))).alias("w")).select(key, "na", "nb", "w.*")
+    place = lambda k: F.collect_list(F.when(F.col("side") == k, F.col("at")))
+    held = each.groupBy(key, "na", "nb", "word").agg(place(0).alias("p"), place(1).alias("q")).withColumn("both", (F.size("p") > 0) & (F.size("q") > 0))
+    runs = lambda c: F.aggregate(F.sort_array(F.flatten(F.collect_list(F.when(F.col("both"), F.col(c))))), F.struct(F.lit(0).alias("n"), F.lit(-2).alias("last")), lambda s, i: F.struct((s["n"] + F.when(i == s["last"] + 1, 0).otherwise(1)).alias("n"), i.alias("last")))["n"]
+    same = F.sum(F.when(F.col("both"), F.least(F.size("p"), F.size("q"))).otherwise(0)).alias("same")
+    own = held.groupBy(key, "na", "nb").agg(same, F.count_if("both").alias("distinct"), F.least(runs("p"), runs("q")).alias("chunks"))
+    f1 = F.when(F.col("same") > 0, 2.0 * F.col("same") / (F.col("na") + F.col("nb"))).otherwise(0.0)
+    penalty = F.when(F.col("chunks") == F.col("distinct"), 0.0).otherwise(0.5 * F.pow(F.col("chunks") / F.col("distinct"), F.lit(2.0)))
+    return own.select(key, f1.alias("f1"), F.when(F.col("same") > 0, f1 * (1 - penalty)).otherwise(0.0).alias("meteor"))
+
+
 def meteor(text: Column, truth: Column) -> Column:
     return T.let(F.struct(T.tokens(T.answer(text)).alias("a"), T.tokens(truth).alias("b")), lambda s: meteor_words(s["a"], s["b"]))
 

@@ -90,7 +90,9 @@ def boxed_balanced(c: Column) -> Column:
             F.struct((s["depth"] + F.when(ch == "{", 1).when(ch == "}", -1).otherwise(0)).alias("depth"), (s["n"] + 1).alias("n"))
         ),
     )
-    return F.when(has_boxed(c) & (state["depth"] == 0), filled(strip(rest.substr(F.lit(1), state["n"] - 1))))
+    nested = F.when(state["depth"] == 0, filled(strip(rest.substr(F.lit(1), state["n"] - 1))))
+    # a box without inner braces needs no count of them
+    return F.when(has_boxed(c), F.when(rest.rlike(r"^[^{}]*\}"), filled(strip(F.substring_index(rest, "}", 1)))).otherwise(nested))
 
 
 def clean(c: Column) -> Column:

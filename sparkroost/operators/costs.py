@@ -11,6 +11,15 @@ from pyspark.sql import functions as F
 BETA, COST_MAX, COST_MIN = 0.1, 200.0, 0.0044
 
 
+#: Rows of a table that is broadcast, at most.
+DIMENSION_ROWS = 1 << 20
+
+
+def dimension(table: DataFrame, most: int = DIMENSION_ROWS) -> DataFrame:
+    """``table`` with a broadcast hint if it has at most ``most`` rows; else the join is Spark's choice."""
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+
+
 def base_name(model: Column) -> Column:
     return F.regexp_replace(model, "_batch$", "")
 
@@ -20,7 +29,8 @@ def with_prices(rows: DataFrame, prices: DataFrame, model: str = "model") -> Dat
     whose name contains the model's or is contained in it; null if none. Only distinct models without
     an exact price meet the price table pair by pair, which has a few dozen rows."""
     names = rows.select(F.col(model).alias("m")).distinct()
-    dim = F.broadcast(prices.select("pos", F.col("model").alias("p"), "in_price", "out_price"))
+    one = prices.groupBy("model").agg(F.max_by(F.struct("in_price", "out_price"), "pos").alias("x"), F.min("pos").alias("pos"))  # a repeated name: the last price
+    dim = dimension(one.select("pos", F.col("model").alias("p"), "x.*"))
     exact = names.join(dim, base_name(F.col("m")) == F.col("p"), "left")
     left = exact.where("p is null").select("m")
     key = base_name(F.col("m"))
@@ -65,8 +75,8 @@ def router_summary(rows: DataFrame, by: str = "router", signed: bool = False) ->
 
 def canonical(rows: DataFrame, registry: DataFrame, aliases: DataFrame, model: str = "model") -> DataFrame:
     """``rows`` with canonical (null if unknown) and known: registered names are themselves, others
-    go through the alias table. Both tables are dimension tables of a few dozen rows."""
-    names = F.broadcast(registry.select(F.col("model").alias("r")).distinct())
-    other = F.broadcast(aliases.select(F.col("alias").alias("a"), F.col("model").alias("am")))
+    go through the alias table (of a repeated alias the greatest name counts)."""
+    names = dimension(registry.select(F.col("model").alias("r")).distinct())
+    other = dimension(aliases.groupBy(F.col("alias").alias("a")).agg(F.max("model").alias("am")))
     joined = rows.join(names, rows[model] == F.col("r"), "left").join(other, rows[model] == F.col("a"), "left")
     return joined.withColumn("canonical", F.coalesce("r", "am")).withColumn("known", F.col("canonical").isNotNull()).drop("r", "a", "am")

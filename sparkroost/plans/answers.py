@@ -23,7 +23,7 @@ def query(sql: str):
 
 
 #: The ladder in RE2 over the (ASCII) answers.
-_LADDER = r"""ext AS (SELECT *, CASE WHEN contains(text, '\boxed{') THEN regexp_extract(text, '\\boxed\{([^}]+)\}', 1)
+LADDER = r"""ext AS (SELECT *, CASE WHEN contains(text, '\boxed{') THEN regexp_extract(text, '\\boxed\{([^}]+)\}', 1)
  WHEN regexp_matches(text, '(?i)answer\s*:\s*[A-Z]') THEN upper(regexp_extract(text, '(?i)answer\s*:\s*([A-Z])', 1))
  WHEN regexp_matches(text, '(?i)(?:option|choice|select)[:\s]*[A-Z]') THEN upper(regexp_extract(text, '(?i)(?:option|choice|select)[:\s]*([A-Z])', 1))
  WHEN regexp_matches(text, '\b[A-Z]\b') THEN list_extract(regexp_extract_all(text, '\b([A-Z])\b', 1), -1) ELSE trim(text) END AS x FROM answers)"""
@@ -33,25 +33,18 @@ def _answers(spark, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "answers")
 
 
-@query(f"WITH {_LADDER} SELECT text, truth, x AS extracted, count(*) AS n FROM ext GROUP BY ALL")
+@query(f"WITH {LADDER} SELECT text, truth, x AS extracted, count(*) AS n FROM ext GROUP BY ALL")
 def extract_mcq(spark, sf_dir: str) -> DataFrame:
     a = _answers(spark, sf_dir)
     return a.groupBy("text", "truth", T.answer(F.col("text")).alias("extracted")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {_LADDER} SELECT l_linenumber, CAST(count(*) AS BIGINT) AS n, CAST(sum(CASE WHEN x = truth THEN 1.0 ELSE 0.0 END) AS DOUBLE) AS exact, CAST(sum(CASE WHEN x = truth THEN 1.0 ELSE 0.0 END) AS DOUBLE) AS accuracy, CAST(sum(CASE WHEN x = chr(CAST(65 + l_linenumber + 1 AS INT)) THEN 1.0 ELSE 0.0 END) AS DOUBLE) AS by_index FROM ext GROUP BY l_linenumber")
+@query(f"WITH {LADDER} SELECT l_linenumber, CAST(count(*) AS BIGINT) AS n, CAST(sum(CASE WHEN x = truth THEN 1.0 ELSE 0.0 END) AS DOUBLE) AS exact, CAST(sum(CASE WHEN x = truth THEN 1.0 ELSE 0.0 END) AS DOUBLE) AS accuracy, CAST(sum(CASE WHEN x = chr(CAST(65 + l_linenumber + 1 AS INT)) THEN 1.0 ELSE 0.0 END) AS DOUBLE) AS by_index FROM ext GROUP BY l_linenumber")
 def score_mcq(spark, sf_dir: str) -> DataFrame:
-    text, truth = F.col("text"), F.col("truth")
+    x, truth = F.col("x"), F.col("truth")
     index = (F.col("l_linenumber") + 1).cast("double").cast("string")
-    return _answers(spark, sf_dir).groupBy("l_linenumber").agg(F.count(F.lit(1)).alias("n"), F.sum(S.mcq_exact(text, truth)).alias("exact"), F.sum(S.mcq_accuracy(text, truth)).alias("accuracy"), F.sum(S.mcq_accuracy(text, index)).alias("by_index"))
-
-
-@query(r"SELECT doc_id, trim(regexp_replace(substr(text, 1, 20), '[{}]', ' ', 'g')) AS want, true AS same FROM documents WHERE lang = 'en' AND NOT regexp_matches(substr(text, 1, 20), '[{}\n]') AND regexp_matches(substr(text, 1, 20), '[a-z]')")
-def extract_boxed(spark, sf_dir: str) -> DataFrame:
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang = 'en'").withColumn("h", F.substring("text", 1, 20))
-    d = d.where(~F.col("h").rlike(r"[{}\n]") & F.col("h").rlike("[a-z]"))
-    wrapped = F.concat(F.lit("thus \\boxed{ \\text{"), F.col("h"), F.lit("} } or \\boxed{B}"))
-    return d.select("doc_id", F.trim("h").alias("want"), (T.answer(wrapped) == F.trim("h")).alias("same"))
+    rows = _answers(spark, sf_dir).select("l_linenumber", "truth", T.answer(F.col("text")).alias("x"))
+    return rows.groupBy("l_linenumber").agg(F.count(F.lit(1)).alias("n"), F.sum(S.score_if(x == T.strip(truth))).alias("exact"), F.sum(S.mcq_accuracy_of(x, truth)).alias("accuracy"), F.sum(S.mcq_accuracy_of(x, index)).alias("by_index"))
 
 
 #: What strip() takes off, in RE2.
@@ -60,7 +53,7 @@ _BLANK = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}
 
 @query(rf"""SELECT doc_id, CASE WHEN x <> '' THEN x ELSE 'B' END AS extracted FROM (SELECT doc_id,
  regexp_replace(regexp_extract(replace(coalesce(text, ''), '\text{{', '') || '}}', '^[^}}]*'), '^{_BLANK}|{_BLANK}$', '', 'g') AS x FROM documents)""")
-def extract_boxed_whole(spark, sf_dir: str) -> DataFrame:
+def extract_boxed(spark, sf_dir: str) -> DataFrame:
     """Whole texts of all documents; a blank box falls through to the ladder's later rungs."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return d.select("doc_id", T.answer(boxed_text(F.col("text"))).alias("extracted"))
@@ -95,9 +88,8 @@ SELECT t.doc_id, round(CASE WHEN o.o > 0 THEN 2.0 * o.o / (len(a) + len(b)) ELSE
  round(CASE WHEN o.d = 0 THEN 0 ELSE 2.0 * o.o / (len(a) + len(b)) * (1 - CASE WHEN m.n = o.d THEN 0 ELSE 0.5 * pow(m.n / o.d, 2) END) END, 6) AS meteor
 FROM t JOIN o USING (doc_id) JOIN m USING (doc_id)""")
 def score_overlap(spark, sf_dir: str) -> DataFrame:
-    words = F.struct(T.tokens(F.col("text")).alias("a"), T.tokens(F.col("truth")).alias("b"))
-    both = T.let(words, lambda w: F.struct(S.token_f1(w["a"], w["b"]).alias("f1"), S.meteor_words(w["a"], w["b"]).alias("meteor")))
-    return view(spark, sf_dir, "pairs").select("doc_id", both.alias("s")).select("doc_id", F.round("s.f1", 6).alias("f1"), F.round("s.meteor", 6).alias("meteor"))
+    pairs = view(spark, sf_dir, "pairs").repartition("doc_id").select("doc_id", T.tokens(F.col("text")).alias("a"), T.tokens(F.col("truth")).alias("b"))
+    return S.overlap_by_count(pairs, "doc_id", "a", "b").select("doc_id", F.round("f1", 6).alias("f1"), F.round("meteor", 6).alias("meteor"))
 
 
 @query(r"""SELECT event_id, CASE WHEN out_tok % 2 = 0 THEN 0.5 ELSE 1.0 END AS count_score, 1.0 / (1 + event_id % 3) AS class_score FROM (SELECT event_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS out_tok FROM events)""")
@@ -122,8 +114,31 @@ def score_named(spark, sf_dir: str) -> DataFrame:
     return d.select("id", S.exact_match(c("t1"), c("g1")).alias("exact"), S.chess_accuracy(c("t2"), c("g2")).alias("chess"), S.superglue_exact(c("t3"), c("g3")).alias("superglue"))
 
 
-@query(r"""SELECT conv_id, turn, text AS body FROM conversations WHERE text IS NOT NULL AND NOT contains(text, '```') AND trim(text) = text AND text <> ''""")
+_FENCED = "'See:' || chr(10) || '```python' || chr(10) || 'x = 1' || chr(10) || '```' || chr(10) || 'then' || chr(10) || '```python' || chr(10) || coalesce(text, '') || chr(10) || '```' || chr(10)"
+
+
+@query(rf"""SELECT conv_id, turn, md5(regexp_replace(list_extract(regexp_extract_all({_FENCED}, '(?is)```python\s*\n(.*?)\n```', 1), -1), '^{_BLANK}|{_BLANK}$', '', 'g')) AS body FROM conversations""")
 def extract_code(spark, sf_dir: str) -> DataFrame:
-    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("text is not null and text <> ''").where(~F.contains("text", F.lit("```")) & (F.trim("text") == F.col("text")))
-    fenced = F.concat(F.lit("See:\n```python\nx = 1\n```\nthen\n```python\n"), F.col("text"), F.lit("\n```\n"))
-    return c.select("conv_id", "turn", T.code_block(fenced).alias("body"))
+    """The last fenced block of whole texts of all turns, null and fenced ones included."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    fenced = F.concat(F.lit("See:\n```python\nx = 1\n```\nthen\n```python\n"), F.coalesce("text", F.lit("")), F.lit("\n```\n"))
+    return c.select("conv_id", "turn", F.md5(T.code_block(fenced).cast("binary")).alias("body"))
+
+
+def _tidy(column: str) -> str:
+    """English normalisation in SQL; articles go twice, as two side by side share a space."""
+    out = rf"regexp_replace(lower({column}), '[!-/:-@\[-`{{-~]', '', 'g')"
+    for _ in range(2):
+        out = rf"regexp_replace({out}, '(^|[^\p{{L}}\p{{N}}_])(a|an|the)([^\p{{L}}\p{{N}}_]|$)', '\1 \3', 'g')"
+    return out
+
+
+@query(rf"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array({_tidy('text')}, '{_BLANK}'), lambda x: x <> '') AS a, list_filter(regexp_split_to_array({_tidy('truth')}, '{_BLANK}'), lambda x: x <> '') AS b FROM pairs),
+c AS (SELECT doc_id, w, count(*) FILTER (s = 'a') AS x, count(*) FILTER (s = 'b') AS y FROM (SELECT doc_id, 'a' AS s, unnest(a) AS w FROM t UNION ALL SELECT doc_id, 'b', unnest(b) FROM t) GROUP BY doc_id, w),
+o AS (SELECT doc_id, sum(least(x, y)) AS o FROM c GROUP BY doc_id)
+SELECT t.doc_id, round(CASE WHEN o.o > 0 THEN 2.0 * o.o / (len(a) + len(b)) ELSE 0 END, 6) AS f1 FROM t JOIN o USING (doc_id)""".replace(r"\b(a|an|the)\b", r"\b(a|an|the)\b"))
+def score_qa(spark, sf_dir: str) -> DataFrame:
+    """Token F1 of English texts without marks and articles."""
+    words = lambda c: F.filter(F.split(T.normalize_english(F.col(c)), " "), lambda x: x != "")
+    pairs = view(spark, sf_dir, "pairs").where("truth is not null").repartition("doc_id").select("doc_id", words("text").alias("a"), words("truth").alias("b"))
+    return S.overlap_by_count(pairs, "doc_id", "a", "b").select("doc_id", F.round("f1", 6).alias("f1"))

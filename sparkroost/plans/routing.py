@@ -156,10 +156,10 @@ def cache_merge_keep_eval(spark, sf_dir: str) -> DataFrame:
     return keyed.merge_keep(_half(spark, sf_dir, 0), _half(spark, sf_dir, 1), ["model", "k"], "score")
 
 
-@query("SELECT pos, model, out_tok AS k FROM predictions WHERE accuracy IS NULL AND NOT EXISTS (SELECT 1 FROM cache c WHERE c.success AND c.model = predictions.model AND c.k = predictions.out_tok AND c.pos % 7 = 0)")
+@query("SELECT pos, model, out_tok AS k FROM predictions WHERE accuracy IS NULL AND NOT EXISTS (SELECT 1 FROM cache c WHERE c.success AND c.model = predictions.model AND c.k = predictions.out_tok)")
 def pending_rows(spark, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, "predictions").where("accuracy is null").select("pos", "model", F.col("out_tok").alias("k"))
-    return keyed.pending(rows, view(spark, sf_dir, "cache").where("success and pos % 7 = 0"), ["model", "k"]).select("pos", "model", "k")
+    return keyed.pending(rows, view(spark, sf_dir, "cache").where("success"), ["model", "k"]).select("pos", "model", "k")
 
 
 @query("SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS BIGINT) AS choice FROM embeddings")
@@ -179,11 +179,11 @@ def round_robin(spark, sf_dir: str) -> DataFrame:
     return keyed.round_robin(view(spark, sf_dir, "predictions").select("pos"), MODELS, ["pos"]).select("pos", F.col("model").alias("assigned"))
 
 
-_CUBE = "cube AS (SELECT model, k, arg_max(coalesce(score, 0.5), pos) AS accuracy, arg_max(value, pos) AS cost FROM cache WHERE pos % 2 = 0 GROUP BY model, k)"
+_CUBE = "cube AS (SELECT model, k, arg_max(coalesce(score, 0.5), pos) AS accuracy, arg_max(value, pos) AS cost FROM cache GROUP BY model, k)"
 
 
 def _vs(spark, sf_dir: str) -> DataFrame:
-    rows = view(spark, sf_dir, "cache").where("pos % 2 = 0").select("model", F.col("k").alias("global_index"), "pos", F.coalesce("score", F.lit(0.5)).alias("accuracy"), F.col("value").alias("cost"))
+    rows = view(spark, sf_dir, "cache").select("model", F.col("k").alias("global_index"), "pos", F.coalesce("score", F.lit(0.5)).alias("accuracy"), F.col("value").alias("cost"))
     choices = view(spark, sf_dir, "predictions").select("router", "pos", "model", F.col("out_tok").alias("global_index"))
     return keyed.against_cube(choices, keyed.keep_last(rows, ["model", "global_index"]))
 
@@ -223,16 +223,26 @@ def validate_rows(spark, sf_dir: str) -> DataFrame:
     return validate.row_errors(spark.sql(_RAW), data, registry)
 
 
-@query("""SELECT * FROM (VALUES (0, 'null_result'), (1, 'not_object'), (2, 'missing_field'), (3, 'answer_not_text'), (4, 'success_without_answer'), (5, 'success_not_boolean'), (6, NULL)) AS t(id, code)""")
+#: Generated results in JSON, with every fault of the ladder.
+ANY_PAYLOAD = """SELECT event_id AS pos, CASE WHEN event_id % 29 = 0 THEN 'null' WHEN event_id % 31 = 0 THEN '[1]' ELSE concat('{', a, CASE WHEN a <> '' AND concat(s, u) <> '' THEN ',' ELSE '' END, s, CASE WHEN s <> '' AND u <> '' THEN ',' ELSE '' END, u, '}') END AS raw
+ FROM (SELECT event_id, CASE event_id % 6 WHEN 0 THEN '' WHEN 1 THEN '"generated_answer":5' WHEN 2 THEN '"generated_answer":""' WHEN 3 THEN '"generated_answer":"  "' WHEN 4 THEN '"generated_answer":null' ELSE '"generated_answer":"x"' END AS a,
+  CASE user_id % 11 WHEN 0 THEN '' WHEN 1 THEN '"success":false' WHEN 2 THEN '"success":"yes"' WHEN 3 THEN '"success":""' WHEN 4 THEN '"success":1' WHEN 5 THEN '"success":0' WHEN 6 THEN '"success":null' WHEN 7 THEN '"success":[]' WHEN 8 THEN '"success":[0]' ELSE '"success":true' END AS s,
+  CASE WHEN event_type = 'view' THEN '' WHEN event_type = 'click' THEN '"token_usage":null' ELSE '"token_usage":{}' END AS u FROM events) AS parts"""
+
+
+@query("""SELECT * FROM (VALUES (0, 'null_result'), (1, 'not_object'), (2, 'missing_field'), (3, 'answer_not_text'), (4, 'success_without_answer'), (5, 'success_not_boolean'), (6, NULL), (7, 'missing_field'), (8, 'success_without_answer')) AS t(id, code)""")
 def validate_payload(spark, sf_dir: str) -> DataFrame:
-    raw = ["null", "[1]", '{"success": true}', '{"generated_answer": 5, "success": true}', '{"generated_answer": " ", "success": true}', '{"generated_answer": "x", "success": "yes"}', '{"generated_answer": "x", "success": true}']
+    raw = ["null", "[1]", '{"success": true}', '{"generated_answer": 5, "success": true, "token_usage": {}}', '{"generated_answer": " ", "success": true, "token_usage": {}}', '{"generated_answer": "x", "success": "yes", "token_usage": null}', '{"generated_answer": "x", "success": true, "token_usage": {}}', '{"generated_answer": "x", "success": true}', '{"generated_answer": "", "success": "yes", "token_usage": {}}']
     return spark.createDataFrame(list(enumerate(raw)), "id int, raw string").select("id", validate.payload_error(F.col("raw")).alias("code"))
 
 
-@query(f"WITH {PRICED} SELECT model, exact, in_price IS NOT NULL AS priced FROM priced")
+_USED = PRICED[: PRICED.index(",\ncosted AS")].replace("FROM predictions", "FROM (SELECT model FROM predictions UNION SELECT model FROM registry) AS used")
+
+
+@query(f"WITH {_USED} SELECT model, exact, in_price IS NOT NULL AS priced FROM priced")
 def validate_prices(spark, sf_dir: str) -> DataFrame:
     p, prices = view(spark, sf_dir, "predictions"), view(spark, sf_dir, "prices")
-    used = validate.used_models(p, p)
+    used = validate.used_models(p, view(spark, sf_dir, "registry"))
     out = costs.with_prices(used, prices)
     names = F.broadcast(prices.select(F.col("model").alias("x")))
     return out.join(names, costs.base_name(F.col("model")) == F.col("x"), "left").select("model", F.col("x").isNotNull().alias("exact"), F.col("in_price").isNotNull().alias("priced"))

@@ -1,4 +1,4 @@
-"""Running answers' code: off by default, each program in a fresh isolated process with limits.
+"""Answers' code: cut out natively, run (off by default) each program in a fresh isolated process.
 
 This is no sandbox. It keeps a faulty program from the worker (own process, time and memory limits,
 empty environment, temporary folder), not a hostile one from the machine.
@@ -6,27 +6,196 @@ empty environment, temporary folder), not a hostile one from the machine.
 
 from __future__ import annotations
 
+import base64
+import io
+import json
+import pickle
 import resource
 import subprocess
 import sys
 import tempfile
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: What runs a function: the last word before the first bracket names it.
+_CALL = """
+import json, sys
+own = json.loads(sys.stdin.read())
+space = {}
+exec(own["code"], space)
+out = sys.stdout
+sys.stdout = sys.stderr
+got = space[own["code"].split("(")[0].split()[-1]](*own["args"])
+out.write("same" if got == own["want"] else "other")
+"""
+
+
+def fenced_blocks(c: Column) -> Column:
+    """The contents of all fenced blocks of a text."""
+    return F.regexp_extract_all(c, F.lit(r"(?s)```(?:[a-zA-Z]*)\n(.*?)```"), F.lit(1))
+
+
+def tidy_code(c: Column) -> Column:
+    """Code without the marks that models put around it: up to the first closing mark."""
+    t = F.replace(F.substring_index(c, "</code>", 1), F.lit("```python"), F.lit(""))
+    return F.replace(F.substring_index(t, "```", 1), F.lit("<code>"), F.lit(""))
+
+
+def answer_code(text: Column) -> Column:
+    """The code of an answer: its last fenced block, tidied; null if it has none."""
+    return tidy_code(F.try_element_at(fenced_blocks(text), F.lit(-1)))
+
+
+def stdin_tests(c: Column) -> Column:
+    """Tests written as ``Input: ... Output: ...`` blocks; blocks with none or several outputs go."""
+    cut = F.transform(F.split(c, "Input:"), lambda b: F.split(b, "Output:"))
+    return F.transform(F.filter(cut, lambda b: F.size(b) == 2), lambda b: F.struct(F.concat(F.trim(F.regexp_replace(b[0], r"^\s+|\s+$", "")), F.lit("\n")).alias("input"), F.concat(F.regexp_replace(b[1], r"^\s+|\s+$", ""), F.lit("\n")).alias("output"), F.lit("stdin").alias("testtype")))
+
+
+def _value(text: str):
+    """A number, a list, or the text without its quotes."""
+    for kind in (int, float):
+        try:
+            return kind(text)
+        except ValueError:
+            continue
+    return json.loads(text) if text.startswith("[") and text.endswith("]") else text.strip('"')
+
+
+def call_arguments(text: str) -> list:
+    """The arguments of a functional test: ``a = 1, b = 2``, or one in each line."""
+    if "=" in text:
+        named = text.split(",") if "," in text else [text]
+        out = []
+        for part in named:
+            own = part.split("=")
+            if len(own) != 2:
+                raise ValueError(f"not one name and one value: {part!r}")
+            value = own[1].strip()
+            try:
+                out.append(int(value))
+            except ValueError:
+                try:
+                    out.append(float(value))
+                except ValueError:
+                    out.append(value.strip('"'))
+        return out
+    return [_value(line.strip()) for line in text.split("\n") if line.strip()]
+
+
+def expected(text: str):
+    try:
+        return json.loads(text.strip())
+    except json.JSONDecodeError:
+        return text.strip()
+
+
+def _limits(seconds: int, memory_mb: int):
+    def apply() -> None:
+        resource.setrlimit(resource.RLIMIT_AS, (memory_mb << 20,) * 2)
+        resource.setrlimit(resource.RLIMIT_CPU, (seconds + 1,) * 2)
+
+    return apply
+
+
+def _run(code: str, given: str, seconds: int, memory_mb: int) -> str | None:
+    with tempfile.TemporaryDirectory() as folder:
+        try:
+            done = subprocess.run([sys.executable, "-I", "-c", code], input=given, capture_output=True, text=True, timeout=seconds, cwd=folder, env={}, preexec_fn=_limits(seconds, memory_mb))
+        except subprocess.TimeoutExpired:
+            return None
+    return None if done.returncode else done.stdout
 
 
 def run_stdin_tests(code: str, tests: list[dict], allow: bool = False, seconds: int = 6, memory_mb: int = 512) -> bool:
     """Do all tests (input, output) pass? The first failure ends it; no tests is a failure."""
     if not allow:
         raise PermissionError("running answers' code is off; pass allow=True to run it")
+    for test in tests:
+        out = _run(code, test["input"], seconds, memory_mb)
+        want = test["output"].strip()
+        want = want[: want.rfind("-")].rstrip() if want.endswith("-") else want
+        if out is None or out.strip() != want:
+            return False
+    return bool(tests)
 
-    def limits() -> None:
-        resource.setrlimit(resource.RLIMIT_AS, (memory_mb << 20,) * 2)
-        resource.setrlimit(resource.RLIMIT_CPU, (seconds + 1,) * 2)
 
+def run_function_tests(code: str, tests: list[dict], allow: bool = False, seconds: int = 6, memory_mb: int = 512) -> bool:
+    """As :func:`run_stdin_tests`, for code that is a function: its value must equal the output."""
+    if not allow:
+        raise PermissionError("running answers' code is off; pass allow=True to run it")
     for test in tests:
-        with tempfile.TemporaryDirectory() as folder:
-            try:
-                done = subprocess.run([sys.executable, "-I", "-c", code], input=test["input"], capture_output=True, text=True, timeout=seconds, cwd=folder, env={}, preexec_fn=limits)
-            except subprocess.TimeoutExpired:
-                return False
-        if done.returncode or done.stdout.strip() != test["output"].strip().removesuffix("-"):
+        try:
+            given = json.dumps({"code": code, "args": call_arguments(test["input"]), "want": expected(test["output"])})
+        except (ValueError, TypeError):
+            return False
+        if _run(_CALL, given, seconds, memory_mb) != "same":
             return False
     return bool(tests)
+
+
+def code_accuracy(rows: DataFrame, allow: bool = False, seconds: int = 6) -> DataFrame:
+    """(id, score) of rows (id, text, is_stdin, tests): 1 if the answer's last code block passes all
+    tests; an answer without code is 0. Each program runs in the task that holds its row."""
+    if not allow:
+        raise PermissionError("running answers' code is off; pass allow=True to run it")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score = []
+            for r in batch.to_pylist():
+                check = run_stdin_tests if r["is_stdin"] else run_function_tests
+                score.append(float(bool(r["code"]) and check(r["code"], r["tests"] or [], True, seconds)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64())], ["id", "score"])
+
+    own = rows.select("id", answer_code(F.col("text")).alias("code"), F.coalesce("is_stdin", F.lit(False)).alias("is_stdin"), F.col("tests").cast("array<struct<input:string,output:string>>").alias("tests"))
+    return own.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, score double")
+
+
+class _TextOnly(pickle.Unpickler):
+    """Reads a pickled text and nothing that names a class or a function."""
+
+    def find_class(self, module, name):
+        raise pickle.UnpicklingError(f"{module}.{name} is not allowed")
+
+
+def decode_tests(encoded: str | None) -> str | None:
+    """Private tests (a JSON text, pickled, compressed, in base64) as JSON text; null if they aren't that."""
+    try:
+        text = _TextOnly(io.BytesIO(zlib.decompress(base64.b64decode(encoded or "")))).load()
+        json.loads(text)
+        return text
+    except (ValueError, TypeError, EOFError, zlib.error, pickle.UnpicklingError):
+        return None
+
+
+def with_private_tests(rows: DataFrame, column: str = "private_test_cases") -> DataFrame:
+    """``rows`` with the column decoded."""
+    at = rows.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.set_column(at, column, pa.array([decode_tests(x) for x in batch.column(at).to_pylist()], pa.string()))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def code_projection(problems: DataFrame) -> DataFrame:
+    """Source problems as the rows that code matching reads."""
+    from .prompts import has_test_type
+
+    return problems.select(
+        F.col("question_content").alias("prompt"),
+        F.col("private_test_cases").alias("test"),
+        F.col("starter_code").alias("entry_point"),
+        F.lit("").alias("canonical_solution"),
+        F.col("question_id").alias("task_id"),
+        has_test_type(F.col("public_test_cases"), "stdin").alias("is_stdin"),
+        "public_test_cases",
+        "difficulty",
+        *[c for c in ("global_idx", "_index") if c in problems.columns],
+    )

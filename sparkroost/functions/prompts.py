@@ -99,3 +99,11 @@ def has_test_type(tests: Column, kind: str) -> Column:
     """Does any test in a JSON array have this type? Malformed text: no."""
     parsed = F.from_json(tests, "array<struct<testtype:string>>")
     return F.coalesce(F.exists(parsed, lambda t: t["testtype"] == kind), F.lit(False))
+
+
+def dialogue(prompt: Column) -> Column:
+    """The plain-text dialogue form of a prompt, for models without a chat template."""
+    gap = "\n\n" + " " * 16
+    # The dialogue's opening.
+    opening = f"User: hi{gap}Assistant: Hi. I am your assistant and I will provide expert full response in full details. Please feel free to ask any question and I will always answer it."
+    return F.concat(F.lit(f"{opening}{gap}User: "), prompt, F.lit(f"{gap}Assistant:"))

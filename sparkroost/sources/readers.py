@@ -49,3 +49,98 @@ def metrics_in_log(log: DataFrame) -> DataFrame:
 def write_cache(rows: DataFrame, folder: str) -> None:
     """One folder for each model; only the models in ``rows`` are replaced."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model").json(folder)
+
+
+# The files of the splits.
+SPLITS = {"sub_10": "router_data_10.json", "full": "router_data.json"}
+EVAL_CONFIG = "eval_params struct<dataset:string,eval_metrics:array<string>,setting:string,prompt:string,is_stdin_prompt:string,not_is_stdin_prompt:string>"
+
+
+def dataset(spark: SparkSession, folder: str, split: str) -> DataFrame:
+    """The prompt rows of a split; another name than the splits' is an error."""
+    if split not in SPLITS:
+        raise ValueError(f"no split {split}; there are {', '.join(SPLITS)}")
+    rows = spark.read.option("multiLine", True).schema("`global index` string, global_index string, prompt_formatted string").json(f"{folder}/{SPLITS[split]}")
+    return rows.select(F.coalesce("global_index", "global index").alias("global_index"), "prompt_formatted")
+
+
+def eval_configs(spark: SparkSession, folder: str) -> DataFrame:
+    """The evaluation configurations of a folder, one JSON file for each data set."""
+    return spark.read.option("multiLine", True).schema(EVAL_CONFIG).json(f"{folder}/*.json").select("eval_params.*").where("dataset is not null")
+
+
+def ground_truth(spark: SparkSession, path: str, split: str) -> DataFrame:
+    """The truth of a split, from Parquet, in the names that the joins use. A full split whose first
+    100 answers are all blank has no truth to score by and is an error."""
+    from ..operators.evaluate import has_answers
+
+    raw = spark.read.parquet(path)
+    names = {c.lower().replace(" ", "_"): c for c in raw.columns}
+    rows = raw.select(*[F.col(f"`{c}`").alias(n) for n, c in names.items()])
+    if split == "full" and not has_answers(rows, "global_index"):
+        raise ValueError("the full split has no ground truth answers")
+    return rows
+
+
+def code_problems(spark: SparkSession, path: str) -> DataFrame:
+    """Code problems, held in memory for the look-ups of one evaluation."""
+    return spark.read.parquet(path).cache()
+
+
+def check_router_config(spark: SparkSession, path: str) -> None:
+    """Raises unless a router's configuration has pipeline_params with models."""
+    row = spark.read.text(path, wholetext=True).select(
+        F.get_json_object("value", "$.pipeline_params").alias("params"), F.get_json_object("value", "$.pipeline_params.models").alias("models")
+    ).first()
+    for name in ("params", "models"):
+        if row is None or row[name] is None:
+            raise ValueError(f"the router configuration {path} lacks {'pipeline_params' if name == 'params' else 'models'}")
+
+
+def replace_table(rows: DataFrame, path: str) -> None:
+    """Overwrite JSON lines, also when ``rows`` is read from ``path``: written beside it, then renamed."""
+    spark = rows.sparkSession
+    jvm = spark.sparkContext._jvm
+    beside = path.rstrip("/") + ".new"
+    rows.write.mode("overwrite").json(beside)
+    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(beside)
+    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(old, True)
+    if not fs.rename(new, old):
+        raise OSError(f"could not rename {beside} to {path}")
+
+
+def to_json_lines(spark: SparkSession, path: str, target: str, schema: str = CACHE) -> None:
+    """A JSON array as JSON lines, unless the target is there already."""
+    spark.read.option("multiLine", True).schema(schema).json(path).write.mode("ignore").json(target)
+
+
+def write_cube(cube: DataFrame, folder: str) -> None:
+    """The (model, global_index) cube, one folder for each model."""
+    cube.write.mode("overwrite").partitionBy("model").json(folder)
+
+
+def write_scores(scored: DataFrame, source: str) -> str:
+    """Scores beside the file that they were computed from; the path."""
+    path = source.rstrip("/").removesuffix(".jsonl").removesuffix(".json") + ".scores"
+    replace_table(scored, path)
+    return path
+
+
+def write_summary(summary: DataFrame, folder: str, run_id: str) -> None:
+    """A run's summary under its id, columns in order of their names; earlier runs stay."""
+    named = summary.select(*[F.col(c) for c in sorted(summary.columns)]).withColumn("run_id", F.lit(run_id))
+    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").json(folder)
+
+
+def write_splits(prompts: dict[str, DataFrame], folder: str) -> list[str]:
+    """Write the prompt rows of each split; a failure of a split other than the full one is returned."""
+    failed = []
+    for split, rows in prompts.items():
+        try:
+            rows.select("global_index", "prompt_formatted").write.mode("overwrite").json(f"{folder}/{SPLITS[split]}")
+        except Exception as e:
+            if split == "full":
+                raise
+            failed.append(f"{split}: {e}")
+    return failed

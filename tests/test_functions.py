@@ -43,7 +43,7 @@ def test_boxed_takes_whole_texts(spark):
     texts = odd + [r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").select("id", text.answer(boxed_text(F.col("text"))).alias("x")).collect()
     assert {r.id: r.x for r in rows} == {i: python_ladder(t) for i, t in enumerate(texts)}
-    assert QUERIES["extract_boxed_whole"](spark, DATA).count() == len(texts) - len(odd)
+    assert QUERIES["extract_boxed"](spark, DATA).count() == len(texts) - len(odd)
 
 
 def test_balanced_box(spark):

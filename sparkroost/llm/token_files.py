@@ -1,10 +1,11 @@
 """Token-ID output: flat unsigned integer files with 64-bit document offsets, memory-mapped.
 
-A shard is three files without headers, little-endian, so that any language can map them:
+A shard is four files without headers, little-endian, so that any language can map them:
 
 * ``tokens-<shard>.bin`` the ids of all its documents, uint16 if the vocabulary allows, else uint32;
 * ``tokens-<shard>.off`` ``n + 1`` int64 offsets, in ids, of the documents in the shard;
-* ``tokens-<shard>.ids`` ``n`` int64 doc_ids (the smallest int64 stands for null).
+* ``tokens-<shard>.ids`` ``n`` int64 doc_ids (0 where it is null);
+* ``tokens-<shard>.has`` ``n`` bytes, 0 where the doc_id is null, else 1.
 
 Shards hold ascending ranges of (doc_id, hash of text); a shard's base, the number of ids before
 it, is the prefix sum of the shards' totals. Files are first written under a name of the task
@@ -30,18 +31,18 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import _shared
+from ._chunks import any_of, different, gather, spans
+from ._words import pack
 
 END_ID = 2
 SHARD_BYTES = 32 << 20
-_NULL = np.iinfo(np.int64).min
-#: A run of ASCII spaces with the run of other characters after it.
-CHUNK = re.compile("[\t-\r ]*+[^\t-\r ]+|[\t-\r ]+")
 #: Spaces beyond ASCII, and characters that some Unicode versions count as such.
 WIDE_SPACE = re.compile("[\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
 #: Chunks of one word, with a line end before and marks after it: the byte-level splitter cuts them
@@ -74,23 +75,26 @@ class Encoder:
         self.whole = re.compile("|".join([WIDE_SPACE.pattern, *added]))
         split = spec["pre_tokenizer"] or {}
         self.chunked = split.get("type") == "ByteLevel" and not split["add_prefix_space"] and split.get("use_regex", True) and not spec["normalizer"]
+        #: First bytes of what ``whole`` looks for: a text without them needn't be searched.
+        begins = ["\x85", "\u1680", "\u2000", "\u3000", "\ufeff", *(t["content"] for t in spec["added_tokens"])]
+        self.suspect = np.isin(np.arange(256), [x.encode("utf-8")[0] for x in begins])
         self.char_of = {b: c for c, b in byte_chars().items()}
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.memo: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
-    def _merge(self, word: str) -> bytes:
-        piece = "".join([self.char_of[b] for b in word.encode("utf-8")])
-        return _pack([t.id for t in self.library.model.tokenize(piece)])
+    def _merge(self, word: bytes) -> bytes:
+        return _packed([t.id for t in self.library.model.tokenize("".join([self.char_of[b] for b in word]))])
 
-    def _missing(self, chunk: str) -> bytes:
+    def _missing(self, chunk: bytes) -> bytes:
         """The ids of a chunk that the memo lacks; it forgets the older half when it is full."""
         ids = self.older.get(chunk)
         if ids is None:
-            parts = WORD.fullmatch(chunk) if len(chunk) <= MEMO_CHARS else None
+            text = chunk.decode("utf-8")
+            parts = WORD.fullmatch(text) if len(text) <= MEMO_CHARS else None
             if not parts:
-                ids = _pack(self.library.encode(chunk, add_special_tokens=False).ids)
-            elif parts[2] != chunk:
-                ids = b"".join([self._ids(part) for part in parts.groups() if part])
+                ids = _packed(self.library.encode(text, add_special_tokens=False).ids)
+            elif parts[2] != text:
+                ids = b"".join([self._ids(part.encode("utf-8")) for part in parts.groups() if part])
             else:
                 ids = self._merge(chunk)
         if len(chunk) <= MEMO_CHARS:
@@ -99,20 +103,40 @@ class Encoder:
             self.memo[chunk] = ids
         return ids
 
-    def _ids(self, chunk: str) -> bytes:
+    def _ids(self, chunk: bytes) -> bytes:
         return self.memo.get(chunk) or self._missing(chunk)
 
-    def __call__(self, text: str) -> np.ndarray:
-        if not self.chunked or self.whole.search(text):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
-        chunks = CHUNK.findall(text)
-        found = list(map(self.memo.get, chunks))
-        if None in found:
-            found = [ids or self._ids(chunk) for ids, chunk in zip(found, chunks, strict=True)]
-        return np.frombuffer(b"".join(found), np.uint32)
+    def _in_chunks(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        begin, end, first = spans(data, offsets, lead=True)
+        of, head = different(data, begin, end)
+        raw = data.tobytes()
+        return gather(of, [self._ids(raw[a:b]) for a, b in zip(begin[head].tolist(), end[head].tolist(), strict=True)], first)
+
+    def batch(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids (uint32) of all texts of a column, and where each text's begin (``n + 1`` of them)."""
+        data, offsets = pack(column)
+        odd = any_of(self.suspect[data], offsets) if self.chunked else np.ones(len(column), bool)
+        whole = {}
+        for i in np.flatnonzero(odd).tolist():
+            text = data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8")
+            if not self.chunked or self.whole.search(text):
+                whole[i] = np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+        if not whole:
+            return self._in_chunks(data, offsets)
+        rest = np.ones(len(column), bool)
+        rest[list(whole)] = False
+        tokens, at = self._in_chunks(*pack(column.filter(pa.array(rest))))
+        parts, k = [], 0
+        for i in range(len(column)):
+            if i in whole:
+                parts.append(whole[i])
+            else:
+                parts.append(tokens[at[k] : at[k + 1]])
+                k += 1
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
 
-def _pack(ids: list[int]) -> bytes:
+def _packed(ids: list[int]) -> bytes:
     return array.array("I", ids).tobytes()
 
 
@@ -121,38 +145,35 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _write_shard(path: str, end_id: int, folder: str):
+def _write_shard(vocabulary: str, end_id: int, folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+        from pyspark import SparkFiles, TaskContext
 
         task = TaskContext.get()
-        shard, encode = task.partitionId(), encoder(path)
+        shard, encode = task.partitionId(), encoder(SparkFiles.get(vocabulary))
         kind = np.uint16 if max(encode.size, end_id + 1) <= 1 << 16 else np.uint32
         fs, root = _shared.open_fs(folder)
         fs.create_dir(root, recursive=True)
         trial = f"{root}/trial-{shard}-{task.taskAttemptId()}"
-        ids, lens = [], []
-        end = np.array([end_id], kind)
+        ids, has, lens = [], [], []
         with fs.open_output_stream(f"{trial}.bin") as out:
-            for batch in batches:
-                part = []
-                for text in batch.column(1).to_pylist():
-                    own = encode(text or "")
-                    part += [own.astype(kind), end]
-                    lens.append(len(own) + 1)
-                ids.append(batch.column(0).fill_null(int(_NULL)).to_numpy(zero_copy_only=False))
-                out.write(np.concatenate(part).astype(np.dtype(kind).newbyteorder("<"), copy=False).tobytes() if part else b"")
+            for batch in _shared.parts(batches):
+                tokens, at = encode.batch(batch.column(1))
+                lens.append(np.diff(at) + 1)
+                ids.append(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False))
+                has.append(batch.column(0).is_valid().to_numpy(zero_copy_only=False).astype(np.uint8))
+                out.write(np.insert(tokens.astype(np.dtype(kind).newbyteorder("<")), at[1:], end_id).tobytes())
         if not lens:
             fs.delete_file(f"{trial}.bin")
             return
-        with fs.open_output_stream(f"{trial}.off") as out:
-            out.write(np.concatenate([[0], np.cumsum(lens)]).astype("<i8").tobytes())
-        with fs.open_output_stream(f"{trial}.ids") as out:
-            out.write(np.concatenate(ids).astype("<i8").tobytes())
+        ends = np.cumsum(np.concatenate(lens))
+        for end_of, body in (("off", np.append(0, ends).astype("<i8")), ("ids", np.concatenate(ids).astype("<i8")), ("has", np.concatenate(has))):
+            with fs.open_output_stream(f"{trial}.{end_of}") as out:
+                out.write(body.tobytes())
         name = f"tokens-{shard:06d}-{task.taskAttemptId()}"
-        for end_of in ("bin", "off", "ids"):
+        for end_of in ("bin", "off", "ids", "has"):
             fs.move(f"{trial}.{end_of}", f"{root}/{name}.{end_of}")
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "name": [name], "n_docs": pa.array([len(lens)], pa.int64()), "n_tokens": pa.array([int(sum(lens))], pa.int64()), "width": pa.array([np.dtype(kind).itemsize], pa.int32())})
+        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "name": [name], "n_docs": pa.array([len(ends)], pa.int64()), "n_tokens": pa.array([int(ends[-1])], pa.int64()), "width": pa.array([np.dtype(kind).itemsize], pa.int32())})
 
     return run
 
@@ -167,9 +188,10 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // shard_bytes + 1)
+    vocabulary = _shared.send_file(spark, Path(tokenizer_path).read_bytes(), "tokenizer.json")
     tie = F.xxhash64("text").alias("tie")
     ordered = rows.select("doc_id", "text", tie).repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
-    manifest = _shared.keep(ordered.mapInArrow(_write_shard(tokenizer_path, end_id, folder), MANIFEST), "manifest")
+    manifest = _shared.keep(ordered.mapInArrow(_write_shard(vocabulary, end_id, folder), MANIFEST), "manifest")
     held = sorted(manifest.collect(), key=lambda r: r["shard"])  # one small row for each shard
     base, out = 0, []
     for r in held:
@@ -178,13 +200,13 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     return spark.createDataFrame(out, MANIFEST + ", base long")
 
 
-def map_shard(folder: str, name: str, width: int, n_docs: int, n_tokens: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens, offsets, doc_ids) of a shard; mapped, not read, where the folder is a mount."""
+def map_shard(folder: str, name: str, width: int, n_docs: int, n_tokens: int) -> tuple[np.ndarray, ...]:
+    """(tokens, offsets, doc_ids, has) of a shard; mapped, not read, where the folder is a mount."""
     from pyarrow import fs as pafs
 
     fs, root = _shared.open_fs(folder)
     out = []
-    for end_of, kind, n in (("bin", f"<u{width}", n_tokens), ("off", "<i8", n_docs + 1), ("ids", "<i8", n_docs)):
+    for end_of, kind, n in (("bin", f"<u{width}", n_tokens), ("off", "<i8", n_docs + 1), ("ids", "<i8", n_docs), ("has", "u1", n_docs)):
         if isinstance(fs, pafs.LocalFileSystem):
             out.append(np.memmap(f"{root}/{name}.{end_of}", kind, "r", shape=(n,)))
         else:
@@ -197,15 +219,14 @@ def _read_shards(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                tokens, offsets, ids = map_shard(folder, r["name"], r["width"], r["n_docs"], r["n_tokens"])
+                tokens, offsets, ids, has = map_shard(folder, r["name"], r["width"], r["n_docs"], r["n_tokens"])
                 for lo in range(0, r["n_docs"], 4096):
                     hi = min(lo + 4096, r["n_docs"])
                     part = tokens[offsets[lo] : offsets[hi]].astype("<u4")
                     at = (offsets[lo : hi + 1] - offsets[lo]).tolist()
-                    own = np.array(ids[lo:hi])
                     yield pa.RecordBatch.from_pydict(
                         {
-                            "doc_id": pa.array(own, pa.int64(), mask=own == _NULL),
+                            "doc_id": pa.array(np.array(ids[lo:hi]), pa.int64(), mask=has[lo:hi] == 0),
                             "start": pa.array(offsets[lo:hi] + r["base"], pa.int64()),
                             "n_tokens": pa.array(np.diff(offsets[lo : hi + 1]), pa.int64()),
                             "ids_crc32": pa.array([zlib.crc32(part[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.int64()),

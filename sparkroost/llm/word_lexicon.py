@@ -16,19 +16,23 @@ null ids keep a row each; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import array
 import functools
-import hashlib
 import json
 import re
 from collections import Counter
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import regex
 from pyspark.sql import DataFrame, functions as F
 
 from . import _shared
+from ._chunks import any_of, different, gather, spans
+from ._words import pack
 from .token_files import byte_chars
 
 #: Words in the lexicon, at most: the bound on the compiled file (about 3 MB) and on what the driver gathers.
@@ -39,6 +43,8 @@ LEVELS = 16
 MEMO_WORDS = 400_000
 #: Characters on which all Unicode tables in use agree; a text with others takes the library's path.
 PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa0-ɏ‐-‧‰-⁞]")
+#: Bytes that a text of printable ASCII lacks, and the one that begins added tokens.
+_ODD = ~np.isin(np.arange(256), [9, 10, 13, *range(32, 60), *range(61, 127)])
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
@@ -57,6 +63,7 @@ class WordCutter:
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.added))) + ")") if added else None
         self.bytes_of = byte_chars()
         self.char_of = {b: c for c, b in self.bytes_of.items()}
+        self.known: dict[bytes, list[str]] = {}
 
     def plain(self, text: str) -> list[str]:
         if not PLAIN.search(text):
@@ -64,6 +71,24 @@ class WordCutter:
         cut = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
         return [bytes(self.bytes_of[c] for c in piece).decode("utf-8") for piece, _ in cut]
 
+    def plain_texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(plain, data, offsets): which texts may be cut at ASCII spaces first, each chunk by itself."""
+        data, offsets = pack(column)
+        plain = ~any_of(_ODD[data], offsets)
+        for i in np.flatnonzero(~plain).tolist():
+            text = data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8")
+            plain[i] = not PLAIN.search(text) and "<|" not in text
+        return plain, data, offsets
+
+    def words_of(self, chunk: bytes) -> list[str]:
+        """The words of a chunk of a plain text."""
+        words = self.known.get(chunk)
+        if words is None:
+            if len(self.known) > MEMO_WORDS:
+                self.known.clear()
+            words = self.known[chunk] = self.plain(chunk.decode("utf-8"))
+        return words
+
     def __call__(self, text: str) -> list:
         if not self.special or "<|" not in text:
             return self.plain(text)
@@ -182,14 +207,18 @@ class Lexicon:
 
 
 class Codec:
-    """Texts to ids and back, with a lexicon and a bounded memory of other words."""
+    """Texts to ids and back, with a lexicon and a bounded memory of other words and of chunks."""
 
     def __init__(self, path: str, lexicon: Lexicon, memo_words: int = MEMO_WORDS):
         self.cut, self.lexicon, self.bound = cutter(path), lexicon, memo_words
         self.token = {i: t for t, i in self.cut.library.get_vocab(with_added_tokens=True).items()}
         self.memo: dict = {}
+        self.chunks: dict[bytes, tuple[bytes, bytes]] = {}
 
     def _learn(self, words: set) -> None:
+        if len(self.memo) > self.bound:
+            self.memo.clear()
+        words = words.difference(self.memo)
         own = [w for w in words if isinstance(w, str)]
         for w, ids in zip(own, self.lexicon.lookup([w.encode("utf-8") for w in own]), strict=True):
             self._put(w, self.cut.merge(w) if ids is None else ids.tolist())
@@ -197,32 +226,86 @@ class Codec:
             self._put(w, [w])
 
     def _put(self, word, ids: list[int]) -> None:
-        self.memo[word] = (np.asarray(ids, "<u4").tobytes(), " ".join([self.token[i] for i in ids]) if ids else None)
-
-    def batch(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
-        """(ids as little-endian uint32, decoded text) of each text."""
-        cut = [self.cut(t) for t in texts]
-        if len(self.memo) > self.bound:
-            self.memo.clear()
-        self._learn(set().union(*cut).difference(self.memo))
-        memo = self.memo
-        for words in cut:
-            found = [memo[w] for w in words]
-            yield b"".join([x for x, _ in found]), " ".join([y for _, y in found if y is not None])
-
-
-def _count_words(path: str):
+        self.memo[word] = (array.array("I", ids).tobytes(), "".join([self.token[i] + " " for i in ids]).encode("utf-8"))
+
+    def _joined(self, words: list) -> tuple[bytes, bytes]:
+        """The ids of words, and what they decode to with a space after each that has ids."""
+        if len(words) == 1:
+            return self.memo[words[0]]
+        found = [self.memo[w] for w in words]
+        return b"".join([x for x, _ in found]), b"".join([y for _, y in found])
+
+    def _in_chunks(self, column: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Of texts that are cut into words chunk by chunk."""
+        data, offsets = pack(column)
+        begin, end, first = spans(data, offsets, lead=False)
+        of, head = different(data, begin, end)
+        raw = data.tobytes()
+        own = [raw[a:b] for a, b in zip(begin[head].tolist(), end[head].tolist(), strict=True)]
+        if len(self.chunks) > self.bound:
+            self.chunks.clear()
+        new = {c: self.cut.plain(c.decode("utf-8")) for c in own if c not in self.chunks}
+        self._learn({w for words in new.values() for w in words})
+        for c, words in new.items():
+            self.chunks[c] = self._joined(words)
+        found = [self.chunks[c] for c in own]
+        ids, at = gather(of, [x for x, _ in found], first)
+        shown, to = gather(of, [y for _, y in found], first, np.uint8)
+        last = to[1:][np.diff(to) > 0] - 1  # the space after a text's last word
+        to = to - np.concatenate([[0], np.cumsum(np.diff(to) > 0)])
+        n, shown = len(column), np.delete(shown, last)
+        binary = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(np.ascontiguousarray(at * 4)), pa.py_buffer(np.ascontiguousarray(ids))])
+        return binary, pa.Array.from_buffers(pa.large_string(), n, [None, pa.py_buffer(np.ascontiguousarray(to)), pa.py_buffer(shown)])
+
+    def _whole(self, text: str) -> tuple[bytes, bytes]:
+        words = self.cut(text)
+        self._learn(set(words))
+        ids, shown = self._joined(words)
+        return ids, shown[:-1]
+
+    def batch(self, column: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """(ids as little-endian uint32 in one binary, decoded text) of each text of a column."""
+        plain, data, offsets = self.cut.plain_texts(column)
+        if plain.all():
+            ids, shown = self._in_chunks(column)
+        else:
+            odd = np.flatnonzero(~plain)
+            other = [self._whole(data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8")) for i in odd.tolist()]
+            ids, shown = self._in_chunks(column.filter(pa.array(plain)))
+            place = np.empty(len(column), np.int64)  # of each row among the plain texts, then the others
+            place[plain], place[odd] = np.arange(len(ids)), len(ids) + np.arange(len(odd))
+            ids = pa.concat_arrays([ids, pa.array([x for x, _ in other], pa.large_binary())]).take(pa.array(place))
+            shown = pa.concat_arrays([shown, pa.array([y for _, y in other], pa.large_binary()).cast(pa.large_string())]).take(pa.array(place))
+        return ids.cast(pa.binary()), shown.cast(pa.string())
+
+
+def _count_words(vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, seen = cutter(path), Counter()
+        from pyspark import SparkFiles
+
+        cut = cutter(SparkFiles.get(vocabulary))
+        chunks, seen = Counter(), Counter()
 
         def flush():
+            for chunk, n in chunks.items():
+                for w in cut.words_of(chunk):
+                    seen[w] += n
             yield pa.RecordBatch.from_pydict({"word": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
             seen.clear()
-
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update([w for w in cut(text) if isinstance(w, str)] if "<|" in text else cut(text))
-            if len(seen) > 1_000_000:  # sums continue after the shuffle
+            chunks.clear()
+
+        for batch in _shared.parts(batches):
+            plain, data, offsets = cut.plain_texts(batch.column(0))
+            for i in np.flatnonzero(~plain).tolist():
+                seen.update([w for w in cut(data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8")) if isinstance(w, str)])
+            if not plain.all():
+                data, offsets = pack(batch.column(0).filter(pa.array(plain)))
+            begin, end, _ = spans(data, offsets, lead=False)
+            of, head = different(data, begin, end)
+            raw, many = data.tobytes(), np.bincount(of, minlength=len(head)).tolist()
+            for a, b, n in zip(begin[head].tolist(), end[head].tolist(), many, strict=True):
+                chunks[raw[a:b]] += n
+            if len(chunks) + len(seen) > 1_000_000:  # sums continue after the shuffle
                 yield from flush()
         yield from flush()
 
@@ -233,7 +316,8 @@ def build_lexicon(docs: DataFrame, tokenizer_path: str, text_col: str = "text",
     """Count the words of all texts and compile the most frequent ones, at most ``n_words``: all words
     from the lowest count level (a 16th of a doubling) at which they still fit."""
     rows = docs.select(docs[text_col].cast("string").alias("text")).where("text is not null")
-    counted = rows.mapInArrow(_count_words(tokenizer_path), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    vocabulary = _shared.send_file(docs.sparkSession, Path(tokenizer_path).read_bytes(), "tokenizer.json")
+    counted = rows.mapInArrow(_count_words(vocabulary), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
     counts = _shared.keep(counted.withColumn("level", F.floor(F.log2("n") * LEVELS).cast("int")), "words")
     least, total = None, 0  # the lowest level down to which all words fit
     for level, n in sorted((tuple(r) for r in counts.groupBy("level").count().collect()), reverse=True):  # at most 63 * LEVELS rows
@@ -244,25 +328,19 @@ def build_lexicon(docs: DataFrame, tokenizer_path: str, text_col: str = "text",
     top = counts.where(F.lit(False) if least is None else F.col("level") >= least).select("word")
     cut = cutter(tokenizer_path)
     words = [r[0] for r in top.collect()]  # at most n_words, the stated bound
+    _shared.drop(docs.sparkSession, *_shared.paths(counts))
     return compile_lexicon({w: cut.merge(w) for w in words})
 
 
-def _encode(path: str, name: str):
+def _encode(vocabulary: str, lexicon: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import SparkFiles
 
-        codec = Codec(path, Lexicon(SparkFiles.get(name)))
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            lo = 0
-            while lo < len(texts):
-                hi, size = lo, 0
-                while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= 1 << 21):
-                    size += len(texts[hi])
-                    hi += 1
-                ids, decoded = zip(*codec.batch(texts[lo:hi]), strict=True)
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0)[lo:hi], "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids": pa.array(ids, pa.binary()), "decoded": pa.array(decoded, pa.string())})
-                lo = hi
+        codec = Codec(SparkFiles.get(vocabulary), Lexicon(SparkFiles.get(lexicon)))
+        for batch in _shared.parts(batches):
+            ids, decoded = codec.batch(batch.column(1))
+            n = pa.compute.cast(pa.compute.divide(pa.compute.binary_length(ids), 4), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), n, ids, decoded], ["doc_id", "n_tokens", "ids", "decoded"])
 
     return run
 
@@ -270,11 +348,10 @@ def _encode(path: str, name: str):
 def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", n_words: int = LEXICON_WORDS) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded) for each row; ids are little-endian uint32 in one binary."""
     spark = docs.sparkSession
-    data = build_lexicon(docs, tokenizer_path, text_col, n_words)
-    name = f"lexicon-{hashlib.sha256(data).hexdigest()[:24]}.bin"
-    spark.sparkContext.addFile(_shared.put_bytes(spark, f"{_shared.shared_dir(spark)}/sparkroost/{name}", data))
+    lexicon = _shared.send_file(spark, build_lexicon(docs, tokenizer_path, text_col, n_words), "lexicon.bin")
+    vocabulary = _shared.send_file(spark, Path(tokenizer_path).read_bytes(), "tokenizer.json")
     rows = docs.select(docs[id_col].cast("long"), docs[text_col].cast("string"))
-    return rows.mapInArrow(_encode(tokenizer_path, name), "doc_id long, n_tokens long, ids binary, decoded string")
+    return rows.mapInArrow(_encode(vocabulary, lexicon), "doc_id long, n_tokens long, ids binary, decoded string")
 
 
 def op10_word_lexicon(spark, sf_dir: str) -> DataFrame:

@@ -152,7 +152,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> Rows:
 def _rate(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, empty = model.value
-        for batch in batches:
+        for batch in _shared.parts(batches):
             x = features(*pack(batch.column(1)))
             p = sigmoid(x.dot(w[:-1]) + w[-1])
             p[np.diff(x.begin) == 0] = empty
@@ -179,7 +179,7 @@ class QualityModel:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             w, empty = held.value
-            for batch in batches:
+            for batch in _shared.parts(batches):
                 x = features(*pack(batch.column(at).cast(pa.string())))
                 p = sigmoid(x.dot(w[:-1]) + w[-1])
                 p[np.diff(x.begin) == 0] = empty
@@ -200,7 +200,11 @@ def train(docs: DataFrame, text_col: str = "text", fit_rows: int = FIT_ROWS) ->
     post, table, share = label_model(patterns, counts)
     bad = [int(p) for p, x in zip(patterns, post, strict=True) if x < 0.5]
     once = voted.select("key", "pattern").distinct()
-    keys = {r[0]: r[1] for part in (once, once.where(F.col("pattern").isin(bad))) for r in _shared.bounded_sample(part, fit_rows, "key").collect()}
+    marked = F.broadcast(docs.sparkSession.createDataFrame([(p,) for p in bad], "pattern int"))  # at most 3^11 ints
+    drawn = [_shared.bounded_sample(part, fit_rows, "key").collect() for part in (once, once.join(marked, "pattern", "left_semi").select("key", "pattern"))]
+    keys = {r[0]: r[1] for part in drawn for r in part}
+    texts = dict(map(tuple, once.groupBy("pattern").count().collect()))  # at most 3^11 rows
+    _shared.drop(docs.sparkSession, *_shared.paths(voted))
     spark = docs.sparkSession
     picked = F.broadcast(spark.createDataFrame([(k,) for k in keys], "key long"))  # 2 * fit_rows longs
     sample = rows.join(picked, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
@@ -212,14 +216,18 @@ def train(docs: DataFrame, text_col: str = "text", fit_rows: int = FIT_ROWS) ->
     y = np.array([of[keys[r[0]]] for r in wire])
     some = np.diff(x.begin) > 0
     x, y = x.take(np.flatnonzero(some)), y[some]
-    w = fit(x, np.zeros((len(y), 0)), y) if len(y) else np.zeros(WIDTH + 1)
+    # both classes at their share of all different texts, whatever share of them was drawn
+    low = np.array([of[keys[r[0]]] < 0.5 for r in wire])[some]
+    of_bad = sum(n for p, n in texts.items() if of[p] < 0.5)
+    weight = np.where(low, of_bad / max(1, low.sum()), (sum(texts.values()) - of_bad) / max(1, (~low).sum()))
+    w = fit(x, np.zeros((len(y), 0)), y, weight) if len(y) else np.zeros(WIDTH + 1)
     none = sum(ABSTAIN * 3**i for i in range(LABELLERS))
     empty = float(of.get(none, label_model(np.append(patterns, none), np.append(counts, 0.0))[0][-1]))
     return QualityModel(w, empty, table, share)
 
 
 def _features_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _shared.parts(batches):
         x = features(*pack(batch.column(1)))
         cut = list(zip(x.begin[:-1].tolist(), x.begin[1:].tolist(), strict=True))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.index[a:b].astype(np.int16).tobytes() for a, b in cut], pa.binary()), pa.array([x.value[a:b].astype(np.float32).tobytes() for a, b in cut], pa.binary())], ["key", "index", "value"])

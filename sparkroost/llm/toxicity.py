@@ -40,7 +40,7 @@ def buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _shared.parts(batches):
         begin, index = buckets(*pack(batch.column(1)))
         cut = zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([index[a:b].astype(np.int32).tobytes() for a, b in cut], pa.binary()), *batch.columns[2:]], ["doc_id", "buckets", *batch.schema.names[2:]])
@@ -69,7 +69,7 @@ class Chain:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             chain = Chain(held.value)
-            for batch in batches:
+            for batch in _shared.parts(batches):
                 p = chain.predict(*buckets(*pack(batch.column(1))))
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(p[:, j]) for j in range(p.shape[1]))], ["doc_id", *names])
 
@@ -102,13 +102,14 @@ def _telling(begin: np.ndarray, index: np.ndarray, y: np.ndarray, n: int) -> np.
     return np.sort(names[best[z[best] >= LEAST_Z]])
 
 
-def fit_chain(begin: np.ndarray, index: np.ndarray, labels: dict[str, np.ndarray], features: int = FEATURES, folds: int = FOLDS) -> Chain:
-    """Fit the categories of ``labels`` in their order."""
+def fit_chain(begin: np.ndarray, index: np.ndarray, labels: dict[str, np.ndarray], features: int = FEATURES, folds: int = FOLDS, weight: np.ndarray | None = None) -> Chain:
+    """Fit the categories of ``labels`` in their order; ``weight``: of each row."""
     n = len(begin) - 1
+    weight = np.ones(n) if weight is None else weight * n / max(weight.sum(), 1e-9)
     fold, extra, links = np.arange(n) % folds, np.zeros((n, 0)), []
     for name, y in labels.items():
         y = y.astype(float)
-        share = (y.sum() + 0.5) / (n + 1)
+        share = ((y * weight).sum() + 0.5) / (n + 1)
         if y.sum() < folds or y.sum() > n - folds:
             links.append((name, np.zeros(0, np.int64), np.append(np.zeros(extra.shape[1]), np.log(share / (1 - share)))))
             extra = np.column_stack([extra, np.full(n, share)])
@@ -122,8 +123,8 @@ def fit_chain(begin: np.ndarray, index: np.ndarray, labels: dict[str, np.ndarray
             part = Rows(begin, index, np.ones(len(index)), 1 << BITS).take(a)
             seen = _telling(part.begin, part.index, y[a], features)
             sub = _select(begin, index, seen)
-            out[b] = sigmoid(_margin(sub.take(b), extra[b], fit(sub.take(a), extra[a], y[a], l2=L2, rounds=100)))
-        links.append((name, own, fit(x, extra, y, l2=L2)))
+            out[b] = sigmoid(_margin(sub.take(b), extra[b], fit(sub.take(a), extra[a], y[a], weight[a], l2=L2, rounds=100)))
+        links.append((name, own, fit(x, extra, y, weight, l2=L2)))
         extra = np.column_stack([extra, out])
     return Chain(links)
 
@@ -136,30 +137,25 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_
     known = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(*[F.max(c).alias(c) for c in marks])
     known = known.join(own.select("doc_id").distinct(), "doc_id")
     first = F.coalesce(next(iter(categories.values())).cast("int"), F.lit(0))
-    chosen = [_shared.bounded_sample(known.where(first == k), fit_rows // 2, "doc_id") for k in (1, 0)]
-    picked = docs.sparkSession.createDataFrame([r for part in chosen for r in part.collect()], known.schema)  # at most fit_rows
+    known = known.withColumn("drawn_as", first)
+    every = dict(map(tuple, known.groupBy("drawn_as").count().collect()))
+    chosen = [_shared.bounded_sample(known.where(F.col("drawn_as") == k), fit_rows // 2, "doc_id").collect() for k in (1, 0)]
+    # each class weighs as much as its share of all labelled rows, whatever share of it was drawn
+    weight = {k: every.get(k, 0) / max(1, len(part)) for k, part in zip((1, 0), chosen, strict=True)}
+    picked = docs.sparkSession.createDataFrame([r for part in chosen for r in part], known.schema)  # at most fit_rows
     texts = own.join(F.broadcast(picked.select("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     joined = texts.join(F.broadcast(picked), "doc_id")
-    sample = joined.select("doc_id", "text", *[F.coalesce(c.cast("int"), F.lit(0)).alias(n) for n, c in categories.items()])
-    rows = sample.mapInArrow(_sample, ", ".join(["doc_id long", "buckets binary", *(f"{n} int" for n in categories)])).collect()  # at most fit_rows
+    sample = joined.select("doc_id", "text", "drawn_as", *[F.coalesce(c.cast("int"), F.lit(0)).alias(n) for n, c in categories.items()])
+    rows = sample.mapInArrow(_sample, ", ".join(["doc_id long", "buckets binary", "drawn_as int", *(f"{n} int" for n in categories)])).collect()  # at most fit_rows
     rows.sort(key=lambda r: (r["doc_id"] * 0x9E3779B1 % 0x100000000, r["doc_id"]))
     held = [np.frombuffer(r["buckets"], np.int32).astype(np.int64) for r in rows]
     begin = np.concatenate([[0], np.cumsum([len(x) for x in held])]).astype(np.int64)
-    return fit_chain(begin, np.concatenate(held) if held else np.zeros(0, np.int64), {n: np.array([r[n] for r in rows], float) for n in categories})
-
-
-#: Words by which the labelled toxic texts are told apart into two kinds of category.
-PERSONAL = "idiot moron loser clown scum"
-DEMEANING = "trash pathetic disgusting worthless stupid"
-
-
-def _names(list_of_words: str) -> Column:
-    return F.lower("text").rlike(r"(?<![\p{L}\p{N}])(" + "|".join(list_of_words.split()) + r")(?![\p{L}\p{N}])")
+    return fit_chain(begin, np.concatenate(held) if held else np.zeros(0, np.int64), {n: np.array([r[n] for r in rows], float) for n in categories}, weight=np.array([weight[r["drawn_as"]] for r in rows]))
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    toxic = F.col("toxic") == 1
-    chain = train(docs, labels.select("doc_id", "toxic"), {"toxic": toxic, "personal": toxic & _names(PERSONAL), "demeaning": toxic & _names(DEMEANING)})
+    toxic, quality = F.col("toxic") == 1, F.col("quality")
+    chain = train(docs, labels.select("doc_id", "toxic", "quality"), {"toxic": toxic, "toxic_poor": toxic & (quality == 0), "toxic_good": toxic & (quality == 1)})
     out = chain.score(docs)
     return out.select("doc_id", *[F.round(f"p_{c}", 6).alias(f"p_{c}") for c in chain.categories], (F.col("p_toxic") >= THRESHOLD).alias("toxic"))

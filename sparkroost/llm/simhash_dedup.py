@@ -34,6 +34,8 @@ from . import _shared
 from .components import components
 
 SHINGLE, SEED, MAX_BITS, LIST_ROWS = 3, 42, 2, 512
+#: Entries of the index for each task.
+TASK_ROWS = 2_000_000
 #: Positions (of 8) that make a key of the first index: pairs of two-byte fields.
 FIELDS = [(2 * i, 2 * i + 1, 2 * j, 2 * j + 1) for i, j in combinations(range(4), 2)]
 #: And of the second index, for entries of long lists: any six bytes.
@@ -162,19 +164,21 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _emit(forest)
 
 
-def links(prints: DataFrame, list_rows: int = LIST_ROWS) -> DataFrame:
+def links(prints: DataFrame, list_rows: int = LIST_ROWS, task_rows: int = TASK_ROWS) -> DataFrame:
     """Links (a, b) that connect all fingerprints within ``MAX_BITS`` bits.
 
     ``prints``: (fp, low), each fingerprint once, ``low`` being its representative id.
     """
+    conf = prints.sparkSession.conf
+    parts = max(int(conf.get("spark.sql.shuffle.partitions")), len(FIELDS) * prints.count() // task_rows)
     index = _index(prints, FIELDS)
     size = index.groupBy("list", "key").agg(F.count(F.lit(1)).alias("size"))
     busy = size.where(F.col("size") > list_rows).select("list", "key")
     short = index.join(busy, ["list", "key"], "left_anti")
     again = _index(index.join(busy, ["list", "key"], "left_semi").select("fp", "low").distinct(), SIXES)
     kind = "a long, b long"
-    met = short.repartition("list", "key").mapInArrow(_tally, kind)
-    return met.union(again.repartition("list", "key").mapInArrow(_probe, kind))
+    met = short.repartition(parts, "list", "key").mapInArrow(_tally, kind)
+    return met.union(again.repartition(parts, "list", "key").mapInArrow(_probe, kind))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", list_rows: int = LIST_ROWS) -> DataFrame:
@@ -185,7 +189,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     held = _shared.keep(components(links(once, list_rows)), "components")
     named = once.join(held, F.col("low") == F.col("node"), "left").select(F.col("fp").alias("of"), F.coalesce("component", "low").alias("component_id"))
     out = prints.join(named, F.col("fp") == F.col("of"), "left")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    out = out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return _shared.keep(out, "near", *_shared.paths(prints, once, held))
 
 
 def op3_simhash_dedup(spark, sf_dir: str) -> DataFrame:

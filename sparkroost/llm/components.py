@@ -24,6 +24,11 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b")
 
 
+def _mark(links: DataFrame):
+    """What stays the same if the links do: their number and the sum of their hashes."""
+    return links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node that has a link; component: its smallest node.
 
@@ -32,10 +37,10 @@ def components(links: DataFrame) -> DataFrame:
     """
     a, b = F.greatest("a", "b"), F.least("a", "b")
     now = _shared.keep(links.where("a is not null and b is not null and a <> b").select(a.alias("a"), b.alias("b")).distinct(), "links")
-    mark = now.agg(F.count("*"), F.coalesce(F.sum(F.col("b").cast("decimal(38,0)")), F.lit(0))).first()
+    mark = _mark(now)
     while True:
         new = _shared.keep(_star(_star(now, True), False), "links", *_shared.paths(now))
-        seen = new.agg(F.count("*"), F.coalesce(F.sum(F.col("b").cast("decimal(38,0)")), F.lit(0))).first()
+        seen = _mark(new)
         now = new
         if seen == mark:  # neither star changed a link: each node's smallest neighbour is its root
             break

@@ -29,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import _blocks, _shared
+from ._exchange import FAN, RUN_ITEMS, exchange, parts
 from ._words import U, from_gaps, from_plane, grams, to_gaps, to_plane, words
 
 ORDER, MIN_COUNT, BACKOFF, BITS = 3, 2, 0.4, 64
 #: Orders that are counted together, each set after the one before it.
 TRIPS = ((1, 2), (3,))
+#: Words of the corpus in one range of hashes, about.
 RANGE_WORDS = 2_000_000
 
 
@@ -58,9 +60,10 @@ class _Grams:
         return out
 
 
-@functools.lru_cache(maxsize=2)
-def _edges(ranges: int) -> np.ndarray:
-    return np.array([(r << BITS) // ranges for r in range(1, ranges)], np.uint64)
+@functools.lru_cache(maxsize=8)
+def _edges(ranges: int, first: int = 0, last: int | None = None) -> np.ndarray:
+    """Where the ranges of hashes from ``first`` to ``last`` end, but for the last one's end."""
+    return np.array([(r << BITS) // ranges for r in range(first + 1, ranges if last is None else last)], np.uint64)
 
 
 def _send(ranges: int, orders: tuple[int, ...], before: str | None):
@@ -74,7 +77,7 @@ def _send(ranges: int, orders: tuple[int, ...], before: str | None):
                     sent = own.often(_counts(h, first, n - 1, _blocks.table_of(before, block.block), ranges))
                     fp, count = fp[sent], count[sent]
                 cut = np.concatenate([[0], np.searchsorted(fp, _edges(ranges)), [len(fp)]])
-                rows = [(n * ranges + r, int(b - a), to_gaps(fp[a:b]), to_plane(count[a:b].astype(np.uint32))) for r, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
+                rows = [(n * ranges + r, int(b - a), to_gaps(fp[a:b]), to_plane(count[a:b].astype(np.int64))) for r, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
                 bucket, k, keys, counts = zip(*rows, strict=True) if rows else ((), (), (), ())
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket, pa.int32()), "block": pa.array([block.block] * len(rows), pa.int64()), "n": pa.array(k, pa.int64()), "keys": pa.array(keys, pa.binary()), "counts": pa.array(counts, pa.binary())})
 
@@ -85,27 +88,65 @@ def _join(table: pa.Table) -> pa.Table:
     """One range of a count table, joined to the n-grams that each block sent of it."""
     ns = table.column("n").to_pylist()
     sets = [from_gaps(b, n) for b, n in zip(table.column("keys").to_pylist(), ns, strict=True)]
-    counts = np.concatenate([from_plane(b, n, np.uint32) for b, n in zip(table.column("counts").to_pylist(), ns, strict=True)]).astype(np.int64)
+    counts = np.concatenate([from_plane(b, n, np.int64) for b, n in zip(table.column("counts").to_pylist(), ns, strict=True)])
     every = np.concatenate(sets)
     order = np.argsort(every, kind="stable")
     ranked = every[order]
     heads = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
     total = np.empty(len(every), np.int64)
     total[order] = np.repeat(np.add.reduceat(counts[order], heads), np.diff(np.append(heads, len(every))))
+    return _reply(table.column("block"), table.column("bucket"), ns, total)
+
+
+def _reply(block, bucket, ns: list[int], total: np.ndarray) -> pa.Table:
     bits, totals, at = [], [], 0
     for n in ns:
         own = total[at : at + n]
         bits.append(np.packbits(own >= MIN_COUNT).tobytes())
         totals.append(to_plane(own[own >= MIN_COUNT]))
         at += n
-    return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "n": pa.array(ns, pa.int64()), "bits": pa.array(bits, pa.binary()), "totals": pa.array(totals, pa.binary())})
+    return pa.table({"block": block, "bucket": bucket, "n": pa.array(ns, pa.int64()), "bits": pa.array(bits, pa.binary()), "totals": pa.array(totals, pa.binary())})
+
+
+class _Counts:
+    """Packed n-grams with their counts, for the exchange."""
+
+    sent = "bucket int, block long, n long, keys binary, counts binary"
+    reply = "block long, bucket int, n long, bits binary, totals binary"
+
+    def __init__(self, ranges: int):
+        self.ranges = ranges
+
+    resolve = staticmethod(_join)
+
+    def merge(self, rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        keys, of = np.unique(np.concatenate([from_gaps(r["keys"], r["n"]) for r in rows]), return_inverse=True)
+        counts = np.concatenate([from_plane(r["counts"], r["n"], np.int64) for r in rows])
+        total = np.zeros(len(keys), np.int64)
+        np.add.at(total, of, counts)
+        return keys, total, of
+
+    def split(self, merged: tuple, bucket: int, wide: int) -> Iterator[tuple[int, dict]]:
+        keys, total, _ = merged
+        first = bucket % self.ranges * wide
+        cut = np.concatenate([[0], np.searchsorted(keys, _edges(self.ranges * wide, first, first + wide)), [len(keys)]]).tolist()
+        for sub, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+            if b > a:
+                yield sub, {"n": pa.array([b - a], pa.int64()), "keys": pa.array([to_gaps(keys[a:b])], pa.binary()), "counts": pa.array([to_plane(total[a:b])], pa.binary())}
+
+    def answer(self, merged: tuple, rows: list[dict], replies: list[dict]) -> pa.Table:
+        total = _unpack(replies)[merged[2]]
+        return _reply(pa.array([r["block"] for r in rows], pa.int64()), pa.array([r["bucket"] for r in rows], pa.int32()), [r["n"] for r in rows], total)
 
 
 def _totals(rows: list[dict], n: int, ranges: int) -> np.ndarray:
     """Totals of a block's distinct n-grams of order ``n``, in the order sent; 1 where below 2."""
-    own = [r for r in rows if r["bucket"] // ranges == n]
+    return _unpack([r for r in rows if r["bucket"] // ranges == n])
+
+
+def _unpack(rows: list[dict]) -> np.ndarray:
     out = []
-    for r in own:
+    for r in rows:
         part = np.ones(r["n"], np.int64)
         often = np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=r["n"]).astype(bool)
         part[often] = from_plane(r["totals"], int(often.sum()), np.int64)
@@ -152,19 +193,18 @@ def _score(joined: list[str], ranges: int):
     return run
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = _blocks.BLOCK_BYTES) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = _blocks.BLOCK_BYTES, fan: int = FAN, range_words: int = RANGE_WORDS, run_items: int = RUN_ITEMS) -> DataFrame:
     """(doc_id, n_words, n_full, log10_score, mean_log10) for each row: n_full counts words scored
     at the highest order, log10_score is the sum of the words' log10 S."""
     spark = docs.sparkSession
     staged = _blocks.stage(docs, id_col, text_col, block_bytes)
     table = _blocks.read(spark, staged)
     total = table.agg(F.coalesce(F.sum(F.length("data")), F.lit(0))).first()[0]
-    ranges = int(max(32, total // 2 // RANGE_WORDS))
     joined: list[str] = []
     for orders in TRIPS:
-        sent = table.mapInArrow(_send(ranges, orders, joined[-1] if joined else None), "bucket int, block long, n long, keys binary, counts binary")
-        joined.append(_blocks.reply(sent.groupBy("bucket").applyInArrow(_join, "block long, bucket int, n long, bits binary, totals binary"), "counts"))
-    out = _shared.keep(table.mapInArrow(_score(joined, ranges), "doc_id long, n_words long, log double, n_single long, n_full long"), "scores", staged, *joined, large_rows=True)
+        sent = table.mapInArrow(_send(fan, orders, joined[-1] if joined else None), _Counts.sent)
+        joined.append(exchange(sent, _Counts(fan), parts(total // 2, range_words, fan), "counts", run_items))
+    out = _shared.keep(table.mapInArrow(_score(joined, fan), "doc_id long, n_words long, log double, n_single long, n_full long"), "scores", staged, *joined, large_rows=True)
     n = out.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
     whole = F.col("log") - F.col("n_single") * F.lit(float(np.log10(max(n, 1))))
     return out.select("doc_id", "n_words", "n_full", whole.alias("log10_score"), F.when(F.col("n_words") > 0, whole / F.col("n_words")).alias("mean_log10"))

@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import _blocks, _shared
+from ._exchange import FAN, RUN_ITEMS, exchange, parts
 from ._words import U, _P, from_gaps, from_plane, grams, mix, to_gaps, to_plane, words
 
 MIN_WORDS = 13
@@ -140,6 +141,46 @@ def _screen(table: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array(blocks, pa.int64()), "bucket": table.column("bucket"), "n": pa.array(ns, pa.int64()), "bits": pa.array(out, pa.binary())})
 
 
+class _Prints:
+    """Packed fingerprints of windows, for the exchange."""
+
+    sent = "bucket int, block long, n long, body binary"
+    reply = "block long, bucket int, n long, bits binary"
+    resolve = staticmethod(_screen)
+
+    def __init__(self, bits: int, ranges: int):
+        self.bits, self.ranges = bits, ranges
+
+    def merge(self, rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        keys, of, many = np.unique(np.concatenate([from_gaps(r["body"], r["n"]) for r in rows]), return_inverse=True, return_counts=True)
+        return keys, of, many
+
+    def split(self, merged: tuple, bucket: int, wide: int) -> Iterator[tuple[int, dict]]:
+        keys, every = merged[0], self.ranges * wide
+        inner = np.array([(r << self.bits) // every for r in range(bucket * wide + 1, (bucket + 1) * wide)], np.uint64)
+        cut = np.concatenate([[0], np.searchsorted(keys, inner), [len(keys)]]).tolist()
+        for sub, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+            if b > a:
+                yield sub, {"n": pa.array([b - a], pa.int64()), "body": pa.array([to_gaps(keys[a:b])], pa.binary())}
+
+    def answer(self, merged: tuple, rows: list[dict], replies: list[dict]) -> pa.Table:
+        _, of, many = merged
+        return _bits_back(rows, (_flags(replies) | (many > 1))[of])
+
+
+def _flags(rows: list[dict]) -> np.ndarray:
+    """The bits of replies, in their order."""
+    return np.concatenate([np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=r["n"]).astype(bool) for r in rows]) if rows else np.zeros(0, bool)
+
+
+def _bits_back(rows: list[dict], flag: np.ndarray) -> pa.Table:
+    out, at = [], 0
+    for r in rows:
+        out.append(np.packbits(flag[at : at + r["n"]]).tobytes())
+        at += r["n"]
+    return pa.table({"block": pa.array([r["block"] for r in rows], pa.int64()), "bucket": pa.array([r["bucket"] for r in rows], pa.int32()), "n": pa.array([r["n"] for r in rows], pa.int64()), "bits": pa.array(out, pa.binary())})
+
+
 def _groups_of(win: _Windows, at: np.ndarray, hot: list[np.ndarray], groups: int) -> np.ndarray:
     """The group of each suffix: by the shortest prefix that is not hot."""
     group = np.zeros(len(at), np.int64)
@@ -163,7 +204,7 @@ def _survivors(win: _Windows, block: int, path: str, bits: int) -> np.ndarray:
     rows = _blocks.table_of(path, block)
     kept = win.high > win.low
     if rows:
-        back = np.concatenate([np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=r["n"]).astype(bool) for r in rows])
+        back = _flags(rows)
         t = win.fp >> U(64 - bits)
         kept |= back[np.cumsum(np.append(0, t[1:] != t[:-1]))]
     return np.flatnonzero(kept)
@@ -198,37 +239,42 @@ def _send_suffixes(n: int, bits: int, screen: str, hot, groups: int):
             order, edges, text = _dealt(win, win.where[kept], prefixes, groups, n)
             for g in np.flatnonzero(np.diff(edges)).tolist():
                 own = order[edges[g] : edges[g + 1]]
-                head = (text[0][own].astype(np.uint64) << U(32)) | text[1][own]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "bucket": pa.array([g], pa.int32()),
-                        "block": pa.array([block.block], pa.int64()),
-                        "n": pa.array([len(own)], pa.int64()),
-                        "head": pa.array([to_gaps(head)], pa.binary()),
-                        "rest": pa.array([text[2:][:, own].tobytes()], pa.binary()),
-                        "low": pa.array([to_plane(win.low[kept[own]])], pa.binary()),
-                        "count": pa.array([to_plane(win.count[kept[own]].astype(np.uint32))], pa.binary()),
-                    }
-                )
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array([g], pa.int32()), "block": pa.array([block.block], pa.int64()), **_suffix_row(text[:, own], win.low[kept[own]], win.count[kept[own]])})
 
     return run
 
 
+def _read_suffixes(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, low, count) of the suffixes of all rows."""
+    columns, low, count = [], [], []
+    for r in rows:
+        head = from_gaps(r["head"], r["n"])
+        rest = np.frombuffer(r["rest"], np.uint32).reshape(-1, r["n"])
+        columns.append(np.concatenate([[(head >> U(32)).astype(np.uint32), head.astype(np.uint32)], rest]))
+        low.append(from_plane(r["low"], r["n"], np.int64))
+        count.append(from_plane(r["count"], r["n"], np.uint32))
+    return np.concatenate(columns, axis=1), np.concatenate(low), np.concatenate(count)
+
+
+def _suffix_row(text: np.ndarray, low: np.ndarray, count: np.ndarray) -> dict:
+    """Suffixes in order of their first two symbols as columns of one row."""
+    head = (text[0].astype(np.uint64) << U(32)) | text[1]
+    return {
+        "n": pa.array([len(low)], pa.int64()),
+        "head": pa.array([to_gaps(head)], pa.binary()),
+        "rest": pa.array([np.ascontiguousarray(text[2:]).tobytes()], pa.binary()),
+        "low": pa.array([to_plane(low)], pa.binary()),
+        "count": pa.array([to_plane(count.astype(np.uint32))], pa.binary()),
+    }
+
+
 class _Subtree:
     """Sorted suffixes of one group, cut at the wanted depth, and the symbols that neighbours share."""
 
     def __init__(self, table: pa.Table):
         rows = table.to_pylist()
-        columns, low, count = [], [], []
-        for r in rows:
-            head = from_gaps(r["head"], r["n"])
-            rest = np.frombuffer(r["rest"], np.uint32).reshape(-1, r["n"])
-            columns.append(np.concatenate([[(head >> U(32)).astype(np.uint32), head.astype(np.uint32)], rest]))
-            low.append(from_plane(r["low"], r["n"], np.int64))
-            count.append(from_plane(r["count"], r["n"], np.uint32))
         self.sizes = [(r["block"], r["n"]) for r in rows]
-        self.text = np.concatenate(columns, axis=1)
-        self.low, self.count = np.concatenate(low), np.concatenate(count).astype(np.int64)
+        self.text, self.low, self.count = _read_suffixes(rows)
         self.order = np.lexsort(self.text[::-1])
         same = np.ones(self.text.shape[1] - 1, bool)
         self.lcp = np.zeros(self.text.shape[1], np.int64)  # of a suffix and the one before it
@@ -256,6 +302,45 @@ def _resolve(table: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array([b for b, _ in tree.sizes], pa.int64()), "bucket": table.column("bucket"), "n": pa.array([k for _, k in tree.sizes], pa.int64()), "bits": pa.array(out, pa.binary())})
 
 
+class _Suffixes:
+    """Packed suffixes, for the exchange. A bucket's parts hold longer prefixes: the first two symbols."""
+
+    sent = "bucket int, block long, n long, head binary, rest binary, low binary, count binary"
+    reply = "block long, bucket int, n long, bits binary"
+    resolve = staticmethod(_resolve)
+
+    def merge(self, rows: list[dict]) -> tuple[np.ndarray, ...]:
+        text, low, count = _read_suffixes(rows)
+        order = np.lexsort(text[::-1])
+        ranked = text[:, order]
+        new = np.append(True, (ranked[:, 1:] != ranked[:, :-1]).any(axis=0))
+        heads, of = np.flatnonzero(new), np.empty(len(low), np.int64)
+        of[order] = np.cumsum(new) - 1
+        return ranked[:, heads], np.minimum.reduceat(low[order], heads), np.add.reduceat(count[order].astype(np.int64), heads), of, low
+
+    def _dealt(self, text: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray]:
+        sub = (mix((text[0].astype(np.uint64) << U(32)) | text[1]) % U(wide)).astype(np.int64)
+        order = np.lexsort((text[1], text[0], sub))
+        return order, np.searchsorted(sub[order], np.arange(wide + 1))
+
+    def split(self, merged: tuple, bucket: int, wide: int) -> Iterator[tuple[int, dict]]:
+        text, low, count, *_ = merged
+        order, edges = self._dealt(text, wide)
+        for sub in np.flatnonzero(np.diff(edges)).tolist():
+            own = order[edges[sub] : edges[sub + 1]]
+            yield sub, _suffix_row(text[:, own], low[own], np.minimum(count[own], np.iinfo(np.uint32).max))
+
+    def answer(self, merged: tuple, rows: list[dict], replies: list[dict]) -> pa.Table:
+        text, low, _, of, own = merged
+        order, _ = self._dealt(text, self.wide)
+        below = np.empty(len(low), bool)
+        below[order] = _flags(replies)
+        return _bits_back(rows, below[of] | (own > low[of]))
+
+    def __init__(self, wide: int):
+        self.wide = wide
+
+
 def _cut(n: int, bits: int, screen: str, marks: str, hot, groups: int, names: list[str] | None, at_text: int):
     """Removal. ``names``: give the rows of the input with these columns, else the report."""
 
@@ -268,7 +353,7 @@ def _cut(n: int, bits: int, screen: str, marks: str, hot, groups: int, names: li
             rows = _blocks.table_of(marks, block.block)
             if rows:
                 order, _, _ = _dealt(win, win.where[kept], prefixes, groups, n)
-                below[kept[order]] = np.concatenate([np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=r["n"]).astype(bool) for r in rows])
+                below[kept[order]] = _flags(rows)
             hit = below[win.cls] | (win.low[win.cls] < win.id)
             delta = np.zeros(len(win.h) + 1, np.int32)
             at = win.at[hit]
@@ -326,13 +411,13 @@ def rewrite(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     return _run(docs, id_col, text_col, min_words, group_suffixes, block_bytes, True)
 
 
-def _run(docs: DataFrame, id_col: str, text_col: str, min_words: int, group_suffixes: int, block_bytes: int, whole: bool) -> DataFrame:
+def _run(docs: DataFrame, id_col: str, text_col: str, min_words: int, group_suffixes: int, block_bytes: int, whole: bool, fan: int = FAN, range_windows: int = RANGE_WINDOWS, run_items: int = RUN_ITEMS) -> DataFrame:
     spark = docs.sparkSession
     staged = _blocks.stage(docs, id_col, text_col, block_bytes, whole)
     table = _blocks.read(spark, staged)
     total, n_blocks = table.select(F.coalesce(F.sum(F.length("data")), F.lit(0)), F.count(F.lit(1))).first()
     upper = total // 2 + 1  # a word and a space at least
-    ranges, bits = int(max(64, upper // RANGE_WINDOWS)), _bits_for(upper)
+    ranges, bits = fan, _bits_for(upper)
     least = max(2, group_suffixes // (2 * max(1, n_blocks)))  # all that blocks leave out of a prefix is half a group at most
     bare = table.drop("carry")
     sent = _shared.write(bare.mapInArrow(_send_windows(min_words, bits, ranges, least), "bucket int, block long, n long, key long, body binary"), _shared.scratch(spark, "windows"), large_rows=True)
@@ -340,14 +425,12 @@ def _run(docs: DataFrame, id_col: str, text_col: str, min_words: int, group_suff
     found = rows.where("bucket = -1").groupBy(F.col("block").alias("depth"), "key").agg(F.sum("n").alias("n")).where(F.col("n") > group_suffixes // 2).collect()  # at most 2 * min_words * windows / group_suffixes
     hot = [np.sort(np.array([r["key"] for r in found if r["depth"] == d], np.int64).view(np.uint64)) for d in range(1, max([0, *(r["depth"] for r in found)]) + 1)]
     prefixes = spark.sparkContext.broadcast(hot)
-    back = "block long, bucket int, n long, bits binary"
-    screen = _blocks.reply(rows.where("bucket >= 0").drop("key").groupBy("bucket").applyInArrow(_screen, back), "screen")
+    screen = exchange(rows.where("bucket >= 0").drop("key"), _Prints(bits, ranges), parts(upper, range_windows, fan), "screen", run_items)
     _shared.drop(spark, sent)
-    alive = rows_alive(spark, screen, back)
-    groups = int(max(64, alive // group_suffixes + 1))
-    kind = "bucket int, block long, n long, head binary, rest binary, low binary, count binary"
-    suffixes = bare.mapInArrow(_send_suffixes(min_words, bits, screen, prefixes, groups), kind)
-    marks = _blocks.reply(suffixes.groupBy("bucket").applyInArrow(_resolve, back), "marks")
+    alive = rows_alive(spark, screen, _Prints.reply)
+    groups, wide = fan, parts(alive, group_suffixes, fan)
+    suffixes = bare.mapInArrow(_send_suffixes(min_words, bits, screen, prefixes, groups), _Suffixes.sent)
+    marks = exchange(suffixes, _Suffixes(wide), wide, "marks", run_items)
     names, at_text, schema = None, 0, _REPORT
     if whole:
         at_text = docs.columns.index(text_col)

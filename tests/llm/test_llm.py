@@ -83,6 +83,20 @@ def test_hot_prefixes_are_extended(spark, monkeypatch):
     assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_text) for r in got) == brute_repeats(rows)
 
 
+def test_two_steps_of_exchange_give_the_same(spark):
+    """Buckets too large for a task: runs, parts of buckets, answers translated back."""
+    rng = random.Random(12)
+    words = [f"t{k}" for k in range(30)]
+    base = [" ".join(rng.choices(words, k=50)) for _ in range(5)]
+    rows = awkward() + [(100 + i, " ".join([rng.choice(base), *rng.choices(words, k=15), rng.choice(base)[25:]])) for i in range(40)]
+    table = docs(spark, rows)
+    got = substring_dedup._run(table, "doc_id", "text", 13, 30, 3000, False, fan=4, range_windows=500, run_items=700).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_text) for r in got) == brute_repeats(rows)
+    key = lambda r: (str(r.doc_id), r.n_words, r.n_full, round(r.log10_score, 6))
+    one = sorted(map(key, lm_score.score(table).collect()))
+    assert sorted(map(key, lm_score.score(table, block_bytes=3000, fan=4, range_words=500, run_items=700).collect())) == one
+
+
 def brute_groups(fps, ids):
     up = {i: i for i in ids}
 

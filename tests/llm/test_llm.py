@@ -413,3 +413,123 @@ def test_pipeline(spark):
     assert one.columns == first.columns and one.count() == one.select("doc_id").distinct().count()
     digest = {r.doc_id: hashlib.sha256(r.ids).hexdigest() for r in out}
     assert len(digest) == len(out)
+
+
+def test_fingerprint_equals_its_definition():
+    import xxhash
+
+    for text in (t or "" for _, t in awkward()[:-4]):
+        w = [x.lower() for x in text.encode().split()]
+        h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 3]), 42) for i in range(max(1, len(w) - 2))] if w else []
+        want = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+        assert simhash_dedup.fingerprint(text.encode()) == want
+
+
+def test_components_of_large_ids(spark):
+    top = (1 << 63) - 1
+    links = [(top - i, top - i - 1) for i in range(40)] + [(-(1 << 63), 5), (5, None), (7, 7)]
+    got = dict(map(tuple, components.components(spark.createDataFrame(links, "a long, b long")).collect()))
+    assert {got[top - i] for i in range(41)} == {top - 40} and got[5] == -(1 << 63) and 7 not in got
+
+
+def test_chat_ties_long_texts_and_empty_logs(spark):
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "user", "a"), (1, None, None, None), (2, 3, "assistant", LONG), (None, 1, "user", "x"), (None, 1, "user", "y")]
+    turns = spark.createDataFrame([(*r, 5) for r in rows], "conv_id long, turn long, role string, text string, message long")
+    out = {r.conv_id: chat_format.parse(r.formatted) for r in chat_format.format_events(chat_format.events_of(turns), in_order=True).collect()}
+    assert out == {1: [("", ""), ("user", "a"), ("user", "a"), ("user", "b")], 2: [("assistant", LONG)], None: [("user", "x"), ("user", "y")]}
+    assert chat_format.format_events(chat_format.events_of(turns.limit(0)), in_order=True).count() == 0
+
+
+def test_neighbours_ties_and_repeated_ids(spark):
+    rows = [(i, [1.0, float(i % 3)], 1) for i in range(12)] + [(3, [1.0, 0.0], 2), (0, [1.0, 0.5], 3)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int")
+    got = [(r.rank, r.vec_id, r.score) for r in anisotropic_index.search(table, table.where("vec_id = 0")).collect()]
+    assert sorted(got)[:4] == [(1, 3, 0.0), (2, 3, 0.0), (3, 6, 0.0), (4, 9, 0.0)] and len(got) == 10
+
+
+def test_token_files_hold_every_id_and_long_texts(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path, least = public_tokenizers.path("byte_bpe_50k.json"), -(1 << 63)
+    folder = _shared.scratch(spark, "tokens")
+    manifest = token_files.write_tokens(docs(spark, [(least, LONG), (None, "none"), (0, "zero")]), folder, path)
+    got = {r.doc_id: r.n_tokens for r in token_files.read_index(manifest, folder).collect()}
+    n = lambda t: len(Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids) + 1
+    assert got == {least: n(LONG), None: n("none"), 0: n("zero")}
+
+
+def test_chunks_compare_every_byte():
+    from sparkroost.llm import _chunks
+
+    rng = random.Random(2)
+    runs = ["a", "a\0", "\0a", "x" * 16, "x" * 17, "x" * 15 + "y", "yx" * 20, "é" * 8, "é" * 9]
+    texts = [" ".join(rng.choices(runs, k=rng.randint(0, 30))) + rng.choice(["", " ", "\n "]) for _ in range(50)]
+    import pyarrow as pa
+
+    data, offsets = _words.pack(pa.array(texts))
+    for lead in (False, True):
+        begin, end, first = _chunks.spans(data, offsets, lead)
+        of, head = _chunks.different(data, begin, end)
+        raw = data.tobytes()
+        own = [raw[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+        assert [own[head[k]] for k in of.tolist()] == own and len(set(own)) == len(head)
+        for i, text in enumerate(texts):
+            part = own[first[i] : first[i + 1]]
+            assert b"".join(part) == text.encode() if lead else part == text.encode().split()
+
+
+def test_latent_space_equals_a_dense_decomposition(spark):
+    rng = np.random.default_rng(4)
+    names = [f"w{k}" for k in range(20)]
+    texts = [" ".join(rng.choice(names, 90)) for _ in range(30)]
+    vocabulary = np.unique(decontaminate._hashes(" ".join(names)))
+    codes = docs(spark, list(enumerate(texts))).select("doc_id", "text").mapInArrow(decontaminate._encode(spark.sparkContext.broadcast(vocabulary)), decontaminate._CODES).cache()
+    column = np.arange(-1, 20, dtype=np.int32)
+    idf, bench = rng.uniform(1, 3, 20), rng.uniform(0, 2, (30, 20))
+    vectors, values = decontaminate.latent_space(codes, False, column, idf, bench)
+    units = np.concatenate([np.frombuffer(r.codes, np.uint16).reshape(-1, decontaminate.UNIT) for r in codes.collect()])
+    dense = np.stack([np.bincount(u, minlength=21)[1:] for u in units]) * idf
+    want = np.linalg.svd(np.concatenate([dense, bench]), full_matrices=False)
+    assert np.allclose(values, want[1], rtol=1e-3)
+    assert np.allclose(np.abs((vectors * want[2].T).sum(0))[:3], 1, atol=1e-2)
+
+
+def test_toxicity_on_held_out_labels(spark):
+    sf = DATA.replace("0.001", "0.1")
+    labels, table = spark.read.parquet(f"{sf}/labels.parquet"), spark.read.parquet(f"{sf}/documents.parquet")
+    toxic = F.col("toxic") == 1
+    chain = toxicity.train(table, labels.where("doc_id % 4 <> 0"), {"toxic": toxic, "toxic_good": toxic & (F.col("quality") == 1)})
+    held = chain.score(table).join(labels.where("doc_id % 4 = 0"), "doc_id")
+    for name, real in (("toxic", toxic), ("toxic_good", toxic & (F.col("quality") == 1))):
+        said = F.col(f"p_{name}") >= 0.5
+        hit, found, there = held.agg(F.count_if(said & real), F.count_if(said), F.count_if(real)).first()
+        assert hit >= 0.75 * there and hit >= 0.85 * found
+
+
+def test_stages_take_awkward_and_empty_tables(spark):
+    import corpus_pipeline
+
+    clean = " ".join(f"the {k} and of word{k * 7 % 13}" for k in range(30))
+    rows = [*awkward(), (20, clean), (None, clean + " end")]
+    table = docs(spark, rows).withColumn("key", F.lit(1)).withColumn("component", F.lit("c"))
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        out = stage(spark, table.drop("key"), DATA)
+        assert out.columns == table.drop("key").columns, name
+        assert stage(spark, table.drop("key").limit(0), DATA).count() == 0, name
+    kept = corpus_pipeline.near_duplicate(spark, table.drop("key"), DATA).collect()
+    assert sorted(r.doc_id for r in kept if r.doc_id and r.doc_id > 3) == [4, 5, 7, 9, 20]  # 10 shares 11 of 13 shingles with 5
+    assert len(corpus_pipeline.encode(spark, table.limit(0), DATA).collect()) == 0
+
+
+def test_no_local_folder_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+        _jsc = type("J", (), {"sc": lambda self: type("S", (), {"getCheckpointDir": lambda self: type("O", (), {"isDefined": lambda self: False})()})()})()
+
+    class Session:
+        conf = type("C", (), {"get": lambda self, k, d=None: d})()
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        _shared.shared_dir(Session())

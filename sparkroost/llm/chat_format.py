@@ -117,29 +117,31 @@ def _fold_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pylist(rows, _OUT)
 
 
-def format_events(events: DataFrame) -> DataFrame:
+def format_events(events: DataFrame, in_order: bool = False) -> DataFrame:
     """(conv_id, n_turns, formatted, loss) of each conversation of an event log with the columns
-    conv_id (long), seq (of any type with an order), message (long), kind, role, text."""
-    own = events.select(F.col("conv_id").cast("long"), "seq", F.col("message").cast("long"), "kind", "role", "text")
-    ordered = own.repartition("conv_id").sortWithinPartitions("conv_id", "seq", "message", "kind", "text")
-    return ordered.select("conv_id", "message", "kind", "role", "text").mapInArrow(_fold_sorted, "conv_id long, n_turns long, formatted string, loss array<struct<start:long,end:long>>")
+    conv_id (long), seq (of any type with an order), message (long), kind, role, text. ``in_order``:
+    each conversation lies in one partition already, its events in order (as ``events_of`` gives them)."""
+    own = events.select(F.col("conv_id").cast("long"), F.col("message").cast("long"), "kind", "role", "text", *([] if in_order else ["seq"]))
+    if not in_order:
+        own = own.repartition("conv_id").sortWithinPartitions("conv_id", "seq", "message", "kind", "text")
+    return own.select("conv_id", "message", "kind", "role", "text").mapInArrow(_fold_sorted, "conv_id long, n_turns long, formatted string, loss array<struct<start:long,end:long>>")
 
 
 def events_of(turns: DataFrame) -> DataFrame:
-    """The event log of finished turns (conv_id, turn, role, text): each turn is opened and then
-    streamed as two deltas. Turns that tie are ordered by role and text; repeated rows stay."""
+    """The event log of finished turns (conv_id, turn, role, text), partitioned by conversation and in
+    order: each turn is opened and then streamed as two deltas. Turns that tie are ordered by role and
+    text; repeated rows stay. A text moves once, as a turn; its events are made after the sort."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    own = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), text.alias("text"))
+    own = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), text.alias("text"))
+    ordered = own.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    rows = ordered.withColumn("message", F.monotonically_increasing_id())
     half = F.floor(F.length("text") / 2).cast("int")
     steps = F.array(
-        F.struct(F.lit(0).alias("step"), F.lit("start").alias("kind"), F.lit("").alias("text")),
-        F.struct(F.lit(1).alias("step"), F.lit("delta").alias("kind"), F.expr("substr(text, 1, cast(floor(length(text) / 2) as int))").alias("text")),
-        F.struct(F.lit(2).alias("step"), F.lit("delta").alias("kind"), F.col("text").substr(half + 1, F.length("text")).alias("text")),
+        F.struct(F.lit("start").alias("kind"), F.lit("").alias("text")),
+        F.struct(F.lit("delta").alias("kind"), F.col("text").substr(F.lit(1), half).alias("text")),
+        F.struct(F.lit("delta").alias("kind"), F.col("text").substr(half + 1, F.length("text")).alias("text")),
     )
-    tie = F.struct("turn", "role", F.col("text").alias("whole"), "row")
-    rows = own.withColumn("row", F.monotonically_increasing_id())
-    out = rows.select("conv_id", tie.alias("tie"), "row", "role", F.explode(steps).alias("e"))
-    return out.select("conv_id", F.struct("tie", F.col("e.step").alias("step")).alias("seq"), F.col("row").alias("message"), F.col("e.kind").alias("kind"), "role", F.col("e.text").alias("text"))
+    return rows.select("conv_id", "message", "role", F.explode(steps).alias("e")).select("conv_id", "message", F.col("e.kind").alias("kind"), "role", F.col("e.text").alias("text"))
 
 
 _READ = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
@@ -166,7 +168,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
 def op1_chat_format(spark, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
-    return read_back(format_events(events_of(turns.unionByName(probe))))
+    return read_back(format_events(events_of(turns.unionByName(probe)), in_order=True))
 
 
 OP1_SQL = r"""

@@ -152,7 +152,7 @@ def _scan(dim: int, books, k: int, rerank: int):
                     least = np.partition(own, min(rerank, free) - 1)[min(rerank, free) - 1]
                     sure = np.flatnonzero(own < least)
                     best = np.concatenate([sure, np.flatnonzero(own == least)[: max(0, min(rerank, free) - len(sure))]])
-                    exact = np.sqrt(((x[best] - q[i]) ** 2).sum(1))
+                    exact = np.sqrt(np.add.accumulate((x[best] - q[i]) ** 2, axis=1)[:, -1])  # added in order of dimension
                     top = np.lexsort((ids[best], exact))[:k]
                     out[0].append(np.full(len(top), asked[i]))
                     out[1].append(ids[best][top])
@@ -192,13 +192,28 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_
     blocks = blocks.select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
     size = blocks.agg(F.coalesce(F.sum(F.length("q_vectors")), F.lit(0))).first()[0]
     blocks = blocks.repartition(max(1, size // (QUERY_BLOCK * dim * 8)))
-    index = points.mapInArrow(_pack_rows(dim, books, ROW_BLOCK), _PACKED)
+    index = _shared.keep(points.mapInArrow(_pack_rows(dim, books, ROW_BLOCK), _PACKED), "index")
     pairs = index.crossJoin(F.broadcast(blocks) if size <= BROADCAST_BYTES else blocks)
     found = pairs.mapInArrow(_scan(dim, books, k, rerank), kind)
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return _shared.keep(best, "nearest", *_shared.paths(index, blocks))
 
 
 def op5_anisotropic_index(spark, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return search(rows, rows.where("vec_id % 100 = 0"))
+
+
+#: Exact neighbours: equal to the index's results where its recall is 1, as on tables of few rows a block.
+OP5_SQL = """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+ok AS (SELECT vec_id, e, len(e) AS d FROM v
+       WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+most AS (SELECT d FROM ok GROUP BY d ORDER BY count(*) DESC, d DESC LIMIT 1),
+p AS (SELECT vec_id, e FROM ok JOIN most USING (d)),
+q AS (SELECT vec_id AS query_id, min(e) AS qe FROM p WHERE vec_id % 100 = 0 GROUP BY vec_id),
+pair AS (SELECT query_id, vec_id, sqrt(list_reduce(list_transform(range(1, len(e) + 1), lambda i: (e[i] - qe[i]) * (e[i] - qe[i])), lambda a, b: a + b)) AS score FROM q JOIN p ON p.vec_id <> q.query_id),
+ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank, vec_id, score FROM pair)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10
+"""

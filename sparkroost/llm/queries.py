@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .anisotropic_index import op5_anisotropic_index
+from .anisotropic_index import OP5_SQL, op5_anisotropic_index
 from .chat_format import OP1_SQL, op1_chat_format
 from .decontaminate import op4_decontaminate
 from .lm_score import OP9_SQL, op9_lm_score
@@ -30,4 +30,4 @@ QUERIES = {
 }
 
 #: Where SQL can't express an operator, tests hold it against brute force instead.
-ORACLES = {"op1_chat_format": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op9_lm_score": OP9_SQL}
+ORACLES = {"op1_chat_format": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op5_anisotropic_index": OP5_SQL, "op9_lm_score": OP9_SQL}

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import answers, evaluation, prompting, routing
+from .plans import answers, evaluation, files, prompting, routing
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for part in (routing, prompting, answers, evaluation):
+for part in (routing, prompting, answers, evaluation, files):
     QUERIES.update(part.QUERIES)
     ORACLES.update(part.ORACLES)

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
+from ..functions import symbolic
 from ..functions import text as T
-from .views import view, with_views
+from .views import tables, view, with_views
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -63,16 +64,39 @@ def boxed_text(text):
     return F.concat(F.lit("thus \\boxed{ \\text{"), F.coalesce(text, F.lit("")), F.lit("} } or \\boxed{B}"))
 
 
-_NUM = "round(l_extendedprice, 2)"
+#: Answers with a number, and truths that are it, a hundredth of it, the number of another column, or no number.
+_AMOUNTS = r"""SELECT l_orderkey, l_partkey, l_linenumber, CASE CAST(l_partkey % 6 AS INT) WHEN 0 THEN concat('the result is \boxed{x = ', q, ',000}') WHEN 1 THEN concat('Final answer: ', q)
+  WHEN 2 THEN concat('\boxed{', q, '\%}') WHEN 3 THEN concat('answer is ', q, '.0') WHEN 4 THEN concat('no more than ', q, ' of ', p) ELSE 'none at all' END AS text,
+ CASE CAST(l_suppkey % 5 AS INT) WHEN 0 THEN concat(q, '000') WHEN 1 THEN q WHEN 2 THEN p WHEN 3 THEN concat(q, '%') ELSE 'none at all' END AS truth
+ FROM (SELECT *, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR(9)) AS q, CAST(l_partkey % 50 AS VARCHAR(9)) AS p FROM lineitem) AS li"""
 
 
-@query("""SELECT l_orderkey, l_partkey, l_linenumber, CAST(l_quantity AS BIGINT) AS q, CASE WHEN l_linenumber % 4 = 3 THEN 0.0 ELSE 1.0 END AS score FROM lineitem""")
+@query(rf"""WITH m AS ({_AMOUNTS}), x AS (SELECT *, trim(regexp_extract(CASE WHEN contains(text, '\boxed{{') THEN regexp_extract(text, '\\boxed\{{([^}}]*)', 1)
+  WHEN regexp_matches(text, '(?i)answer\s*[:\-]') THEN regexp_extract(text, '(?i)answer\s*[:\-]\s*([^\n]+)', 1) WHEN regexp_matches(text, '(?i)answer\s+is\s') THEN regexp_extract(text, '(?i)answer\s+is\s+([^\n]+)', 1)
+  WHEN regexp_matches(text, '[0-9]') THEN regexp_extract_all(text, '\b([0-9]+)\b', 1)[-1] ELSE text END, '[^=]*$')) AS a FROM m),
+n AS (SELECT *, TRY_CAST(regexp_replace(replace(a, ',', ''), '\\?%$', '') AS DOUBLE) / (CASE WHEN ends_with(a, '%') THEN 100 ELSE 1 END) AS u, TRY_CAST(regexp_replace(truth, '%$', '') AS DOUBLE) / (CASE WHEN ends_with(truth, '%') THEN 100 ELSE 1 END) AS v FROM x)
+SELECT l_orderkey, l_partkey, l_linenumber, CASE WHEN lower(a) = lower(truth) THEN 1.0 WHEN u IS NOT NULL AND v IS NOT NULL AND
+ len(list_filter([v / 100, v, v * 100], lambda z: abs(u - z) <= 1e-4 * greatest(abs(u), abs(z)))) > 0 THEN 1.0 ELSE 0.0 END AS score FROM n""")
 def score_numeric(spark, sf_dir: str) -> DataFrame:
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    q, k = F.col("l_quantity").cast("long"), F.col("l_linenumber") % 4
-    text = F.when(k == 0, F.concat(F.lit("the result is \\boxed{x = "), F.format_string("%,d", q * 1000), F.lit("}"))).when(k == 1, F.concat(F.lit("Final answer: "), q.cast("string"))).when(k == 2, F.concat(F.lit("\\boxed{"), q.cast("string"), F.lit("\\%}"))).otherwise(F.concat(F.lit("answer is "), (q + 1).cast("string")))
-    truth = F.when(k == 0, (q * 1000).cast("string")).otherwise(q.cast("string"))
-    return li.select("l_orderkey", "l_partkey", "l_linenumber", q.alias("q"), S.math_metric(text, truth).alias("score"))
+    tables(spark, sf_dir, "lineitem")
+    rows = spark.sql(_AMOUNTS.replace("\\", "\\\\"))
+    return rows.select("l_orderkey", "l_partkey", "l_linenumber", S.math_metric(F.col("text"), F.col("truth")).alias("score"))
+
+
+#: Linear formulas written in two ways; they are equal if the products of their parts are.
+_FORMULAS = r"""SELECT p_partkey, p_size AS a, p_partkey % 7 + 1 AS b, CASE WHEN p_partkey % 4 = 0 THEN p_size + 1 ELSE p_size * (p_partkey % 3 + 1) END AS c, (p_partkey % 7 + 1) * (p_partkey % 2 + 1) AS d, p_partkey % 5 AS k FROM part"""
+_WRITTEN = r"""SELECT p_partkey, CASE CAST(k % 3 AS INT) WHEN 0 THEN concat('so \boxed{\frac{', a, '}{', b, '}x + ', k, '}') WHEN 1 THEN concat('\boxed{y = ', a, 'x/', b, ' + ', k, '}') ELSE concat('\boxed{', k, '+x\cdot\left(', a, '/', b, '\right)}') END AS text,
+ CASE CAST(p_partkey % 3 AS INT) WHEN 0 THEN concat(k, ' + \frac{', c, 'x}{', d, '}') WHEN 1 THEN concat('y=(', c, '*x)/', d, '+', k) ELSE concat('\frac{', c, 'x + ', k * d, '}{', d, '}') END AS truth
+ FROM (SELECT p_partkey, CAST(a AS VARCHAR(9)) AS a, CAST(b AS VARCHAR(9)) AS b, CAST(c AS VARCHAR(9)) AS c, CAST(d AS VARCHAR(9)) AS d, k, k * d FROM formulas) AS f""".replace("k * d FROM", "CAST(k * d AS VARCHAR(9)) AS kd FROM").replace("k * d, '}{'", "kd, '}{'")
+
+
+@query(f"SELECT p_partkey, CASE WHEN a * d = b * c THEN 1.0 ELSE 0.0 END AS score FROM ({_FORMULAS}) AS f")
+def score_formulas(spark, sf_dir: str) -> DataFrame:
+    """Formulas of one variable that only their values show to be equal; SQL multiplies crosswise."""
+    tables(spark, sf_dir, "part")
+    spark.sql(_FORMULAS).createOrReplaceTempView("formulas")
+    rows = spark.sql(_WRITTEN.replace("\\", "\\\\"))
+    return rows.select("p_partkey", symbolic.math_metric(F.col("text"), F.col("truth")).alias("score"))
 
 
 _TOK = r"list_filter(regexp_split_to_array(trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g')), '\s+'), lambda x: x <> '')"
@@ -92,26 +116,88 @@ def score_overlap(spark, sf_dir: str) -> DataFrame:
     return S.overlap_by_count(pairs, "doc_id", "a", "b").select("doc_id", F.round("f1", 6).alias("f1"), F.round("meteor", 6).alias("meteor"))
 
 
-@query(r"""SELECT event_id, CASE WHEN out_tok % 2 = 0 THEN 0.5 ELSE 1.0 END AS count_score, 1.0 / (1 + event_id % 3) AS class_score FROM (SELECT event_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS out_tok FROM events)""")
-def score_lists(spark, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("k", F.regexp_extract("props", "([0-9]+)", 1))
-    text = F.concat(F.lit("Paragraph "), F.col("k"), F.when(F.col("k").cast("long") % 2 == 0, F.lit(" and 100000")).otherwise(F.lit("")))
-    classes = F.array(*map(F.lit, ("sun", "moon", "star")))
-    named = F.concat(F.lit("sun"), F.when(F.col("event_id") % 3 >= 1, " moon").otherwise(""), F.when(F.col("event_id") % 3 >= 2, " star").otherwise(""))
-    return e.select("event_id", S.retrieval_score(text, F.concat(F.lit("Paragraph "), F.col("k"))).alias("count_score"), S.class_score(named, F.lit("sun"), classes).alias("class_score"))
+_COUNTED = """SELECT event_id, concat(props, ' and ', CAST(user_id AS VARCHAR(19)), ', ', CAST(event_id % 40 AS VARCHAR(19)), CASE WHEN event_type = 'view' THEN ' none' ELSE concat(' or ', CAST(user_id % 40 AS VARCHAR(19))) END) AS text,
+ CASE WHEN event_type = 'error' THEN 'no number' ELSE concat('Paragraph ', CAST(user_id % 40 AS VARCHAR(19))) END AS truth FROM events"""
 
 
-@query("""SELECT * FROM (VALUES (0, 1.0, 0.0, 1.0), (1, 0.0, 0.0, 0.0), (2, 1.0, 1.0, 0.0), (3, 0.0, 0.0, 1.0)) AS t(id, exact, chess, superglue)""")
+@query(rf"""WITH n AS (SELECT event_id, regexp_extract_all(text, '[0-9]+') AS own, regexp_extract(truth, 'Paragraph ([0-9]+)', 1) AS want FROM ({_COUNTED}) AS c)
+SELECT event_id, CASE WHEN len(own) = 0 THEN 0.0 ELSE len(list_filter(own, lambda x: x = want)) / len(own) END AS score FROM n""")
+def score_lists(spark, sf_dir: str) -> DataFrame:
+    tables(spark, sf_dir, "events")
+    return spark.sql(_COUNTED).select("event_id", F.round(S.retrieval_score(F.col("text"), F.col("truth")), 9).alias("score"))
+
+
+ORACLES["score_lists"] = ORACLES["score_lists"].replace("SELECT event_id, CASE WHEN len(own)", "SELECT event_id, round(CASE WHEN len(own)").replace("/ len(own) END AS", "/ len(own) END, 9) AS")
+
+_CLASSES = ["ring", "small", "red", "in", "bolt", "small ring", "ECONOMY", "i"]
+
+
+@query(f"""WITH t AS (SELECT p_partkey, p_name AS truth, list_filter(list_filter({_CLASSES!r}, lambda c: c <> p_name) || [p_name], lambda c: contains(concat(p_name, ' ', p_type, CASE WHEN p_size % 3 = 0 THEN ' small ring' ELSE '' END), c)) AS named FROM part),
+e AS (SELECT p_partkey, truth, unnest(named) AS c, generate_subscripts(named, 1) AS i FROM t),
+r AS (SELECT *, contains(truth, c) AND c <> truth AS within FROM e),
+p AS (SELECT *, i - coalesce(max(CASE WHEN within THEN 0 ELSE i END) OVER (PARTITION BY p_partkey ORDER BY i), 0) AS place FROM r),
+k AS (SELECT p_partkey, count(*) FILTER (NOT (within AND place % 2 = 1)) AS n, count(*) FILTER (c = truth) AS hit FROM p GROUP BY p_partkey)
+SELECT t.p_partkey, round(CASE WHEN k.hit > 0 THEN 1.0 / k.n ELSE 0 END, 9) AS score FROM t LEFT JOIN k USING (p_partkey)""")
+def score_classes(spark, sf_dir: str) -> DataFrame:
+    text = F.concat("p_name", F.lit(" "), "p_type", F.when(F.col("p_size") % 3 == 0, " small ring").otherwise(""))
+    classes = F.concat(F.filter(F.array(*map(F.lit, _CLASSES)), lambda c: c != F.col("p_name")), F.array("p_name"))
+    score = S.class_score(text, F.col("p_name"), classes)
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.round(score, 9).alias("score"))
+
+
+#: Exact answers, chess moves and yes-or-no answers in many spellings, from the parts.
+_NAMED = r"""SELECT p_partkey, concat('so \boxed{ ', CASE WHEN p_size % 2 = 0 THEN upper(replace(p_name, ' ', '_')) ELSE concat(p_type, '  ', p_name) END, '}') AS t1,
+ CASE WHEN p_partkey % 3 = 0 THEN concat(p_type, '_', p_name) ELSE p_name END AS g1,
+ CASE p_size % 5 WHEN 0 THEN concat('I play ', mv, ' or e2e4') WHEN 1 THEN concat('\boxed{', upper(mv), '}') WHEN 2 THEN concat('move: ', upper(mv), 'x') WHEN 3 THEN concat('I choose ', chr(65 + CAST(p_size % 4 AS INT))) ELSE ' unsure ' END AS t2,
+ CASE p_partkey % 5 WHEN 0 THEN mv WHEN 1 THEN upper(concat(left(mv, 2), '-', right(mv, 2))) WHEN 2 THEN CAST(p_size % 4 AS VARCHAR(9)) WHEN 3 THEN 'e2e4' ELSE 'unsure' END AS g2,
+ concat('\boxed{', CASE p_size % 8 WHEN 0 THEN 'X' WHEN 1 THEN 'Y' WHEN 2 THEN 'A' WHEN 3 THEN 'B' WHEN 4 THEN '1' WHEN 5 THEN '0' WHEN 6 THEN 'True' ELSE 'No' END, '}') AS t3,
+ CASE p_partkey % 7 WHEN 0 THEN 'Yes' WHEN 1 THEN 'No' WHEN 2 THEN '1' WHEN 3 THEN '0.0' WHEN 4 THEN 'yes' WHEN 5 THEN '1.0' ELSE 'True' END AS g3
+ FROM (SELECT *, concat(chr(97 + CAST(p_size % 8 AS INT)), CAST(p_size % 7 + 1 AS VARCHAR(9)), chr(97 + CAST(p_partkey % 8 AS INT)), CAST(p_partkey % 6 + 1 AS VARCHAR(9))) AS mv FROM part) AS x"""
+
+
+@query(rf"""WITH n AS ({_NAMED}), box AS (SELECT *, trim(regexp_extract(t1, '\\boxed\{{([^}}]+)\}}', 1)) AS x1, regexp_extract(t3, '\\boxed\{{([^}}]+)\}}', 1) AS x3,
+ regexp_replace(lower(CASE WHEN contains(t2, 'boxed') THEN regexp_extract(t2, '\{{(.*)\}}', 1) WHEN regexp_matches(t2, '(?i)\b[a-h][1-8][a-h][1-8]\b') THEN regexp_extract_all(t2, '(?i)\b[a-h][1-8][a-h][1-8]\b')[-1]
+  WHEN regexp_matches(t2, '(?i)(move|play)[:\s]*[a-h][1-8][a-h][1-8]') THEN regexp_extract(t2, '(?i)(?:move|play)[:\s]*([a-h][1-8][a-h][1-8])', 1)
+  WHEN regexp_matches(t2, '\b[A-Z]\b') THEN regexp_extract_all(trim(t2), '\b[A-Z]\b')[-1] ELSE trim(t2) END), '[^a-z0-9]', '', 'g') AS x2 FROM n),
+keys(key, num, word) AS (VALUES ('A', '0.0', 'Yes'), ('B', '1.0', 'No'), ('X', NULL, 'Yes'), ('Y', NULL, 'No'), ('0', '0.0', 'No'), ('1', '1.0', 'Yes'), ('TRUE', '1.0', 'Yes'), ('FALSE', '0.0', 'No')),
+side AS (SELECT *, CASE WHEN len(x2) = 1 AND x2 BETWEEN 'a' AND 'z' THEN upper(x2) ELSE x2 END AS c2, CASE WHEN regexp_full_match(g2, '[0-9]+') THEN chr(65 + CAST(g2 AS INT)) ELSE regexp_replace(lower(g2), '[^a-z0-9]', '', 'g') END AS d2 FROM box)
+SELECT p_partkey, CASE WHEN regexp_replace(lower(replace(x1, '_', ' ')), '\s+', ' ', 'g') = regexp_replace(lower(replace(g1, '_', ' ')), '\s+', ' ', 'g') THEN 1.0 ELSE 0.0 END AS exact,
+ CASE WHEN c2 = d2 THEN 1.0 ELSE 0.0 END AS chess,
+ CASE WHEN coalesce(CASE WHEN g3 IN ('0', '1', '0.0', '1.0') THEN num WHEN lower(g3) IN ('yes', 'no') THEN word END, x3) = g3 THEN 1.0 ELSE 0.0 END AS superglue FROM side LEFT JOIN keys ON key = upper(x3)""")
 def score_named(spark, sf_dir: str) -> DataFrame:
-    rows = [
-        (0, "\\boxed{Os_Lusíadas}", "os lusíadas", "\\boxed{e2e4}", "e2e5", "\\boxed{X}", "Yes"),
-        (1, "\\boxed{other}", "os lusíadas", "I play e2e4", "d2d4", "\\boxed{Y}", "Yes"),
-        (2, "\\boxed{a  b}", "A b", "I play e2e4 now", "E2-E4", "\\boxed{B}", "1"),
-        (3, "\\boxed{a}", "b", "\\boxed{A}", "1", "\\boxed{B}", "1.0"),
-    ]
-    d = spark.createDataFrame(rows, "id int, t1 string, g1 string, t2 string, g2 string, t3 string, g3 string")
+    tables(spark, sf_dir, "part")
     c = F.col
-    return d.select("id", S.exact_match(c("t1"), c("g1")).alias("exact"), S.chess_accuracy(c("t2"), c("g2")).alias("chess"), S.superglue_exact(c("t3"), c("g3")).alias("superglue"))
+    scores = [S.exact_match(c("t1"), c("g1")).alias("exact"), S.chess_accuracy(c("t2"), c("g2")).alias("chess"), S.superglue_exact(c("t3"), c("g3")).alias("superglue")]
+    return spark.sql(_NAMED.replace("\\", "\\\\")).select("p_partkey", *scores)
+
+
+#: All subsequences of a short list, as texts.
+_SUBS = "list_distinct(list_transform(range(0, CAST(pow(2, len({0})) AS BIGINT)), lambda m: array_to_string(list_filter({0}, lambda w, i: (m >> (i - 1)) & 1 = 1), ' ')))"
+
+
+@query(f"""WITH t AS (SELECT p_partkey, string_split(concat(p_name, ' ', lower(p_type)), ' ') AS a, string_split(concat(lower(p_type), ' small ', p_name), ' ') AS b FROM part),
+s AS (SELECT p_partkey, a, b, list_intersect({_SUBS.format('a')}, {_SUBS.format('b')}) AS same FROM t)
+SELECT p_partkey, round(2.0 * list_max(list_transform(same, lambda x: CASE WHEN x = '' THEN 0 ELSE len(string_split(x, ' ')) END)) / (len(a) + len(b)), 9) AS score FROM s""")
+def score_rouge(spark, sf_dir: str) -> DataFrame:
+    """Longest common subsequences of words; SQL meets all subsequences of both sides."""
+    words = lambda *c: F.split(F.concat_ws(" ", *c), " ")
+    kind = F.lower("p_type")
+    score = S.rouge_l(words("p_name", kind), words(kind, F.lit("small"), "p_name"))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.round(score, 9).alias("score"))
+
+
+_LETTERS = "list_filter(string_split(regexp_replace({0}, '(.)', '\\1 ', 'g'), ' '), lambda x: x <> '')"
+
+
+@query(f"""WITH t AS (SELECT n_nationkey, {_LETTERS.format("concat('x', replace(r_name, ' ', '_'))")} AS a, {_LETTERS.format('n_name')} AS b FROM nation JOIN region ON r_regionkey = n_regionkey),
+s AS (SELECT n_nationkey, a, b, list_intersect({_SUBS.format('a')}, {_SUBS.format('b')}) AS same FROM t)
+SELECT n_nationkey, round_even(200.0 * list_max(list_transform(same, lambda x: CASE WHEN x = '' THEN 0 ELSE len(string_split(x, ' ')) END)) / (len(a) + len(b)), 0) / 100 AS score FROM s""")
+def score_code_line(spark, sf_dir: str) -> DataFrame:
+    """The first line without a comment against the truth, by characters."""
+    tables(spark, sf_dir, "nation", "region")
+    rows = spark.sql("SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON r_regionkey = n_regionkey")
+    text = F.concat(F.lit("\n\n# a note\n// another\nx"), F.translate("r_name", " ", "_"), F.lit("\nmore"))
+    return rows.select("n_nationkey", S.code_similarity(text, F.col("n_name")).alias("score"))
 
 
 _FENCED = "'See:' || chr(10) || '```python' || chr(10) || 'x = 1' || chr(10) || '```' || chr(10) || 'then' || chr(10) || '```python' || chr(10) || coalesce(text, '') || chr(10) || '```' || chr(10)"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -9,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+_folders: dict[str, str] = {}
 
 
 def create(master: str | None = None, **settings: str) -> SparkSession:
@@ -35,3 +38,18 @@ def ship(spark: SparkSession) -> None:
             out.write(f, f.relative_to(package.parent))
     context.addPyFile(str(archive))
     _shipped.add(context.applicationId)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A folder for a query's intermediate files, the same one at each call: in spark.checkpoint.dir;
+    on a local master without that setting in a temporary folder that goes with the process."""
+    context = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        if "local" not in _folders:
+            _folders["local"] = tempfile.mkdtemp(prefix="sparkroost-")
+            atexit.register(shutil.rmtree, _folders["local"], ignore_errors=True)
+        shared = "file://" + _folders["local"]
+    return f"{shared.rstrip('/')}/sparkroost-{context.applicationId}/{name}"

@@ -11,13 +11,14 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-FALLBACK = "together"
 _RESULT = "response string, success boolean, error string, provider string, input_tokens long, output_tokens long, total_tokens long"
 
 
-def provider_of(model: str, providers: dict[str, str], default: str = FALLBACK) -> str:
-    """The provider whose part of a name (a key of ``providers``, the first that fits) the model's name has."""
-    return next((p for part, p in providers.items() if part.lower() in model.lower()), default)
+def provider_of(model: str, providers: dict[str, str]) -> str:
+    """The provider of a model, by its exact name; an unknown model is an error."""
+    if model not in providers:
+        raise ValueError(f"no provider is known for the model {model}")
+    return providers[model]
 
 
 def with_retry(call: Callable[[], dict], attempts: int = 3, sleep: Callable[[float], None] = time.sleep) -> dict:
@@ -35,7 +36,8 @@ def with_retry(call: Callable[[], dict], attempts: int = 3, sleep: Callable[[flo
 
 def infer(rows: DataFrame, clients: dict[str, Callable[[str, str], dict]], providers: dict[str, str], attempts: int = 3, pause: float = 0.0) -> DataFrame:
     """``rows`` (global_index, model, prompt) with each model's answer. ``clients``: by provider, a
-    function of (model, prompt) that gives response, success and token_usage. A failure is a row."""
+    function of (model, prompt) that gives response, success and token_usage. ``providers``: by model.
+    A failed call is a row; a model without a provider fails the job."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

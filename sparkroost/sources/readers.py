@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PREDICTION = "`global index` string, prompt string, prediction string, generated_result struct<generated_answer:string,success:boolean,token_usage:struct<input_tokens:bigint,output_tokens:bigint,total_tokens:bigint>,provider:string,error:string>, cost double, accuracy double"
@@ -41,9 +41,19 @@ def router_config(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.coalesce(listed["router_name"], mapped["router_name"]).alias("router_name"), F.posexplode(names).alias("pos", "model"))
 
 
+def metrics_block(log: Column) -> Column:
+    """The JSON block after ``Metrics:`` in a log's text; empty if there is none."""
+    return F.regexp_extract(log, r"(?s)Metrics:\s*(\{.*?\})", 1)
+
+
 def metrics_in_log(log: DataFrame) -> DataFrame:
-    """The JSON block after ``Metrics:`` in a log's text."""
-    return log.select(F.regexp_extract("value", r"(?s)Metrics:\s*(\{.*?\})", 1).alias("metrics"))
+    return log.select(metrics_block(F.col("value")).alias("metrics"))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, if it is there."""
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(own, True)
 
 
 def write_cache(rows: DataFrame, folder: str) -> None:
@@ -57,16 +67,19 @@ EVAL_CONFIG = "eval_params struct<dataset:string,eval_metrics:array<string>,sett
 
 
 def dataset(spark: SparkSession, folder: str, split: str) -> DataFrame:
-    """The prompt rows of a split; another name than the splits' is an error."""
+    """The prompt rows of a split, from one file (a JSON array) or the folder that :func:`write_splits`
+    makes of it (JSON lines); another name than the splits' is an error."""
     if split not in SPLITS:
         raise ValueError(f"no split {split}; there are {', '.join(SPLITS)}")
-    rows = spark.read.option("multiLine", True).schema("`global index` string, global_index string, prompt_formatted string").json(f"{folder}/{SPLITS[split]}")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{SPLITS[split]}")
+    lines = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    rows = spark.read.option("multiLine", not lines).schema("`global index` string, global_index string, prompt_formatted string").json(f"{folder}/{SPLITS[split]}")
     return rows.select(F.coalesce("global_index", "global index").alias("global_index"), "prompt_formatted")
 
 
 def eval_configs(spark: SparkSession, folder: str) -> DataFrame:
     """The evaluation configurations of a folder, one JSON file for each data set."""
-    return spark.read.option("multiLine", True).schema(EVAL_CONFIG).json(f"{folder}/*.json").select("eval_params.*").where("dataset is not null")
+    return spark.read.option("multiLine", True).schema(EVAL_CONFIG).option("recursiveFileLookup", True).json(folder).select("eval_params.*").where("dataset is not null")
 
 
 def ground_truth(spark: SparkSession, path: str, split: str) -> DataFrame:
@@ -115,6 +128,14 @@ def to_json_lines(spark: SparkSession, path: str, target: str, schema: str = CAC
     spark.read.option("multiLine", True).schema(schema).json(path).write.mode("ignore").json(target)
 
 
+def write_predictions(rows: DataFrame, folder: str, by: str = "router") -> None:
+    """One JSON array for each router, in the order of ``pos``. A router's file has a row for each query
+    of the benchmark and is one text, as clients expect."""
+    names = [c for c in rows.columns if c not in (by, "pos")]
+    own = rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("pos", F.struct(*names).alias("row")))).alias("rows"))
+    own.select(by, F.to_json(F.col("rows.row")).alias("value")).write.mode("overwrite").partitionBy(by).text(folder)
+
+
 def write_cube(cube: DataFrame, folder: str) -> None:
     """The (model, global_index) cube, one folder for each model."""
     cube.write.mode("overwrite").partitionBy("model").json(folder)

@@ -151,8 +151,10 @@ def test_inference_surface(spark):
     assert inference.with_retry(flaky, sleep=slept.append)["response"] == "ok" and slept == [1.0, 2.0]
     rows = spark.createDataFrame([("k1", "alder-7b", "hi"), ("k2", "fir", "ho")], "global_index string, model string, prompt string")
     clients = {"here": lambda model, prompt: {"response": prompt.upper(), "success": True, "token_usage": {"input_tokens": 2}}}
-    got = {r.global_index: (r.response, r.success, r.provider, r.input_tokens) for r in inference.infer(rows, clients, {"alder": "here"}).collect()}
-    assert got == {"k1": ("HI", True, "here", 2), "k2": ("", False, "together", 0)}
+    got = {r.global_index: (r.response, r.success, r.provider, r.input_tokens) for r in inference.infer(rows, clients, {"alder-7b": "here", "fir": "there"}).collect()}
+    assert got == {"k1": ("HI", True, "here", 2), "k2": ("", False, "there", 0)}
+    with pytest.raises(ValueError, match="elm"):
+        inference.provider_of("elm", {"alder-7b": "here"})
 
 
 def test_text_helpers(spark):

@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from sparkroost.functions import code_run, prompts, scores, text
+from sparkroost.functions import code_run, prompts, scores, symbolic, text
 from sparkroost.operators import costs, keyed
 from sparkroost.plans.answers import QUERIES, boxed_text
 from tests.conftest import DATA
@@ -115,3 +115,39 @@ def test_rouge_l_equals_the_full_table(spark):
     frame = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(rows)], "i int, a array<string>, b array<string>")
     got = dict(frame.select("i", scores.rouge_l(F.col("a"), F.col("b"))).collect())
     assert got == pytest.approx({i: lcs_f(a, b) for i, (a, b) in enumerate(rows)})
+
+
+FORMULAS = [
+    ("\\frac{1}{2}", "0.5", True), ("\\frac12", "0.5", True), ("(x+1)^2", "x^2+2x+1", True), ("x^2", "x^3", False), ("\\sqrt{8}", "2\\sqrt{2}", True), ("\\sqrt[3]{27}", "3", True),
+    ("2\\pi", "6.28318", True), ("y=2x", "2x-y=0", True), ("x=5", "5", True), ("5", "x = 5", True), ("a/b", "b/a", False), ("\\sin^2(x)+\\cos^2(x)", "1", True), ("no idea", "other", False),
+    ("|x-1|", "|1-x|", True), ("-x^2", "(-x)^2", False), ("\\left(x+1\\right)\\cdot 2", "2x+2", True), ("", "", False), (None, "1", False), ("(" * 1500, "x", False), ("9^9^9^9", "1", False),
+    ("\\begin{pmatrix}1&x\\\\2&0.5\\end{pmatrix}", "\\begin{pmatrix}1.0 & x\\\\ 2 & \\frac12\\end{pmatrix}", True), ("\\begin{pmatrix}1&2\\end{pmatrix}", "\\begin{pmatrix}1&3\\end{pmatrix}", False), ("e^{i\\pi}", "-1", True),
+]
+
+
+@pytest.mark.parametrize(("a", "b", "want"), FORMULAS)
+def test_formulas(a, b, want):
+    assert symbolic.equal(a, b) is want
+
+
+def test_formulas_leave_what_native_steps_settle(spark):
+    rows = [(1, "\\boxed{x+1}", "1+x"), (2, "\\boxed{4}", "5"), (3, "\\boxed{B}", "B"), (4, None, "1"), (5, "\\boxed{1}", None), (6, "\\boxed{\\frac{2}{4}}", "0.5")]
+    got = spark.createDataFrame(rows, "id int, a string, b string").select("id", symbolic.math_metric(F.col("a"), F.col("b")).alias("s")).collect()
+    assert {r.id: r.s for r in got} == {1: 1.0, 2: 0.0, 3: 1.0, 4: 0.0, 5: 0.0, 6: 1.0}
+
+
+def python_classes(text, truth, classes):
+    found = [c for c in classes if c in text]
+    for c in found:
+        if c in truth and c != truth:
+            found.remove(c)
+    return 1 / len(found) if truth in found else 0.0
+
+
+def test_class_score_skips_as_the_loop_does(spark):
+    rng = random.Random(5)
+    rows = [("".join(rng.choices("abc", k=6)), "".join(rng.choices("abc", k=3)), ["".join(x) for x in {tuple(rng.choices("abc", k=rng.randrange(1, 4))) for _ in range(7)}]) for _ in range(200)]
+    rows = [(t + g, g, [*dict.fromkeys([*c, g])]) for t, g, c in rows]
+    frame = spark.createDataFrame(list(enumerate(rows)), "i int, r struct<t:string,g:string,c:array<string>>")
+    got = dict(frame.select("i", scores.class_score(F.col("r.t"), F.col("r.g"), F.col("r.c"))).collect())
+    assert got == pytest.approx({i: python_classes(*r) for i, r in enumerate(rows)})

@@ -107,3 +107,13 @@ def dialogue(prompt: Column) -> Column:
     # The dialogue's opening.
     opening = f"User: hi{gap}Assistant: Hi. I am your assistant and I will provide expert full response in full details. Please feel free to ask any question and I will always answer it."
     return F.concat(F.lit(f"{opening}{gap}User: "), prompt, F.lit(f"{gap}Assistant:"))
+
+
+def chat(prompt: Column, template: Column, around: dict[str, tuple[str, str]], default: tuple[str, str] = ("", "")) -> Column:
+    """A prompt in the chat form of its row's template (``around``: by part of a template's name, what
+    stands before and after, the first that fits; ``default`` for other names). Without a template the
+    prompt is as it is; the form ``rwkv`` is :func:`dialogue`."""
+    out = F.concat(F.lit(default[0]), prompt, F.lit(default[1]))
+    for name, (before, after) in reversed(around.items()):
+        out = F.when(F.contains(F.lower(template), F.lit(name)), F.concat(F.lit(before), prompt, F.lit(after))).otherwise(out)
+    return F.when(template.isNull(), prompt).when(F.contains(template, F.lit("rwkv")), dialogue(prompt)).otherwise(out)

@@ -163,9 +163,19 @@ def normalize_english(c: Column) -> Column:
     return strip(F.regexp_replace(t, _SPACE, " "))
 
 
+# The marks that Chinese normalisation takes off, besides those of ASCII.
+CJK_MARKS = "！？｡。＂＃＄％＆＇（）＊＋，－／：；＜＝＞＠［＼］＾＿｀｛｜｝～｟｠｢｣､、〃》「」『』【】〔〕〖〗〘〙〚〛〜〝〞〟〰〾〿–—‘’‛“”„‟…‧﹏."
+
+
 def normalize_chinese(c: Column) -> Column:
-    """Lower case without ASCII and CJK punctuation and without any white space."""
-    return F.regexp_replace(F.lower(c), r"[!-/:-@\[-`{-~\p{IsPunctuation}\u3000-\u303f\uff00-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]|" + _SPACE, "")
+    """Lower case without ASCII and CJK marks and without any white space."""
+    marks = "".join(f"\\u{ord(x):04x}" for x in CJK_MARKS)
+    return F.regexp_replace(F.lower(c), f"[!-/:-@\\[-`{{-~{marks}]|{_SPACE}", "")
+
+
+def characters(c: Column) -> Column:
+    """A text's words for languages without spaces: each CJK character, and runs of other letters."""
+    return F.regexp_extract_all(F.lower(c), F.lit("([\u4e00-\u9fff]|[^\\s\u4e00-\u9fff]+)"), F.lit(1))
 
 
 def normalize_exact(c: Column) -> Column:

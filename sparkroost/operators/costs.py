@@ -80,3 +80,11 @@ def canonical(rows: DataFrame, registry: DataFrame, aliases: DataFrame, model: s
     other = dimension(aliases.groupBy(F.col("alias").alias("a")).agg(F.max("model").alias("am")))
     joined = rows.join(names, rows[model] == F.col("r"), "left").join(other, rows[model] == F.col("a"), "left")
     return joined.withColumn("canonical", F.coalesce("r", "am")).withColumn("known", F.col("canonical").isNotNull()).drop("r", "a", "am")
+
+
+def lenient(rows: DataFrame, registry: DataFrame, aliases: DataFrame, model: str = "model") -> tuple[DataFrame, DataFrame]:
+    """``rows`` with canonical, which is the name itself where none is known, and the distinct names
+    that are not known."""
+    named = canonical(rows, registry, aliases, model)
+    missing = named.where(~F.col("known")).select(model).distinct()
+    return named.withColumn("canonical", F.coalesce("canonical", model)).drop("known"), missing

@@ -6,9 +6,13 @@ them stays.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch
+
 
 def _pick(rows: DataFrame, keys: list[str], pos: str, best) -> DataFrame:
     others = [c for c in rows.columns if c not in keys]
@@ -63,12 +67,19 @@ def confidence_map(models: Column, confidence: Column, prices: Column) -> Column
 
 def numbered(rows: DataFrame, order: list[str], name: str, start: int = 0) -> DataFrame:
     """Row numbers over a whole table in a stated order without sending it through one task: range
-    partitions, their sizes' prefix sums, numbers within them."""
-    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
-    own = parts.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy(*order)))
-    sizes = own.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
-    bases = sizes.withColumn("base", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return own.join(F.broadcast(bases.select("part", "base")), "part").withColumn(name, F.col("base") + F.col("n") - 1 + start).drop("part", "n", "base")
+    partitions, numbers within them, their sizes' prefix sums. The numbered partitions are written
+    once to the scratch folder, so that sizes and rows are of the same partitions however either is
+    planned, and after a lost executor too."""
+    spark = rows.sparkSession
+    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    here = F.monotonically_increasing_id()
+    path = scratch(spark, f"numbered-{uuid.uuid4().hex}")
+    numbers = parts.withColumns({"part_": F.shiftright(here, 33), "at_": here.bitwiseAND(F.lit((1 << 33) - 1))})
+    numbers.write.parquet(path)
+    own = spark.read.schema(numbers.schema).parquet(path)
+    sizes = own.groupBy("part_").agg(F.count(F.lit(1)).alias("size_"))
+    bases = sizes.select("part_", F.coalesce(F.sum("size_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base_"))
+    return own.join(F.broadcast(bases), "part_").select(*rows.columns, (F.col("base_") + F.col("at_") + start).alias(name))
 
 
 def round_robin(rows: DataFrame, models: list[str], order: list[str]) -> DataFrame:

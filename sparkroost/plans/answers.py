@@ -121,14 +121,11 @@ _COUNTED = """SELECT event_id, concat(props, ' and ', CAST(user_id AS VARCHAR(19
 
 
 @query(rf"""WITH n AS (SELECT event_id, regexp_extract_all(text, '[0-9]+') AS own, regexp_extract(truth, 'Paragraph ([0-9]+)', 1) AS want FROM ({_COUNTED}) AS c)
-SELECT event_id, CASE WHEN len(own) = 0 THEN 0.0 ELSE len(list_filter(own, lambda x: x = want)) / len(own) END AS score FROM n""")
+SELECT event_id, round(CASE WHEN len(own) = 0 THEN 0.0 ELSE len(list_filter(own, lambda x: x = want)) / len(own) END, 9) AS score FROM n""")
 def score_lists(spark, sf_dir: str) -> DataFrame:
     tables(spark, sf_dir, "events")
     return spark.sql(_COUNTED).select("event_id", F.round(S.retrieval_score(F.col("text"), F.col("truth")), 9).alias("score"))
 
-
-ORACLES["score_lists"] = ORACLES["score_lists"].replace("SELECT event_id, CASE WHEN len(own)", "SELECT event_id, round(CASE WHEN len(own)").replace("/ len(own) END AS", "/ len(own) END, 9) AS")
-
 _CLASSES = ["ring", "small", "red", "in", "bolt", "small ring", "ECONOMY", "i"]
 
 
@@ -228,3 +225,74 @@ def score_qa(spark, sf_dir: str) -> DataFrame:
     words = lambda c: F.filter(F.split(T.normalize_english(F.col(c)), " "), lambda x: x != "")
     pairs = view(spark, sf_dir, "pairs").where("truth is not null").repartition("doc_id").select("doc_id", words("text").alias("a"), words("truth").alias("b"))
     return S.overlap_by_count(pairs, "doc_id", "a", "b").select("doc_id", F.round("f1", 6).alias("f1"))
+
+
+_CJK = """SELECT l_orderkey, l_linenumber, l_partkey, concat('《段落', CAST(l_partkey % 9 AS VARCHAR(9)), '》。 Ａbc，  第', CAST(l_suppkey % 9 AS VARCHAR(9)), CASE WHEN l_linenumber = 1 THEN ' 或 100…！' ELSE '页 — (Ok). ' END) AS text,
+ concat('段落', CAST(l_suppkey % 9 AS VARCHAR(9)), '页') AS truth FROM lineitem"""
+
+
+@query(rf"""SELECT l_orderkey, l_linenumber, l_partkey, regexp_replace(translate(lower(text), '!"#$%&''()*+,-./:;<=>?@[\]^_`{{|}}~{T.CJK_MARKS}', ''), '{_BLANK}', '', 'g') AS tidy,
+ round(CASE WHEN len(own) = 0 THEN 0.0 ELSE len(list_filter(own, lambda x: x = regexp_extract(truth, '([0-9]+)', 1))) / len(own) END, 9) AS score FROM (SELECT *, regexp_extract_all(text, '[0-9]+') AS own FROM ({_CJK}) AS t)""")
+def chinese_answers(spark, sf_dir: str) -> DataFrame:
+    """Normalised Chinese texts, and the score of the passage that they name."""
+    tables(spark, sf_dir, "lineitem")
+    rows = spark.sql(_CJK)
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", T.normalize_chinese(F.col("text")).alias("tidy"), F.round(S.retrieval_score(F.col("text"), F.col("truth"), "段落"), 9).alias("score"))
+
+
+_CJK_LINES = "SELECT n_nationkey, concat('第', CAST(n_nationkey AS VARCHAR(9)), '页', n_name) AS text, concat(n_name, ' 第', CAST(n_regionkey AS VARCHAR(9)), '页') AS truth FROM nation"
+
+
+@query(f"""WITH t AS (SELECT n_nationkey, regexp_extract_all(lower(text), '([一-鿿]|[^\\s一-鿿]+)') AS a, regexp_extract_all(lower(truth), '([一-鿿]|[^\\s一-鿿]+)') AS b FROM ({_CJK_LINES}) AS l),
+s AS (SELECT n_nationkey, a, b, list_intersect({_SUBS.format('a')}, {_SUBS.format('b')}) AS same FROM t)
+SELECT n_nationkey, round(2.0 * list_max(list_transform(same, lambda x: CASE WHEN x = '' THEN 0 ELSE len(string_split(x, ' ')) END)) / (len(a) + len(b)), 9) AS score FROM s""")
+def score_rouge_chinese(spark, sf_dir: str) -> DataFrame:
+    """The longest common subsequence over characters, as no dictionary of words is here."""
+    tables(spark, sf_dir, "nation")
+    return spark.sql(_CJK_LINES).select("n_nationkey", F.round(S.rouge_l(T.characters(F.col("text")), T.characters(F.col("truth"))), 9).alias("score"))
+
+
+_METEOR = "SELECT p_partkey, concat('so \\boxed{', p_name, ' ', p_type, CASE WHEN p_size % 2 = 0 THEN '' ELSE ' bolt' END, '}') AS text, concat(p_type, CASE WHEN p_partkey % 2 = 0 THEN ' the ' ELSE ', ' END, p_name) AS truth FROM part"
+
+
+@query(rf"""WITH t AS (SELECT p_partkey, string_split(lower(regexp_extract(text, '\{{(.*)\}}', 1)), ' ') AS a, regexp_extract_all(lower(truth), '[a-z]+') AS b FROM ({_METEOR}) AS m),
+w AS (SELECT p_partkey, w, count(*) FILTER (s = 1) AS x, count(*) FILTER (s = 2) AS y FROM (SELECT p_partkey, 1 AS s, unnest(a) AS w FROM t UNION ALL SELECT p_partkey, 2, unnest(b) FROM t) GROUP BY ALL),
+o AS (SELECT p_partkey, sum(least(x, y)) AS same, count(*) FILTER (x > 0 AND y > 0) AS kinds FROM w GROUP BY ALL),
+r AS (SELECT p_partkey, a, b, len(list_filter(range(1, len(a) + 1), lambda i: list_contains(b, a[i]) AND (i = 1 OR NOT list_contains(b, a[i - 1])))) AS p, len(list_filter(range(1, len(b) + 1), lambda i: list_contains(a, b[i]) AND (i = 1 OR NOT list_contains(a, b[i - 1])))) AS q FROM t)
+SELECT p_partkey, round(CASE WHEN same = 0 THEN 0 ELSE 2.0 * same / (len(a) + len(b)) * (1 - CASE WHEN least(p, q) = kinds THEN 0 ELSE 0.5 * pow(least(p, q) / kinds, 2) END) END, 9) AS score FROM r JOIN o USING (p_partkey)""")
+def score_meteor(spark, sf_dir: str) -> DataFrame:
+    tables(spark, sf_dir, "part")
+    rows = spark.sql(_METEOR.replace("\\", "\\\\"))
+    return rows.select("p_partkey", F.round(S.meteor(F.col("text"), F.col("truth")), 9).alias("score"))
+
+
+_LOOSE = """SELECT event_id, CASE event_type WHEN 'click' THEN concat('he said "', props, '" or ''x y'' at last') WHEN 'view' THEN concat('take (', CAST(user_id AS VARCHAR(19)), ') then (', CAST(user_id % 7 AS VARCHAR(19)), ' or so)')
+ WHEN 'error' THEN concat('see [ ', CAST(user_id AS VARCHAR(19)), ' ] here') WHEN 'signup' THEN concat('my result: ', CAST(user_id AS VARCHAR(19)), ' apples.', chr(10), 'more') ELSE 'nothing to see' END AS text FROM events"""
+
+
+@query(r"""SELECT event_id, CASE WHEN regexp_matches(text, '["''][^"'']+["'']') THEN trim(list_extract(regexp_extract_all(text, '["'']([^"'']+)["'']', 1), -1)) WHEN contains(text, '(') THEN trim(list_extract(regexp_extract_all(text, '\(([^)]+)\)', 1), -1))
+ WHEN contains(text, '[') THEN trim(regexp_extract(text, '\[([^\]]+)\]', 1)) WHEN contains(text, 'result: ') THEN regexp_replace(regexp_extract(text, 'result: ([^\n]+)', 1), '\.$', '') ELSE '' END AS loose,
+ CASE WHEN contains(text, 'result: ') THEN regexp_replace(regexp_extract(text, 'result: ([^\n]+)', 1), '\.$', '') WHEN regexp_matches(text, '[0-9]') THEN list_extract(regexp_extract_all(text, '\b[0-9]+(?:\.[0-9]+)?\b'), -1) ELSE '' END AS number,
+ upper(text[1]) AS first FROM (""" + _LOOSE + ") AS t")
+def extract_loose(spark, sf_dir: str) -> DataFrame:
+    """The looser ladders: marks around an answer, a last number, a first character."""
+    tables(spark, sf_dir, "events")
+    t, empty = F.col("text"), F.lit("")
+    rows = spark.sql(_LOOSE.replace("''x y''", "\\'x y\\'"))
+    return rows.select("event_id", F.coalesce(T.general(t), empty).alias("loose"), F.coalesce(T.math_or_number(t), empty).alias("number"), T.answer(t, "SuperGLUE-ClozeTest").alias("first"))
+
+
+_PROGRAMS = "SELECT event_id, concat('Try:', chr(10), '```', CASE WHEN user_id % 2 = 0 THEN 'python' ELSE '' END, chr(10), 'a = ', CAST(user_id AS VARCHAR(19)), chr(10), '```', chr(10), 'or ```py', chr(10), '<code>print(', props, ')</code> end```', chr(10), 'Input: ', CAST(user_id AS VARCHAR(19)), ' Output: ', event_type, CASE WHEN user_id % 3 = 0 THEN ' Output: x' ELSE '' END, ' Input: z Output: 5') AS text FROM events"
+
+
+@query(rf"""SELECT event_id, len(regexp_extract_all(text, '(?s)```[a-zA-Z]*\n.*?```')) AS blocks, replace(string_split(list_extract(regexp_extract_all(text, '(?s)```[a-zA-Z]*\n(.*?)```', 1), -1), '</code>')[1], '<code>', '') AS last_block,
+ array_to_string(list_transform(list_filter(list_transform(string_split(text, 'Input:'), lambda x: string_split(x, 'Output:')), lambda x: len(x) = 2), lambda x: concat(trim(x[1]), '>', trim(x[2]))), '|') AS tests FROM (SELECT event_id, text FROM ({_PROGRAMS}) AS p)""")
+def cut_programs(spark, sf_dir: str) -> DataFrame:
+    """Fenced blocks, the tidied last one, and tests written as text."""
+    from ..functions import code_run
+
+    tables(spark, sf_dir, "events")
+    t = F.col("text")
+    line = lambda c: F.regexp_replace(c, r"\n$", "")
+    tests = F.transform(code_run.stdin_tests(t), lambda x: F.concat(line(x["input"]), F.lit(">"), line(x["output"])))
+    return spark.sql(_PROGRAMS).select("event_id", F.size(code_run.fenced_blocks(t)).cast("long").alias("blocks"), code_run.answer_code(t).alias("last_block"), F.array_join(tests, "|").alias("tests"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import prompts as P
 from ..operators import keyed
 from .routing import _DS
-from .views import view, with_views
+from .views import tables, view, with_views
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -88,8 +88,26 @@ def code_row_match(spark, sf_dir: str) -> DataFrame:
     return keyed.match_code_rows(rows, problems).select("doc_id", "task_id")
 
 
-@query("SELECT event_id, event_type = 'click' AS stdin, false AS functional FROM events")
+_TESTS = """SELECT event_id, CASE event_type WHEN 'click' THEN concat('[{"testtype": "stdin", "input": "', CAST(user_id AS VARCHAR(19)), '"}]') WHEN 'view' THEN concat('[', props, ', {"testtype": "', CASE WHEN user_id % 2 = 0 THEN 'functional' ELSE 'stdin' END, '"}]')
+ WHEN 'error' THEN '[{"testtype": "functional"' WHEN 'signup' THEN '[]' ELSE concat('[', props, ', ', props, ']') END AS tests FROM events"""
+
+
+@query(f"""SELECT event_id, CASE WHEN json_valid(tests) THEN list_contains(json_extract_string(tests, '$[*].testtype'), 'stdin') ELSE false END AS stdin,
+ CASE WHEN json_valid(tests) THEN list_contains(json_extract_string(tests, '$[*].testtype'), 'functional') ELSE false END AS functional FROM ({_TESTS}) AS t""")
 def has_test_type(spark, sf_dir: str) -> DataFrame:
-    tests = F.concat(F.lit('[{"testtype": "'), F.when(F.col("event_type") == "click", "stdin").otherwise("other"), F.lit('"}]'))
-    broken = F.lit('[{"testtype": "functional"')
-    return _table(spark, sf_dir, "events").select("event_id", P.has_test_type(tests, "stdin").alias("stdin"), P.has_test_type(broken, "functional").alias("functional"))
+    tables(spark, sf_dir, "events")
+    t = F.col("tests")
+    return spark.sql(_TESTS).select("event_id", P.has_test_type(t, "stdin").alias("stdin"), P.has_test_type(t, "functional").alias("functional"))
+
+
+_FORMS = {"llama": ("[INST] ", " [/INST]"), "zephyr": ("<|user|>\n", "</s>\n<|assistant|>\n")}
+
+
+@query("""SELECT conv_id, turn, md5(CASE WHEN turn % 4 = 0 THEN t WHEN turn % 4 = 1 THEN concat('[INST] ', t, ' [/INST]') WHEN turn % 4 = 2 THEN concat('<|user|>', chr(10), t, '</s>', chr(10), '<|assistant|>', chr(10)) ELSE concat('User: ', t) END) AS prompt
+ FROM (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations)""")
+def chat_prompts(spark, sf_dir: str) -> DataFrame:
+    """Prompts in the chat form that each row's template names; none: as they are."""
+    k = F.col("turn") % 4
+    template = F.when(k == 1, "Llama3-chat").when(k == 2, "ZEPHYR").when(k == 3, "other")
+    prompt = P.chat(F.coalesce("text", F.lit("")), template, _FORMS, ("User: ", ""))
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(prompt.cast("binary")).alias("prompt"))

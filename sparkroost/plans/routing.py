@@ -256,3 +256,10 @@ def cube_size(spark, sf_dir: str) -> DataFrame:
 @query("SELECT model FROM predictions UNION SELECT model FROM registry")
 def used_models(spark, sf_dir: str) -> DataFrame:
     return validate.used_models(view(spark, sf_dir, "predictions"), view(spark, sf_dir, "registry"))
+
+
+@query("SELECT p.pos, coalesce(r.model, a.model, p.model) AS canonical, r.model IS NULL AND a.model IS NULL AS missing FROM predictions p LEFT JOIN registry r ON r.model = p.model LEFT JOIN aliases a ON a.alias = p.model")
+def lenient_names(spark, sf_dir: str) -> DataFrame:
+    """Known models by their own names, others unchanged; the missing ones are marked."""
+    named, missing = costs.lenient(view(spark, sf_dir, "predictions"), view(spark, sf_dir, "registry"), view(spark, sf_dir, "aliases"))
+    return named.join(costs.dimension(missing.withColumn("missing", F.lit(True))), "model", "left").select("pos", "canonical", F.coalesce("missing", F.lit(False)).alias("missing"))

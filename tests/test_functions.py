@@ -151,3 +151,28 @@ def test_class_score_skips_as_the_loop_does(spark):
     frame = spark.createDataFrame(list(enumerate(rows)), "i int, r struct<t:string,g:string,c:array<string>>")
     got = dict(frame.select("i", scores.class_score(F.col("r.t"), F.col("r.g"), F.col("r.c"))).collect())
     assert got == pytest.approx({i: python_classes(*r) for i, r in enumerate(rows)})
+
+
+def test_numbers_of_a_table_of_many_partitions(spark):
+    rows = spark.range(0, 60_000, 1, 24).select((F.col("id") * 7919 % 60_000).alias("k"), F.concat(F.lit("text of "), F.col("id").cast("string")).alias("t"))
+    got = keyed.numbered(rows, ["k"], "i", start=5)
+    assert got.columns == ["k", "t", "i"] and got.count() == got.where("t <> ''").count() == 60_000
+    assert got.where("i <> k + 5").count() == 0
+    assert keyed.numbered(rows.where("k < 0"), ["k"], "i").count() == 0
+    tied = spark.createDataFrame([(1, "a"), (1, "a"), (None, None)], "k int, t string")
+    assert sorted(r.i for r in keyed.numbered(tied, ["k"], "i").collect()) == [0, 1, 2]
+
+
+def test_numbers_hold_under_a_filter(spark):
+    """Rows and sizes must be of the same partitions when a filter is pushed into one of them."""
+    held = {"spark.sql.shuffle.partitions": "16", "spark.sql.files.maxPartitionBytes": "1m"}
+    old = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        lines = spark.read.parquet("/root/testdata/sf0.1/lineitem.parquet").select("l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice", "l_quantity")
+        got = keyed.numbered(lines, ["l_orderkey", "l_linenumber", "l_partkey"], "i")
+        assert got.where("l_extendedprice > 0").count() == lines.where("l_extendedprice > 0").count()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)

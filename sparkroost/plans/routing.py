@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import costs, keyed, validate
+from ..operators import costs, evaluate, keyed, validate
 from .views import MODELS, tables, view, with_views
 
 QUERIES: dict = {}
@@ -136,24 +136,25 @@ def cache_first_success(spark, sf_dir: str) -> DataFrame:
     return keyed.first_success(view(spark, sf_dir, "cache"), ["model", "k"]).select("model", "k", "pos", "value")
 
 
-_SPLIT = """l AS (SELECT model, k, arg_max(value, pos) AS value, arg_max(coalesce(score, -1), pos) AS sc FROM cache WHERE pos % 2 = {} GROUP BY model, k)"""
+_SPLIT = """l AS (SELECT model, k, arg_max(value, pos) AS value, arg_max(coalesce(score, -1), pos) AS sc FROM cache WHERE (score IS NULL) = {} GROUP BY model, k)"""
 
 
-def _half(spark, sf_dir: str, odd: int) -> DataFrame:
-    rows = keyed.keep_last(view(spark, sf_dir, "cache").where(F.col("pos") % 2 == odd).select("model", "k", "pos", "value", F.coalesce("score", F.lit(-1.0)).alias("sc")), ["model", "k"])
+def _half(spark, sf_dir: str, again: bool) -> DataFrame:
+    """The last evaluated entries of a cache, or the last of those that a run made again without evaluation."""
+    rows = keyed.keep_last(view(spark, sf_dir, "cache").where(F.col("score").isNull() == again).select("model", "k", "pos", "value", F.coalesce("score", F.lit(-1.0)).alias("sc")), ["model", "k"])
     return rows.select("model", "k", "value", F.when(F.col("sc") >= 0, F.col("sc")).alias("score"))
 
 
-@query(f"WITH {_SPLIT.format(0).replace('l AS', 'b AS', 1)}, {_SPLIT.format(1).replace('l AS', 'n AS', 1)} SELECT model, k, value FROM n UNION ALL SELECT model, k, value FROM b ANTI JOIN n USING (model, k)")
+@query(f"WITH {_SPLIT.format('false').replace('l AS', 'b AS', 1)}, {_SPLIT.format('true').replace('l AS', 'n AS', 1)} SELECT model, k, value FROM n UNION ALL SELECT model, k, value FROM b ANTI JOIN n USING (model, k)")
 def cache_upsert(spark, sf_dir: str) -> DataFrame:
-    return keyed.upsert(_half(spark, sf_dir, 0), _half(spark, sf_dir, 1), ["model", "k"]).select("model", "k", "value")
+    return keyed.upsert(_half(spark, sf_dir, False), _half(spark, sf_dir, True), ["model", "k"]).select("model", "k", "value")
 
 
-@query(f"""WITH {_SPLIT.format(0).replace('l AS', 'b AS', 1)}, {_SPLIT.format(1).replace('l AS', 'n AS', 1)}
+@query(f"""WITH {_SPLIT.format('false').replace('l AS', 'b AS', 1)}, {_SPLIT.format('true').replace('l AS', 'n AS', 1)}
 SELECT coalesce(n.model, b.model) AS model, coalesce(n.k, b.k) AS k, coalesce(n.value, b.value) AS value, coalesce(nullif(n.sc, -1), nullif(b.sc, -1)) AS score
 FROM b FULL JOIN n ON b.model = n.model AND b.k = n.k""")
 def cache_merge_keep_eval(spark, sf_dir: str) -> DataFrame:
-    return keyed.merge_keep(_half(spark, sf_dir, 0), _half(spark, sf_dir, 1), ["model", "k"], "score")
+    return keyed.merge_keep(_half(spark, sf_dir, False), _half(spark, sf_dir, True), ["model", "k"], "score")
 
 
 @query("SELECT pos, model, out_tok AS k FROM predictions WHERE accuracy IS NULL AND NOT EXISTS (SELECT 1 FROM cache c WHERE c.success AND c.model = predictions.model AND c.k = predictions.out_tok)")
@@ -198,18 +199,19 @@ def missing_pairs(spark, sf_dir: str) -> DataFrame:
     return _vs(spark, sf_dir).groupBy("router").agg(F.count(F.lit(1)).alias("n"), F.count_if("missing").alias("missing"))
 
 
-@query("SELECT p.router, concat('level', CAST(l.quality * 2 + l.toxic AS VARCHAR)) AS level, count(*) AS n, round(avg(p.accuracy), 6) AS accuracy FROM predictions p JOIN labels l ON l.doc_id = p.pos GROUP BY 1, 2")
+@query("SELECT p.router, concat('level', CAST(n.n_regionkey AS VARCHAR)) AS level, count(*) AS n, round(avg(p.accuracy), 6) AS accuracy FROM predictions p JOIN nation n ON n.n_nationkey = p.out_tok % 25 GROUP BY 1, 2")
 def difficulty_breakdown(spark, sf_dir: str) -> DataFrame:
-    p, labels = view(spark, sf_dir, "predictions"), spark.read.parquet(f"{sf_dir}/labels.parquet")
-    level = F.concat(F.lit("level"), (F.col("quality") * 2 + F.col("toxic")).cast("string"))
-    return p.join(labels, p["pos"] == labels["doc_id"]).groupBy("router", level.alias("level")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("accuracy"), 6).alias("accuracy"))
+    """Choices by the difficulty of their question, which every one must have."""
+    rows = view(spark, sf_dir, "predictions").withColumn("question", F.col("out_tok") % 25)
+    levels = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("question"), F.concat(F.lit("level"), F.col("n_regionkey").cast("string")).alias("level"))
+    return evaluate.require_match(rows, levels, ["question"]).groupBy("router", "level").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("accuracy"), 6).alias("accuracy"))
 
 
-_RAW = """SELECT event_id AS pos, CASE WHEN event_id % 11 = 0 THEN '' WHEN event_id % 13 = 0 THEN 'q0' ELSE concat('q', CAST(event_id AS VARCHAR(19))) END AS global_index,
+_RAW = """SELECT event_id AS pos, CASE WHEN event_id % 11 = 0 THEN '' WHEN event_id % 13 = 0 THEN 'p0' ELSE concat('q', CAST(event_id AS VARCHAR(19))) END AS global_index,
  CASE WHEN event_id % 17 = 0 THEN NULL WHEN event_id % 19 = 0 THEN 'other' ELSE props END AS prompt, CASE event_type WHEN 'view' THEN 'alder' WHEN 'error' THEN NULL WHEN 'click' THEN 'oak' ELSE 'elm-mini' END AS prediction FROM events"""
 
 
-@query(f"""WITH r AS ({_RAW}), d AS (SELECT concat('q', CAST(event_id AS VARCHAR)) AS k, props AS wanted FROM events WHERE event_id > 0),
+@query(f"""WITH r AS ({_RAW}), d AS (SELECT concat('q', CAST(event_id AS VARCHAR)) AS k, props AS wanted FROM events),
 j AS (SELECT r.*, d.k, d.wanted, m.model AS m, CASE WHEN coalesce(global_index, '') = '' THEN 'missing_key' WHEN d.k IS NULL THEN 'unknown_key' WHEN coalesce(prompt, '') = '' THEN 'missing_prompt' END AS stop
  FROM r LEFT JOIN d ON d.k = r.global_index LEFT JOIN registry m ON m.model = r.prediction)
 SELECT pos, stop AS code FROM j WHERE stop IS NOT NULL
@@ -219,7 +221,7 @@ UNION ALL SELECT pos, 'unknown_model' FROM j WHERE stop IS NULL AND coalesce(pre
 def validate_rows(spark, sf_dir: str) -> DataFrame:
     registry = view(spark, sf_dir, "registry")
     tables(spark, sf_dir, "events")
-    data = spark.table("events").where("event_id > 0").select(F.concat(F.lit("q"), F.col("event_id").cast("string")).alias("global_index"), F.col("props").alias("prompt"))
+    data = spark.table("events").select(F.concat(F.lit("q"), F.col("event_id").cast("string")).alias("global_index"), F.col("props").alias("prompt"))
     return validate.row_errors(spark.sql(_RAW), data, registry)
 
 
@@ -230,12 +232,6 @@ ANY_PAYLOAD = """SELECT event_id AS pos, CASE WHEN event_id % 29 = 0 THEN 'null'
   CASE WHEN event_type = 'view' THEN '' WHEN event_type = 'click' THEN '"token_usage":null' ELSE '"token_usage":{}' END AS u FROM events) AS parts"""
 
 
-@query("""SELECT * FROM (VALUES (0, 'null_result'), (1, 'not_object'), (2, 'missing_field'), (3, 'answer_not_text'), (4, 'success_without_answer'), (5, 'success_not_boolean'), (6, NULL), (7, 'missing_field'), (8, 'success_without_answer')) AS t(id, code)""")
-def validate_payload(spark, sf_dir: str) -> DataFrame:
-    raw = ["null", "[1]", '{"success": true}', '{"generated_answer": 5, "success": true, "token_usage": {}}', '{"generated_answer": " ", "success": true, "token_usage": {}}', '{"generated_answer": "x", "success": "yes", "token_usage": null}', '{"generated_answer": "x", "success": true, "token_usage": {}}', '{"generated_answer": "x", "success": true}', '{"generated_answer": "", "success": "yes", "token_usage": {}}']
-    return spark.createDataFrame(list(enumerate(raw)), "id int, raw string").select("id", validate.payload_error(F.col("raw")).alias("code"))
-
-
 _USED = PRICED[: PRICED.index(",\ncosted AS")].replace("FROM predictions", "FROM (SELECT model FROM predictions UNION SELECT model FROM registry) AS used")
 
 

@@ -129,18 +129,20 @@ def format_events(events: DataFrame, in_order: bool = False) -> DataFrame:
 
 def events_of(turns: DataFrame) -> DataFrame:
     """The event log of finished turns (conv_id, turn, role, text), partitioned by conversation and in
-    order: each turn is opened and then streamed as two deltas. Turns that tie are ordered by role and
-    text; repeated rows stay. A text moves once, as a turn; its events are made after the sort."""
+    order. Each turn is opened and its first half streamed; then an assistant's answer is regenerated
+    and streamed as two deltas, any other turn is edited to its text, as logs of live conversations
+    have it. Turns that tie are ordered by role and text; repeated rows stay. A text moves once, as a
+    turn; its events are made after the sort."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), text.alias("text"))
     ordered = own.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     rows = ordered.withColumn("message", F.monotonically_increasing_id())
     half = F.floor(F.length("text") / 2).cast("int")
-    steps = F.array(
-        F.struct(F.lit("start").alias("kind"), F.lit("").alias("text")),
-        F.struct(F.lit("delta").alias("kind"), F.col("text").substr(F.lit(1), half).alias("text")),
-        F.struct(F.lit("delta").alias("kind"), F.col("text").substr(half + 1, F.length("text")).alias("text")),
-    )
+    step = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+    first, second, none = F.col("text").substr(F.lit(1), half), F.col("text").substr(half + 1, F.length("text")), F.lit("")
+    opened = [step("start", none), step("delta", first)]
+    answer = F.array(*opened, step("regenerate", none), step("delta", first), step("delta", second))
+    steps = F.when(F.col("role") == "assistant", answer).otherwise(F.array(*opened, step("edit", F.col("text"))))
     return rows.select("conv_id", "message", "role", F.explode(steps).alias("e")).select("conv_id", "message", F.col("e.kind").alias("kind"), "role", F.col("e.text").alias("text"))
 
 

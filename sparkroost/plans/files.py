@@ -150,6 +150,28 @@ def resumed_scores(spark, sf_dir: str) -> DataFrame:
     return spark.read.parquet(target).select("pos", "model", "score")
 
 
+@query("SELECT model, CAST(k AS VARCHAR) AS global_index, arg_max(value, pos) AS accuracy FROM cache GROUP BY model, k")
+def cube_files(spark, sf_dir: str) -> DataFrame:
+    """The (model, question) cube, a folder for each model, written and read."""
+    folder = scratch(spark, "cube")
+    cube = keyed.keep_last(view(spark, sf_dir, "cache").select("model", "k", "pos", "value"), ["model", "k"])
+    readers.write_cube(cube.select("model", F.col("k").cast("string").alias("global_index"), F.col("value").alias("accuracy")), folder)
+    return spark.read.schema("global_index string, accuracy double, model string").json(folder)
+
+
+@query("SELECT CAST(item_id AS VARCHAR) AS global_index, text AS question, length(text) % 2 = 0 AS success, CAST(length(text) AS DOUBLE) AS score FROM benchmark")
+def score_files(spark, sf_dir: str) -> DataFrame:
+    """A JSON array made JSON lines (once: a second array is not taken), scored, with the scores beside it."""
+    array, lines, other = (scratch(spark, f"scores/{n}") for n in ("array", "lines.jsonl", "other"))
+    readers.remove(spark, lines)
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").cast("string").alias("global_index"), F.col("text").alias("question"), (F.length("text") % 2 == 0).alias("success"), F.lit("r").alias("router"), F.col("item_id").alias("pos"))
+    for rows, to in ((items, array), (items.where("success"), other)):
+        readers.write_predictions(rows, to)
+        readers.to_json_lines(spark, f"{to}/router=r", lines)
+    scored = readers.json_lines(spark, lines).select("global_index", "question", "success", F.length("question").cast("double").alias("score"))
+    return spark.read.schema(scored.schema).json(readers.write_scores(scored, lines))
+
+
 _CLIENTS = {m: "first" if i % 2 else "second" for i, m in enumerate(MODELS)}
 
 

@@ -25,6 +25,7 @@ def parser() -> argparse.ArgumentParser:
             own.add_argument(name, **({"choices": list(SPLITS)} if name == "split" else {}))
         if kind == "check":
             own.add_argument("--generated", action="store_true", help="look at the generated results too")
+            own.add_argument("--prices", help="a price file that must have all used models")
     return out
 
 

@@ -25,17 +25,28 @@ def generate(spark: SparkSession, config: str, datasets: str, split: str, folder
     readers.write_predictions(out.withColumnRenamed("global_index", "global index"), folder)
 
 
-def check(spark: SparkSession, predictions: str, config: str, datasets: str, split: str, aliases: DataFrame | None = None, generated: bool = False) -> DataFrame:
+def check(spark: SparkSession, predictions: str, config: str, datasets: str, split: str, aliases: DataFrame | None = None, generated: bool = False, registry: DataFrame | None = None, prices: str | None = None) -> DataFrame:
     """(global_index, code) of each error of a prediction file: rows, the number of rows (a null key)
-    and, with ``generated``, the generated results."""
+    and, with ``generated``, the generated results. With ``registry`` the configured models must be
+    known, with ``prices`` (a price file) all used models must have a price (null keys too)."""
     rows = readers.predictions(spark, predictions).withColumn("pos", F.monotonically_increasing_id())  # a label of rows, of no order
     data = readers.dataset(spark, datasets, split).withColumnRenamed("prompt_formatted", "prompt")
-    by_pos = validate.row_errors(rows, data, _models(spark, config).select("model"), aliases)
+    models = _models(spark, config).select("model")
+    by_pos = validate.row_errors(rows, data, models, aliases)
     if generated:
         raw = rows.select("pos", validate.payload_error(F.to_json("generated_result", {"ignoreNullFields": "false"})).alias("code"))
         by_pos = by_pos.unionByName(raw.where("code is not null"))
-    size = validate.size_ok(rows, data.count()).where(~F.col("ok")).select(F.lit(None).cast("string").alias("global_index"), F.lit("wrong_size").alias("code"))
-    return by_pos.join(rows.select("pos", "global_index"), "pos").select("global_index", "code").unionByName(size)
+    codes = [validate.size_ok(rows, data.count()).where(~F.col("ok")).select(F.lit("wrong_size").alias("code"))]
+    if registry is not None:
+        known = costs.canonical(models, registry, spark.createDataFrame([], "alias string, model string") if aliases is None else aliases)
+        codes.append(known.where(~F.col("known")).select(F.concat(F.lit("unregistered_model "), "model").alias("code")))
+    if prices is not None:
+        used = validate.used_models(rows.select(F.col("prediction").alias("model")), models).where("model <> ''")
+        codes.append(costs.with_prices(used, readers.prices(spark, prices)).where("in_price is null").select(F.concat(F.lit("no_price "), "model").alias("code")))
+    out = by_pos.join(rows.select("pos", "global_index"), "pos").select("global_index", "code")
+    for c in codes:
+        out = out.unionByName(c.select(F.lit(None).cast("string").alias("global_index"), "code"))
+    return out
 
 
 def score(spark: SparkSession, predictions: str, router: str) -> DataFrame:

@@ -50,6 +50,11 @@ def test_generate_check_score_process(spark, files):
     (files / "bad.json").write_text(json.dumps(scored[:4]))
     got = {(r.global_index, r.code) for r in submission.check(spark, str(files / "bad.json"), *common).collect()}
     assert got == {("k1", "unknown_model"), ("k2", "prompt_mismatch"), (None, "wrong_size")}
+    (files / "prices.json").write_text('{"oak": {"input_token_price_per_million": 1, "output_token_price_per_million": 2}, "elm-mini": {"input_token_price_per_million": 1, "output_token_price_per_million": 2}}')
+    registry, aliases = spark.createDataFrame([("oak",)], "model string"), spark.createDataFrame([("ash", "oak")], "alias string, model string")
+    for known in (None, aliases):
+        more = submission.check(spark, str(files / "bad.json"), *common, aliases=known, registry=registry, prices=str(files / "prices.json"))
+        assert {(r.global_index, r.code) for r in more.collect()} - got == {(None, "unregistered_model elm"), (None, "no_price fir")}
     with pytest.raises(ValueError, match="k1: unknown_model"):
         submission.process(spark, str(files / "bad.json"), *common, "r", str(files / "runs"), "two")
     (files / "none.json").write_text("[]")

@@ -164,8 +164,13 @@ def test_numbers_of_a_table_of_many_partitions(spark):
 
 
 def test_numbers_hold_under_a_filter(spark):
-    """Rows and sizes must be of the same partitions when a filter is pushed into one of them."""
-    held = {"spark.sql.shuffle.partitions": "16", "spark.sql.files.maxPartitionBytes": "1m"}
+    """Rows and sizes must be of the same partitions, also where adaptive execution merges partitions."""
+    held = {
+        "spark.sql.shuffle.partitions": "16",
+        "spark.sql.files.maxPartitionBytes": "1m",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1m",
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    }
     old = {k: spark.conf.get(k) for k in held}
     try:
         for k, v in held.items():

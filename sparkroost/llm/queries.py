@@ -6,6 +6,7 @@ from .anisotropic_index import OP5_SQL, op5_anisotropic_index
 from .chat_format import OP1_SQL, op1_chat_format
 from .decontaminate import op4_decontaminate
 from .lm_score import OP9_SQL, op9_lm_score
+from .merkle import OP13_SQL, op13_merkle_manifest
 from .quality import op8_quality
 from .simhash_dedup import op3_simhash_dedup
 from .substring_dedup import OP2_SQL, op2_substring_dedup
@@ -26,8 +27,9 @@ QUERIES = {
         op8_quality,
         op9_lm_score,
         op10_word_lexicon,
+        op13_merkle_manifest,
     )
 }
 
 #: Where SQL can't express an operator, tests hold it against brute force instead.
-ORACLES = {"op1_chat_format": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op5_anisotropic_index": OP5_SQL, "op9_lm_score": OP9_SQL}
+ORACLES = {"op1_chat_format": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op5_anisotropic_index": OP5_SQL, "op9_lm_score": OP9_SQL, "op13_merkle_manifest": OP13_SQL}

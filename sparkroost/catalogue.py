@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import answers, evaluation, files, prompting, routing
+from .plans import answers, evaluation, files, models, prompting, routing
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for part in (routing, prompting, answers, evaluation, files):
+for part in (routing, prompting, answers, evaluation, files, models):
     QUERIES.update(part.QUERIES)
     ORACLES.update(part.ORACLES)

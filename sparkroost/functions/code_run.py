@@ -1,4 +1,4 @@
-"""Answers' code: cut out natively, run (off by default) each program in a fresh isolated process.
+"""Answers' code: cut out natively, tests read from text, each program run (off by default) in an isolated process.
 
 This is no sandbox. It keeps a faulty program from the worker (own process, time and memory limits,
 empty environment, temporary folder), not a hostile one from the machine.
@@ -7,10 +7,13 @@ empty environment, temporary folder), not a hostile one from the machine.
 from __future__ import annotations
 
 import base64
+import contextlib
 import io
 import json
+import os
 import pickle
 import resource
+import signal
 import subprocess
 import sys
 import tempfile
@@ -20,17 +23,58 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-#: What runs a function: the last word before the first bracket names it.
-_CALL = """
-import json, sys
-own = json.loads(sys.stdin.read())
-space = {}
-exec(own["code"], space)
-out = sys.stdout
-sys.stdout = sys.stderr
-got = space[own["code"].split("(")[0].split()[-1]](*own["args"])
-out.write("same" if got == own["want"] else "other")
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
+
+#: Runs one answer's tests in its own process: a child of it for each test, with the test's text as its input and a file
+#: for its output, and a line of a pipe for each result. What runs a function: the last word before the first
+#: bracket names it.
+_RUNNER = """
+import json, os, resource, signal, sys, time
+own = json.load(sys.stdin)
+code = own["code"]
+def once(test):
+    if own["stdin"]:
+        exec(compile(code, "answer", "exec"), {"__name__": "__main__"})
+        sys.stdout.flush()
+        return None
+    space = {}
+    exec(compile(code, "answer", "exec"), space)
+    return space[code.split("(")[0].split()[-1]](*test["args"]) == test["want"]
+for number, test in enumerate(own["tests"]):
+    with open("in", "w", encoding="utf-8") as f:
+        f.write(test.get("input", ""))
+    pid = os.fork()
+    if not pid:
+        resource.setrlimit(resource.RLIMIT_CPU, (own["seconds"] + 1,) * 2)
+        os.close(own["results"])
+        for name, to, how in (("in", 0, os.O_RDONLY), ("out", 1, os.O_WRONLY | os.O_CREAT | os.O_TRUNC), (os.devnull, 2, os.O_WRONLY)):
+            os.dup2(os.open(name, how, 0o600), to)
+        sys.stdin, sys.stdout = open(0, encoding="utf-8", closefd=False), open(1, "w", encoding="utf-8", closefd=False)
+        try:
+            ok = once(test)
+        except SystemExit as e:
+            sys.stdout.flush()
+            ok = None if own["stdin"] and e.code in (None, 0) else False
+        except BaseException:
+            ok = False
+        os._exit(1 if ok is False else 0)
+    end, status = time.monotonic() + own["seconds"], None
+    while status is None and time.monotonic() < end:
+        got, left = os.waitpid(pid, os.WNOHANG)
+        if got:
+            status = left
+        else:
+            time.sleep(0.002)
+    if status is None:
+        os.kill(pid, signal.SIGKILL)
+        os.waitpid(pid, 0)
+    ok = status == 0
+    if ok and own["stdin"]:
+        with open("out", encoding="utf-8", errors="replace") as f:
+            ok = f.read().strip() == test["want"]
+    os.write(own["results"], f"{number} {int(ok)}\\n".encode())
+    if not ok:
+        break
 """
 
 
@@ -56,6 +100,60 @@ def stdin_tests(c: Column) -> Column:
     return F.transform(F.filter(cut, lambda b: F.size(b) == 2), lambda b: F.struct(F.concat(F.trim(F.regexp_replace(b[0], r"^\s+|\s+$", "")), F.lit("\n")).alias("input"), F.concat(F.regexp_replace(b[1], r"^\s+|\s+$", ""), F.lit("\n")).alias("output"), F.lit("stdin").alias("testtype")))
 
 
+class TestCases:
+    """Functional tests in a text, as a table function: (at, input, output, testtype, error).
+
+    A text is a JSON array of tests, or JSON objects one after the other, with or without commas, blanks and lines
+    between them, in a fenced block or not. What is no test is a row with an error: where it begins, and why; reading goes on
+    at the next line, or the next object on the same line."""
+
+    def eval(self, text: str):
+        decoder, text = json.JSONDecoder(), _unfenced(text or "")
+        try:
+            whole = json.loads(text)
+        except json.JSONDecodeError:
+            whole = None
+        if isinstance(whole, list):
+            for i, test in enumerate(whole):
+                yield self.row(i, test)
+            return
+        at, i = 0, 0
+        while at < len(text):
+            if text[at] in " \t\r\n,":
+                at += 1
+                continue
+            try:
+                test, end = decoder.raw_decode(text, at)
+                yield self.row(i, test)
+            except json.JSONDecodeError as e:
+                found = [k for k in (text.find("\n", at + 1), text.find("{", at + 1)) if k >= 0]
+                end = min(found, default=len(text))
+                yield i, None, None, None, f"at {at}: {e.msg}"
+            at, i = end, i + 1
+
+    @staticmethod
+    def row(i: int, test: object):
+        if not isinstance(test, dict) or "input" not in test or "output" not in test:
+            return i, None, None, None, "no input and output"
+        said = lambda x: x if isinstance(x, str) else json.dumps(x)
+        return i, said(test["input"]), said(test["output"]), "functional", None
+
+
+def _unfenced(text: str) -> str:
+    text = text.strip()
+    for mark in ("```json", "```"):
+        text = text.removeprefix(mark)
+    return text.removesuffix("```").strip()
+
+
+_TESTS = StructType([StructField("at", IntegerType())] + [StructField(n, StringType()) for n in ("input", "output", "testtype", "error")])
+
+
+def test_cases(rows: DataFrame, column: str = "text") -> DataFrame:
+    """``rows`` joined to the functional tests of a text column; a row without any is gone."""
+    return rows.lateralJoin(F.udtf(TestCases, returnType=_TESTS)(F.col(column).outer()))
+
+
 def _value(text: str):
     """A number, a list, or the text without its quotes."""
     for kind in (int, float):
@@ -94,66 +192,91 @@ def expected(text: str):
         return text.strip()
 
 
-def _limits(seconds: int, memory_mb: int):
+def _limits(memory_mb: int):
     def apply() -> None:
         resource.setrlimit(resource.RLIMIT_AS, (memory_mb << 20,) * 2)
-        resource.setrlimit(resource.RLIMIT_CPU, (seconds + 1,) * 2)
 
     return apply
 
 
-def _run(code: str, given: str, seconds: int, memory_mb: int) -> str | None:
-    with tempfile.TemporaryDirectory() as folder:
+def _wanted(test: dict, is_stdin: bool) -> dict:
+    if not is_stdin:
+        return {"args": call_arguments(test["input"]), "want": expected(test["output"])}
+    want = test["output"].strip()
+    return {"input": test["input"], "want": want[: want.rfind("-")].rstrip() if want.endswith("-") else want}
+
+
+def run_tests(code: str, tests: list[dict], is_stdin: bool, allow: bool = False, seconds: int = 6, memory_mb: int = 512) -> list[bool]:
+    """A result for each test (input, output). One isolated process runs them one after the other, each at most
+    ``seconds``, and sends each result when it is there; the process itself has ``(seconds + 1) * n + 5`` seconds. What is
+    not sent by then has failed, and so have the tests after the first failure."""
+    if not allow:
+        raise PermissionError("running answers' code is off; pass allow=True to run it")
+    wanted = [_wanted(t, is_stdin) for t in tests]
+    done = [False] * len(tests)
+    read, write = os.pipe()
+    with tempfile.TemporaryDirectory() as folder, os.fdopen(read) as results:
+        given = json.dumps({"code": code, "tests": wanted, "stdin": is_stdin, "seconds": seconds, "results": write})
+        process = subprocess.Popen([sys.executable, "-I", "-c", _RUNNER], stdin=subprocess.PIPE, stdout=subprocess.DEVNULL, stderr=subprocess.DEVNULL, text=True, cwd=folder, env={}, pass_fds=(write,), start_new_session=True, preexec_fn=_limits(memory_mb))
+        os.close(write)
         try:
-            done = subprocess.run([sys.executable, "-I", "-c", code], input=given, capture_output=True, text=True, timeout=seconds, cwd=folder, env={}, preexec_fn=_limits(seconds, memory_mb))
+            process.communicate(given, timeout=(seconds + 1) * len(tests) + 5)
         except subprocess.TimeoutExpired:
-            return None
-    return None if done.returncode else done.stdout
+            pass
+        finally:
+            with contextlib.suppress(ProcessLookupError):
+                os.killpg(process.pid, signal.SIGKILL)  # and whatever the program has started
+            process.wait()
+        for line in results:
+            number, ok = map(int, line.split())
+            done[number] = bool(ok)
+    return done
 
 
 def run_stdin_tests(code: str, tests: list[dict], allow: bool = False, seconds: int = 6, memory_mb: int = 512) -> bool:
-    """Do all tests (input, output) pass? The first failure ends it; no tests is a failure."""
-    if not allow:
-        raise PermissionError("running answers' code is off; pass allow=True to run it")
-    for test in tests:
-        out = _run(code, test["input"], seconds, memory_mb)
-        want = test["output"].strip()
-        want = want[: want.rfind("-")].rstrip() if want.endswith("-") else want
-        if out is None or out.strip() != want:
-            return False
-    return bool(tests)
+    """Do all tests (input, output) pass? No tests is a failure."""
+    return bool(tests) & all(run_tests(code, tests, True, allow, seconds, memory_mb))
 
 
 def run_function_tests(code: str, tests: list[dict], allow: bool = False, seconds: int = 6, memory_mb: int = 512) -> bool:
     """As :func:`run_stdin_tests`, for code that is a function: its value must equal the output."""
-    if not allow:
-        raise PermissionError("running answers' code is off; pass allow=True to run it")
-    for test in tests:
-        try:
-            given = json.dumps({"code": code, "args": call_arguments(test["input"]), "want": expected(test["output"])})
-        except (ValueError, TypeError):
-            return False
-        if _run(_CALL, given, seconds, memory_mb) != "same":
-            return False
-    return bool(tests)
+    try:
+        return bool(tests) & all(run_tests(code, tests, False, allow, seconds, memory_mb))
+    except (ValueError, TypeError):
+        return False
 
 
-def code_accuracy(rows: DataFrame, allow: bool = False, seconds: int = 6) -> DataFrame:
-    """(id, score) of rows (id, text, is_stdin, tests): 1 if the answer's last code block passes all
-    tests; an answer without code is 0. Each program runs in the task that holds its row."""
+def with_code_scores(rows: DataFrame, text: str = "text", tests: str = "tests", is_stdin: str = "is_stdin", allow: bool = False, seconds: int = 6) -> DataFrame:
+    """``rows`` with score and error: 1 if the answer's last code block passes all tests (an array of input and
+    output), else 0; the error says why nothing was run. Each answer runs in the task that holds its row."""
     if not allow:
         raise PermissionError("running answers' code is off; pass allow=True to run it")
+    kind = "array<struct<input:string,output:string>>"
+    held = rows.withColumns({"code__": answer_code(F.col(text)), "stdin__": F.coalesce(is_stdin, F.lit(False)), "tests__": F.col(tests).cast(kind)})
+
+    def one(r: dict) -> tuple[float, str | None]:
+        if not r["code__"]:
+            return 0.0, "no code"
+        if not r["tests__"]:
+            return 0.0, "no tests"
+        try:
+            return float(all(run_tests(r["code__"], r["tests__"], r["stdin__"], True, seconds))), None
+        except (ValueError, TypeError) as e:
+            return 0.0, f"unreadable test: {e}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = []
-            for r in batch.to_pylist():
-                check = run_stdin_tests if r["is_stdin"] else run_function_tests
-                score.append(float(bool(r["code"]) and check(r["code"], r["tests"] or [], True, seconds)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64())], ["id", "score"])
-
-    own = rows.select("id", answer_code(F.col("text")).alias("code"), F.coalesce("is_stdin", F.lit(False)).alias("is_stdin"), F.col("tests").cast("array<struct<input:string,output:string>>").alias("tests"))
-    return own.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, score double")
+            own = batch.select(["code__", "stdin__", "tests__"])
+            found = [one(r) for r in own.to_pylist()]
+            keep = [i for i, n in enumerate(batch.schema.names) if n not in own.schema.names]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], pa.string())], [*(batch.schema.names[i] for i in keep), "score", "error"])
+
+    return held.mapInArrow(run, StructType([*rows.schema.fields, StructField("score", DoubleType()), StructField("error", StringType())]))
+
+
+def code_accuracy(rows: DataFrame, allow: bool = False, seconds: int = 6) -> DataFrame:
+    """(id, score) of rows (id, text, is_stdin, tests); an answer without code is 0."""
+    return with_code_scores(rows.select("id", "text", "is_stdin", "tests"), allow=allow, seconds=seconds).select("id", "score")
 
 
 class _TextOnly(pickle.Unpickler):

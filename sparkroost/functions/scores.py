@@ -162,8 +162,12 @@ def overlap_by_count(rows, key: str, a: str, b: str):
     return own.select(key, f1.alias("f1"), F.when(F.col("same") > 0, f1 * (1 - penalty)).otherwise(0.0).alias("meteor"))
 
 
+def meteor_of(answer: Column, truth: Column) -> Column:
+    return T.let(F.struct(T.tokens(answer).alias("a"), T.tokens(truth).alias("b")), lambda s: meteor_words(s["a"], s["b"]))
+
+
 def meteor(text: Column, truth: Column) -> Column:
-    return T.let(F.struct(T.tokens(T.answer(text)).alias("a"), T.tokens(truth).alias("b")), lambda s: meteor_words(s["a"], s["b"]))
+    return meteor_of(T.answer(text), truth)
 
 
 def meteor_words(a: Column, b: Column) -> Column:
@@ -203,18 +207,74 @@ def class_score(text: Column, truth: Column, classes: Column) -> Column:
     return F.when(F.array_contains(named, truth), 1.0 / F.aggregate(named, state, step)["n"]).otherwise(0.0)
 
 
+#: Bits of a row that one long holds, so that a sum of two and a carry can't overflow.
+_WORD = 62
+_ONES = (1 << _WORD) - 1
+
+
+def common(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of two arrays.
+
+    One row of the table of lengths is a row of bits, a 0 where the length rises; a value of the longer array
+    changes all of them by one addition (Hyyrö): V becomes (V + (V and M)) or (V and not M), M marking
+    the value's places in the shorter array. Rows of over 62 bits are arrays of longs, added with carry."""
+    return F.coalesce(T.let(F.struct(a.alias("a"), b.alias("b")), lambda x: _common(x["a"], x["b"])), F.lit(0))
+
+
+def _common(a: Column, b: Column) -> Column:
+    """:func:`common` of columns that are at hand, so that naming them costs nothing."""
+    held = F.struct(F.when(F.size(a) < F.size(b), a).otherwise(b).alias("s"), F.when(F.size(a) < F.size(b), b).otherwise(a).alias("l"))
+    placed = T.let(held, lambda x: F.struct(F.size(x["s"]).alias("n"), _marks(x["s"]).alias("marks"), _places(x["s"], x["l"]).alias("at")))
+    return T.let(placed, lambda x: F.when(x["n"] == 0, 0).when(x["n"] <= _WORD, _one_word(x)).otherwise(_many_words(x)))
+
+
+def _marks(s: Column) -> Column:
+    """For each different value, the words of its places."""
+    bits = lambda part, y: F.aggregate(F.transform(part, lambda z, i: F.when(z == y, _bit(i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda n, z: n + z)
+    words = F.sequence(F.lit(0), F.floor((F.size(s) - 1) / _WORD).cast("int"))
+    return F.when(F.size(s) > 0, F.transform(F.array_distinct(s), lambda y: F.transform(words, lambda w: bits(F.slice(s, w * _WORD + 1, _WORD), y))))
+
+
+def _bit(i: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), i)
+
+
+def _places(s: Column, l: Column) -> Column:
+    """The number of each value of ``l`` that ``s`` has, among its different values."""
+    return T.let(F.array_distinct(s), lambda d: F.filter(F.transform(l, lambda x: F.array_position(d, x)), lambda i: i > 0))
+
+
+def _after(v: Column, m: Column, carry: Column) -> tuple[Column, Column]:
+    """(the word after an addition, its carry)."""
+    total = v + v.bitwiseAND(m) + carry
+    return total.bitwiseAND(F.lit(_ONES)).bitwiseOR(v.bitwiseAND(F.bitwise_not(m))), F.shiftright(total, _WORD)
+
+
+def _one_word(x: Column) -> Column:
+    full = _bit(x["n"]) - 1
+    row = F.aggregate(x["at"], full, lambda v, i: _after(v, F.get(F.get(x["marks"], i.cast("int") - 1), F.lit(0)), F.lit(0).cast("long"))[0])
+    return x["n"] - F.bit_count(row.bitwiseAND(full))
+
+
+def _many_words(x: Column) -> Column:
+    words = F.sequence(F.lit(0), F.floor((x["n"] - 1) / _WORD).cast("int"))
+    full = F.transform(words, lambda w: _bit(F.least(F.lit(_WORD), x["n"] - w * _WORD)) - 1)
+
+    def step(row: Column, i: Column) -> Column:
+        def word(s: Column, w: Column) -> Column:
+            return T.let(F.struct(F.get(row, w).alias("v"), F.get(F.get(x["marks"], i.cast("int") - 1), w).alias("m")), lambda y: F.struct(_after(y["v"], y["m"], s["carry"])[1].alias("carry"), F.concat(s["row"], F.array(_after(y["v"], y["m"], s["carry"])[0])).alias("row")))
+
+        start = F.struct(F.lit(0).cast("long").alias("carry"), F.expr("cast(array() as array<bigint>)").alias("row"))
+        return F.aggregate(words, start, word)["row"]
+
+    last = F.aggregate(x["at"], full, step)
+    ones = F.aggregate(F.zip_with(last, full, lambda v, f: F.bit_count(v.bitwiseAND(f))), F.lit(0), lambda n, k: n + k)
+    return x["n"] - ones
+
+
 def rouge_l(a: Column, b: Column) -> Column:
-    """F measure of the longest common subsequence of two word arrays. One row of the table of
-    lengths, as long as ``b``, is carried over ``a``; words of ``a`` that ``b`` lacks leave it as it is."""
-    zero = F.transform(b, lambda _: F.lit(0))
-    cell = lambda row, i: F.when(i > 0, F.get(row, i - 1)).otherwise(0)
-    step = lambda row, x: F.aggregate(
-        F.sequence(F.lit(0), F.size(b) - 1),
-        F.expr("cast(array() as array<int>)"),
-        lambda new, i: F.concat(new, F.array(F.when(F.get(b, i) == x, cell(row, i) + 1).otherwise(F.greatest(F.get(row, i), cell(new, i))))),
-    )
-    common = F.aggregate(F.filter(a, lambda x: F.array_contains(b, x)), zero, step, lambda row: F.array_max(row))
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), 2.0 * common / (F.size(a) + F.size(b))).otherwise(0.0)
+    """F measure of the longest common subsequence of two word arrays."""
+    return T.let(F.struct(a.alias("a"), b.alias("b")), lambda x: F.when((F.size(x["a"]) > 0) & (F.size(x["b"]) > 0), 2.0 * _common(x["a"], x["b"]) / (F.size(x["a"]) + F.size(x["b"]))).otherwise(0.0))
 
 
 def code_similarity(text: Column, truth: Column) -> Column:

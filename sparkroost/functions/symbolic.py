@@ -1,31 +1,45 @@
 """Equality of formulas: the steps of math equality that need a parser.
 
-A formula is read into a function of its variables and both sides are compared at fixed sample
-points; no algebra system is needed. Read are numbers, one-letter and Greek variables, ``+ - * / ^``,
-products without a sign, fractions, roots, common functions, absolute values, and the usual TeX
-around them. What can't be read equals only its own text. Sampling can't prove equality: two
-formulas that agree within 1e-9 at all points count as equal.
+A formula is read into a tree: numbers (exact fractions), one-letter and Greek variables, ``+ - * / ^``,
+products without a sign, fractions, roots, common functions, absolute values, and the usual TeX around them.
+Two trees are compared
+
+1. exactly, in a prime field at random points. Variables, pi and e are random elements, i is a root of -1, and what is
+   no rational function (a root, a sine, an absolute value) is a random element of its own, the same one wherever its
+   argument has the same values. Rational functions are settled here (a wrong "equal" needs a root of their
+   difference at all points, less than one in 10^50 for any degree that fits a text), and so are formulas that agree
+   or differ by a constant;
+2. else, by value at positive, negative and complex points: all points where both are defined must agree within 1e-9, so
+   that ``|x|`` or a root of ``x^2`` is not ``x``.
+
+Formulas without variables are equal within a relative 1e-4. What can't be read equals only its own text.
 """
 
 from __future__ import annotations
 
 import cmath
+import functools
+import hashlib
 import math
 import re
-import zlib
-from collections.abc import Callable
+from fractions import Fraction
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from . import scores as S
 from . import text as T
 
-Formula = Callable[[dict[str, complex]], complex]
-#: Sample points; at least half of them must be defined on both sides.
-POINTS = 8
+#: A node: its kind, and numbers, names or nodes.
+Tree = tuple
+#: A prime with a root of -1, the points in its field, and how often other points are tried where one is a pole.
+PRIME, FIELD_POINTS, TRIES = (1 << 61) - 31, 3, 3
+IMAGINARY = next(r for r in (pow(a, (PRIME - 1) // 4, PRIME) for a in range(2, 100)) if r * r % PRIME == PRIME - 1)
+#: Sizes of the points of each kind (positive, negative, complex): an absolute value turns at its formula's constants, so
+#: some are large. At least a third of all points must be defined on both sides.
+SCALES = (1, 1, 13, 180, 2500, 40_000)
 #: Texts longer than this are no formulas; also bounds the depth of the reader.
 LONGEST = 2000
 _FUNCTIONS = {"sin": cmath.sin, "cos": cmath.cos, "tan": cmath.tan, "ln": cmath.log, "log": cmath.log, "exp": cmath.exp, "arcsin": cmath.asin, "arccos": cmath.acos, "arctan": cmath.atan, "sinh": cmath.sinh, "cosh": cmath.cosh, "tanh": cmath.tanh}
@@ -61,7 +75,7 @@ class _Reader:
             at = m.end()
         self.at, self.names = 0, set()
 
-    def read(self) -> Formula:
+    def read(self) -> Tree:
         out = self.total()
         if self.at < len(self.tokens):
             raise Unreadable(self.tokens[self.at])
@@ -77,47 +91,45 @@ class _Reader:
         self.at += 1
         return got
 
-    def total(self) -> Formula:
+    def total(self) -> Tree:
         out = self.product()
         while self.next() in ("+", "-"):
             minus, left, right = self.take() == "-", out, self.product()
-            out = (lambda v, a=left, b=right: a(v) - b(v)) if minus else (lambda v, a=left, b=right: a(v) + b(v))
+            out = ("-" if minus else "+", left, right)
         return out
 
-    def product(self) -> Formula:
+    def product(self) -> Tree:
         out = self.signed()
         while True:
             sign = self.next()
             if sign in ("*", "/"):
                 self.take()
                 left, right = out, self.signed()
-                out = (lambda v, a=left, b=right: a(v) / b(v)) if sign == "/" else (lambda v, a=left, b=right: a(v) * b(v))
+                out = (sign, left, right)
             elif sign and sign not in "+-)}]|^":
-                left, right = out, self.power()
-                out = lambda v, a=left, b=right: a(v) * b(v)
+                out = ("*", out, self.power())
             else:
                 return out
 
-    def signed(self) -> Formula:
+    def signed(self) -> Tree:
         if self.next() in ("+", "-"):
             minus, own = self.take() == "-", self.signed()
-            return (lambda v: -own(v)) if minus else own
+            return ("-", number(0), own) if minus else own
         return self.power()
 
-    def power(self) -> Formula:
+    def power(self) -> Tree:
         base = self.atom()
         if self.next() != "^":
             return base
         self.take()
-        top = self.signed()
-        return lambda v: base(v) ** top(v)
+        return ("^", base, self.signed())
 
-    def group(self, close: str) -> Formula:
+    def group(self, close: str) -> Tree:
         out = self.total()
         self.take(close)
         return out
 
-    def argument(self) -> Formula:
+    def argument(self) -> Tree:
         """What stands after a macro: a group in braces, or one digit or letter."""
         if self.next() == "{":
             self.take()
@@ -125,73 +137,179 @@ class _Reader:
         own = self.next()
         if len(own) > 1 and own.isdigit():  # a fraction such as \frac12
             self.tokens[self.at] = own[1:]
-            return lambda v, x=float(own[0]): x
+            return number(own[0])
         return self.atom()
 
-    def atom(self) -> Formula:
+    def atom(self) -> Tree:
         got = self.take()
         if got in "({[":
             return self.group({"(": ")", "{": "}", "[": "]"}[got])
         if got == "|":
-            inner = self.group("|")
-            return lambda v: complex(abs(inner(v)))
+            return ("call", "abs", self.group("|"))
         if got[0].isdigit() or got[0] == ".":
-            return lambda v, x=float(got): x
+            return number(got)
         name = got.lstrip("\\")
         if name == "frac":
-            top, low = self.argument(), self.argument()
-            return lambda v: top(v) / low(v)
+            return ("/", self.argument(), self.argument())
         if name == "sqrt":
             if self.next() == "[":
                 self.take()
                 degree = self.group("]")
-                inner = self.argument()
-                return lambda v: inner(v) ** (1 / degree(v))
-            inner = self.argument()
-            return lambda v: cmath.sqrt(inner(v))
+                return ("^", self.argument(), ("/", number(1), degree))
+            return ("^", self.argument(), number("1/2"))
         if name in _FUNCTIONS:
-            f, top = _FUNCTIONS[name], None
+            top = None
             if self.next() == "^":
                 self.take()
                 top = self.argument()
             inner = self.group(")") if self.next() == "(" and self.take() else self.power()
-            return (lambda v: f(inner(v)) ** top(v)) if top else (lambda v: f(inner(v)))
+            called = ("call", "ln" if name == "log" else name, inner)
+            return ("^", called, top) if top else called
         if name in _CONSTANTS:
-            return lambda v, x=_CONSTANTS[name]: x
+            return ("constant", name)
         if name.isalpha() and (len(name) == 1 or got[0] == "\\"):
             self.names.add(name)
-            return lambda v: v[name]
+            return ("variable", name)
         raise Unreadable(got)
 
 
-def _values(text: str) -> tuple[list[complex | None], set[str]]:
-    """A formula's values at the sample points (null where undefined), and its variables."""
+def number(text: str | int) -> Tree:
+    return ("number", Fraction(text))
+
+
+def read(text: str) -> tuple[Tree, set[str]]:
+    """A formula's tree, and its variables."""
     if len(text) > LONGEST:
         raise Unreadable("too long")
     reader = _Reader(text)
-    formula, out = reader.read(), []
-    for k in range(POINTS):
-        at = {n: 0.3 + zlib.crc32(f"{n} {k}".encode()) % 9973 / 3989 for n in reader.names}
+    return reader.read(), reader.names
+
+
+def _random(*of: object) -> int:
+    return int.from_bytes(hashlib.blake2b(repr(of).encode(), digest_size=16).digest(), "big") % PRIME
+
+
+def _fraction(tree: Tree) -> Fraction | None:
+    """The value of a tree of numbers alone."""
+    kind, *own = tree
+    if kind == "number":
+        return own[0]
+    if kind not in ("+", "-", "*", "/", "^"):
+        return None
+    a, b = map(_fraction, own)
+    if a is None or b is None or b == 0 and kind == "/":
+        return None
+    if kind == "^":
+        return a ** int(b) if b.denominator == 1 and abs(b) <= 64 and (a or b > 0) else None
+    return a + b if kind == "+" else a - b if kind == "-" else a * b if kind == "*" else a / b
+
+
+class _Field:
+    """Values of trees at ``FIELD_POINTS`` points of the field; ``rational`` falls if a tree has a part that is
+    no rational function."""
+
+    def __init__(self, seed: int):
+        self.seed, self.rational = seed, True
+
+    def atom(self, *of: object) -> list[int]:
+        self.rational = False
+        return [_random(self.seed, k, *of) for k in range(FIELD_POINTS)]
+
+    def inverse(self, a: list[int]) -> list[int]:
+        if 0 in a:
+            raise ZeroDivisionError
+        return [pow(x, -1, PRIME) for x in a]
+
+    def power(self, base: Tree, top: Tree) -> list[int]:
+        own, n = self.value(base), _fraction(top)
+        if n is None:
+            return self.atom("^", own, self.value(top))
+        if n.denominator > 1:
+            own = self.atom("root", n.denominator, own)
+        return [pow(x, abs(n.numerator), PRIME) for x in (self.inverse(own) if n < 0 else own)]
+
+    def value(self, tree: Tree) -> list[int]:
+        kind, *own = tree
+        if kind == "number":
+            x = own[0]
+            return [x.numerator * pow(x.denominator, -1, PRIME) % PRIME] * FIELD_POINTS
+        if kind == "variable":
+            return [_random(self.seed, k, own[0]) for k in range(FIELD_POINTS)]
+        if kind == "constant":
+            return [IMAGINARY] * FIELD_POINTS if own[0] == "i" else [_random(self.seed, k, "constant", own[0]) for k in range(FIELD_POINTS)]
+        if kind == "call":
+            return self.power(("constant", "e"), own[1]) if own[0] == "exp" else self.atom(own[0], self.value(own[1]))
+        if kind == "^":
+            return self.power(*own)
+        a, b = map(self.value, own)
+        if kind == "/":
+            b = self.inverse(b)
+        return [(x + y if kind == "+" else x - y if kind == "-" else x * y) % PRIME for x, y in zip(a, b, strict=True)]
+
+
+def identical(a: Tree, b: Tree) -> bool | None:
+    """Whether two trees are the same function; null if the field can't tell."""
+    for seed in range(TRIES):
+        field = _Field(seed)
+        try:
+            gap = [(x - y) % PRIME for x, y in zip(field.value(a), field.value(b), strict=True)]
+        except ZeroDivisionError:
+            continue
+        if not any(gap):
+            return True
+        return False if field.rational or len(set(gap)) == 1 else None
+    return None
+
+
+def _value(tree: Tree, at: dict[str, complex], largest: list[float]) -> complex:
+    """A tree's value; ``largest`` holds the largest absolute value of its sums' parts."""
+    kind, *own = tree
+    if kind == "number":
+        return complex(own[0])
+    if kind == "variable":
+        return at[own[0]]
+    if kind == "constant":
+        return complex(_CONSTANTS[own[0]])
+    if kind == "call":
+        inner = _value(own[1], at, largest)
+        return complex(abs(inner)) if own[0] == "abs" else _FUNCTIONS[own[0]](inner)
+    a, b = (_value(x, at, largest) for x in own)
+    if kind in ("+", "-"):
+        largest[0] = max(largest[0], abs(a), abs(b))
+        return a + b if kind == "+" else a - b
+    return a * b if kind == "*" else a / b if kind == "/" else a**b
+
+
+def _values(tree: Tree, names: set[str]) -> list[complex | None]:
+    """A tree's values at the sample points, null where it is undefined or has lost its digits in sums."""
+    out = []
+    for k in range(3 * len(SCALES)):
+        scale = SCALES[k // 3] if k % 3 < 2 else 1  # functions of large complex numbers are too large
+        size = {n: scale * (0.3 + _random("size", n, k) % 9973 / 3989) for n in names}
+        turn = {n: (1, -1, cmath.exp(1j * (0.4 + _random("turn", n, k) % 9973 / 3989)))[k % 3] for n in names}
+        largest = [0.0]
         try:
-            value = complex(formula(at))
-            out.append(value if cmath.isfinite(value) else None)
+            value = _value(tree, {n: size[n] * turn[n] for n in names}, largest)
+            out.append(value if cmath.isfinite(value) and largest[0] * 1e-14 <= 1e-9 * max(abs(value), 1e-9) else None)
         except (ArithmeticError, ValueError):
             out.append(None)
-    return out, reader.names
+    return out
 
 
 def _agree(a: list[complex | None], b: list[complex | None], near: float) -> bool:
     pairs = [(x, y) for x, y in zip(a, b, strict=True) if x is not None and y is not None]
-    return len(pairs) * 2 >= POINTS and all(abs(x - y) <= near * max(abs(x), abs(y), 1e-9) for x, y in pairs)
+    return len(pairs) * 3 >= len(a) and all(abs(x - y) <= near * max(abs(x), abs(y), 1e-9) for x, y in pairs)
 
 
 def formulas_equal(a: str, b: str) -> bool:
-    """Two formulas; constants within a relative 1e-4, formulas of variables within 1e-9."""
+    """Two formulas; constants within a relative 1e-4, formulas of variables as functions."""
     try:
-        (x, names), (y, others) = _values(a), _values(b)
+        (x, names), (y, others) = read(a), read(b)
+        names = names | others
+        same = identical(x, y) if names else None
     except (Unreadable, RecursionError):
         return a.strip() == b.strip()
-    return _agree(x, y, 1e-9 if names | others else 1e-4)
+    return _agree(_values(x, names), _values(y, names), 1e-9 if names else 1e-4) if same is None else same
 
 
 def _number(text: str) -> float | None:
@@ -246,15 +364,37 @@ def equal(answer: str | None, truth: str | None) -> bool:
     return formulas_equal(a, b)
 
 
-@F.pandas_udf(BooleanType())
-def _equal(answer: pd.Series, truth: pd.Series) -> pd.Series:
-    return pd.Series([equal(a, b) for a, b in zip(answer, truth, strict=True)], dtype=bool)
+@F.pandas_udf(StructType([StructField("equal", BooleanType()), StructField("error", StringType())]))
+def _equal(answer: pd.Series, truth: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_entry(a, b) for a, b in zip(answer, truth, strict=True)], columns=["equal", "error"])
+
+
+@functools.lru_cache(maxsize=1 << 16)
+def _entry(a: str | None, b: str | None) -> tuple[bool, str | None]:
+    """Answers repeat, so a worker remembers some."""
+    try:
+        return equal(a, b), None
+    except Exception as e:  # a formula that breaks the comparison is an error of its row alone
+        return False, f"{type(e).__name__}: {e}"
+
+
+def with_math_scores(rows: DataFrame, text: str = "text", truth: str = "truth") -> DataFrame:
+    """``rows`` with score and error by the whole ladder. Each step is a column, so that none is worked out twice. Only
+    rows that the native steps leave open, and that aren't two numbers (which those steps settle), carry texts to the
+    reader; the others send it nulls."""
+    a, b = F.col("math__.a"), F.col("math__.b")
+    out = rows.withColumn("math__", F.struct(T.strip(F.substring_index(T.math_answer(F.col(text)), "=", -1)).alias("a"), F.col(truth).alias("b")))
+    out = out.withColumn("native__", S.math_equal(a, b))
+    settled = F.col("native__") | (S.parse_digits(a).isNotNull() & S.parse_digits(b).isNotNull())
+    out = out.withColumn("open__", F.when(~settled, F.col("math__")))
+    out = out.withColumn("read__", _equal(F.col("open__.a"), F.col("open__.b")))
+    out = out.withColumns({"score": S.score_if(F.col("native__") | F.col("read__.equal")), "error": F.col("read__.error")})
+    return out.drop("math__", "native__", "open__", "read__")
 
 
 def math_metric(text: Column, truth: Column) -> Column:
-    """The whole ladder. Only rows that the native steps leave open, and that aren't two numbers
-    (which those steps settle), carry texts to the reader; the others send it nulls."""
+    """The score alone, as a column; :func:`with_math_scores` does the same with less work."""
     answer = T.strip(F.substring_index(T.math_answer(text), "=", -1))
     native = S.math_equal(answer, truth)
     settled = native | (S.parse_digits(answer).isNotNull() & S.parse_digits(truth).isNotNull())
-    return S.score_if(native | _equal(F.when(~settled, answer), F.when(~settled, truth)))
+    return S.score_if(native | _equal(F.when(~settled, answer), F.when(~settled, truth))["equal"])

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .containment import either_way
+
 # Fixed values of the combined score.
 BETA, COST_MAX, COST_MIN = 0.1, 200.0, 0.0044
 
@@ -26,16 +28,16 @@ def base_name(model: Column) -> Column:
 
 def with_prices(rows: DataFrame, prices: DataFrame, model: str = "model") -> DataFrame:
     """``rows`` with in_price and out_price: exact by name, else the first price row (by ``pos``)
-    whose name contains the model's or is contained in it; null if none. Only distinct models without
-    an exact price meet the price table pair by pair, which has a few dozen rows."""
-    names = rows.select(F.col(model).alias("m")).distinct()
+    whose name contains the model's or is contained in it; null if none. Different models without
+    an exact price meet the prices by hashes of their parts (:func:`containment.either_way`)."""
+    names = rows.select(F.col(model).alias("m"), base_name(F.col(model)).alias("key")).distinct()
     one = prices.groupBy("model").agg(F.max_by(F.struct("in_price", "out_price"), "pos").alias("x"), F.min("pos").alias("pos"))  # a repeated name: the last price
-    dim = dimension(one.select("pos", F.col("model").alias("p"), "x.*"))
-    exact = names.join(dim, base_name(F.col("m")) == F.col("p"), "left")
-    left = exact.where("p is null").select("m")
-    key = base_name(F.col("m"))
-    partial = left.join(dim, F.contains(key, F.col("p")) | F.contains(F.col("p"), key)).groupBy("m").agg(F.min_by(F.struct("in_price", "out_price"), "pos").alias("x")).select("m", "x.*")
-    found = exact.where("p is not null").select("m", "in_price", "out_price").unionByName(partial)
+    dim = dimension(one.select("pos", F.col("model").alias("p"), "x"))
+    exact = names.join(dim, F.col("key") == F.col("p"), "left")
+    left = exact.where("p is null").select("m", "key")
+    met = either_way(left.select(F.col("key").alias("name")), dim.select(F.col("p").alias("other")))
+    near = met.join(dim, F.col("other") == F.col("p")).groupBy(F.col("name").alias("key")).agg(F.min_by("x", "pos").alias("x"))
+    found = exact.where("p is not null").select("m", "x.*").unionByName(left.join(near, "key").select("m", "x.*"))
     return rows.join(found, rows[model].eqNullSafe(found["m"]), "left").drop("m")
 
 

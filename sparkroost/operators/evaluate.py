@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..functions import text as T
+from ..functions.code_run import with_code_scores
+from ..functions.symbolic import with_math_scores
+from .containment import holders
 from .costs import canonical, dimension
 from .keyed import keep_first, keep_last
 
@@ -99,12 +102,13 @@ def by_position(rows: DataFrame, problems: DataFrame) -> DataFrame:
 def match_questions(examples: DataFrame, questions: DataFrame) -> DataFrame:
     """``examples`` (prompt, ...) with the global_index of the question that equals the prompt (the
     last of equal questions), else of the first question (by ``pos``) that holds the prompt's first
-    100 characters. Only distinct prefixes without an exact match meet the (bounded) questions."""
+    100 characters. Different heads without an exact match meet the windows of the different questions by hash."""
     exact = keep_last(questions.select("question", "global_index", "pos"), ["question"]).select(F.col("question").alias("q"), F.col("global_index").alias("by_text"))
     joined = examples.join(exact, F.col("prompt") == F.col("q"), "left").drop("q").withColumn("head", F.left("prompt", F.lit(100)))
-    heads = joined.where("by_text is null").select("head").distinct()
-    dim = dimension(questions.select(F.col("question").alias("q"), F.col("global_index").alias("g"), F.col("pos").alias("p")))
-    found = heads.join(dim, F.contains("q", "head")).groupBy("head").agg(F.min_by("g", "p").alias("by_head"))
+    heads = joined.where("by_text is null").select(F.col("head").alias("part"))
+    first = keep_first(questions.select("question", "global_index", "pos"), ["question"]).select(F.col("question").alias("text"), F.struct("pos", "global_index").alias("own"))
+    met = holders(first.select(F.col("text").alias("text_id"), "text"), heads)
+    found = met.join(first, F.col("text_id") == F.col("text")).groupBy(F.col("part").alias("head")).agg(F.min_by("own.global_index", "own.pos").alias("by_head"))
     out = joined.join(found, "head", "left")
     return out.withColumn("global_index", F.coalesce("by_text", "by_head")).drop("by_text", "by_head", "head")
 
@@ -129,23 +133,39 @@ def with_metrics(rows: DataFrame, configs: DataFrame) -> DataFrame:
     return joined.withColumn("metric", F.explode(metrics_of(F.col("dataset"), F.col("eval_metrics")))).drop("alias", "c", "eval_metrics")
 
 
-def score_rows(rows: DataFrame, text: str = "text", truth: str = "truth", answer: str | None = None) -> DataFrame:
-    """``rows`` (metric, text, truth) with the score by each row's metric. The answer is extracted
-    once for all metrics that share the rule (``answer``: the column that holds it already); metrics
-    that need programs run (code) are null here."""
+#: What each metric's score is made of: the extracted answer, the text and the truth. Formulas and programs have branches
+#: of their own in :func:`score_rows`.
+_NATIVE = {
+    "mcq_accuracy": lambda x, text, truth: S.mcq_accuracy_of(x, truth),
+    "mcq_exact_match": lambda x, text, truth: S.score_if(x == T.strip(truth)),
+    "exact_match": lambda x, text, truth: S.exact_match_of(x, truth),
+    "superglue_exact_match": lambda x, text, truth: S.superglue_exact_of(x, truth),
+    "superglue_clozetest": lambda x, text, truth: S.cloze(text, truth),
+    "chess_accuracy": lambda x, text, truth: S.chess_accuracy(text, truth),
+    "meteor_score": lambda x, text, truth: S.meteor_of(x, truth),
+}
+
+
+def score_rows(rows: DataFrame, text: str = "text", truth: str = "truth", answer: str | None = None, tests: str | None = None, is_stdin: str = "is_stdin", allow: bool = False) -> DataFrame:
+    """``rows`` (metric, text, truth) with score and error, by each row's metric, in one plan: formulas go to
+    the reader and programs to their tests in branches that hold those rows alone, all others are native columns. The
+    answer is extracted once for all metrics that share the rule (``answer``: the column that holds it
+    already). A row that can't be scored is 0 with the reason: no truth, an unknown metric, a formula that breaks the
+    reader, an answer without code or tests. Programs run only with ``allow`` and a column of ``tests``."""
     t, own = F.col(truth), rows if answer else rows.withColumn("extracted", T.answer(F.col(text)))
-    x = F.col(answer or "extracted")
-    score = (
-        F.when(F.col("metric") == "mcq_accuracy", S.mcq_accuracy_of(x, t))
-        .when(F.col("metric") == "mcq_exact_match", S.score_if(x == T.strip(t)))
-        .when(F.col("metric") == "exact_match", S.exact_match_of(x, t))
-        .when(F.col("metric") == "superglue_exact_match", S.superglue_exact_of(x, t))
-        .when(F.col("metric") == "superglue_clozetest", S.cloze(F.col(text), t))
-        .when(F.col("metric") == "chess_accuracy", S.chess_accuracy(F.col(text), t))
-        .when(F.col("metric") == "math_metric", S.math_metric(F.col(text), t))
-        .when(F.col("metric") == "meteor_score", S.meteor(F.col(text), t))
-    )
-    return own.withColumn("score", score).drop(*[] if answer else ["extracted"])
+    metric, x = F.col("metric"), F.col(answer or "extracted")
+    score = F.when(t.isNull() | metric.isNull(), 0.0)
+    for name, how in _NATIVE.items():
+        score = score.when(metric == name, how(x, F.col(text), t))
+    code = metric == "code_accuracy"
+    error = F.when(metric.isNull() | ~metric.isin(*METRICS), F.concat(F.lit("no metric "), F.coalesce(metric, F.lit("at all"))))
+    error = error.when(code, "no tests" if allow else "programs are off").when(t.isNull(), "no truth")
+    names = [c for c in own.columns if answer or c != "extracted"]
+    programs = metric.eqNullSafe("code_accuracy") if tests and allow else F.lit(False)
+    formulas = metric.eqNullSafe("math_metric") & t.isNotNull()
+    out = own.where(~programs & ~formulas).select(*names, F.coalesce(score, F.lit(0.0)).alias("score"), error.alias("error"))
+    out = out.unionByName(with_math_scores(rows.where(formulas), text, truth))
+    return out.unionByName(with_code_scores(rows.where(programs), text, tests, is_stdin, allow=True)) if tests and allow else out
 
 
 def metric_means(scored: DataFrame, *by: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import prompts as P
+from ..functions import symbolic
 from ..functions import text as T
 from ..operators import evaluate as E
 from ..operators import keyed, validate
@@ -143,27 +144,56 @@ def dataset_metrics(spark, sf_dir: str) -> DataFrame:
 _SCORE = r"""CASE metric WHEN 'mcq_accuracy' THEN x = truth WHEN 'mcq_exact_match' THEN x = truth WHEN 'exact_match' THEN lower(x) = lower(truth)
  WHEN 'superglue_exact_match' THEN CASE WHEN truth IN ('Yes', 'No') THEN CASE WHEN upper(x) IN ('A', 'X', '1', 'TRUE') THEN 'Yes' WHEN upper(x) IN ('B', 'Y', '0', 'FALSE') THEN 'No' ELSE x END ELSE x END = truth
  WHEN 'superglue_clozetest' THEN CASE WHEN contains(text, '\boxed{') THEN x ELSE upper(text[1]) END = truth
- WHEN 'chess_accuracy' THEN CASE WHEN contains(text, '\boxed{') THEN x WHEN regexp_matches(text, '\b[A-Z]\b') THEN list_extract(regexp_extract_all(text, '\b([A-Z])\b', 1), -1) ELSE '' END = truth END"""
-_SIX = ["mcq_accuracy", "mcq_exact_match", "exact_match", "superglue_exact_match", "superglue_clozetest", "chess_accuracy"]
-
-
-@query(f"""WITH {LADDER}, s AS (SELECT l_linenumber, unnest({_SIX!r}) AS metric, text, truth, x FROM ext)
-SELECT metric, l_linenumber, count(*) AS n, round(avg(CASE WHEN {_SCORE} THEN 1.0 ELSE 0.0 END), 6) AS mean FROM s GROUP BY ALL""")
+ WHEN 'chess_accuracy' THEN CASE WHEN contains(text, '\boxed{') THEN x WHEN regexp_matches(text, '\b[A-Z]\b') THEN list_extract(regexp_extract_all(text, '\b([A-Z])\b', 1), -1) ELSE '' END = truth
+ WHEN 'meteor_score' THEN lower(x) = lower(truth) END"""
+_NATIVE = ["mcq_accuracy", "mcq_exact_match", "exact_match", "superglue_exact_match", "superglue_clozetest", "chess_accuracy", "meteor_score"]
+
+#: Products of two linear factors against their expansions, some with a part of another sign: m, n and an error d.
+_QUADRATICS = """SELECT l_orderkey, l_linenumber, CAST(l_partkey % 9 - 4 AS INT) AS m, CAST(l_suppkey % 7 - 3 AS INT) AS n, CAST(CASE WHEN l_orderkey % 3 = 0 THEN 1 ELSE 0 END AS INT) AS d, CAST(l_orderkey % 4 AS INT) AS form FROM lineitem"""
+_FORMULA_TEXT = r"""CASE form WHEN 0 THEN concat('so \boxed{(x+', m, ')(x+', n, ')}') WHEN 1 THEN concat('\boxed{', n, 'x+x^2+', m, 'x+', m, '\cdot', n, '}')
+ WHEN 2 THEN concat('\boxed{\left|x+', m, '\right|}') ELSE concat('\boxed{\sqrt{(x+', m, ')^2}}') END"""
+_FORMULA_TRUTH = r"""CASE WHEN form < 2 THEN concat('x^2+', m + n, 'x+', m * n + d) WHEN form = 2 AND d = 0 THEN concat('|', m, '+x|') WHEN d = 0 THEN concat('\sqrt{x^2+', 2 * m, 'x+', m * m, '}') ELSE concat('x+', m) END"""
+#: Programs that print twice a number, against a test that wants the supplier's nation and a half of it.
+_PROGRAM_ROWS = """SELECT s_suppkey, CASE s_suppkey % 5 WHEN 4 THEN 'no code at all' WHEN 3 THEN '```python\nwhile False:\n    pass\nraise ValueError\n```' ELSE '```python\nimport sys\nprint(2 * int(sys.stdin.buffer.read()))\n```' END AS text,
+ true AS is_stdin, array(named_struct('input', CAST(s_nationkey AS STRING), 'output', CAST(CAST(s_nationkey + s_suppkey % 3 AS INT) + s_nationkey AS STRING))) AS tests FROM supplier"""
+
+
+@query(f"""WITH {LADDER}, s AS (SELECT l_linenumber, unnest({_NATIVE!r}) AS metric, text, truth, x FROM ext),
+q AS ({_QUADRATICS}), all_rows AS (SELECT metric, l_linenumber, CASE WHEN {_SCORE} THEN 1.0 ELSE 0.0 END AS score FROM s
+ UNION ALL SELECT 'math_metric', l_linenumber, CASE WHEN d = 0 THEN 1.0 ELSE 0.0 END FROM q
+ UNION ALL SELECT 'code_accuracy', 0, CASE WHEN s_suppkey % 5 < 3 AND s_suppkey % 3 = 0 THEN 1.0 ELSE 0.0 END FROM supplier)
+SELECT metric, l_linenumber, count(*) AS n, round(avg(score), 6) AS mean FROM all_rows GROUP BY ALL""")
 def metric_scores(spark, sf_dir: str) -> DataFrame:
-    """Every answer by six metrics, as a data set with several metrics is scored."""
-    rows = view(spark, sf_dir, "answers").select("l_linenumber", "text", "truth", T.answer(F.col("text")).alias("answer"))
-    rows = rows.select("*", F.explode(F.array(*map(F.lit, _SIX))).alias("metric"))
-    means = E.metric_means(E.score_rows(rows, answer="answer"), "l_linenumber")
+    """Answers, formulas and programs by all nine metrics through one dispatch."""
+    tables(spark, sf_dir, "lineitem", "supplier")
+    none = F.lit(None).cast("array<struct<input:string,output:string>>")
+    own = ["l_linenumber", "metric", "text", "truth", "answer", "is_stdin", "tests"]
+    rows = view(spark, sf_dir, "answers").select("l_linenumber", "text", "truth", T.answer(F.col("text")).alias("answer"), F.lit(False).alias("is_stdin"), none.alias("tests"))
+    rows = rows.select("*", F.explode(F.array(*map(F.lit, _NATIVE))).alias("metric")).select(own)
+    spark.sql(_QUADRATICS).createOrReplaceTempView("quadratics")
+    formulas = spark.sql(f"SELECT l_linenumber, 'math_metric' AS metric, {_FORMULA_TEXT} AS text, {_FORMULA_TRUTH} AS truth, '' AS answer, false AS is_stdin FROM quadratics".replace("\\", "\\\\"))
+    programs = spark.sql(_PROGRAM_ROWS).select(F.lit(0).alias("l_linenumber"), F.lit("code_accuracy").alias("metric"), "text", F.lit("").alias("truth"), F.lit("").alias("answer"), "is_stdin", "tests")
+    every = rows.unionByName(formulas.withColumn("tests", none).select(own)).unionByName(programs.select(own))
+    means = E.metric_means(E.score_rows(every, answer="answer", tests="tests", allow=True), "l_linenumber")
     return means.select("metric", "l_linenumber", "n", F.round("mean", 6).alias("mean"))
 
 
+@query(f"SELECT l_orderkey, l_linenumber, m, n, CASE WHEN d = 0 THEN 1.0 ELSE 0.0 END AS score FROM ({_QUADRATICS}) AS q")
+def score_identities(spark, sf_dir: str) -> DataFrame:
+    """Quadratics, absolute values and roots that are or aren't the same function; SQL knows how they were made."""
+    tables(spark, sf_dir, "lineitem")
+    spark.sql(_QUADRATICS).createOrReplaceTempView("quadratics")
+    rows = spark.sql(f"SELECT l_orderkey, l_linenumber, m, n, {_FORMULA_TEXT} AS text, {_FORMULA_TRUTH} AS truth FROM quadratics".replace("\\", "\\\\"))
+    return symbolic.with_math_scores(rows).select("l_orderkey", "l_linenumber", "m", "n", "score")
+
+
 @query(f"""WITH r AS (SELECT l_orderkey, text, truth, {_PICK.format('l_orderkey')} AS dataset FROM answers), {_METRICS_SQL},
-{LADDER.replace('FROM answers', 'FROM u')}, s AS (SELECT * FROM ext WHERE metric IN ({', '.join(repr(m) for m in _SIX)}))
+{LADDER.replace('FROM answers', 'FROM u')}, s AS (SELECT * FROM ext WHERE metric IN ({', '.join(repr(m) for m in _NATIVE)}))
 SELECT dataset, metric, count(*) AS n, round(avg(CASE WHEN {_SCORE} THEN 1.0 ELSE 0.0 END), 6) AS mean FROM s GROUP BY ALL""")
 def dataset_scores(spark, sf_dir: str) -> DataFrame:
     """From data set to configuration to metrics to scores to means."""
     rows = view(spark, sf_dir, "answers").select("text", "truth", F.expr(_PICK.format("l_orderkey")).alias("dataset"))
-    scored = E.score_rows(E.with_metrics(rows, _configs(spark)).where(F.col("metric").isin(*_SIX)))
+    scored = E.score_rows(E.with_metrics(rows, _configs(spark)).where(F.col("metric").isin(*_NATIVE)))
     means = E.metric_means(scored, "dataset")
     return means.select("dataset", "metric", "n", F.round("mean", 6).alias("mean"))
 

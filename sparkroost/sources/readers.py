@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import io
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .answer_log import open_fs
+
 PREDICTION = "`global index` string, prompt string, prediction string, generated_result struct<generated_answer:string,success:boolean,token_usage:struct<input_tokens:bigint,output_tokens:bigint,total_tokens:bigint>,provider:string,error:string>, cost double, accuracy double"
 CACHE = "global_index string, question string, llm_selected string, generated_answer string, token_usage struct<input_tokens:bigint,output_tokens:bigint,total_tokens:bigint>, success boolean, provider string, error string, evaluation_result struct<extracted_answer:string,ground_truth:string,score:double,metric:string,inference_cost:double>"
 
@@ -56,6 +62,22 @@ def remove(spark: SparkSession, path: str) -> None:
     own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(own, True)
 
 
+def listed(spark: SparkSession, folder: str) -> list[str]:
+    """The names in a folder."""
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return sorted(f.getPath().getName() for f in own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(own))
+
+
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    """Put a file or folder in the place of another, which goes if it is there."""
+    jvm = spark.sparkContext._jvm
+    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(to)
+    fs = new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(new, True)
+    if not fs.rename(old, new):
+        raise OSError(f"could not rename {path} to {to}")
+
+
 def write_cache(rows: DataFrame, folder: str) -> None:
     """One folder for each model; only the models in ``rows`` are replaced."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model").json(folder)
@@ -112,15 +134,9 @@ def check_router_config(spark: SparkSession, path: str) -> None:
 
 def replace_table(rows: DataFrame, path: str) -> None:
     """Overwrite JSON lines, also when ``rows`` is read from ``path``: written beside it, then renamed."""
-    spark = rows.sparkSession
-    jvm = spark.sparkContext._jvm
     beside = path.rstrip("/") + ".new"
     rows.write.mode("overwrite").json(beside)
-    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(beside)
-    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    if not fs.rename(new, old):
-        raise OSError(f"could not rename {beside} to {path}")
+    rename(rows.sparkSession, beside, path)
 
 
 def to_json_lines(spark: SparkSession, path: str, target: str, schema: str = CACHE) -> None:
@@ -129,11 +145,53 @@ def to_json_lines(spark: SparkSession, path: str, target: str, schema: str = CAC
 
 
 def write_predictions(rows: DataFrame, folder: str, by: str = "router") -> None:
-    """One JSON array for each router, in the order of ``pos``. A router's file has a row for each query
-    of the benchmark and is one text, as clients expect."""
+    """One JSON array for each router, in the order of ``pos``: ``folder/router=<name>/predictions.json``.
+
+    Rows are sorted by range into lines of text, whatever share of them a router has; a task for each router then
+    joins its parts line by line, in order, with the brackets and commas between them. The new files take the old
+    ones' place by one rename."""
+    spark = rows.sparkSession
     names = [c for c in rows.columns if c not in (by, "pos")]
-    own = rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("pos", F.struct(*names).alias("row")))).alias("rows"))
-    own.select(by, F.to_json(F.col("rows.row")).alias("value")).write.mode("overwrite").partitionBy(by).text(folder)
+    parts, new = (f"{folder.rstrip('/')}.{kind}" for kind in ("parts", "new"))
+    ordered = rows.repartitionByRange(by, "pos").sortWithinPartitions(by, "pos")
+    ordered.select(by, F.to_json(F.struct(*names)).alias("value")).write.mode("overwrite").partitionBy(by).text(parts)
+    remove(spark, new)
+    found = [name for name in listed(spark, parts) if name.startswith(f"{by}=")]
+    told = spark.createDataFrame([(n,) for n in found], "name string").repartition(max(1, len(found)), "name").mapInArrow(_joined(parts, new), "name string, n long")
+    done = told.count()
+    if done != len(found):
+        raise OSError(f"{done} of {len(found)} files were written")
+    remove(spark, folder)
+    if found:
+        rename(spark, new, folder)
+    remove(spark, parts)
+
+
+def _joined(parts: str, new: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs as pafs
+        from pyspark import TaskContext
+
+        fs, source = open_fs(parts)
+        _, target = open_fs(new)
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                fs.create_dir(f"{target}/{name}", recursive=True)
+                trial = f"{target}/.{TaskContext.get().taskAttemptId()}.trial"
+                n = 0
+                files = sorted((f for f in fs.get_file_info(pafs.FileSelector(f"{source}/{name}")) if f.base_name.startswith("part-")), key=lambda f: f.base_name)
+                with fs.open_output_stream(trial) as out:
+                    out.write(b"[")
+                    for f in files:
+                        with fs.open_input_stream(f.path) as stream:
+                            for line in io.BufferedReader(stream, 1 << 20):
+                                out.write((b",\n" if n else b"\n") + line.rstrip(b"\n"))
+                                n += 1
+                    out.write(b"\n]\n")
+                fs.move(trial, f"{target}/{name}/predictions.json")
+                yield pa.RecordBatch.from_pydict({"name": [name], "n": pa.array([n], pa.int64())})
+
+    return run
 
 
 def write_cube(cube: DataFrame, folder: str) -> None:

@@ -4,24 +4,26 @@
    vocabulary. Texts are written once as codes of that vocabulary (other words: 0), padded to units
    of ``UNIT`` words. Words are lower-cased (A-Z) and stripped of ASCII punctuation.
 2. The units of *all* texts that hold a word are counted for each word. Of every passage the
-   ``TERMS`` rarest words are TF-IDF columns.
+   ``TERMS`` rarest words that the texts have are TF-IDF columns.
 3. Randomised SVD, distributed: the test matrix lies in the span of the benchmark's own TF-IDF
    rows; one pass over all units multiplies it by A'A, a second one projects A on the orthonormal
    basis of that and sums the Gram matrix, whose eigenvectors turn the basis into the singular
    vectors. A has the units of all texts and the benchmark's passages. Partial products are summed
    by row blocks in the shuffle; the driver gets a matrix of the vocabulary's size.
-4. Windows of three units (a passage lies in at least one) are compared with all passages. A pair
-   is a candidate if the window has as many of the passage's words as step 5 asks for in order: a
-   bound that no match falls below. The cosine in the latent space is reported, it drops nothing:
-   with more passages than dimensions verbatim items fall under any threshold.
+4. Windows of ``SPAN`` units, one unit apart, hold every region of one and a half times a passage. Of each
+   window the passages with a cosine of ``NEAR`` or more in the latent space are the first candidates: they find almost
+   all matches, the paraphrases too (README: the measured share). With more passages than dimensions a verbatim item
+   can fall under any threshold, so the pairs that the cosine leaves out are candidates if the window has as many of the
+   passage's words as step 5 asks for in order: a bound that no match falls below.
 5. A candidate must have a longest common subsequence of
    ``SHARE`` of the passage within a region of one and a half times its length (eight words at
    least, or all words of a shorter passage), and half of the passage's answer (its last sentence)
-   as a subsequence of the region. So paraphrases that keep the order of most words are found.
+   as a subsequence of the region. Every region of that length is tried. So paraphrases that keep the order of most words
+   are found, with other words between them too.
 
 A benchmark over ``SLICE_BYTES`` of text is worked off in slices, each with passes of its own.
 
-Defined results: null or empty texts and items match nothing; repeated items give a row for each
+Defined results: null or empty texts and items, and items with a null item_id (no row could name them), match nothing; repeated items give a row for each
 different item_id; repeated doc_ids give one row for each item; a null doc_id is reported as null;
 an empty table gives an empty table.
 """
@@ -41,6 +43,8 @@ from ._words import LETTERS, pack, words
 
 PASSAGE, UNIT, TERMS, RANK, SHARE, ANSWER = 64, 32, 12, 128, 0.7, 0.5
 LEAST_WORDS = 8
+#: Units of a window: a region of 96 words that begins anywhere in the first unit ends in it.
+SPAN, NEAR = 4, 0.5
 SLICE_BYTES = 1 << 20
 _CHUNK = 64
 _BLOCK = 256
@@ -262,11 +266,11 @@ class _Bound:
             self.blocks.append((a, most.astype(np.int32), first.astype(np.int32), shares))
 
     def candidates(self, units: np.ndarray, end: np.ndarray, live: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(window, passage) pairs whose window of three units shares ``need`` words."""
+        """(window, passage) pairs whose window shares ``need`` words."""
         for lo in range(0, len(live), 4096):
             part = live[lo : lo + 4096]
-            u = np.zeros((len(part), 3 * UNIT), units.dtype)
-            for k in range(3):
+            u = np.zeros((len(part), SPAN * UNIT), units.dtype)
+            for k in range(SPAN):
                 ok = part + k < end[part]
                 u[ok, k * UNIT : (k + 1) * UNIT] = units[part[ok] + k]
             u.sort(axis=1)
@@ -291,8 +295,11 @@ def _tight(p: Passage, window: list[int]) -> tuple[int, int, int] | None:
     n = len(p.codes)
     if common(p.masks, n, window) < p.need:
         return None
-    size, step = math.ceil(1.5 * n) + 2, max(1, n // 4)
-    for a in range(0, max(1, len(window) - size + step), step):
+    size = math.ceil(1.5 * n)
+    last = max(0, len(window) - size)
+    for a in range(last + 1):
+        if a < last and window[a] not in p.masks:
+            continue  # a region that begins at a word of the passage holds as much
         part = window[a : a + size]
         got = common(p.masks, n, part)
         if got >= p.need and common(p.answer_masks, len(p.answer), part) >= ANSWER * len(p.answer):
@@ -305,22 +312,41 @@ def _matches(units: np.ndarray, end: np.ndarray, windows: np.ndarray, ks: np.nda
     seen = None
     for w, k in zip(windows.tolist(), ks.tolist(), strict=True):
         if w != seen:
-            window = units[w : min(w + 3, int(end[w]))].ravel().tolist()
+            window = units[w : min(w + SPAN, int(end[w]))].ravel().tolist()
             seen = w
         if got := _tight(own[k], window):
             yield w, k, got
 
 
+def _nearest(units: np.ndarray, end: np.ndarray, live: np.ndarray, column: np.ndarray, weighted: np.ndarray, bench: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(window, passage) pairs with a cosine of ``NEAR`` or more in the latent space. A pair is judged by the best
+    of its window's halves too, since an item is half of a window."""
+    u, c = _entries(units, column)
+    z = np.concatenate([_project(u, c, weighted, len(units)), np.zeros((1, weighted.shape[1]), np.float32)])
+    none = len(units)
+    for lo in range(0, len(live), 4096):
+        part = live[lo : lo + 4096]
+        at = np.stack([np.where(part + d < end[part], part + d, none) for d in range(SPAN)])
+        pairs = [z[at[d]] + z[at[d + 1]] for d in range(SPAN - 1)]
+        best = np.zeros((len(part), len(bench)), np.float32)
+        for x in (*pairs, *(p + z[at[d + 2]] for d, p in enumerate(pairs[:-1]))):
+            norm = np.linalg.norm(x, axis=1)
+            some = np.flatnonzero(norm > 0)
+            best[some] = np.maximum(best[some], (x[some] / norm[some, None]) @ bench.T)
+        i, j = np.nonzero(best >= NEAR)
+        yield part[i], j
+
+
 def _cosines(units: np.ndarray, end: np.ndarray, met: list[tuple], column: np.ndarray, weighted: np.ndarray, bench: np.ndarray) -> list[float]:
     """Of each window and passage that matched, their cosine in the latent space."""
     if not met:
         return []
     w, k = np.array([m[0] for m in met]), np.array([m[1] for m in met])
-    used = np.unique(np.concatenate([np.minimum(w + d, end[w] - 1) for d in range(3)]))
+    used = np.unique(np.concatenate([np.minimum(w + d, end[w] - 1) for d in range(SPAN)]))
     u, c = _entries(units[used], column)
     z = _project(u, c, weighted, len(used))
     win = np.zeros((len(w), z.shape[1]), np.float32)
-    for d in range(3):
+    for d in range(SPAN):
         ok = w + d < end[w]
         win[ok] += z[np.searchsorted(used, w[ok] + d)]
     win /= np.maximum(np.linalg.norm(win, axis=1, keepdims=True), 1e-12)
@@ -337,30 +363,38 @@ def _search(held, passages, wide: bool):
             begin = np.concatenate([[0], np.cumsum(per)])
             end = np.repeat(begin[1:], per)
             at = np.arange(len(units))
-            live = np.flatnonzero((at == np.repeat(begin[:-1], per)) | (at + 3 <= end))
-            met = [(w, k, got) for windows, ks in bound.candidates(units, end, live) for w, k, got in _matches(units, end, windows, ks, own)]
+            live = np.flatnonzero((at == np.repeat(begin[:-1], per)) | (at + SPAN <= end))
+            met, near = [], set()
+            for windows, ks in _nearest(units, end, live, column, weighted, bench):
+                near.update(zip(windows.tolist(), ks.tolist(), strict=True))
+                met += _matches(units, end, windows, ks, own)
+            found_near = len(met)
+            for windows, ks in bound.candidates(units, end, live):
+                left = np.array([x not in near for x in zip(windows.tolist(), ks.tolist(), strict=True)], bool)
+                met += _matches(units, end, windows[left], ks[left], own)
             best: dict[tuple[int, int], tuple] = {}
             cosine = _cosines(units, end, met, column, weighted, bench)
-            for (w, k, got), score in zip(met, cosine, strict=True):
+            for i, ((w, k, got), score) in enumerate(zip(met, cosine, strict=True)):
                 row = int(np.searchsorted(begin, w, "right") - 1)
                 at_word = (w - int(begin[row])) * UNIT
-                found = (got[0] / len(own[k].codes), score, at_word + got[1], at_word + got[2], got[0])
+                found = (got[0] / len(own[k].codes), score, at_word + got[1], at_word + got[2], got[0], i < found_near)
                 key = (row, own[k].item)
                 best[key] = max(best.get(key, found), found)
             ids = batch.column(0).to_pylist()
             rows = [(ids[r], item, *x) for (r, item), x in sorted(best.items())]
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 7, kinds, strict=True)], ["doc_id", "item_id", "share", "cosine", "start", "end", "matched"])
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds, strict=True)], [x.split()[0] for x in _FOUND.split(", ")])
 
     return run
 
 
-_FOUND = "doc_id long, item_id long, share double, cosine double, start long, end long, matched long"
+_FOUND = "doc_id long, item_id long, share double, cosine double, start long, end long, matched long, by_cosine boolean"
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(doc_id, item_id, share, cosine, start, end, matched): the texts that hold an item, where
-    (words), and how many of the passage's words in order; the best match of each pair."""
+    """(doc_id, item_id, share, cosine, start, end, matched, by_cosine): the texts that hold an item, where
+    (words), and how many of the passage's words in order; the best match of each pair, and whether the cosine search
+    came upon it."""
     spark = docs.sparkSession
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     items = benchmark.select(benchmark[item_col].cast("long").alias("item_id"), benchmark[item_text_col].cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
@@ -373,7 +407,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     every = found[0]
     for x in found[1:]:
         every = every.unionByName(x)
-    best = every.groupBy("doc_id", "item_id").agg(F.max(F.struct("share", "cosine", "start", "end", "matched")).alias("m"))
+    best = every.groupBy("doc_id", "item_id").agg(F.max(F.struct("share", "cosine", "start", "end", "matched", "by_cosine")).alias("m"))
     return best.select("doc_id", "item_id", "m.*")
 
 
@@ -390,7 +424,7 @@ def _slice(docs: DataFrame, items: DataFrame) -> DataFrame | None:
     codes = spark.read.schema(_CODES).parquet(coded)
     counted = dict(map(tuple, codes.mapInArrow(_frequency(len(vocabulary), wide), "code long, n long").groupBy("code").agg(F.sum("n")).collect()))  # the vocabulary
     frequency = np.array([counted.get(c, 0) for c in range(len(vocabulary) + 1)], float)
-    terms = [sorted(set(p.codes), key=lambda c: (frequency[c], c))[:TERMS] for p in passages]
+    terms = [sorted(set(p.codes), key=lambda c: (frequency[c] == 0, frequency[c], c))[:TERMS] for p in passages]
     chosen = np.unique(np.concatenate(terms))
     column = np.full(len(vocabulary) + 1, -1, np.int32)
     column[chosen] = np.arange(len(chosen))

@@ -183,11 +183,14 @@ def links(prints: DataFrame, list_rows: int = LIST_ROWS, task_rows: int = TASK_R
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", list_rows: int = LIST_ROWS) -> DataFrame:
     """(doc_id, fingerprint, component_id): one row for each row of ``docs``. component_id is the
-    smallest id that the row's fingerprint reaches through links."""
+    smallest id that the row's fingerprint reaches through links; rows without an id link like others, and have
+    null only where no row that they reach has one."""
     prints = _shared.keep(fingerprints(docs, id_col, text_col), "prints")
-    once = _shared.keep(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("low")), "classes")
-    held = _shared.keep(components(links(once, list_rows)), "components")
-    named = once.join(held, F.col("low") == F.col("node"), "left").select(F.col("fp").alias("of"), F.coalesce("component", "low").alias("component_id"))
+    once = _shared.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "classes")
+    held = _shared.keep(components(links(once.select("fp", F.col("fp").alias("low")), list_rows)), "components")
+    classes = once.join(held, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("component", "fp").alias("root"))
+    lowest = classes.groupBy("root").agg(F.min("low").alias("component_id"))
+    named = classes.join(lowest, "root").select(F.col("fp").alias("of"), "component_id")
     out = prints.join(named, F.col("fp") == F.col("of"), "left")
     out = out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
     return _shared.keep(out, "near", *_shared.paths(prints, once, held))

@@ -1,6 +1,8 @@
 """Operators against brute force, exact round trips and held-out labels, and on awkward tables."""
 
+import collections
 import hashlib
+import math
 import random
 import zlib
 
@@ -136,6 +138,14 @@ def test_simhash_awkward_rows(spark):
     assert {v for (i, _), v in got.items() if i in (5, 6, None)} == {5}
 
 
+def test_simhash_rows_without_an_id_link_and_bridge(spark, monkeypatch):
+    # one bit apart, in a chain: 9 - null - 5, and a group without any id
+    prints = [(9, 0b0011), (None, 0b0111), (5, 0b11111), (None, 1 << 40), (None, 1 << 41), (7, -1)]
+    monkeypatch.setattr(simhash_dedup, "fingerprints", lambda *_: spark.createDataFrame(prints, "doc_id long, fp long"))
+    got = collections.Counter((r.doc_id, r.component_id) for r in simhash_dedup.near_duplicates(None).collect())
+    assert got == {(9, 5): 1, (None, 5): 1, (5, 5): 1, (None, None): 2, (7, 7): 1}
+
+
 def brute_similar(texts):
     """Index of each text's group: links are exact Jaccard >= 0.8 of sets of five-word shingles."""
     cut = [[w.lower() for w in (t or "").encode().split()] for t in texts]
@@ -311,21 +321,47 @@ def test_decontaminate_finds_copies_and_paraphrases(spark):
 
 
 def brute_leaks(rows, items):
-    """(doc_id, item_id) by the subsequence and answer checks alone, every window against every passage."""
+    """(doc_id, item_id) by the subsequence and answer checks alone: every region of one and a half times a passage,
+    wherever it begins. Passages of which a text has too few words in all are left out first."""
     own = decontaminate.passages_of(items)
     vocabulary = np.unique(np.concatenate([p.h for p in own]))
     code = {int(h): i + 1 for i, h in enumerate(vocabulary)}
     for p in own:
         p.code(vocabulary)
+    bags = [collections.Counter(p.codes) for p in own]
     found = set()
     for i, text in rows:
         w = [code.get(int(h), 0) for h in decontaminate._hashes(text)]
-        w += [0] * (-len(w) % decontaminate.UNIT)
-        for a in range(0, max(1, len(w) - 2 * decontaminate.UNIT), decontaminate.UNIT):
-            found |= {(i, p.item) for p in own if decontaminate._tight(p, w[a : a + 3 * decontaminate.UNIT])}
+        bag = collections.Counter(w)
+        for p, words in zip(own, bags, strict=True):
+            if sum(min(n, bag[c]) for c, n in words.items()) < p.need:
+                continue
+            size = math.ceil(1.5 * len(p.codes))
+            for a in range(max(1, len(w) - size + 1)):
+                part = w[a : a + size]
+                if decontaminate.common(p.masks, len(p.codes), part) >= p.need and decontaminate.common(p.answer_masks, len(p.answer), part) >= decontaminate.ANSWER * len(p.answer):
+                    found.add((i, p.item))
+                    break
     return found
 
 
+def test_decontaminate_finds_spread_paraphrases_at_every_offset(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    items = [(k, " ".join(word() for _ in range(64)) + ".") for k in range(4)]
+    rows = []
+    for k, text in items:
+        spread = []
+        for j, x in enumerate(text.split()):
+            spread.append(word() if j % 4 == 1 and j < 52 else x)
+            spread += [word()] if j % 2 else []
+        for offset in range(0, 34):
+            rows.append((1000 * k + offset, " ".join([*(word() for _ in range(offset)), *spread, *(word() for _ in range(40))])))
+    got = decontaminate.contaminated(docs(spark, rows), spark.createDataFrame([*items, (None, items[0][1])], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(i, i // 1000) for i, _ in rows} == brute_leaks(rows, items)
+    assert sum(r.by_cosine for r in got) >= 0.9 * len(got)
+
+
 def test_decontaminate_equals_brute_force_beyond_the_rank(spark):
     rng = random.Random(6)
     pool = [f"p{k}" for k in range(300)]
@@ -512,12 +548,15 @@ def test_stages_take_awkward_and_empty_tables(spark):
 
     clean = " ".join(f"the {k} and of word{k * 7 % 13}" for k in range(30))
     rows = [*awkward(), (20, clean), (None, clean + " end")]
-    table = docs(spark, rows).withColumn("key", F.lit(1)).withColumn("component", F.lit("c"))
+    own = {"key": F.concat(F.lit("user-"), F.coalesce(F.col("doc_id"), F.lit(-1)).cast("string")), "n_removed": F.lit(77), "row_key": F.lit("mine"), "Cut_Words": F.lit(5), "component": F.lit("c"), "no_text": F.lit(1), "c0": F.lit(2)}
+    table = docs(spark, rows).withColumns(own)
     for name, stage in corpus_pipeline.STAGES[1:4]:
-        out = stage(spark, table.drop("key"), DATA)
-        assert out.columns == table.drop("key").columns, name
-        assert stage(spark, table.drop("key").limit(0), DATA).count() == 0, name
-    kept = corpus_pipeline.near_duplicate(spark, table.drop("key"), DATA).collect()
+        out = stage(spark, table, DATA)
+        assert out.columns == table.columns, name
+        kept = out.collect()
+        assert kept and all(r.key == f"user-{-1 if r.doc_id is None else r.doc_id}" and (r.n_removed, r.row_key, r.Cut_Words, r.component, r.no_text, r.c0) == (77, "mine", 5, "c", 1, 2) for r in kept), name
+        assert stage(spark, table.limit(0), DATA).count() == 0, name
+    kept = corpus_pipeline.near_duplicate(spark, table, DATA).collect()
     assert sorted(r.doc_id for r in kept if r.doc_id and r.doc_id > 3) == [4, 5, 7, 9, 20]  # 10 shares 11 of 13 shingles with 5
     assert len(corpus_pipeline.encode(spark, table.limit(0), DATA).collect()) == 0
 

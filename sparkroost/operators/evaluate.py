@@ -93,9 +93,13 @@ def option_index(answer: Column, options: Column) -> Column:
 
 
 def by_position(rows: DataFrame, problems: DataFrame) -> DataFrame:
-    """Code rows with the problem whose ``_index`` is the number after the key's last ``_``."""
+    """Code rows with the problem whose ``_index`` is the number after the key's last ``_``; a key or an
+    index that isn't a number matches nothing. An index that two problems have is an error."""
     index = F.substring_index("global_index", "_", -1).try_cast("long")
-    own = problems.withColumn("at", F.col("_index").cast("long"))
+    own = problems.withColumn("at", F.col("_index").try_cast("long")).where("at is not null")
+    twice = own.groupBy("at").count().where("count > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"the index {twice[0]['at']} belongs to {twice[0]['count']} problems")
     return rows.withColumn("at", index).join(own, "at", "left").drop("at")
 
 

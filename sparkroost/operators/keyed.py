@@ -95,7 +95,11 @@ def ranked(rows: DataFrame, score: str, tie: str) -> DataFrame:
 
 
 def against_cube(choices: DataFrame, cube: DataFrame) -> DataFrame:
-    """Choices with accuracy and cost of (model, global_index); a missing pair is (0, 0) and marked."""
+    """Choices with accuracy and cost of (model, global_index); a missing pair is (0, 0) and marked. A model of which the
+    cube has no pair at all is an error."""
+    unknown = choices.select("model").distinct().join(cube.select("model").distinct(), "model", "left_anti").limit(10).collect()
+    if unknown:
+        raise ValueError(f"models that the cube lacks: {sorted(str(r[0]) for r in unknown)}")
     joined = choices.join(cube.select("model", "global_index", "accuracy", "cost").withColumn("found", F.lit(True)), ["model", "global_index"], "left")
     return joined.withColumns({"accuracy": F.coalesce("accuracy", F.lit(0.0)), "cost": F.coalesce("cost", F.lit(0.0)), "missing": F.col("found").isNull()}).drop("found")
 

@@ -98,10 +98,9 @@ def cloze_truth(spark, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", E.option_index(F.col("p_name"), options).alias("truth"))
 
 
-@query("SELECT p.pos, q.l_name AS task FROM (SELECT pos, global_index, CAST(pos AS VARCHAR) AS place FROM predictions) p LEFT JOIN (SELECT CAST(item_id AS VARCHAR) AS place, concat('task', CAST(item_id AS VARCHAR)) AS l_name FROM benchmark) q USING (place)")
+@query("SELECT p.pos, q.l_name AS task FROM (SELECT pos, global_index, CAST(pos AS VARCHAR) AS place FROM predictions) p LEFT JOIN (SELECT CAST(p_partkey AS VARCHAR) AS place, p_name AS l_name FROM part) q USING (place)")
 def code_by_position(spark, sf_dir: str) -> DataFrame:
-    own = F.col("item_id").cast("string")
-    problems = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(own.alias("_index"), F.concat(F.lit("task"), own).alias("task"))
+    problems = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("string").alias("_index"), F.col("p_name").alias("task"))
     return E.by_position(view(spark, sf_dir, "predictions").select("pos", "global_index"), problems).select("pos", "task")
 
 
@@ -221,9 +220,9 @@ def answers_present(spark, sf_dir: str) -> DataFrame:
     return d.orderBy("doc_id").limit(1).select("doc_id", F.lit(E.has_answers(d, "doc_id")).alias("answered"))
 
 
-@query("SELECT model, count(*) > 0 AND max(CASE WHEN c.m IS NULL THEN 0 ELSE 1 END) = 1 AS available FROM predictions LEFT JOIN (SELECT DISTINCT model AS m FROM cache WHERE score > 0) c ON c.m = model GROUP BY model")
+@query("SELECT model, count(*) > 0 AND max(CASE WHEN c.m IS NULL THEN 0 ELSE 1 END) = 1 AS available FROM predictions LEFT JOIN (SELECT DISTINCT model AS m FROM cache WHERE score > 0 AND length(model) > 5) c ON c.m = model GROUP BY model")
 def model_availability(spark, sf_dir: str) -> DataFrame:
-    return E.availability(view(spark, sf_dir, "predictions"), view(spark, sf_dir, "cache").where("score > 0"))
+    return E.availability(view(spark, sf_dir, "predictions"), view(spark, sf_dir, "cache").where("score > 0 and length(model) > 5"))
 
 
 @query("""SELECT router, n, coalesce(size, -1) AS size FROM (SELECT concat('r', CAST(user_id % 5 AS VARCHAR), '_', CAST(user_id AS VARCHAR)) AS router, concat('r', CAST(user_id % 5 AS VARCHAR)) AS base, count(*) AS n FROM events GROUP BY 1, 2)

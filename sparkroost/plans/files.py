@@ -17,7 +17,7 @@ from ..operators import keyed
 from ..session import scratch
 from ..sources import inference, readers
 from ..streaming.resume import resume
-from .views import DATASETS, MODELS, tables, view, with_views
+from .views import MODELS, tables, view, with_views
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -71,13 +71,14 @@ def cache_files(spark, sf_dir: str) -> DataFrame:
     return readers.json_lines(spark, folder, readers.CACHE + ", model string").select("model", "global_index", F.col("evaluation_result.score").alias("score"))
 
 
-@query("SELECT CAST(pos AS INT) AS pos, model, in_price, out_price FROM prices")
+@query("SELECT CAST(n_nationkey AS INT) AS pos, n_name AS model, n_nationkey / 10.0 AS in_price, n_regionkey + 0.5 AS out_price FROM nation")
 def price_file(spark, sf_dir: str) -> DataFrame:
-    """The price table as the JSON object that it is stored as, in its order."""
+    """A price table as the JSON object that it is stored as, in its order: a model for each nation."""
     folder = scratch(spark, "prices")
-    entry = F.struct(F.col("in_price").alias("input_token_price_per_million"), F.col("out_price").alias("output_token_price_per_million"))
-    ordered = view(spark, sf_dir, "prices").agg(F.array_sort(F.collect_list(F.struct("pos", "model", entry.alias("price")))).alias("x"))
-    ordered.select(F.to_json(F.map_from_entries(F.transform("x", lambda r: F.struct(r["model"], r["price"])))).alias("value")).coalesce(1).write.mode("overwrite").text(folder)
+    tables(spark, sf_dir, "nation")
+    entry = F.struct((F.col("n_nationkey") / 10).alias("input_token_price_per_million"), (F.col("n_regionkey") + 0.5).cast("double").alias("output_token_price_per_million"))
+    ordered = spark.table("nation").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name", entry.alias("price")))).alias("x"))  # one object is one row
+    ordered.select(F.to_json(F.map_from_entries(F.transform("x", lambda r: F.struct(r["n_name"], r["price"])))).alias("value")).coalesce(1).write.mode("overwrite").text(folder)
     return readers.prices(spark, folder)
 
 
@@ -106,12 +107,13 @@ def split_files(spark, sf_dir: str) -> DataFrame:
     return own[0].unionByName(own[1])
 
 
-@query("SELECT dataset, metric FROM (SELECT unnest(" + repr(DATASETS) + ") AS dataset), (VALUES ('math_metric'), ('exact_match')) AS m(metric) WHERE metric = 'exact_match' OR length(dataset) % 2 = 0")
+@query("SELECT p_partkey AS dataset, metric FROM (SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name FROM part WHERE p_size > 45), (VALUES ('math_metric'), ('exact_match')) AS m(metric) WHERE metric = 'exact_match' OR length(p_name) % 2 = 0")
 def eval_config_files(spark, sf_dir: str) -> DataFrame:
-    """A folder of evaluation configurations, one pretty-printed file for each data set."""
+    """A folder of evaluation configurations, one pretty-printed file for each data set (a large part)."""
     folder = scratch(spark, "configs")
-    rows = spark.createDataFrame([(d,) for d in DATASETS], "dataset string")
-    metrics = F.when(F.length("dataset") % 2 == 0, F.array(F.lit("math_metric"), F.lit("exact_match"))).otherwise(F.array(F.lit("exact_match")))
+    tables(spark, sf_dir, "part")
+    rows = spark.sql("SELECT CAST(p_partkey AS STRING) AS dataset, p_name FROM part WHERE p_size > 45")
+    metrics = F.when(F.length("p_name") % 2 == 0, F.array(F.lit("math_metric"), F.lit("exact_match"))).otherwise(F.array(F.lit("exact_match")))
     text = F.to_json(F.struct(F.struct("dataset", metrics.alias("eval_metrics"), F.lit("{Question}").alias("prompt")).alias("eval_params")), {"pretty": "true"})
     rows.select("dataset", text.alias("value")).write.mode("overwrite").partitionBy("dataset").text(folder)
     return readers.eval_configs(spark, folder).select("dataset", F.explode("eval_metrics").alias("metric"))

@@ -69,16 +69,18 @@ def router_scores_signed_cost(spark, sf_dir: str) -> DataFrame:
     return costs.router_summary(rows, signed=True).select("router", "num_queries", F.round("accuracy", 6).alias("accuracy"), F.round("total_cost", 8).alias("total_cost"))
 
 
-_GRID = "SELECT CAST(c AS DOUBLE) AS cost, CAST(a AS DOUBLE) AS accuracy FROM (VALUES (0.0), (0.001), (0.0044), (1.0), (50.0), (200.0), (300.0)) AS x(c) CROSS JOIN (VALUES (0.0), (0.25), (0.5), (0.75), (1.0)) AS y(a)"
+#: Costs below, within and above the bounds, and accuracies from 0 to 1, by supplier.
+_GRID = "SELECT s_suppkey, CAST(s_suppkey % 311 - 5 AS DOUBLE) * CASE WHEN s_suppkey % 4 = 0 THEN 0.001 ELSE 1.0 END AS cost, CAST(s_nationkey AS DOUBLE) / 24 AS accuracy FROM supplier"
 _V = "((log2(200.0) - log2(nullif(greatest({c}, 0), 0))) / (log2(200.0) - log2(0.0044)))"
 
 
-@query(f"""WITH g AS ({_GRID}) SELECT cost, accuracy, round({_arena('cost', 'accuracy')}, 6) AS clamped,
+@query(f"""WITH g AS ({_GRID}) SELECT s_suppkey, round(accuracy, 6) AS accuracy, round({_arena('cost', 'accuracy')}, 6) AS clamped,
  round(1.1 * accuracy * {_V.format(c='cost')} / nullif(0.1 * accuracy + {_V.format(c='cost')}, 0), 6) AS raw,
  round(CASE WHEN cost <= 0 THEN 0 ELSE coalesce(1.1 * accuracy * {_V.format(c='cost')} / nullif(0.1 * accuracy + {_V.format(c='cost')}, 0), 0) END, 6) AS zero FROM g""")
 def arena_curve(spark, sf_dir: str) -> DataFrame:
+    tables(spark, sf_dir, "supplier")
     g = spark.sql(_GRID)
-    return g.select("cost", "accuracy", *[F.round(costs.arena(F.col("cost"), F.col("accuracy"), m), 6).alias(m) for m in ("clamped", "raw", "zero")])
+    return g.select("s_suppkey", F.round("accuracy", 6).alias("accuracy"), *[F.round(costs.arena(F.col("cost"), F.col("accuracy"), m), 6).alias(m) for m in ("clamped", "raw", "zero")])
 
 
 @query(f"WITH {PRICED} SELECT pos, model, in_tok, out_tok, round(cost, 10) AS cost FROM costed")
@@ -157,10 +159,10 @@ def cache_merge_keep_eval(spark, sf_dir: str) -> DataFrame:
     return keyed.merge_keep(_half(spark, sf_dir, False), _half(spark, sf_dir, True), ["model", "k"], "score")
 
 
-@query("SELECT pos, model, out_tok AS k FROM predictions WHERE accuracy IS NULL AND NOT EXISTS (SELECT 1 FROM cache c WHERE c.success AND c.model = predictions.model AND c.k = predictions.out_tok)")
+@query("SELECT pos, model, out_tok AS k FROM predictions WHERE accuracy IS NULL AND NOT EXISTS (SELECT 1 FROM cache c WHERE c.success AND c.k % 3 <> 0 AND c.model = predictions.model AND c.k = predictions.out_tok)")
 def pending_rows(spark, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, "predictions").where("accuracy is null").select("pos", "model", F.col("out_tok").alias("k"))
-    return keyed.pending(rows, view(spark, sf_dir, "cache").where("success"), ["model", "k"]).select("pos", "model", "k")
+    return keyed.pending(rows, view(spark, sf_dir, "cache").where("success and k % 3 <> 0"), ["model", "k"]).select("pos", "model", "k")
 
 
 @query("SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS BIGINT) AS choice FROM embeddings")
@@ -180,11 +182,11 @@ def round_robin(spark, sf_dir: str) -> DataFrame:
     return keyed.round_robin(view(spark, sf_dir, "predictions").select("pos"), MODELS, ["pos"]).select("pos", F.col("model").alias("assigned"))
 
 
-_CUBE = "cube AS (SELECT model, k, arg_max(coalesce(score, 0.5), pos) AS accuracy, arg_max(value, pos) AS cost FROM cache GROUP BY model, k)"
+_CUBE = "cube AS (SELECT model, k, arg_max(coalesce(score, 0.5), pos) AS accuracy, arg_max(value, pos) AS cost FROM cache WHERE (k + length(model)) % 4 <> 0 GROUP BY model, k)"
 
 
 def _vs(spark, sf_dir: str) -> DataFrame:
-    rows = view(spark, sf_dir, "cache").select("model", F.col("k").alias("global_index"), "pos", F.coalesce("score", F.lit(0.5)).alias("accuracy"), F.col("value").alias("cost"))
+    rows = view(spark, sf_dir, "cache").where("(k + length(model)) % 4 <> 0").select("model", F.col("k").alias("global_index"), "pos", F.coalesce("score", F.lit(0.5)).alias("accuracy"), F.col("value").alias("cost"))
     choices = view(spark, sf_dir, "predictions").select("router", "pos", "model", F.col("out_tok").alias("global_index"))
     return keyed.against_cube(choices, keyed.keep_last(rows, ["model", "global_index"]))
 

@@ -118,8 +118,8 @@ def ground_truth(spark: SparkSession, path: str, split: str) -> DataFrame:
 
 
 def code_problems(spark: SparkSession, path: str) -> DataFrame:
-    """Code problems, held in memory for the look-ups of one evaluation."""
-    return spark.read.parquet(path).cache()
+    """Code problems. The look-ups of one evaluation read the columns that they need, so nothing is held in memory."""
+    return spark.read.parquet(path)
 
 
 def check_router_config(spark: SparkSession, path: str) -> None:

@@ -68,11 +68,11 @@ class _Fold:
 
     def event(self, message, kind: str | None, role: str | None, text: str | None) -> None:
         if kind == "regenerate":
-            if message in self.messages:
-                order = list(self.messages)
-                for later in order[order.index(message) + 1 :]:
-                    del self.messages[later]
-                self.messages[message][1] = []
+            while message in self.messages:  # later messages come off the end, each once in its life
+                last, held = self.messages.popitem()
+                if last == message:
+                    self.messages[last] = [held[0], []]
+                    break
         elif kind == "delete":
             self.messages.pop(message, None)
         elif kind in ("start", "delta", "edit"):

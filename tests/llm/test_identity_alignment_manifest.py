@@ -253,3 +253,20 @@ def test_small_manifests(spark):
 def test_a_proof_is_that_of_its_row(spark):
     rows = merkle.manifest(table(spark, [(k, f"t{k}", "en", "s", 1) for k in range(9)])).collect()
     assert all(r.verified and len(r.path) == 2 and r.source == "s" for r in rows)
+
+
+def test_regenerated_answers_take_time_in_proportion():
+    import time
+
+    from sparkroost.llm import chat_format
+
+    fold = chat_format._Fold()
+    began = time.monotonic()
+    for k in range(60_000):
+        fold.event(2 * k, "start", "user", f"q{k}")
+        fold.event(2 * k + 1, "start", "assistant", "first")
+        fold.event(2 * k + 1, "regenerate", None, None)
+        fold.event(2 * k + 1, "delta", None, "second")
+    fold.event(3, "regenerate", None, None)
+    assert time.monotonic() - began < 10
+    assert fold.result() == [("user", "q0"), ("assistant", "second"), ("user", "q1"), ("assistant", "")]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..functions import text as T
-from ..functions.code_run import with_code_scores
+from ..functions.code_run import code_projection, with_code_scores, with_private_tests
 from ..functions.symbolic import with_math_scores
 from .containment import holders
 from .costs import canonical, dimension
@@ -63,6 +63,32 @@ def unevaluated(cache: DataFrame, rerun: bool = False) -> DataFrame:
     return held if rerun else held.where("score is null")
 
 
+def unscored(rows: DataFrame) -> DataFrame:
+    """Rows that a resumed evaluation has left: those without an accuracy, or with one and no cost."""
+    return rows.where("accuracy is null or cost is null")
+
+
+def sure(rows: DataFrame, registry: DataFrame, aliases: DataFrame) -> DataFrame:
+    """``rows`` (prediction, ...) of a router that names one model and no confidences, with
+    all_confidence: 1 for the canonical name of its choice. Raises if a name is not known."""
+    named = canonical(rows, registry, aliases, "prediction")
+    unknown = [r[0] for r in named.where(~F.col("known")).select("prediction").distinct().limit(10).collect()]
+    if unknown:
+        raise ValueError(f"models that the registry lacks: {sorted(map(str, unknown))}")
+    return named.withColumn("all_confidence", F.create_map("canonical", F.lit(1.0))).drop("known", "canonical")
+
+
+def benchmark_problems(problems: DataFrame, keys: DataFrame, mark: str = "LiveCodeBench") -> DataFrame:
+    """The code problems that a benchmark asks, as code matching reads them. ``keys`` (global_index, pos): those
+    that hold ``mark`` end in the number that a problem has as ``_index`` (of keys with one number the last counts).
+    Problems that no key asks, and those whose private tests can't be decoded, are left out."""
+    number = lambda c: F.substring_index(c, "_", -1).try_cast("long")
+    asked = keys.where(F.contains("global_index", F.lit(mark))).select(number("global_index").alias("at"), F.col("global_index").alias("global_idx"), "pos").where("at is not null")
+    own = problems.drop("global_idx").withColumn("at", F.col("_index").try_cast("long"))
+    held = with_private_tests(own.join(keep_last(asked, ["at"]).drop("pos"), "at").drop("at"))
+    return code_projection(held.where("private_test_cases is not null"))
+
+
 def with_truth(rows: DataFrame, truth: DataFrame, last: bool = True, key: str = "global_index") -> DataFrame:
     """``rows`` with the columns of ``truth`` (which has ``pos``); of repeated keys the last or the
     first counts. Unmatched rows have nulls."""

@@ -213,3 +213,36 @@ def code_runs(spark, sf_dir: str) -> DataFrame:
     tests = F.from_json("private_test_cases", "array<struct<input:string,output:string>>").alias("tests")
     scored = code_run.code_accuracy(code_run.with_private_tests(packed).select("id", "text", "is_stdin", tests), allow=True)
     return scored.select(F.col("id").alias("n_nationkey"), "score")
+
+
+_PROBLEMS = """SELECT CAST(p_partkey AS STRING) AS _index, p_name AS question_content, p_type AS starter_code, concat('t', CAST(p_partkey AS STRING)) AS question_id, p_brand AS difficulty,
+ CASE WHEN p_size % 2 = 0 THEN '[{"input": "1", "output": "2", "testtype": "stdin"}]' ELSE '[{"input": "1", "output": "2", "testtype": "functional"}]' END AS public_test_cases,
+ to_json(array(named_struct('input', p_name, 'output', CAST(p_size AS STRING)))) AS tests, p_size FROM part"""
+
+
+@query("""WITH k AS (SELECT event_id AS pos, concat(CASE WHEN event_id % 3 = 0 THEN 'LiveCodeBench' ELSE 'GSM8K' END, '_', CAST(user_id AS VARCHAR)) AS global_index, user_id FROM events WHERE event_id % 3 = 0)
+SELECT concat('t', CAST(p_partkey AS VARCHAR)) AS task_id, p_name AS prompt, p_type AS entry_point, p_size % 2 = 0 AS is_stdin, concat('[{"input":"', p_name, '","output":"', CAST(p_size AS VARCHAR), '"}]') AS test, concat('LiveCodeBench_', CAST(p_partkey AS VARCHAR)) AS global_idx
+FROM part WHERE p_size % 7 <> 0 AND p_partkey IN (SELECT user_id FROM k)""")
+def benchmark_code(spark, sf_dir: str) -> DataFrame:
+    """The packed problems that the benchmark's keys ask; some of them can't be unpacked."""
+    tables(spark, sf_dir, "part", "events")
+    keys = spark.sql("SELECT event_id AS pos, concat(CASE WHEN event_id % 3 = 0 THEN 'LiveCodeBench' ELSE 'GSM8K' END, '_', CAST(user_id AS STRING)) AS global_index FROM events")
+    packed = F.when(F.col("p_size") % 7 == 0, F.lit("not packed")).otherwise(_packed(F.col("tests")))
+    problems = spark.sql(_PROBLEMS).withColumn("private_test_cases", packed).drop("tests", "p_size")
+    return E.benchmark_problems(problems, keys).select("task_id", "prompt", "entry_point", "is_stdin", "test", "global_idx")
+
+
+@query("SELECT pos, model, accuracy FROM predictions WHERE accuracy IS NULL OR in_tok % 5 = 0")
+def unscored_rows(spark, sf_dir: str) -> DataFrame:
+    """Rows without an accuracy or without a cost."""
+    rows = view(spark, sf_dir, "predictions").withColumn("cost", F.when(F.col("in_tok") % 5 != 0, F.col("in_tok") / 1000))
+    return E.unscored(rows).select("pos", "model", "accuracy")
+
+
+@query("SELECT p.pos, p.model AS prediction, coalesce(r.model, a.model) AS model, CAST(1.0 AS DOUBLE) AS confidence FROM predictions p LEFT JOIN registry r ON r.model = p.model LEFT JOIN (SELECT alias, model FROM aliases) a ON a.alias = p.model WHERE r.model IS NOT NULL OR a.model IS NOT NULL")
+def single_confidence(spark, sf_dir: str) -> DataFrame:
+    """A router of one model: full confidence in the canonical name of its choice."""
+    registry, aliases = view(spark, sf_dir, "registry"), view(spark, sf_dir, "aliases")
+    known = registry.select("model").union(aliases.select("alias")).distinct()
+    rows = view(spark, sf_dir, "predictions").join(known, "model", "left_semi").select("pos", F.col("model").alias("prediction"))
+    return E.sure(rows, registry, aliases).select("pos", "prediction", F.explode("all_confidence").alias("model", "confidence"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkroost.functions import code_run, prompts
 from sparkroost.functions import scores as S
-from sparkroost.operators import costs, evaluate, validate
+from sparkroost.operators import costs, evaluate, keyed, validate
 from sparkroost.sources import inference, readers
 
 
@@ -194,3 +194,28 @@ def test_sources_and_sinks(spark, tmp_path):
     readers.write_cube(spark.createDataFrame([("m", "k", 1.0)], "model string, global_index string, accuracy double"), str(tmp_path / "cube"))
     assert (tmp_path / "cube" / "model=m").is_dir()
     assert readers.write_splits({"full": readers.dataset(spark, str(tmp_path), "sub_10")}, str(tmp_path / "out")) == []
+
+
+def test_models_and_indexes_that_must_be_there(spark):
+    cube = spark.createDataFrame([("a", "1", 1.0, 2.0)], "model string, global_index string, accuracy double, cost double")
+    choices = lambda *m: spark.createDataFrame([(x, k) for x in m for k in ("1", "2")], "model string, global_index string")
+    assert sorted((r.global_index, r.accuracy, r.missing) for r in keyed.against_cube(choices("a"), cube).collect()) == [("1", 1.0, False), ("2", 0.0, True)]
+    with pytest.raises(ValueError, match="lacks"):
+        keyed.against_cube(choices("a", "b"), cube)
+    rows = spark.createDataFrame([("x_1",), ("x_no",), (None,)], "global_index string")
+    one = spark.createDataFrame([("1", "t1"), ("no", "t2")], "_index string, task string")
+    assert {r.global_index: r.task for r in evaluate.by_position(rows, one).collect()} == {"x_1": "t1", "x_no": None, None: None}
+    with pytest.raises(ValueError, match="belongs to 2"):
+        evaluate.by_position(rows, one.union(one))
+    registry, aliases = spark.createDataFrame([("a",)], "model string"), spark.createDataFrame([("z", "a")], "alias string, model string")
+    assert [r.all_confidence for r in evaluate.sure(spark.createDataFrame([("z",)], "prediction string"), registry, aliases).collect()] == [{"a": 1.0}]
+    with pytest.raises(ValueError):
+        evaluate.sure(spark.createDataFrame([("q",)], "prediction string"), registry, aliases)
+
+
+def test_pending_keys_are_never_null_or_done_twice(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", 2), (None, 3), ("b", 1)], "model string, k int")
+    done = spark.createDataFrame([("a", 1), ("a", 1), (None, 3)], "model string, k int")
+    assert sorted(map(str, keyed.pending(rows, done, ["model", "k"]).collect())) == sorted(map(str, rows.where("not (model <=> 'a' and k = 1)").collect()))
+    half = spark.createDataFrame([(1, None, 1.0), (2, 0.5, None), (3, 0.5, 1.0)], "i int, accuracy double, cost double")
+    assert sorted(r.i for r in evaluate.unscored(half).collect()) == [1, 2]

@@ -27,7 +27,7 @@ def query(sql: str):
 
 
 @query(f"""WITH m AS (SELECT unnest({MODELS!r}) AS model), r AS (SELECT model, count(*) AS n, sum(score) AS total FROM cache WHERE score IS NOT NULL GROUP BY model)
-SELECT model, CASE WHEN model = 'fir' THEN 'exception' WHEN model = 'elm-mini' THEN 'failed' ELSE 'success' END AS status, CASE WHEN model NOT IN ('fir', 'elm-mini') THEN coalesce(n, 0) END AS n, CASE WHEN model NOT IN ('fir', 'elm-mini') THEN round(total, 4) END AS total FROM m LEFT JOIN r USING (model)""")
+SELECT model, CASE WHEN model = 'fir' THEN 'exception' WHEN model = 'elm-mini' THEN 'failed' ELSE 'success' END AS status, CASE WHEN model NOT IN ('fir', 'elm-mini') THEN coalesce(n, 0) ELSE -1 END AS n, CASE WHEN model NOT IN ('fir', 'elm-mini') THEN round(coalesce(total, 0), 4) ELSE -1 END AS total FROM m LEFT JOIN r USING (model)""")
 def fan_out_models(spark, sf_dir: str) -> DataFrame:
     """Every model's scores summed in a job of its own; one has no entry in the registry, one's job fails."""
     folder, cache = scratch(spark, "fan/out"), scratch(spark, "fan/cache")
@@ -41,11 +41,11 @@ def fan_out_models(spark, sf_dir: str) -> DataFrame:
             raise KeyError(f"{model} is not registered")
         own = held.where(F.col("model") == model).where("score is not null")
         n = F.count(F.lit(1))
-        return own.agg((n if model != "elm-mini" else F.raise_error(F.concat(F.lit("a broken score among "), n.cast("string"))).cast("long")).alias("n"), F.sum("score").alias("total"))
+        return own.agg((n if model != "elm-mini" else F.raise_error(F.concat(F.lit("a broken score among "), n.cast("string"))).cast("long")).alias("n"), F.coalesce(F.sum("score"), F.lit(0.0)).alias("total"))
 
     told = fanout.fan_out(spark, MODELS, work, folder)
     out = told.join(fanout.results(spark, folder, "n long, total double"), "model", "left")
-    return out.select("model", "status", "n", F.round("total", 4).alias("total"))
+    return out.select("model", "status", F.coalesce("n", F.lit(-1)).alias("n"), F.coalesce(F.round("total", 4), F.lit(-1.0)).alias("total"))
 
 
 _PROVIDERS = {m: "steady" if i % 3 else "shaky" for i, m in enumerate(MODELS)}

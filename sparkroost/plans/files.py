@@ -71,7 +71,7 @@ def cache_files(spark, sf_dir: str) -> DataFrame:
     return readers.json_lines(spark, folder, readers.CACHE + ", model string").select("model", "global_index", F.col("evaluation_result.score").alias("score"))
 
 
-@query("SELECT CAST(n_nationkey AS INT) AS pos, n_name AS model, n_nationkey / 10.0 AS in_price, n_regionkey + 0.5 AS out_price FROM nation")
+@query("SELECT CAST(n_nationkey AS INT) AS pos, n_name AS model, CAST(n_nationkey / 10.0 AS DOUBLE) AS in_price, CAST(n_regionkey + 0.5 AS DOUBLE) AS out_price FROM nation")
 def price_file(spark, sf_dir: str) -> DataFrame:
     """A price table as the JSON object that it is stored as, in its order: a model for each nation."""
     folder = scratch(spark, "prices")

@@ -73,7 +73,7 @@ def logged_inference(spark, sf_dir: str) -> DataFrame:
     for run_id, shaky in (("first", _first_down), ("second", _steady)):
         entries, told = answer_log.run_inference(rows, {"steady": _steady, "shaky": shaky}, _PROVIDERS, folder, run_id, shards=8, every=500, attempts=1)
         counts.append(told.agg(F.sum("asked"), F.sum("reused")).first())
-    said = [F.lit(counts[0][0]).alias("asked_first"), F.lit(counts[1][1]).alias("reused_second"), F.lit(counts[1][0]).alias("asked_second")]
+    said = [F.lit(n).cast("long").alias(name) for n, name in ((counts[0][0], "asked_first"), (counts[1][1], "reused_second"), (counts[1][0], "asked_second"))]
     return entries.where("success").select("model", "global_index", "response", "run_id", "total_tokens", *said)
 
 

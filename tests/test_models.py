@@ -287,3 +287,14 @@ def test_predictions_are_one_array_in_order(spark, tmp_path):
     readers.write_predictions(rows.where("pos < 100"), folder)  # a second write takes the place of the first
     assert readers.predictions(spark, folder).count() == 99
     assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["p"]
+
+
+def test_scratch_is_no_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    held = {}
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: held.get(key, default)), sparkContext=SimpleNamespace(master="spark://host:7077", applicationId="app"))
+    with pytest.raises(ValueError, match="checkpoint"):
+        session.scratch(cluster, "x")
+    held["spark.checkpoint.dir"] = "hdfs://store/shared/"
+    assert session.scratch(cluster, "x") == "hdfs://store/shared/sparkroost-app/x"

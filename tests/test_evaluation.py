@@ -219,3 +219,14 @@ def test_pending_keys_are_never_null_or_done_twice(spark):
     assert sorted(map(str, keyed.pending(rows, done, ["model", "k"]).collect())) == sorted(map(str, rows.where("not (model <=> 'a' and k = 1)").collect()))
     half = spark.createDataFrame([(1, None, 1.0), (2, 0.5, None), (3, 0.5, 1.0)], "i int, accuracy double, cost double")
     assert sorted(r.i for r in evaluate.unscored(half).collect()) == [1, 2]
+
+
+def test_availability_reads_the_whole_cache(spark):
+    """A short name counts like any other."""
+    from sparkroost.plans import evaluation
+    from sparkroost.plans.views import view
+
+    data = "/root/testdata/sf0.001"
+    want = {r.model for r in view(spark, data, "cache").where("score > 0").select("model").distinct().collect()}
+    got = {r.model for r in evaluation.model_availability(spark, data).where("available").collect()}
+    assert "alder" in want and got == want

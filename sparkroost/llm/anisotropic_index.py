@@ -6,9 +6,15 @@ dimensions) minimise a loss that weighs the part of the residual parallel to the
 the rest, eta = (d - 1) T^2 / (1 - T^2) times, because that part moves the large inner products.
 They are fitted on a bounded sample; every valid row is encoded, two codes to a byte.
 
+Codes are of vectors less the sample's mean, in units of its largest component, so that an offset or a
+scale that all share costs no precision.
+
 Search: queries and rows are packed into blocks. For each pair of a query block and a row block a
-table of 16 scores per subspace is added up along the codes, the best ``RERANK`` rows of the block
-for each query are measured exactly in double precision, and the best ``k`` of those go on.
+table of 256 scores per two subspaces is added up along the codes, and the best ``RERANK`` rows of the
+block for each query are measured exactly in double precision. The k-th of those distances is a bound:
+a row whose distance to the query, by its codes, exceeds it by more than the row's own quantisation error is
+out for sure. What the codes can't rule out (rows in tight clusters, unlike the sample, with equal codes) is
+measured too, so a block's best ``k`` rows are its true ones whatever the vectors are.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or
 non-finite components take no part; rows that repeat an id are candidates each, and a query id is
@@ -29,6 +35,8 @@ CENTROIDS, WIDTH, THRESHOLD = 16, 2, 0.2
 #: Rows that the codebooks are fitted on, at most.
 FIT_ROWS = 10_000
 RERANK, ROW_BLOCK, QUERY_BLOCK = 100, 8192, 512
+#: Pairs of a query and a row that are measured at once.
+_PAIRS = 1 << 20
 #: Packed queries are broadcast up to this size, else joined block by block.
 BROADCAST_BYTES = 64 << 20
 
@@ -66,7 +74,7 @@ def fit(x: np.ndarray, rounds: int = 6, seed: int = 7) -> np.ndarray:
     weight, x = eta(x.shape[1]), _pad(x)
     n, m = len(x), x.shape[1] // WIDTH
     parts = x.reshape(n, m, WIDTH)
-    unit = (x / np.linalg.norm(x, axis=1, keepdims=True)).reshape(n, m, WIDTH)
+    unit = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).reshape(n, m, WIDTH)
     rng = np.random.default_rng(seed)
     books = np.stack([parts[rng.choice(n, CENTROIDS, n < CENTROIDS), j] for j in range(m)])
     for _ in range(8):  # plain k-means to begin with
@@ -95,9 +103,8 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(-1, dim)
 
 
-def _pack_rows(dim: int, books, rows: int):
+def _pack_rows(dim: int, index, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centroids, weight = (books.value, eta(dim)) if books else (None, 1)
         ids, vectors, held = [], [], 0
 
         def flush():
@@ -109,8 +116,9 @@ def _pack_rows(dim: int, books, rows: int):
             for a in range(0, len(i), rows):
                 part = x[a : a + rows]
                 body = b""
-                if centroids is not None:
-                    codes = encode(part, centroids, weight)
+                if index is not None:
+                    books, centre, unit = index.value
+                    codes = encode((part - centre) / unit, books, eta(dim))
                     codes = np.pad(codes, ((0, 0), (0, codes.shape[1] % 2)))
                     body = (codes[:, ::2] | (codes[:, 1::2] << 4)).tobytes()
                 yield pa.RecordBatch.from_pydict({"n": pa.array([len(part)], pa.int32()), "ids": pa.array([i[a : a + rows].tobytes()], pa.binary()), "vectors": pa.array([part.tobytes()], pa.binary()), "codes": pa.array([body], pa.binary())})
@@ -128,37 +136,70 @@ def _pack_rows(dim: int, books, rows: int):
     return run
 
 
-def _scan(dim: int, books, k: int, rerank: int):
+def _nearest(x: np.ndarray, ids: np.ndarray, packed: np.ndarray, q: np.ndarray, asked: np.ndarray, index: tuple, k: int, rerank: int) -> tuple[np.ndarray, ...]:
+    """(query, row, distance) by number: for each query its ``k`` nearest rows of a block, those with its own id left out."""
+    books, centre, unit = index
+    m, n = len(books), len(x)
+    xc, qc = _pad((x - centre) / unit), _pad((q - centre) / unit)
+    codes = np.empty((packed.shape[1] * 2, n), np.uint8)
+    codes[::2], codes[1::2] = packed.T & 15, packed.T >> 4
+    coded = np.concatenate([books[j][codes[j]] for j in range(m)], 1)
+    norms, sizes, q_sizes = (xc**2).sum(1), (coded**2).sum(1), (qc**2).sum(1)
+    tables = -2 * np.einsum("qmw,mcw->mqc", qc.reshape(len(q), m, WIDTH), books).astype(np.float32)
+    near = np.repeat(norms[None].astype(np.float32), len(q), 0)
+    for j in range(0, m, 2):  # one byte holds two codes
+        pair = tables[j][:, None, :] + (tables[j + 1][:, :, None] if j + 1 < m else np.zeros((len(q), CENTROIDS, 1), np.float32))
+        near += np.take(pair.reshape(len(q), -1), packed[:, j // 2], axis=1)
+    own = asked[:, None] == ids[None]
+    near[own | np.isnan(near)] = np.inf
+
+    def measure(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        total = np.zeros(i.shape)
+        for d in range(x.shape[1]):  # added in order of dimension
+            total += (x[j, d] - q[i, d]) ** 2
+        return np.sqrt(total)
+
+    first = np.argpartition(near, rerank - 1, axis=1)[:, :rerank] if n > rerank else np.repeat(np.arange(n)[None], len(q), 0)
+    each = np.arange(len(q))[:, None]
+    exact = measure(np.broadcast_to(each, first.shape), first)
+    exact[own[each, first]] = np.inf
+    kth = np.partition(exact, k - 1, axis=1)[:, k - 1] if first.shape[1] >= k else np.full(len(q), np.inf)
+    # rounding: of the centred vectors, of the single-precision sums, of the expanded square
+    slip = 4e-15 * (np.abs(x).max() + np.abs(q).max()) * x.shape[1] / unit
+    reach = kth / unit * (1 + 1e-12) + slip
+    error = np.sqrt(((xc - coded) ** 2).sum(1))
+    loose = 1e-5 * (q_sizes.max() + max(norms.max(), sizes.max()))
+    bound = (reach[:, None] + error[None]) ** 2 + loose
+    by_code = near + q_sizes[:, None] + (sizes - norms)[None]
+    left = ~(np.isfinite(by_code) & (by_code > bound)) & ~own
+    rows = np.flatnonzero(left.any(0))
+    square = norms[rows][None] + q_sizes[:, None] - 2 * (qc @ xc[rows].T)
+    margin = 1e-12 * (norms.max() + q_sizes.max())
+    left, square = left[:, rows], np.where(np.isfinite(square), square, 0)
+    most = reach**2 + margin
+    if len(rows) > k:
+        far = np.where(left, square, np.inf)
+        most = np.minimum(most, (np.sqrt(np.maximum(np.partition(far, k - 1, axis=1)[:, k - 1] + margin, 0)) + 2 * slip) ** 2 + margin)
+    i, j = np.nonzero(left & ~(square > most[:, None]))
+    j = rows[j]
+    exact = np.concatenate([measure(i[a : a + _PAIRS], j[a : a + _PAIRS]) for a in range(0, len(i), _PAIRS)] or [np.zeros(0)])
+    order = np.lexsort((ids[j], exact, i))
+    i, j, exact = i[order], j[order], exact[order]
+    top = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return i[top], j[top], exact[top]
+
+
+def _scan(dim: int, index, k: int, rerank: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centroids = books.value
-        m = len(centroids)
         for batch in batches:
             for row in batch.to_pylist():
                 ids, x = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vectors"], np.float64).reshape(-1, dim)
                 packed = np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1)
-                codes = np.empty((packed.shape[1] * 2, len(ids)), np.uint8)
-                codes[::2], codes[1::2] = packed.T & 15, packed.T >> 4
                 asked, q = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["q_vectors"], np.float64).reshape(-1, dim)
-                tables = -2 * np.einsum("qmw,mcw->mqc", _pad(q).reshape(len(q), m, WIDTH), centroids).astype(np.float32)
-                near = np.repeat((x**2).sum(1)[None].astype(np.float32), len(q), 0)
-                for j in range(m):
-                    near += tables[j][:, codes[j]]
-                near[asked[:, None] == ids[None]] = np.inf
-                out: tuple[list, ...] = ([], [], [])
-                for i in range(len(q)):
-                    own, free = near[i], int(np.isfinite(near[i]).sum())
-                    if not free:
-                        continue
-                    least = np.partition(own, min(rerank, free) - 1)[min(rerank, free) - 1]
-                    sure = np.flatnonzero(own < least)
-                    best = np.concatenate([sure, np.flatnonzero(own == least)[: max(0, min(rerank, free) - len(sure))]])
-                    exact = np.sqrt(np.add.accumulate((x[best] - q[i]) ** 2, axis=1)[:, -1])  # added in order of dimension
-                    top = np.lexsort((ids[best], exact))[:k]
-                    out[0].append(np.full(len(top), asked[i]))
-                    out[1].append(ids[best][top])
-                    out[2].append(exact[top])
-                if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["query_id", "vec_id", "score"])
+                with np.errstate(over="ignore", invalid="ignore"):
+                    i, j, exact = _nearest(x, ids, packed, q, asked, index.value, k, rerank)
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(asked[i]), pa.array(ids[j]), pa.array(exact)], ["query_id", "vec_id", "score"])
 
     return run
 
@@ -185,16 +226,20 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sizes = [len(v) for v in sample]
     dim = max(set(sizes), key=lambda d: (sizes.count(d), d))
-    books = spark.sparkContext.broadcast(fit(np.array([v for v in sample if len(v) == dim], np.float64)))
+    known = np.array([v for v in sample if len(v) == dim], np.float64)
+    unit = float(np.abs(known).max())
+    centre = (known / unit).mean(0) * unit
+    unit = float(np.abs(known - centre).max()) or unit
+    fitted = spark.sparkContext.broadcast((fit((known - centre) / unit), centre, unit))
     points = points.where(F.size("v") == dim)
     asked = valid(queries, id_col, vector_col).where(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v"))
     blocks = _shared.keep(asked.mapInArrow(_pack_rows(dim, None, QUERY_BLOCK), _PACKED), "queries")
     blocks = blocks.select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
     size = blocks.agg(F.coalesce(F.sum(F.length("q_vectors")), F.lit(0))).first()[0]
     blocks = blocks.repartition(max(1, size // (QUERY_BLOCK * dim * 8)))
-    index = _shared.keep(points.mapInArrow(_pack_rows(dim, books, ROW_BLOCK), _PACKED), "index")
+    index = _shared.keep(points.mapInArrow(_pack_rows(dim, fitted, ROW_BLOCK), _PACKED), "index")
     pairs = index.crossJoin(F.broadcast(blocks) if size <= BROADCAST_BYTES else blocks)
-    found = pairs.mapInArrow(_scan(dim, books, k, rerank), kind)
+    found = pairs.mapInArrow(_scan(dim, fitted, k, rerank), kind)
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
     return _shared.keep(best, "nearest", *_shared.paths(index, blocks))

@@ -476,6 +476,25 @@ def test_chat_ties_long_texts_and_empty_logs(spark):
     assert chat_format.format_events(chat_format.events_of(turns.limit(0)), in_order=True).count() == 0
 
 
+def test_neighbours_of_clusters_offsets_and_outliers(spark):
+    """Rows that the codes can't tell apart, or that are unlike the sample, lose no neighbour."""
+    rng = np.random.default_rng(5)
+    tight = rng.standard_normal((4, 8))[rng.integers(0, 4, 1600)] + 1e-4 * rng.standard_normal((1600, 8))
+    shifted = 1000 + 0.01 * rng.standard_normal((1600, 8))
+    wide = rng.standard_normal((1600, 8)) * 10.0 ** rng.integers(-3, 25, (1600, 1))
+    for x in (tight, shifted, wide):
+        table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        got = {}
+        for r in anisotropic_index.search(table, table.where("vec_id % 100 = 0"), fit_rows=400).collect():
+            got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+        assert len(got) == 16
+        for q, own in got.items():
+            d = np.sqrt(np.add.accumulate((x - x[q]) ** 2, axis=1)[:, -1])
+            d[q] = np.inf
+            want = np.lexsort((np.arange(len(x)), d))[:10]
+            assert sorted(own) == [(i + 1, v, d[v]) for i, v in enumerate(want.tolist())]
+
+
 def test_neighbours_ties_and_repeated_ids(spark):
     rows = [(i, [1.0, float(i % 3)], 1) for i in range(12)] + [(3, [1.0, 0.0], 2), (0, [1.0, 0.5], 3)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int")

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import text as T
 
@@ -145,21 +151,45 @@ def qa_f1(text: Column, truth: Column) -> Column:
     return token_f1(cut(text), cut(truth))
 
 
+def _shared_words(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(f1, meteor) of each row of two arrays of word lists."""
+    sizes = [pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in (a, b)]
+    words = pa.concat_arrays([a.flatten(), b.flatten()]).dictionary_encode(null_encoding="encode")
+    codes, n = words.indices.to_numpy().astype(np.int64), max(1, len(words.dictionary))
+    own = [np.repeat(np.arange(len(a)), size) for size in sizes]
+    keys = [row * n + code for row, code in zip(own, np.split(codes, [len(own[0])]), strict=True)]  # a word of a row
+    (x, times), (y, others) = (np.unique(k, return_counts=True) for k in keys)
+    both, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    same = np.bincount(both // n, np.minimum(times[i], others[j]), len(a))
+    distinct = np.bincount(both // n, minlength=len(a))
+
+    def runs(row: np.ndarray, key: np.ndarray) -> np.ndarray:
+        inside = np.isin(key, both)
+        goes_on = np.append(False, inside[:-1] & (row[1:] == row[:-1]))[: len(inside)]
+        return np.bincount(row[inside & ~goes_on], minlength=len(a))
+
+    chunks = np.minimum(*(runs(*x) for x in zip(own, keys, strict=True)))
+    f1 = np.where(same > 0, 2.0 * same / np.maximum(sizes[0] + sizes[1], 1), 0.0)
+    return f1, f1 * (1 - np.where(chunks == distinct, 0.0, 0.5 * (chunks / np.maximum(distinct, 1)) ** 2))
+
+
+#: Rows whose words are counted at once.
+_ROWS = 512
+
+
 def overlap_by_count(rows, key: str, a: str, b: str):
-    """For each row of ``rows`` (a table with a unique ``key`` and word arrays ``a`` and ``b``): key,
-    f1 and meteor. Words are counted as rows, so the work grows with the number of words, not with
-    the product of the two arrays' lengths. Partitioned by ``key``, the rows are not shuffled again."""
-    words = lambda c, side: F.transform(c, lambda w, i: F.struct(F.lit(side).alias("side"), i.alias("at"), w.alias("word")))
-    sizes = [F.size(a).alias("na"), F.size(b).alias("nb")]
-    each = rows.select(key, *sizes, F.explode_outer(F.concat(words(a, 0), words(b, 1))).alias("w")).select(key, "na", "nb", "w.*")
-    place = lambda k: F.collect_list(F.when(F.col("side") == k, F.col("at")))
-    held = each.groupBy(key, "na", "nb", "word").agg(place(0).alias("p"), place(1).alias("q")).withColumn("both", (F.size("p") > 0) & (F.size("q") > 0))
-    runs = lambda c: F.aggregate(F.sort_array(F.flatten(F.collect_list(F.when(F.col("both"), F.col(c))))), F.struct(F.lit(0).alias("n"), F.lit(-2).alias("last")), lambda s, i: F.struct((s["n"] + F.when(i == s["last"] + 1, 0).otherwise(1)).alias("n"), i.alias("last")))["n"]
-    same = F.sum(F.when(F.col("both"), F.least(F.size("p"), F.size("q"))).otherwise(0)).alias("same")
-    own = held.groupBy(key, "na", "nb").agg(same, F.count_if("both").alias("distinct"), F.least(runs("p"), runs("q")).alias("chunks"))
-    f1 = F.when(F.col("same") > 0, 2.0 * F.col("same") / (F.col("na") + F.col("nb"))).otherwise(0.0)
-    penalty = F.when(F.col("chunks") == F.col("distinct"), 0.0).otherwise(0.5 * F.pow(F.col("chunks") / F.col("distinct"), F.lit(2.0)))
-    return own.select(key, f1.alias("f1"), F.when(F.col("same") > 0, f1 * (1 - penalty)).otherwise(0.0).alias("meteor"))
+    """For each row of ``rows`` (a table with ``key`` and word arrays ``a`` and ``b``): key, f1 and meteor. Words are counted
+    within the row, so the work grows with the number of words, not with the product of the two arrays'
+    lengths, and no word is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(i, _ROWS)
+                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, _shared_words(part.column(1), part.column(2)))], [key, "f1", "meteor"])
+
+    own = rows.select(key, a, b)
+    return own.mapInArrow(run, StructType([own.schema[key], StructField("f1", DoubleType()), StructField("meteor", DoubleType())]))
 
 
 def meteor_of(answer: Column, truth: Column) -> Column:

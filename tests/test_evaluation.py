@@ -230,3 +230,12 @@ def test_availability_reads_the_whole_cache(spark):
     want = {r.model for r in view(spark, data, "cache").where("score > 0").select("model").distinct().collect()}
     got = {r.model for r in evaluation.model_availability(spark, data).where("available").collect()}
     assert "alder" in want and got == want
+
+
+def test_overlap_shuffles_no_words(spark):
+    rows = spark.createDataFrame([(1, ["a", "b", "a"], ["a", "c"]), (2, None, ["x"]), (3, [], []), (1, ["q"], ["q"])], "id int, a array<string>, b array<string>")
+    scored = S.overlap_by_count(rows, "id", "a", "b")
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+    got = sorted((r.id, round(r.f1, 6), round(r.meteor, 6)) for r in scored.collect())
+    assert got == [(1, 0.4, 0.4), (1, 1.0, 1.0), (2, 0.0, 0.0), (3, 0.0, 0.0)]

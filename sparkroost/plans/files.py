@@ -109,13 +109,15 @@ def split_files(spark, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_partkey AS dataset, metric FROM (SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name FROM part WHERE p_size > 45), (VALUES ('math_metric'), ('exact_match')) AS m(metric) WHERE metric = 'exact_match' OR length(p_name) % 2 = 0")
 def eval_config_files(spark, sf_dir: str) -> DataFrame:
-    """A folder of evaluation configurations, one pretty-printed file for each data set (a large part)."""
+    """A folder of evaluation configurations, one pretty-printed file for each data set (a large part). The files lie side
+    by side and are moved there by their tasks, so that neither lists folders one by one nor waits for the driver."""
     folder = scratch(spark, "configs")
     tables(spark, sf_dir, "part")
     rows = spark.sql("SELECT CAST(p_partkey AS STRING) AS dataset, p_name FROM part WHERE p_size > 45")
     metrics = F.when(F.length("p_name") % 2 == 0, F.array(F.lit("math_metric"), F.lit("exact_match"))).otherwise(F.array(F.lit("exact_match")))
     text = F.to_json(F.struct(F.struct("dataset", metrics.alias("eval_metrics"), F.lit("{Question}").alias("prompt")).alias("eval_params")), {"pretty": "true"})
-    rows.select("dataset", text.alias("value")).write.mode("overwrite").partitionBy("dataset").text(folder)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.select(text.alias("value")).repartition(parts).write.mode("overwrite").option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", 2).text(folder)
     return readers.eval_configs(spark, folder).select("dataset", F.explode("eval_metrics").alias("metric"))
 
 

@@ -62,3 +62,13 @@ def test_resume_scores_each_file_once(spark, tmp_path):
     got = spark.read.parquet(target)
     assert sorted(r.score for r in got.collect()) == [2 * i for i in range(20)]
     assert got.select("batch").distinct().count() == 4
+
+
+def test_config_files_lie_in_one_folder(spark, monkeypatch, tmp_path):
+    """One file for each data set, and no folder of its own, which would be listed by a task each."""
+    from sparkroost.plans import files
+
+    monkeypatch.setattr(files, "scratch", lambda spark, name: str(tmp_path / name))
+    got = files.eval_config_files(spark, "/root/testdata/sf0.001").select("dataset").distinct().count()
+    inside = [p for p in (tmp_path / "configs").iterdir() if not p.name.startswith((".", "_"))]
+    assert got and len(inside) == got and all(p.is_file() for p in inside)

@@ -96,7 +96,7 @@ def score_formulas(spark, sf_dir: str) -> DataFrame:
     tables(spark, sf_dir, "part")
     spark.sql(_FORMULAS).createOrReplaceTempView("formulas")
     rows = spark.sql(_WRITTEN.replace("\\", "\\\\"))
-    return rows.select("p_partkey", symbolic.math_metric(F.col("text"), F.col("truth")).alias("score"))
+    return symbolic.with_math_scores(rows).select("p_partkey", "score")
 
 
 _TOK = r"list_filter(regexp_split_to_array(trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g')), '\s+'), lambda x: x <> '')"

@@ -198,8 +198,11 @@ def score_rows(rows: DataFrame, text: str = "text", truth: str = "truth", answer
     return out.unionByName(with_code_scores(rows.where(programs), text, tests, is_stdin, allow=True)) if tests and allow else out
 
 
-def metric_means(scored: DataFrame, *by: str) -> DataFrame:
-    """Mean and number of scores for each metric."""
+def metric_means(scored: DataFrame, *by: str, weight: str | None = None) -> DataFrame:
+    """Mean and number of scores for each metric; ``weight`` is the column that says how many equal rows a row stands for."""
+    if weight:
+        n = F.sum(F.when(F.col("score").isNotNull(), F.col(weight)))
+        return scored.groupBy(*by, "metric").agg(F.coalesce(n, F.lit(0)).alias("n"), (F.sum(F.col("score") * F.col(weight)) / n).alias("mean"))
     return scored.groupBy(*by, "metric").agg(F.count("score").alias("n"), F.avg("score").alias("mean"))
 
 

@@ -163,17 +163,19 @@ q AS ({_QUADRATICS}), all_rows AS (SELECT metric, l_linenumber, CASE WHEN {_SCOR
  UNION ALL SELECT 'code_accuracy', 0, CASE WHEN s_suppkey % 5 < 3 AND s_suppkey % 3 = 0 THEN 1.0 ELSE 0.0 END FROM supplier)
 SELECT metric, l_linenumber, count(*) AS n, round(avg(score), 6) AS mean FROM all_rows GROUP BY ALL""")
 def metric_scores(spark, sf_dir: str) -> DataFrame:
-    """Answers, formulas and programs by all nine metrics through one dispatch."""
+    """Answers, formulas and programs by all nine metrics through one dispatch. Equal rows are scored once and weigh what they are."""
     tables(spark, sf_dir, "lineitem", "supplier")
     none = F.lit(None).cast("array<struct<input:string,output:string>>")
-    own = ["l_linenumber", "metric", "text", "truth", "answer", "is_stdin", "tests"]
-    rows = view(spark, sf_dir, "answers").select("l_linenumber", "text", "truth", T.answer(F.col("text")).alias("answer"), F.lit(False).alias("is_stdin"), none.alias("tests"))
+    own = ["l_linenumber", "metric", "text", "truth", "answer", "is_stdin", "tests", "rows"]
+    counted = lambda df, *by: df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"))
+    rows = counted(view(spark, sf_dir, "answers"), "l_linenumber", "text", "truth").select("rows", "l_linenumber", "text", "truth", T.answer(F.col("text")).alias("answer"), F.lit(False).alias("is_stdin"), none.alias("tests"))
     rows = rows.select("*", F.explode(F.array(*map(F.lit, _NATIVE))).alias("metric")).select(own)
     spark.sql(_QUADRATICS).createOrReplaceTempView("quadratics")
     formulas = spark.sql(f"SELECT l_linenumber, 'math_metric' AS metric, {_FORMULA_TEXT} AS text, {_FORMULA_TRUTH} AS truth, '' AS answer, false AS is_stdin FROM quadratics".replace("\\", "\\\\"))
-    programs = spark.sql(_PROGRAM_ROWS).select(F.lit(0).alias("l_linenumber"), F.lit("code_accuracy").alias("metric"), "text", F.lit("").alias("truth"), F.lit("").alias("answer"), "is_stdin", "tests")
+    formulas = counted(formulas, *formulas.columns)
+    programs = counted(spark.sql(_PROGRAM_ROWS), "text", "is_stdin", "tests").select("rows", F.lit(0).alias("l_linenumber"), F.lit("code_accuracy").alias("metric"), "text", F.lit("").alias("truth"), F.lit("").alias("answer"), "is_stdin", "tests")
     every = rows.unionByName(formulas.withColumn("tests", none).select(own)).unionByName(programs.select(own))
-    means = E.metric_means(E.score_rows(every, answer="answer", tests="tests", allow=True), "l_linenumber")
+    means = E.metric_means(E.score_rows(every, answer="answer", tests="tests", allow=True), "l_linenumber", weight="rows")
     return means.select("metric", "l_linenumber", "n", F.round("mean", 6).alias("mean"))
 
 

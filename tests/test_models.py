@@ -298,3 +298,38 @@ def test_scratch_is_no_local_folder_on_a_cluster():
         session.scratch(cluster, "x")
     held["spark.checkpoint.dir"] = "hdfs://store/shared/"
     assert session.scratch(cluster, "x") == "hdfs://store/shared/sparkroost-app/x"
+
+
+def test_repeated_formulas_are_read_once(spark):
+    """The reader gets each different pair once; every row has its score."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    pairs = [(r"\boxed{x+1}", "1+x", 1.0), (r"\boxed{x+1}", "2+x", 0.0), (None, "x", 0.0), (r"\boxed{7}", None, 0.0)]
+    rows = spark.createDataFrame([(i, *pairs[i % 4]) for i in range(400)], "id int, text string, truth string, want double")
+    once = symbolic.each_once
+    try:
+        symbolic.each_once = lambda values: once(values).mapInArrow(counted, values.schema)
+        got = symbolic.with_math_scores(rows).collect()
+    finally:
+        symbolic.each_once = once
+    assert len(got) == 400 and all(r.score == r.want for r in got) and read.value == 4
+
+
+def test_equal_rows_weigh_what_they_are(spark):
+    rows = [("a", "m", 1.0, 3), ("a", "m", 0.0, 1), ("b", "m", 0.5, 2), ("b", "m", None, 5)]
+    scored = spark.createDataFrame(rows, "k string, metric string, score double, rows long")
+    assert sorted(tuple(r) for r in E.metric_means(scored, "k", weight="rows").collect()) == [("a", "m", 4, 0.75), ("b", "m", 2, 0.5)]
+
+
+def test_equal_programs_run_once(spark, tmp_path):
+    """Each different program with its tests is one process, whatever the number of its rows."""
+    code = f"```python\nopen({str(tmp_path / 'runs')!r}, 'a').write('x')\nprint(input())\n```"
+    rows = [(i, code, True, [{"input": "1", "output": "1"}]) for i in range(12)]
+    table = spark.createDataFrame(rows, "id int, text string, is_stdin boolean, tests array<struct<input:string,output:string>>")
+    got = E.with_code_scores(table, allow=True).select("id", "score").collect()
+    assert sorted(tuple(r) for r in got) == [(i, 1.0) for i in range(12)] and (tmp_path / "runs").read_text() == "x"

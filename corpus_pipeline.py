@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from sparkroost.llm import _shared
 from sparkroost.llm.decontaminate import contaminated
-from sparkroost.llm.jaccard_dedup import groups
+from sparkroost.llm.jaccard_dedup import SHINGLE, groups
 from sparkroost.llm.quality import train
+from sparkroost.llm.simhash_dedup import fingerprints
 from sparkroost.llm.substring_dedup import rewrite
 from sparkroost.llm.word_lexicon import encode_decode
 
@@ -35,11 +36,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts linked by a Jaccard similarity of 0.8 or more (five-word shingles) one
+    """SimHash fingerprints of five-word shingles find near copies, which an exact Jaccard similarity of 0.8 or more has to
+    confirm; an exact index adds the links that fingerprints miss at that similarity. Of each group of linked texts one
     row stays: that of the smallest id, then of the smallest hash of id and text; null ids come last."""
     key = own_name(docs, "row_key")
     keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
-    held = groups(keyed.select(F.col(key).alias("key"), "text"))
+    own = keyed.select(F.col(key).alias("key"), "text")
+    held = groups(own, fingerprints(own, "key", shingle=SHINGLE))
     ids = keyed.select(F.col(key).alias("key"), "doc_id").distinct()
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     first = held.distinct().join(ids, "key").groupBy("component").agg(F.min(rank).alias("first")).select(F.col("first.key").alias("key"))
@@ -84,7 +87,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", quality),
-    ("Jaccard near-dedup", near_duplicate),
+    ("SimHash near-dedup", near_duplicate),
     ("substring dedup", substring),
     ("benchmark decontamination", decontaminate),
     ("BPE encoding and decoding", encode),

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from . import _shared
+from . import _shared, simhash_dedup
 from ._words import U, _P, grams, mix, pack, words
 from .components import components
 
@@ -255,9 +255,10 @@ class _Texts:
         return _shared.keep(dealt.mapInArrow(_verify, "a long, b long").distinct(), "links", *_shared.paths(pairs, few, body), rows=512)
 
 
-def groups(docs: DataFrame) -> DataFrame:
+def groups(docs: DataFrame, prints: DataFrame | None = None) -> DataFrame:
     """(key, component) of each row of ``docs`` (key long, text string): rows that are joined by
-    links have the same component. Rows with equal keys must have equal texts."""
+    links have the same component. Rows with equal keys must have equal texts. ``prints`` (doc_id: the key, fp): pairs that
+    link by SimHash are compared first, with the first pairs of the lists; what they join isn't compared again."""
     spark = docs.sparkSession
     marked = _shared.keep(docs.select("key", "text").mapInArrow(_mark, "key long, sig long, sketch binary, chunk int, body binary"), "marks")
     marks = marked.where("chunk is null").select("key", "sig", "sketch")
@@ -270,7 +271,13 @@ def groups(docs: DataFrame) -> DataFrame:
     degree = found.groupBy("sig").agg(F.sum("size").alias("degree"))
     lists = _shared.keep(found.join(degree, "sig").select("h", "sig", "n", "pos", "degree"), "lists", *_shared.paths(found))
     texts, kind = _Texts(docs, marks), "centre long, other long"
-    links = texts.links(lists.repartition(parts, "h").mapInArrow(_first_pairs, kind))
+    first = lists.repartition(parts, "h").mapInArrow(_first_pairs, kind)
+    spent: list = []
+    if prints is not None:
+        by_sig = _shared.keep(texts.low.join(prints, F.col("key") == F.col("doc_id")).select(F.col("sig").alias("doc_id"), "fp").distinct(), "prints")
+        near = simhash_dedup.candidates(by_sig)
+        first, spent = first.union(near), _shared.paths(near)
+    links = texts.links(first)
     held = _shared.keep(components(links), "components")
     own = lists.join(held, F.col("sig") == F.col("node"), "left").select(*lists.columns, F.coalesce("component", "sig").alias("of"))
     mixed = own.repartition(parts, "h").mapInArrow(_mixed, "h long, sig long, n int, pos int, degree long, of long")
@@ -279,4 +286,4 @@ def groups(docs: DataFrame) -> DataFrame:
     joined = held.select(F.col("node").alias("a"), F.col("component").alias("b")).union(rest)
     held = _shared.keep(components(joined), "components", *_shared.paths(held, lists))
     out = marks.select("key", "sig").join(held, F.col("sig") == F.col("node"), "left").select("key", F.coalesce("component", "sig").alias("component"))
-    return _shared.keep(out, "groups", *_shared.paths(marked, held, links, rest))
+    return _shared.keep(out, "groups", *_shared.paths(marked, held, links, rest), *spent)

@@ -59,16 +59,19 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        text = batch.column(1).cast(pa.large_binary())
-        fp = np.array([fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"") for x in text], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+def _fingerprints(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = batch.column(1).cast(pa.large_binary())
+            fp = np.array([fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"", shingle) for x in text], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
+    return run
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp): each row's fingerprint, as a signed long with the same 64 bits."""
-    return docs.select(docs[id_col].cast("long"), docs[text_col].cast("string")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    return docs.select(docs[id_col].cast("long"), docs[text_col].cast("string")).mapInArrow(_fingerprints(shingle), "doc_id long, fp long")
 
 
 def _bytes_key(fp: Column, at: tuple[int, ...]) -> Column:
@@ -181,6 +184,13 @@ def links(prints: DataFrame, list_rows: int = LIST_ROWS, task_rows: int = TASK_R
     return met.union(again.repartition(parts, "list", "key").mapInArrow(_probe, kind))
 
 
+def candidates(prints: DataFrame) -> DataFrame:
+    """(centre, other): pairs of ids that connect all rows of ``prints`` (doc_id, fp) whose fingerprints link."""
+    once = _shared.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "classes")
+    same = prints.join(once, "fp").where("doc_id <> low").select(F.col("low").alias("centre"), F.col("doc_id").alias("other"))
+    return links(once).select(F.least("a", "b").alias("centre"), F.greatest("a", "b").alias("other")).union(same)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", list_rows: int = LIST_ROWS) -> DataFrame:
     """(doc_id, fingerprint, component_id): one row for each row of ``docs``. component_id is the
     smallest id that the row's fingerprint reaches through links; rows without an id link like others, and have

@@ -591,3 +591,23 @@ def test_no_local_folder_on_a_cluster():
 
     with pytest.raises(RuntimeError, match="checkpoint"):
         _shared.shared_dir(Session())
+
+
+def test_near_dedup_stage_links_by_fingerprints_first(spark, monkeypatch):
+    """SimHash finds what differs by little, the exact check drops what it links wrongly, the index adds the rest."""
+    import corpus_pipeline
+
+    seen = []
+    found = simhash_dedup.candidates
+
+    def watched(prints):
+        pairs = found(prints)
+        seen.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(simhash_dedup, "candidates", watched)
+    base = [f"w{i}" for i in range(400)]
+    texts = [" ".join(base), " ".join([*base[:-1], "end"]), " ".join([*base[:200], "x", "y", "z", *base[203:]]), "quite another text of a few words", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    left = corpus_pipeline.near_duplicate(spark, docs, "").collect()
+    assert sorted(r.doc_id for r in left) == [0, 3, 4] and seen and seen[0] >= 1
